@@ -1,9 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from usagebook.llm import exact_dedup, sharding
+from usagebook.llm import exact_dedup, langid, near_dedup, pieces, sharding
 
 QUERIES = {
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_sharding": sharding.op3_sharding,
+    "op7_language_id": langid.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
 }
 ORACLE_SQL = {"op8_exact_dedup": exact_dedup.SQL}
