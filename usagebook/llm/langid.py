@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from usagebook.llm.shared import id_and_text, table
 from usagebook.llm.textvec import as_bytes, chunks, lower_ascii
+from usagebook.shipping import ship
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 600
@@ -129,32 +130,49 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return ContextTrees(texts) if texts else None
 
 
+def decide(model: ContextTrees | None, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the place of its language, -1 without one, and its score."""
+    picked, scores = np.full(len(column), -1), np.zeros(len(column))
+    for i, j, b, o in chunks(*as_bytes(column)) if model else ():
+        bits = model.lengths(b, o)
+        sure = 1 / np.exp2(np.maximum(bits - bits.max(1, keepdims=True), -1000)).sum(1)
+        ascii_letters = np.concatenate(([0], np.cumsum(((b | 32) >= 97) & ((b | 32) <= 122))))
+        spoken = np.diff(ascii_letters[o]) > 0
+        for k in np.flatnonzero(~spoken & (np.diff(o) > 0)):
+            spoken[k] = has_letter(b[o[k] : o[k + 1]].tobytes())
+        picked[i:j] = np.where(spoken, bits.argmax(1), -1)
+        scores[i:j] = np.where(spoken, sure, 0)
+    return picked, scores
+
+
 def predict(docs: DataFrame, trees: ContextTrees | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(trees)
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*(model.languages if model else []), "und"], dtype=object)
         for batch in batches:
-            buf, offsets = as_bytes(batch.column(1))
-            picked, scores = np.full(len(batch), len(names) - 1), np.zeros(len(batch))
-            for i, j, b, o in chunks(buf, offsets) if model else ():
-                bits = model.lengths(b, o)
-                best = bits.argmax(1)
-                sure = 1 / np.exp2(np.maximum(bits - bits.max(1, keepdims=True), -1000)).sum(1)
-                ascii_letters = np.concatenate(([0], np.cumsum(((b | 32) >= 97) & ((b | 32) <= 122))))
-                spoken = np.diff(ascii_letters[o]) > 0
-                for k in np.flatnonzero(~spoken & (np.diff(o) > 0)):
-                    spoken[k] = has_letter(b[o[k] : o[k + 1]].tobytes())
-                picked[i:j] = np.where(spoken, best, len(names) - 1)
-                scores[i:j] = np.where(spoken, sure, 0)
+            picked, scores = decide(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[picked], pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return id_and_text(docs, doc_id, text).mapInArrow(score, "doc_id long, lang_pred string, score double")
 
 
+def identified_documents(docs: DataFrame, trees: ContextTrees | None, text: str = "text") -> DataFrame:
+    """The rows of docs that get a language, with all their columns; every row if no language was learned."""
+    if trees is None:
+        return docs
+    ship(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(decide(shared.value, batch.column(at))[0] >= 0))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict(docs, train(docs))

@@ -1,12 +1,17 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from usagebook.llm import exact_dedup, langid, near_dedup, pieces, sharding
+from usagebook.llm import decontamination, exact_dedup, langid, near_dedup, pieces, sharding, token_files, toxicity, transcripts, warc
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_sharding": sharding.op3_sharding,
+    "op4_token_files": token_files.op4_token_files,
+    "op5_warc": warc.op5_warc,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_language_id": langid.op7_language_id,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
+    "op10_chat_format": transcripts.op10_chat_format,
 }
-ORACLE_SQL = {"op8_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL = {"op8_exact_dedup": exact_dedup.SQL, "op5_warc": warc.SQL}
