@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. The word SEED-grams of the benchmark items are counted over all documents
-   (one row a seed and task is summed).
-2. A seed is rare if it stands in at most RARE_SHARE of the documents (or 3), or
-   in at most RARE_FACTOR times as many as its item's median seed. So at least
-   half of an item's seeds are always in use, however often the item was copied.
+1. The benchmark's words are counted over all documents (one row a word and task
+   is summed).
+2. A seed of SEED words is rare if its words' frequencies let a document hold it
+   by chance less often than RARE, or less often than its item's median seed. So
+   at least half of an item's seeds are always in use, and how often the item
+   itself was copied doesn't matter.
 3. In a second scan every rare seed in a document opens a window about the item's
    length on both sides; Smith-Waterman aligns the item with the window (match
    +2, another or a missing word -1). A document holds an item if the best score
@@ -35,8 +36,7 @@ from usagebook.llm.textvec import as_bytes, byte_mask, chunks, expand, hash_span
 
 SEED = 3
 MIN_WORDS = 5
-RARE_SHARE = 0.001
-RARE_FACTOR = 4
+RARE = 0.001
 MIN_SCORE = 0.45
 BLOCK_BYTES = 16 << 20
 MATCH, MISS = 2, -1
@@ -64,29 +64,36 @@ class Items:
         self.words, _, _, self.counts = word_hashes(buf, offsets)
         self.starts = np.cumsum(self.counts) - self.counts
         owners = np.repeat(np.arange(len(self.counts)), self.counts)
-        seeds, at = ngrams(self.words, self.counts, SEED)
-        long_enough = self.counts[owners[at]] >= MIN_WORDS if len(at) else np.zeros(0, bool)
-        seeds, at = seeds[long_enough], at[long_enough]
-        self._index(seeds, owners[at] if len(at) else at, at - self.starts[owners[at]] if len(at) else at)
-
-    def _index(self, seeds: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
+        self.vocabulary, self.word = np.unique(self.words, return_inverse=True)
+        self.at, self.owner = ngrams(self.words, self.counts, SEED)[1], owners
+        long_enough = self.counts[owners[self.at]] >= MIN_WORDS if len(self.at) else np.zeros(0, bool)
+        self._index(self.at[long_enough])
+
+    def _index(self, at: np.ndarray) -> None:
+        """Takes the seeds that begin at these words."""
+        self.at = at
+        grams, every = ngrams(self.words, self.counts, SEED)
+        seeds = grams[np.searchsorted(every, at)] if len(at) else grams[:0]
         order = np.argsort(seeds, kind="stable")
-        self.seeds, first = np.unique(seeds[order], return_index=True)
-        self.first, self.uses = first, np.diff(np.append(first, len(seeds)))
-        self.item, self.place = item[order], place[order]
+        self.seeds, self.first = np.unique(seeds[order], return_index=True)
+        self.uses = np.diff(np.append(self.first, len(seeds)))
+        self.item = self.owner[at][order] if len(at) else at
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.seeds >> np.uint64(44)).astype(np.int64)] = True
 
-    def rare(self, counts: np.ndarray, documents: int) -> None:
-        """Keeps the seeds that are rare, given each seed's number of documents."""
-        each = np.repeat(counts, self.uses)
-        limit = np.full(len(self.ids), max(3.0, RARE_SHARE * documents))
-        order = np.lexsort((each, self.item))
-        cuts = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
+    def rare(self, counts: np.ndarray, total: int, documents: int) -> None:
+        """Keeps the seeds that are rare, given each word's number of uses, that of all words, and that of documents."""
+        if not len(self.at):
+            return
+        share = np.maximum(counts, 1) / max(1, total)
+        chance = np.prod([share[self.word[self.at + k]] for k in range(SEED)], axis=0) * total / max(1, documents)
+        item = self.owner[self.at]
+        order = np.lexsort((chance, item))
+        cuts = np.searchsorted(item[order], np.arange(len(self.ids) + 1))
+        limit = np.full(len(self.ids), RARE)
         for i in np.flatnonzero(np.diff(cuts)):
-            limit[i] = max(limit[i], RARE_FACTOR * np.median(each[order[cuts[i] : cuts[i + 1]]]))
-        keep = each <= limit[self.item]
-        self._index(np.repeat(self.seeds, self.uses)[keep], self.item[keep], self.place[keep])
+            limit[i] = max(RARE, np.median(chance[order[cuts[i] : cuts[i + 1]]]))
+        self._index(self.at[chance <= limit[item]])
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which n-grams are seeds, and which seeds."""
@@ -196,30 +203,31 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -
 
 def rare_seeds(texts: DataFrame, items: Items) -> Items:
     """items, with the seeds that are rare over all texts (doc_id, text)."""
-    shared = texts.sparkSession.sparkContext.broadcast(items)
+    shared = texts.sparkSession.sparkContext.broadcast(items.vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        sums, rows = np.zeros(len(own.seeds), np.int64), 0
+        known = shared.value
+        sums, total, rows = np.zeros(len(known) + 1, np.int64), 0, 0
         for batch in batches:
             rows += len(batch)
             for _, _, b, o in chunks(*as_bytes(batch.column(1))):
-                hashes, _, _, counts = word_hashes(b, o)
-                grams, at = ngrams(hashes, counts, SEED)
-                hit, seed = own.hits(grams)
-                text = np.searchsorted(np.cumsum(counts), at[hit], side="right")
-                pairs = np.unique(text.astype(np.int64) * len(own.seeds) + seed)
-                sums += np.bincount(pairs % max(1, len(own.seeds)), minlength=len(own.seeds))
-        used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(sums[used], rows))], ["seed", "n"])
-
-    counts, documents = np.zeros(len(items.seeds), np.int64), 0
-    for seed, n in texts.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n")).collect():  # at most a row for each seed of the block
-        if seed < 0:
+                hashes = word_hashes(b, o)[0]
+                total += len(hashes)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    sums += np.bincount(np.where(known[at] == hashes, at, len(known)), minlength=len(known) + 1)
+        used = np.flatnonzero(sums[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, [-1, -2])), pa.array(np.append(sums[used], [total, rows]))], ["word", "n"])
+
+    counts, total, documents = np.zeros(len(items.vocabulary), np.int64), 0, 0
+    for word, n in texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n")).collect():  # at most a row for each word of the block
+        if word == -1:
+            total = n
+        elif word == -2:
             documents = n
         else:
-            counts[seed] = n
-    items.rare(counts, documents)
+            counts[word] = n
+    items.rare(counts, total, documents)
     return items
 
 
