@@ -35,7 +35,7 @@ def replaced(observations: DataFrame, changes: DataFrame, new: DataFrame) -> Dat
 
 def run_summary(changes: DataFrame, observations: DataFrame, warnings: DataFrame, run_id: int, limited: bool = False) -> DataFrame:
     """One row about an ingest run; it is provisional if it was limited or any source gave a warning."""
-    states = changes.agg(F.count_if("state <> 'vanished'").alias("discovered"), *[F.count_if(F.col("state") == s).alias(s) for s in STATES])
+    states = changes.agg(F.count_if(F.col("state") != "vanished").alias("discovered"), *[F.count_if(F.col("state") == s).alias(s) for s in STATES])
     seen, warned = observations.agg(F.count("*").alias("observations")), warnings.agg(F.count("*").alias("warnings"))
     return states.crossJoin(seen).crossJoin(warned).select(F.lit(run_id).cast("long").alias("run_id"), "*", (F.lit(limited) | (F.col("warnings") > 0)).alias("provisional"))  # one row each
 

@@ -58,7 +58,7 @@ def exact_fold(log: DataFrame, counters: tuple[str, ...] = COUNTERS, source: str
     clean = counter_deltas(log.join(dirty, source, "left_anti"), counters, source, line)
     names = clean.columns
 
-    def fold(_, group: pd.DataFrame) -> pd.DataFrame:
+    def fold(_: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(line)
         last, epoch, ordinal, rows = dict.fromkeys(counters, 0), 0, 0, []
         for row in group.to_dict("records"):

@@ -18,7 +18,7 @@ def write_json(report: DataFrame, path: str) -> None:
 
 
 def write_csv(report: DataFrame, path: str) -> None:
-    flat(report).write.mode("overwrite").csv(path, header=True)
+    flat(report).write.mode("overwrite").csv(path, header=True, escape="\"")
 
 
 def envelope(report: DataFrame, context: dict[str, str]) -> DataFrame:
