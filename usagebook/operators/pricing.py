@@ -176,19 +176,22 @@ def price(events: DataFrame, catalog: Catalog) -> DataFrame:
     out = out.withColumns({"_uncertain": uncertain, "_api_key": ~uncertain & is_api_key(F.coalesce(override, F.col("auth_mode")))})
     out = out.withColumns({"_dims_usd": F.col("_dims"), "_dims_credits": F.when(F.col("_uncertain"), F.map_filter("_dims", lambda k, _: k != "auth_mode")).otherwise(F.col("_dims"))})
     for kind in KINDS:
-        out = out.withColumns({f"_scenarios_{kind}": F.when(F.col(f"_rate_{kind}").isNotNull(), F.expr(_estimates(kind, _scenarios(kind)))), f"_default_{kind}": F.when(F.col(f"_rate_{kind}").isNotNull(), F.expr(_estimates(kind, _default(kind))))})
+        rated = F.col(f"_rate_{kind}").isNotNull()
+        out = out.withColumns({f"_scenarios_{kind}": F.when(rated, F.expr(_estimates(kind, _scenarios(kind)))), f"_default_{kind}": F.when(rated, F.get(F.expr(_default(kind)), F.lit(0)))})
         out = out.withColumns(_range(kind))
-        out = out.withColumn(f"_legacy_{kind}", F.coalesce(F.get(F.col(f"_default_{kind}"), F.lit(0))["status"], F.lit("unpriced")))
+        # the scenario of the default dimensions; none if they can't be resolved
+        out = out.withColumn(f"_legacy_{kind}", F.expr(f"get(filter(_scenarios_{kind}, e -> _default_{kind} is not null and forall(map_entries(e.dimensions), x -> try_element_at(_default_{kind}, x.key) <=> x.value)), 0)"))
     applies = (F.col("client") == "openai_codex") & ~F.col("_api_key")
+    of = {k: F.coalesce(F.col(f"_legacy_{k}.status"), F.lit("unpriced")) for k in KINDS}
     firm = F.col("credits_status").isin("exact", "bounded")
-    legacy = F.when(applies & F.col("_uncertain"), "partial").when(~applies, F.col("_legacy_usd")).when(F.col("_legacy_usd") == F.col("_legacy_credits"), F.col("_legacy_usd")).otherwise("partial")
+    legacy = F.when(applies & F.col("_uncertain"), "partial").when(~applies, of["usd"]).when(of["usd"] == of["credits"], of["usd"]).otherwise("partial")
     out = out.withColumns(
         {
             "legacy_status": legacy,
             "credits_lower": F.when(applies, F.when(F.col("_uncertain") & firm, F.lit(0).cast("decimal(38,15)")).otherwise(F.col("credits_lower"))),
             "credits_upper": F.when(applies, F.col("credits_upper")),
             "credits_status": F.when(~applies, "unavailable").when(F.col("_uncertain") & firm, "bounded").otherwise(F.col("credits_status")),
-            "missing": F.expr("array_sort(array_distinct(flatten(transform(coalesce(_default_usd, array()), e -> e.missing))))"),
+            "missing": F.array_sort(F.coalesce("_legacy_usd.missing", F.expr("cast(array() as array<struct<component: string, quantity: bigint>>)"))),
             "matched_ids": F.expr("array_sort(array_distinct(concat(array_compact(array(_rate_usd.id, _rate_credits.id)), flatten(transform(coalesce(_scenarios_usd, array()), e -> e.modifier_ids)))))"),
             "scenario_count": F.coalesce(F.size("_scenarios_usd"), F.lit(0)),
         }
