@@ -146,6 +146,25 @@ def summary(*classified: DataFrame) -> DataFrame:
     return every.join(rows.groupBy("classification").agg(F.sum("n").alias("n")), "classification", "left").select("classification", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def class_order() -> Column:
+    """A class's place in reports."""
+    return F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("classification"))
+
+
+def scope_summary(classified: DataFrame, providers: list[str] | None = None, models: list[str] | None = None) -> DataFrame:
+    """Rows of each class within a cost query's providers and models; a bucket for all models counts."""
+    if providers:
+        classified = classified.where(F.col("provider").isin(providers))
+    if models:
+        classified = classified.where(F.col("model").isNull() | F.lower("model").isin([m.lower() for m in models]))
+    return summary(classified)
+
+
+def with_imports(buckets: DataFrame, imports: DataFrame) -> DataFrame:
+    """Buckets with the digest and time of their import."""
+    return buckets.join(small(imports.select("import_id", "content_digest", "imported_at")), "import_id")
+
+
 def import_status(buckets: DataFrame) -> DataFrame:
     """Imports, buckets, extent and latest import of each source kind."""
     return buckets.groupBy("source_kind").agg(F.count_distinct("import_id").alias("imports"), F.count("*").alias("buckets"), F.count_distinct("provider").alias("providers"), F.min("bucket_start").alias("first_start"), F.max("bucket_end").alias("last_end"), F.max("import_id").alias("latest_import"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from usagebook.functions.ids import stable_id
 from usagebook.functions.values import COUNTERS, local_date, nano
-from usagebook.operators import billing, canonical, catalog, coverage, incremental, ordered, pricing, reconcile, reports
+from usagebook.operators import billing, canonical, catalog, coverage, incremental, ordered, pricing, quality, reconcile, reports
 from usagebook.plans import oracle as O
 from usagebook.plans import views as V
 from usagebook.sources import common, log_a, log_b
@@ -489,6 +489,36 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/customer.parquet").select(key.alias("part"), stable_id(key).alias("id"))
 
 
+@query("observation_issues", f"""WITH {O.OBS}, t AS (SELECT *, input_tokens_cached % 9 AS m FROM obs), b AS (SELECT client, event_key, source_id, line_number, input_tokens_cached AS c, cache_write_5m_tokens + cache_write_1h_tokens + cache_write_unknown_tokens AS w, input_tokens_uncached AS u, CASE WHEN m = 0 THEN input_tokens_total - input_tokens_uncached - 1 ELSE input_tokens_total END AS total, CASE WHEN m = 1 THEN output_tokens_total + 1 ELSE reasoning_output_tokens END AS r, output_tokens_total AS o, CASE WHEN m = 2 THEN NULL ELSE raw_model END AS raw_model FROM t)
+SELECT client, event_key, source_id, line_number, 'subsets_exceed_input' AS code FROM b WHERE c + w > total UNION ALL SELECT client, event_key, source_id, line_number, 'reasoning_exceeds_output' FROM b WHERE r > o
+UNION ALL SELECT client, event_key, source_id, line_number, 'input_not_additive' FROM b WHERE client = 'claude_code' AND u + c + w <> total UNION ALL SELECT client, event_key, source_id, line_number, 'missing_model' FROM b WHERE raw_model IS NULL""")
+def observation_issues(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("input_tokens_cached") % 9
+    o = observations(spark, d).withColumns({"input_tokens_total": F.when(m == 0, F.col("input_tokens_total") - F.col("input_tokens_uncached") - 1).otherwise(F.col("input_tokens_total")), "reasoning_output_tokens": F.when(m == 1, F.col("output_tokens_total") + 1).otherwise(F.col("reasoning_output_tokens")), "raw_model": F.when(m != 2, F.col("raw_model"))})
+    return quality.observation_issues(o)
+
+
+@query("reconcile_scope", f"{_CLASS}, names(classification) AS (VALUES ('matched'), ('provider_only'), ('local_only'), ('time_boundary'), ('route_unknown'), ('counter_mismatch')) SELECT classification, CAST((SELECT count(*) FROM classes c WHERE c.classification = names.classification AND provider = 'openai' AND (model IS NULL OR lower(model) IN ('m-a', 'm-n'))) AS BIGINT) AS n FROM names")
+def reconcile_scope(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.scope_summary(reconcile.reconcile(events(spark, d), buckets(spark, d)), ["openai"], ["M-A", "m-n"])
+
+
+@query("cost_period", f"{O.EVENTS} SELECT CAST(min({O.local_day(ZONE)}) AS VARCHAR) AS first_day, CAST(max({O.local_day(ZONE)}) AS VARCHAR) AS last_day FROM canonical")
+def cost_period(spark: SparkSession, d: str) -> DataFrame:
+    return reports.period(events(spark, d), ZONE).select(*[F.col(c).cast("string").alias(c) for c in ("first_day", "last_day")])
+
+
+@query("provider_scope", f"{O.EVENTS} SELECT DISTINCT lower(trim(provider)) AS provider FROM canonical")
+def provider_scope(spark: SparkSession, d: str) -> DataFrame:
+    return reports.provider_scope(events(spark, d))
+
+
+@query("format_drift", "SELECT CAST(count(*) AS BIGINT) AS records FROM events WHERE props IS NOT NULL AND EXISTS (SELECT 1 FROM unnest(json_keys(props)) k(key) WHERE key <> 'n')")
+def format_drift(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("props").alias("text"))
+    return quality.drift(rows, ["n"]).agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and list price of each local day, model and client, copies counted once."""
     return reports.usage_report(priced(spark, d), ("day", "client", "model"), ZONE)
