@@ -140,12 +140,11 @@ class SpanTable:
             raw = buf.tobytes()
             found = encode([raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            keys = np.concatenate((self.keys, hashes[new]))
-            order = np.argsort(keys, kind="stable")
-            self.starts = np.concatenate((self.starts, len(self.codes) + np.cumsum(sizes) - sizes))[order]
-            self.lengths = np.concatenate((self.lengths, sizes))[order]
-            self.codes = np.concatenate([self.codes, *[np.asarray(x, self.dtype) for x in found]])
-            self.keys = keys[order]
+            place = np.searchsorted(self.keys, hashes[new])
+            self.starts = np.insert(self.starts, place, len(self.codes) + np.cumsum(sizes) - sizes)
+            self.lengths = np.insert(self.lengths, place, sizes)
+            self.codes = np.concatenate((self.codes, np.fromiter((c for x in found for c in x), self.dtype, sizes.sum()) if sizes.sum() else np.zeros(0, self.dtype)))
+            self.keys = np.insert(self.keys, place, hashes[new])
             at = np.searchsorted(self.keys, hashes)
         at = at[back]
         return self.codes[expand(self.starts[at], self.lengths[at])], self.lengths[at]

@@ -12,8 +12,9 @@ order; and the files' own totals give each document's place in the whole stream.
 Documents are range-partitioned by doc_id and sorted; each task encodes its
 range and writes it in batches, under a temporary name that is moved to the
 final one when complete, so a task that runs again replaces equal files. Words
-are encoded once a task (white space separates words in the tokenizer's own
-rules), and what the tokenizer returns for them is put together. Reading back,
+are encoded once a process as long as its bounded table holds them (white space
+separates words in the tokenizer's own rules), and what the tokenizer returns for
+them is put together. Reading back,
 each task opens files of its own.
 
 Defined cases: a null text has only the end id; rows that repeat a doc_id follow
@@ -39,11 +40,77 @@ from usagebook.llm.textvec import ASCII_SPACES, SpanTable, as_bytes, byte_mask,
 
 LENGTH = 2048
 END_ID = 1
-WORDS_KEPT = 500_000
+WORDS_KEPT = 1_000_000
 #: Sequences in a record batch.
 BATCH = 512
 
 _IS_WORD = ~byte_mask(ASCII_SPACES)
+_LETTER = byte_mask(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+class WordEncoder:
+    """A tokenizer of which a process keeps the ids of words met, for its later tasks too.
+
+    Words are cut after a letter before an ASCII character that is none, where
+    the tokenizer's pattern always cuts; so a word shares its ids whatever
+    follows it. New words are encoded many at a time, between separators that
+    are a token of their own; words that hold the separator go one by one.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ids_type = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.known = SpanTable(WORDS_KEPT, self.ids_type)
+        self.added = sorted(x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values())
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.separator = next((c for c in "7" if len(ids(c)) == 1 and ids(f"ab {c} cd") == ids("ab") + ids(c) + ids("cd")), None)
+        self.separator_id = ids(self.separator)[0] if self.separator else -1
+
+    def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's ids end."""
+        starts, ends, counts = words(buf, offsets, _IS_WORD)
+        if not len(starts):
+            return np.zeros(0, self.ids_type), np.zeros(len(counts), np.int64)
+        raw = buf.tobytes()
+        if not any(x in raw for x in self.added):  # an added token holds such a place
+            cut = np.flatnonzero(_LETTER[buf[:-1]] & ~_LETTER[buf[1:]] & (buf[1:] < 128) & _IS_WORD[buf[1:]]) + 1
+            first = np.zeros(len(buf) + 1, bool)
+            first[offsets] = True
+            cut = cut[~first[cut]]
+            counts = counts + np.diff(np.searchsorted(cut, offsets))
+            starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
+        ids, sizes = self.known.encode(buf, starts, ends, self._encode)
+        return ids, np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
+
+    def _encode(self, raw: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(raw)
+        texts = [w.decode("utf-8", "replace") for w in raw]
+        single = [k for k, t in enumerate(texts) if self.separator is None or self.separator in t or len(t) > 200 or "<" in t]
+        for k in single:
+            out[k] = self.tokenizer.encode(texts[k], add_special_tokens=False).ids
+        joined = sorted(set(range(len(texts))) - set(single))
+        for i in range(0, len(joined), 4096):
+            part = joined[i : i + 4096]
+            ids = self.tokenizer.encode(f" {self.separator} ".join(texts[k] for k in part), add_special_tokens=False).ids
+            cuts = np.flatnonzero(np.array(ids) == self.separator_id)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the tokenizer doesn't keep words apart")
+            begin, end = np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()
+            for k, b, e in zip(part, begin, end, strict=True):
+                out[k] = ids[b:e]
+        return out
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """This process's encoder for a tokenizer file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def default_tokenizer() -> str:
@@ -109,26 +176,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(model)
-        ids_type = np.dtype(np.uint16 if encoder.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.uint32)
-        known = SpanTable(WORDS_KEPT, ids_type)
+        encoder = word_encoder(model)
+        ids_type = np.dtype(np.uint32) if end_id >= 1 << 16 else encoder.ids_type
         part = TaskContext.get().partitionId()
         file = f"{folder}/part-{part:06d}.arrow"
         writer: Writer | None = None
-
-        def encode(raw: list[bytes]) -> list[list[int]]:
-            return [x.ids for x in encoder.encode_batch_fast([w.decode("utf-8", "replace") for w in raw], add_special_tokens=False)]
-
         for batch in batches:
             buf, offsets = as_bytes(batch.column(1))
             for i, j, b, o in chunks(buf, offsets):
                 writer = writer or Writer(file, ids_type, length)
-                starts, ends, counts = words(b, o, _IS_WORD)
-                ids, sizes = known.encode(b, starts, ends, encode) if len(starts) else (np.zeros(0, ids_type), np.zeros(0, np.int64))
-                cuts = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
-                writer.add(batch.column(0).slice(i, j - i), np.insert(ids, cuts, ids_type.type(end_id)), np.diff(np.concatenate(([0], cuts))) + 1)
+                ids, cuts = encoder.encode(b, o)
+                writer.add(batch.column(0).slice(i, j - i), np.insert(ids.astype(ids_type, copy=False), cuts, ids_type.type(end_id)), np.diff(np.concatenate(([0], cuts))) + 1)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "file": file, "n_tokens": writer.total}], pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_tokens", pa.int64())]))
