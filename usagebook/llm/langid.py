@@ -55,23 +55,22 @@ class ContextTrees:
         grams = {k: self._grams(b, o) for k, (b, o) in raw.items()}
         self._tabulate(grams)
 
-    def _grams(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Each byte's symbol and its contexts of 0 to ORDER bytes as numbers; before a text stand spaces."""
+    def _grams(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each byte's symbol and its context of ORDER bytes as a number, whose remainders are the shorter contexts; before a text stand spaces."""
         symbol = self.code[buf]
         starts = offsets[:-1][np.diff(offsets) > 0]
-        contexts, last, number, weight = [np.zeros(len(symbol), np.int32)], symbol, np.zeros(len(symbol), np.int32), 1
+        last, number, weight = symbol, np.zeros(len(symbol), np.int32), np.int32(1)
         for _ in range(ORDER):
             before = np.empty_like(last)
             before[1:] = last[:-1]
             if len(before):
                 before[starts] = self.code[32]
-            number = number + before * weight
-            weight *= self.size
-            contexts.append(number)
+            number += before * weight
+            weight *= np.int32(self.size)
             last = before
-        return symbol, contexts
+        return symbol, number
 
-    def _tabulate(self, grams: dict[str, tuple[np.ndarray, list[np.ndarray]]]) -> None:
+    def _tabulate(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         a, many = self.size, 256 - (self.size - 1)
         spread = np.ones(a)
         spread[0] = many  # the bytes that symbol 0 stands for
@@ -81,16 +80,16 @@ class ContextTrees:
         blocks: dict[str, list[np.ndarray]] = {k: [] for k in self.languages}
         first = 0
         for order in range(ORDER + 1):
-            met = np.unique(np.concatenate([c[order] for _, c in grams.values()])) if grams else np.zeros(1, np.int32)
+            met = np.unique(np.concatenate([np.unique(c % a**order) for _, c in grams.values()]))
             shorter = np.zeros(len(met), np.int64) if rows_before is None else np.searchsorted(rows_before, met % a ** max(0, order - 1))
-            for k, (symbol, contexts) in grams.items():
-                at = np.searchsorted(met, contexts[order])
+            for k, (symbol, context) in grams.items():
+                at = np.searchsorted(met, context % a**order)
                 counts = np.bincount(at * a + symbol, minlength=len(met) * a).reshape(len(met), a)
                 total, kinds, below = counts.sum(1), (counts > 0).sum(1), lower[k][shorter]
                 left = 1 - np.where(counts > 0, below * spread, 0).sum(1)
                 escape = np.divide(kinds, (total + kinds) * np.maximum(left, 1e-12), out=np.ones(len(met)), where=total > 0)
                 lower[k] = np.where(counts > 0, counts / np.maximum(total + kinds, 1)[:, None], below * escape[:, None])
-                blocks[k].append(lower[k])
+                blocks[k].append(np.log2(np.maximum(lower[k], 1e-300)).astype(np.float32).ravel())
             if order == 0:
                 longest[:] = 0
             else:
@@ -100,17 +99,17 @@ class ContextTrees:
             rows_before = met
             first += len(met)
         self.longest = longest
-        self.bits = np.stack([np.log2(np.maximum(np.concatenate(blocks[k]), 1e-300)).astype(np.float32).ravel() for k in self.languages], axis=1)
+        self.bits = [np.concatenate(blocks.pop(k)) for k in self.languages]
 
     def lengths(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Minus the code length in bits of each text in each language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         full = np.diff(offsets) > 0
         if full.any():
-            symbol, contexts = self._grams(buf, offsets)
-            at = self.longest[contexts[ORDER]].astype(np.int64) * self.size + symbol
+            symbol, context = self._grams(buf, offsets)
+            at = self.longest[context].astype(np.int64) * self.size + symbol
             for j in range(len(self.languages)):
-                out[full, j] = np.add.reduceat(self.bits[:, j][at], offsets[:-1][full], dtype=np.float64)
+                out[full, j] = np.add.reduceat(self.bits[j][at], offsets[:-1][full], dtype=np.float64)
         return out
 
 
