@@ -307,6 +307,9 @@ def test_coverage_and_health(spark, document, sf):
     lines = {r.check: r.status for r in coverage.health(o, pricing.unresolved_models(pricing.price(e, known)), catalog.catalog_issues(known)).collect()}
     assert lines["unresolved_models"] == "ok" and lines["catalog_issues"] == "ok"
     runs = spark.createDataFrame([(1, DAY), (2, None), (3, DAY)], "run_id long, completed_at timestamp")
+    warned = spark.createDataFrame([(1, "f", "old"), (2, "f", "fresh_one"), (2, None, "Bad Code!")], "run_id long, source_id string, code string")
+    counts = {(r.client, r.code): r.n for r in coverage.warning_counts(warned, spark.createDataFrame([("f", "claude_code")], "source_id string, client string")).collect()}
+    assert counts == {("claude_code", "fresh_one"): 1, (None, "unrecognised"): 1}
     assert [r.run_id for r in coverage.latest_runs(runs).orderBy("age").collect()] == [3, 1]
 
 

@@ -39,7 +39,10 @@ def query_coverage(coverage: DataFrame, matching: DataFrame, start: str, end: st
 
 def warning_counts(warnings: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Warnings of the latest run by client and code; one without a source keeps a null client."""
-    latest = warnings.withColumn("_run", F.max("run_id").over(Window.partitionBy())).where("run_id = _run") if "run_id" in warnings.columns else warnings
+    latest = warnings
+    if "run_id" in warnings.columns:
+        newest = warnings.agg(F.max("run_id").alias("_run"))  # one row
+        latest = warnings.join(F.broadcast(newest), F.col("run_id") == F.col("_run")).drop("_run")
     if sources is not None:
         latest = latest.join(sources.select("source_id", "client"), "source_id", "left")
     code = F.when(F.col("code").rlike("^[a-z0-9_]{1,64}$"), F.col("code")).otherwise("unrecognised")

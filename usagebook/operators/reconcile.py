@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagebook.functions.values import complete_sum, local_date, provider_name, small
@@ -45,7 +45,8 @@ def bucket_issues(buckets: DataFrame) -> DataFrame:
 
 def latest_imports(buckets: DataFrame) -> DataFrame:
     """Buckets of each source kind's latest import."""
-    return buckets.withColumn("_latest", F.max("import_id").over(Window.partitionBy("source_kind"))).where("import_id = _latest").drop("_latest")
+    newest = buckets.groupBy("source_kind").agg(F.max("import_id").alias("import_id"))
+    return buckets.join(small(newest), ["source_kind", "import_id"], "left_semi")
 
 
 def contained(buckets: DataFrame, start: str | None, end: str | None) -> DataFrame:
