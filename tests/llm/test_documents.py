@@ -155,7 +155,7 @@ def test_near_dedup_edges(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5100)]
     parent = {n: n for e in edges for n in e}
@@ -167,8 +167,12 @@ def test_components(spark):
 
     for a, b in edges:
         parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
-    assert {r.node: r.component for r in got} == {n: find(n) for n in parent}
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7).cache()
+    for share in (50, 100_000):
+        monkeypatch.setattr(components, "EDGES_PER_TASK", share)
+        got = components.connected_components(frame).collect()
+        assert {r.node: r.component for r in got} == {n: find(n) for n in parent}
+    assert components.connected_components(frame.where("1 = 0")).count() == 0
 
 
 def test_alignment_against_a_table():
@@ -293,7 +297,7 @@ def test_code_lengths_are_exact():
     spread = np.ones(a)
     spread[0] = 256 - (a - 1)
     for k in range(len(trees.languages)):
-        probabilities = np.exp2(trees.bits[:, k].astype(np.float64)).reshape(-1, a)
+        probabilities = np.exp2(trees.bits[k].astype(np.float64)).reshape(-1, a)
         assert np.allclose((probabilities * spread).sum(1), 1, atol=1e-5)
 
 
