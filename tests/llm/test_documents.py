@@ -147,6 +147,22 @@ def test_near_dedup_against_all_pairs(spark):
     assert all(r.n_shingles == len(sets[r.doc_id][0]) and r.kept == (r.component_id == r.doc_id) for r in got)
 
 
+def test_near_dedup_in_a_large_group(spark):
+    """Of hundreds of near copies some are similar enough to a few of the others only; none may be lost."""
+    rng = random.Random(21)
+    vocabulary = [f"v{k}" for k in range(500)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    rows = []
+    for k in range(420):
+        edited = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            edited[rng.randrange(len(edited))] = rng.choice(vocabulary)
+        rows.append((k, " ".join(edited)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want, _ = near_by_force(rows)
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_near_dedup_edges(docs, none):
     got = near_dedup.near_duplicates(docs).collect()
     assert len(got) == len(ROWS)
