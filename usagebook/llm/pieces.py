@@ -2,8 +2,9 @@
 
 A text is cut into marked words (a run of spaces, shown as U+2581, and what
 follows up to the next space); no piece of the vocabulary holds a mark after
-another character, so the cuts change nothing. Characters that no piece holds,
-such as line ends, stand alone. A task sorts the distinct words it meets and
+another character, so the cuts change nothing. Nor do cuts between two ASCII
+characters that no piece holds beside each other, or around characters that no
+piece holds, such as line ends. A task sorts the distinct words it meets and
 walks them depth-first as a trie: the forward state of a prefix is computed once
 for all words that begin with it.
 
@@ -15,7 +16,7 @@ beside it (merging the two pieces' characters gives the two pieces again). Since
 BPE never merges across a final boundary, exactly one path survives, and it is
 the tokenizer's own result.
 
-Words met are kept in a bounded table for the task's later texts. Nothing is
+Words met are kept in a bounded table for the process's later texts. Nothing is
 shuffled. Defined cases: a null or empty text has no ids; a character outside
 the vocabulary becomes its UTF-8 bytes (or the unknown id if the model has no
 byte pieces); U+2581 in a text decodes as a space, as in SentencePiece itself;
@@ -37,8 +38,10 @@ from usagebook.llm.shared import id_and_text, table
 from usagebook.llm.textvec import SpanTable, as_bytes, chunks, expand
 
 MARK = "▁"
-#: Distinct words that a task keeps.
-WORDS_KEPT = 600_000
+#: Distinct words that a process keeps.
+WORDS_KEPT = 400_000
+#: Pairs of pieces of which a task remembers whether they fit.
+FITS_KEPT = 300_000
 
 
 def default_model() -> str:
@@ -65,6 +68,14 @@ class Pieces:
         self.marked = len(sp.encode("a", out_type=str)[0]) > 1 or sp.encode("a", out_type=str)[0] == MARK
         held = set("".join(self.ids))
         self.alone = np.array([b < 128 and b != 32 and chr(b) not in held for b in range(256)])
+        # ASCII characters (and the mark) that stand beside each other in no piece: no piece crosses between them
+        self.apart = np.zeros((256, 256), bool)
+        self.apart[:128, :128] = True
+        for piece in self.ids:
+            for x, y in zip(piece, piece[1:], strict=False):
+                x, y = (32 if c == MARK else ord(c) for c in (x, y))
+                if x < 128 and y < 128:
+                    self.apart[x, y] = False
         # a byte-pair model ranks pieces by the order of their merges: scores step down by one
         plain = [self.scores[i] for i in sorted(self.scores) if self.scores[i] > -1e8]
         self.bpe = all(float(s).is_integer() for s in plain)
@@ -72,7 +83,7 @@ class Pieces:
         self.piece_lengths = np.array([len(x) for x in raw], np.int64)
         self.piece_starts = np.cumsum(self.piece_lengths) - self.piece_lengths
         self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """BPE by definition: join the neighbours whose piece scores highest, the leftmost first, until none can be joined."""
@@ -88,19 +99,19 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, before: str, piece: str) -> bool:
-        """Whether piece may follow before (empty at a word's start)."""
-        key = (before, piece)
+    def fits(self, before: int, piece: int, names: tuple[str, str]) -> bool:
+        """Whether a piece may follow the one before (names: both as text, the first empty at a word's start)."""
+        key = before * 2_000_003 + piece
         if (known := self._fits.get(key)) is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > FITS_KEPT:
                 self._fits.clear()
-            known = self._fits[key] = self.merged(before + piece) == [before, piece][not before :]
+            known = self._fits[key] = self.merged(names[0] + names[1]) == [*names][not names[0] :]
         return known
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
         """Ids of each word. In sorted order a word shares the states of the prefix it has in common with the one before."""
         get, fits, longest, scores, bpe = self.ids.get, self.fits, self.longest, self.scores, self.bpe
-        score, begin, last, ident = [0.0], [0], [""], [0]
+        score, begin, last, ident = [0.0], [0], [""], [-1]
         before, out = "", []
         for word in words:
             n = len(word)
@@ -117,13 +128,13 @@ class Pieces:
                     if found is None:
                         continue
                     if bpe:
-                        if fits(last[start], piece):
+                        if fits(ident[start], found, (last[start], piece)):
                             best, at, of, number = score[start] + scores[found], start, piece, found
                             break
                     elif (s := score[start] + scores[found]) > best:
                         best, at, of, number = s, start, piece, found
                 if number < 0:  # a character that is no piece
-                    best = score[at] - 1e6
+                    best, number = score[at] - 1e6, -2 - ord(of)
                 score.append(best)
                 begin.append(at)
                 last.append(of)
@@ -164,6 +175,7 @@ class Pieces:
         cut[:-1] = alone | (buf == 32)
         cut[1:-1] &= ~((buf[1:] == 32) & space[:-1])
         cut[1:] |= alone
+        cut[1:-1] |= self.apart[buf[:-1], buf[1:]]
         cut[offsets] = True
         starts = np.flatnonzero(cut[:-1])
         return buf, starts, np.append(starts[1:], len(buf)) if len(starts) else starts, np.diff(np.searchsorted(starts, offsets))
@@ -180,27 +192,30 @@ class Pieces:
         return out[~drop[:-1]], ends - np.concatenate(([0], np.cumsum(drop)))[ends]
 
 
+_KNOWN: dict[str, tuple[Pieces, SpanTable]] = {}
+
+
+def known_pieces(path: str) -> tuple[Pieces, SpanTable]:
+    """This process's vocabulary for a model file, and the words met with it."""
+    if path not in _KNOWN:
+        _KNOWN[path] = Pieces(path), SpanTable(WORDS_KEPT, np.int32)
+    return _KNOWN[path]
+
+
 def id_lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, pa.int32()))
 
 
-def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, ...) becomes (doc_id, ids, ...)."""
-    path = model or default_model()
-    fields = docs.schema.fields
-    schema = T.StructType([fields[0], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *fields[2:]])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, known = Pieces(path), SpanTable(WORDS_KEPT, np.int32)
-        for batch in batches:
-            buf, offsets = as_bytes(batch.column(1))
-            for i, j, b, o in chunks(buf, offsets):
-                b, starts, ends, counts = pieces.spans(b, o)
-                codes, sizes = known.encode(b, starts, ends, pieces.encode_words) if len(starts) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-                sums = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), id_lists(codes, np.diff(sums)), *(c.slice(i, j - i) for c in batch.columns[2:])], schema.names)
-
-    return docs.mapInArrow(encode, schema)
+    pieces, known = known_pieces(path)
+    for batch in batches:
+        for i, j, b, o in chunks(*as_bytes(batch.column(1))):
+            b, starts, ends, counts = pieces.spans(b, o)
+            codes, sizes = known.encode(b, starts, ends, pieces.encode_words) if len(starts) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            sums = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+            names = [batch.schema.names[0], "ids", *batch.schema.names[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), id_lists(codes, np.diff(sums)), *(c.slice(i, j - i) for c in batch.columns[2:])], names)
 
 
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,44 +223,58 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), counts
 
 
-def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """(doc_id, ids, ...) becomes (doc_id, text, ...)."""
-    path = model or default_model()
-    fields = encoded.schema.fields
-    schema = T.StructType([fields[0], T.StructField("text", T.StringType()), *fields[2:]])
+    pieces, _ = known_pieces(path)
+    for batch in batches:
+        out, offsets = pieces.decode(*_lists(batch.column(1)))
+        raw = out.tobytes()
+        texts = pa.array([raw[s:e].decode("utf-8", "replace") for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], [batch.schema.names[0], "text", *batch.schema.names[2:]])
+
+
+DIGESTS = ("n_tokens", "ids_crc32", "decoded_bytes", "decoded_crc32")
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
-        for batch in batches:
-            out, offsets = pieces.decode(*_lists(batch.column(1)))
-            raw = out.tobytes()
-            texts = pa.array([raw[s:e].decode("utf-8", "replace") for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], schema.names)
 
-    return encoded.mapInArrow(decode, schema)
+def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids, ...) becomes doc_id, the digests of the ids and of the text decoded from them, and the rest."""
+    pieces, _ = known_pieces(path)
+    crc = lambda v, at: pa.array([zlib.crc32(v[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
+    for batch in batches:
+        ids, counts = _lists(batch.column(1))
+        out, offsets = pieces.decode(ids, counts)
+        raw, wide, cuts = memoryview(out.tobytes()), memoryview(ids.astype("<u4").tobytes()), np.concatenate(([0], np.cumsum(counts))) * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), crc(wide, cuts), pa.array(np.diff(offsets)), crc(raw, offsets), *batch.columns[2:]], [batch.schema.names[0], *DIGESTS, *batch.schema.names[2:]])
 
 
-def digests(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, and from the ids decoded again decoded_bytes and decoded_crc32; then the other columns."""
+def _with_second(df: DataFrame, *fields: T.StructField) -> T.StructType:
+    """df's schema with other fields in the place of the second."""
+    return T.StructType([df.schema.fields[0], *fields, *df.schema.fields[2:]])
+
+
+_IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
+
+
+def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """(doc_id, text, ...) becomes (doc_id, ids, ...)."""
     path = model or default_model()
-    fields = encoded.schema.fields
-    added = [T.StructField(n, T.LongType()) for n in ("n_tokens", "ids_crc32", "decoded_bytes", "decoded_crc32")]
-    schema = T.StructType([fields[0], *added, *fields[2:]])
+    return docs.mapInArrow(lambda batches: _encoded(batches, path), _with_second(docs, _IDS))
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
-        for batch in batches:
-            ids, counts = _lists(batch.column(1))
-            out, offsets = pieces.decode(ids, counts)
-            raw, wide, cuts = memoryview(out.tobytes()), memoryview(ids.astype("<u4").tobytes()), np.concatenate(([0], np.cumsum(counts))) * 4
-            crc = lambda v, at: pa.array([zlib.crc32(v[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), crc(wide, cuts), pa.array(np.diff(offsets)), crc(raw, offsets), *batch.columns[2:]], schema.names)
 
-    return encoded.mapInArrow(digest, schema)
+def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
+    """(doc_id, ids, ...) becomes (doc_id, text, ...)."""
+    path = model or default_model()
+    return encoded.mapInArrow(lambda batches: _decoded(batches, path), _with_second(encoded, T.StructField("text", T.StringType())))
+
+
+def digest_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """Encodes (doc_id, text, ...), decodes the ids again, and gives doc_id, n_tokens, ids_crc32, decoded_bytes, decoded_crc32 and the other columns."""
+    path = model or default_model()
+    return docs.mapInArrow(lambda batches: _digests(_encoded(batches, path), path), _with_second(docs, *[T.StructField(n, T.LongType()) for n in DIGESTS]))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: its ids' number and crc32, the decoded text's bytes and crc32, and whether that is the text's own crc32."""
     docs = id_and_text(table(spark, sf_dir, "documents"))
-    found = digests(encode_documents(docs.withColumn("text_crc32", F.crc32(F.col("text").cast("binary")))))
+    found = digest_documents(docs.withColumn("text_crc32", F.crc32(F.col("text").cast("binary"))))
     return found.withColumn("round_trip", F.col("decoded_crc32") == F.col("text_crc32")).drop("text_crc32")
