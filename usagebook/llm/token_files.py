@@ -18,7 +18,7 @@ them is put together. Reading back,
 each task opens files of its own.
 
 Defined cases: a null text has only the end id; rows that repeat a doc_id follow
-each other, ordered by text; a null doc_id comes first; an empty table gives an
+each other, ordered by a hash of the text; a null doc_id comes first; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -191,7 +191,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "file": file, "n_tokens": writer.total}], pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_tokens", pa.int64())]))
 
-    ranged = id_and_text(docs, doc_id, text).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # boundaries are sampled: ids and hashes, not texts
+    ranged = id_and_text(docs, doc_id, text).repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     return stored(ranged.mapInArrow(write, "part int, file string, n_tokens long"), "token-files")
 
 
