@@ -163,6 +163,25 @@ def test_near_dedup_in_a_large_group(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_dedup_links_tight_groups(spark):
+    """Two groups of many near copies each, joined by one link of just over 0.8 between their first texts."""
+    rng = random.Random(31)
+    rows = []
+    for pair in range(6):
+        base = [f"p{pair}w{k}" for k in range(300)]
+        far = [f"q{pair}w{k}" if k % 36 == 20 else w for k, w in enumerate(base)]
+        for first in (base, far):
+            for k in range(41):
+                edited = list(first)
+                for at in rng.sample([x for x in range(300) if x % 36 == 4], 2 if k else 0):
+                    edited[at] = f"e{len(rows)}x{at}"
+                rows.append((len(rows), " ".join(edited)))
+    want, _ = near_by_force(rows)
+    assert len(set(want.values())) == 6
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_near_dedup_edges(docs, none):
     got = near_dedup.near_duplicates(docs).collect()
     assert len(got) == len(ROWS)

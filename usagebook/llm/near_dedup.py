@@ -18,7 +18,14 @@
    in each of ROUNDS rounds every component tests its link to the least other one,
    and then all pairs left between components are tested. What is tested is
    never limited; of a large group each row brings a bounded number of pairs.
-4. Confirmed links make components.
+4. What the forest left out is found exactly: of each class the prefix of its set's
+   rarest shingles that a similar set must meet (n - ceil(0.8 n) + 1 of n) is dealt
+   by shingle, and where a shingle's classes are of different components, all pairs
+   between these whose sizes, places and bitmaps leave room for a link are confirmed
+   on full sets. Rarity is counted on one text in SAMPLE; it and all constants above decide
+   the time only, as any order of shingles gives the same links. A shingle of very
+   many prefixes is compared in cells of about BLOCK classes a side.
+5. Confirmed links make components.
 
 Words are what lies between ASCII white space after lower-casing A-Z. Defined
 cases: fewer than four words make one shingle of all of them; without words (or
@@ -30,7 +37,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +61,8 @@ MATCHES = 38
 ROUNDS = 1
 #: Ids up to this many (16 MB) are broadcast to the scan that fetches their texts; beyond, Spark chooses the join.
 BROADCAST_IDS = 1_000_000
+#: One text in SAMPLE counts shingles, of which up to COMMON of the most frequent ones go last in the order of prefixes.
+SAMPLE, COMMON, BLOCK = 8, 250_000, 1024
 
 _IS_WORD = ~byte_mask(ASCII_SPACES)
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -189,6 +198,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets], ["id", "shingles"])
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        buf, offsets = as_bytes(batch.column(1))
+        for _, _, b, o in chunks(buf, offsets):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(b, o)[0].view(np.int64))], ["shingle"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(len(batch), bool)
@@ -231,17 +247,170 @@ def link_components(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return labels
 
 
+def _counted(shingles: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles found `least` times or more, in the order of their hashes, and how often; no more than the COMMON most frequent ones."""
+    counts = stored(shingles.groupBy("shingle").count().where(F.col("count") >= least), "counts")
+    kept = 0
+    for n, many in sorted((tuple(r) for r in counts.groupBy(F.least("count", F.lit(10_000)).alias("n")).count().collect()), reverse=True):
+        kept += many
+        if kept > COMMON:
+            least = n + 1
+            break
+    found = counts.where(F.col("count") >= least).toArrow()
+    hashes, n = found.column("shingle").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _looked_up(found: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each hash found; 0 for those that have none."""
+    if not len(hashes):
+        return np.zeros(len(found), np.int64)
+    at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+    return np.where(hashes[at] == found, values[at], 0)
+
+
+_ENTRIES = "shingle long, cell long, id long, component long, place int, size int"
+
+
+def _prefixes(common, heavy) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (id, component, text): the prefix of each set in the order of (frequency, hash); a shingle in heavy (hashes, blocks a side) once for each cell of its block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = common.value
+        wide, sides = heavy.value
+        for batch in batches:
+            ids, components = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            buf, offsets = as_bytes(batch.column(2))
+            for i, j, b, o in chunks(buf, offsets):
+                found, sizes = shingle_sets(b, o)
+                owner = np.repeat(np.arange(j - i), sizes)
+                order = np.argsort((owner << 32) + np.minimum(_looked_up(found, hashes, counts), 2**32 - 1), kind="stable")  # a text's hashes are sorted
+                place = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                keep = place < (sizes - (sizes * THRESHOLD + 99) // 100 + 1)[owner]
+                shingle, owner, place = found[order][keep], owner[keep], place[keep]
+                side = np.maximum(_looked_up(shingle, wide, sides), 1)
+                block = (mix(ids[i:j].astype(np.uint64))[owner] % side.astype(np.uint64)).astype(np.int64)
+                at = np.repeat(np.arange(len(shingle)), side)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(side) - side, side)
+                cell = np.minimum(block[at], other) * side[at] + np.maximum(block[at], other)
+                columns = shingle[at].view(np.int64), cell, ids[i:j][owner[at]], components[i:j][owner[at]], place[at].astype(np.int32), sizes[owner[at]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "cell", "id", "component", "place", "size"])
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From entries in the order of (shingle, cell): the pairs (a, b) of one cell and two components that may be similar."""
+    held: list[np.ndarray] = []
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        shingle, cell, ids, component, place, size = rows
+        begins = np.flatnonzero(np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (cell[1:] != cell[:-1]))))
+        mixed = np.minimum.reduceat(component, begins) != np.maximum.reduceat(component, begins)
+        lengths = np.diff(np.append(begins, len(ids)))
+        group = np.repeat(np.arange(len(begins)), lengths)[keep := np.repeat(mixed, lengths)]
+        ids, component, place, size = ids[keep], component[keep], place[keep].astype(np.int64), size[keep].astype(np.int64)
+        row, step, found, many = np.arange(len(ids)), 0, [], 0
+        while len(row):
+            step += 1
+            row = row[row + step < len(ids)]
+            row = row[group[row] == group[row + step]]
+            other = row + step
+            # at the first shingle that both have, they share no more than what either has from there on
+            room = np.minimum(size[row] - place[row], size[other] - place[other]) * (100 + THRESHOLD) >= (size[row] + size[other]) * THRESHOLD
+            near = room & (component[row] != component[other])
+            a, b = ids[row[near]], ids[other[near]]
+            found.append(np.stack((np.minimum(a, b), np.maximum(a, b))))
+            many += len(a)
+            if many > 500_000 or not len(row):
+                one = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(one[0]), pa.array(one[1])], ["a", "b"])
+                found, many = [], 0
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = [c.to_numpy() for c in batch.columns]
+        rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+        last = int(np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))[-1:].sum() + 1) if rows[0][0] != rows[0][-1] or rows[1][0] != rows[1][-1] else 0
+        held = [c[last:] for c in rows]
+        if last:
+            yield from pairs([c[:last] for c in rows])
+    if held:
+        yield from pairs(held)
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, size, bits): a bit for each residue of the set's hashes by a power of two of at least its size, set where their number is odd."""
+    for batch in batches:
+        buf, offsets = as_bytes(batch.column(1))
+        for i, j, b, o in chunks(buf, offsets):
+            found, sizes = shingle_sets(b, o)
+            width = 1 << np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64)
+            ends, owner = np.cumsum(width), np.repeat(np.arange(j - i), sizes)
+            at = (ends - width)[owner] + (found & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+            bits = np.packbits((np.bincount(at, minlength=ends[-1]) & 1).astype(np.uint8))
+            cuts = np.concatenate(([0], ends // 8)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(cuts), pa.py_buffer(bits)])], ["id", "size", "bits"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = batch.column(2).to_numpy()
+        odd = np.zeros(len(batch), np.int64)  # no more than the shingles that just one of the two has
+        for k, (x, y) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+            n = min(len(x), len(y))
+            odd[k] = np.bitwise_count(np.bitwise_xor.reduce(np.concatenate((x, y)).reshape(-1, n))).sum()
+        keep = odd * (100 + THRESHOLD) <= sizes * (100 - THRESHOLD)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+
+def possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The pairs (a, b) without those whose bitmaps differ in more places than a link's sets can."""
+    left, right = (bitmaps.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("size"), "bits_a", "bits_b")
+    return both.mapInArrow(_possible, "a long, b long").distinct()
+
+
+def with_remainder(texts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels (node, component), joined by all links between different components."""
+    spark = texts.sparkSession
+    heads = classes.where("id is not null").join(labels, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component")).distinct()
+    heads = stored(heads, "heads")
+    if heads.count() <= BROADCAST_IDS:
+        heads = F.broadcast(heads)
+    named = texts.join(heads, F.col("doc_id") == F.col("id")).select("id", "component", "text")
+    put = spark.sparkContext.broadcast
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sample = named.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
+    common = put(_counted(sample.select("id", "text").mapInArrow(_each, "shingle long"), 2))
+    hashes, counts = _counted(sample.mapInArrow(_prefixes(common, put(nothing)), _ENTRIES), max(2, BLOCK // SAMPLE))
+    heavy = put((hashes, -(-counts * SAMPLE // BLOCK)))
+    entries = named.mapInArrow(_prefixes(common, heavy), _ENTRIES).repartition("shingle", "cell").sortWithinPartitions("shingle", "cell")
+    pairs = stored(entries.mapInArrow(_meet, "a long, b long").distinct(), "remainder")
+    if pairs.isEmpty():
+        return labels
+    pairs = stored(possible(pairs, full_sets(texts, pairs, _bitmaps, "id long, size long, bits binary")), "possible")
+    links = stored(confirmed(pairs, full_sets(texts, pairs)), "links")
+    return connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
+def full_sets(texts: DataFrame, pairs: DataFrame, form=_sets, schema: str = "id long, shingles binary") -> DataFrame:
+    """(id, shingles) of the texts in pairs, or another form of their sets."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return stored(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(form, schema), "sets")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     texts = id_and_text(docs, doc_id, text)
     rows = stored(sketches(texts), "sketches")
     classes = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
     pairs = stored(candidates(classes.where("id is not null")), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = stored(ids, "ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = stored(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets, "id long, shingles binary"), "sets")
-    labels = link_components(pairs, sets)
+    labels = with_remainder(texts, classes, link_components(pairs, full_sets(texts, pairs)))
     named = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
     heads = classes.join(labels, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component"))
     return named.join(heads, "set_key", "left").select(
