@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from usagebook.llm import components, decontamination, exact_dedup, langid, near_dedup, pieces, sharding, token_files, toxicity
-from usagebook.llm.textvec import SpanTable, as_bytes, chunks
+from usagebook.llm import components, decontamination, exact_dedup, langid, near_dedup, pieces, sharding, textvec, token_files, toxicity
+from usagebook.llm.textvec import SpanTable, as_bytes, chunks, spans
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -379,12 +379,11 @@ def test_language_id(spark, docs, none, sf):
 
 def test_kernel_against_its_definition():
     def features(word):
-        out = collections.Counter()
+        out, word = collections.Counter(), "".join(c for c in word if c.isalnum())
         for i in range(len(word)):
             for j in range(i + 1, len(word)):
                 for k in range(j + 1, min(len(word), i + toxicity.SPAN)):
-                    if word[i].isalnum() and word[j].isalnum() and word[k].isalnum():
-                        out[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i - 2)
+                    out[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i - 2)
         return out
 
     def kernel(a, b):
@@ -394,13 +393,62 @@ def test_kernel_against_its_definition():
 
     names = ["idiot", "pathetic", "house"]
     marks = toxicity.Landmarks([n.encode() for n in names])
-    words = ["idiot", "i.d.i.o.t", "idddiot", "houses", "ab", "", "pat-hetic", "***", "xidiotx"]
-    block = np.concatenate([b for _, b in marks.kernels([w.encode() for w in words])])
+    words = ["idiot", "i.d.i.o.t", "idddiot", "houses", "ab", "", "pat-hetic", "***", "xidiotx", "i--d--i--o--t", "you.idiot", "sixteenlettersxx"]
+    block = all_kernels(marks, words)
     for i, w in enumerate(words):
         for j, n in enumerate(names):
             want = kernel(w, n)
             assert block[i, j] == pytest.approx(want, abs=1e-5) or (block[i, j] == 0 and want < toxicity.FLOOR)
-    assert min(block[1, 0], block[2, 0], block[6, 1]) > toxicity.FLOOR
+    assert min(block[1, 0], block[2, 0], block[6, 1]) > toxicity.FLOOR and block[9, 0] == pytest.approx(1)
+
+
+def all_kernels(marks, words):
+    """Each word's closest window's kernel with each landmark."""
+    block = np.zeros((len(words), len(marks.names)))
+    for unit, part in marks.kernels(*spans([w.encode() for w in words])):
+        np.maximum.at(block, unit, part)
+    return block
+
+
+def test_a_landmark_inside_a_long_run_counts_wherever_it_stands():
+    marks = toxicity.Landmarks([b"worthless", b"pathetic"])
+    rng = random.Random(2)
+    for n in (40, 300, 5000):
+        at = [0, 1, 7, 17, n // 2, n - 9, n]
+        runs = ["".join(rng.choice("qzjkv") for _ in range(a)) + "worthless" + "".join(rng.choice("qzjkv") for _ in range(n - a)) for a in at]
+        assert (all_kernels(marks, runs)[:, 0] > toxicity.FLOOR).all()
+        assert (all_kernels(marks, [r.replace("worthless", "") for r in runs]) == 0).all()
+
+
+def test_toxicity_training_is_bounded(spark, monkeypatch):
+    """By rows and bytes, however often a row repeats; a long text is taken whole."""
+    seen = []
+    monkeypatch.setattr(toxicity, "ToxicityModel", lambda texts, classes: seen.append((texts, classes)))
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 300_000)
+    rows = [(1, "again and again")] * 3000 + [(2, "long " * 40_000), (3, "short"), (4, None), (6, "")]
+    labels = spark.createDataFrame([(k, k % 2) for k in (1, 2, 3, 4, 6)] * 50, "doc_id long, toxic int")
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    texts, classes = seen[0]
+    assert sorted(texts, key=len) == ["short", "again and again", "long " * 40_000] and classes.sum() == 2
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 100_000)
+    toxicity.train(spark.createDataFrame([(k, f"{k} " * 500) for k in range(1000)], "doc_id long, text string"), spark.range(1000).selectExpr("id as doc_id", "int(id % 2) as toxic"))
+    assert 20_000 < sum(map(len, seen[1][0])) <= 100_000
+
+
+def test_words_that_share_a_hash_get_their_own_codes(monkeypatch):
+    real, calls = textvec.hash_spans, []
+
+    def poor(buf, starts, ends, salt=0):
+        calls.append(salt)
+        return real(buf, starts, ends, salt) if salt else np.full(len(starts), 5, np.uint64)
+
+    monkeypatch.setattr(textvec, "hash_spans", poor)
+    known = SpanTable(100, np.int64)
+    code = textvec.listed(lambda raw: [[int(x)] for x in raw], np.int64)
+    for words in (["7"], ["7", "7"], ["8"], ["9", "7", "8"]):
+        codes, sizes = known.encode(*spans([w.encode() for w in words]), code)
+        assert codes.tolist() == [int(w) for w in words] and set(sizes) == {1}
+    assert known.salt == 2 and 0 in calls
 
 
 def test_toxicity(spark, docs, none, sf):
@@ -426,7 +474,7 @@ def test_toxicity_held_out(spark):
     known = SpanTable(10_000, np.uint16)
     score = lambda ts: np.concatenate([model.scores(b, o, known) for _, _, b, o in chunks(*as_bytes(pa.array(ts)))])
     assert np.mean((score(texts[600:]) > 0.5) == np.array(marks[600:])) > 0.97
-    disguised = [" ".join([word() for _ in range(20)] + [b]) for b in ("i.d.i.o.t", "w-o-r-t-h-l-e-s-s", "i d i o t", "pathhetic", "idi_ot")]
+    disguised = [" ".join([word() for _ in range(20)] + [b]) for b in ("i.d.i.o.t", "w-o-r-t-h-l-e-s-s", "i d i o t", "pathhetic", "idi_ot", "i--d--i--o--t")]
     assert (score(disguised) > 0.5).all()
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usagebook.llm.shared import id_and_text, table
-from usagebook.llm.textvec import SpanTable, as_bytes, chunks, expand
+from usagebook.llm.textvec import SpanTable, as_bytes, chunks, expand, listed
 
 MARK = "▁"
 #: Distinct words that a process keeps.
@@ -212,7 +212,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     for batch in batches:
         for i, j, b, o in chunks(*as_bytes(batch.column(1))):
             b, starts, ends, counts = pieces.spans(b, o)
-            codes, sizes = known.encode(b, starts, ends, pieces.encode_words) if len(starts) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            codes, sizes = known.encode(b, starts, ends, listed(pieces.encode_words, np.int32)) if len(starts) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
             sums = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
             names = [batch.schema.names[0], "ids", *batch.schema.names[2:]]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), id_lists(codes, np.diff(sums)), *(c.slice(i, j - i) for c in batch.columns[2:])], names)

@@ -7,7 +7,7 @@ so no Python code runs per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ CHUNK_BYTES = 1 << 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_KEYS = np.random.Generator(np.random.PCG64(20240917)).integers(1, 2**64 - 1, 256, dtype=np.uint64) | np.uint64(1)
+_KEYS: dict[int, np.ndarray] = {}
 _POWERS: dict[str, np.ndarray] = {}
 
 ASCII_SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -90,11 +90,17 @@ def words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np
     return starts, ends, counts
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand."""
+def _keys(salt: int) -> np.ndarray:
+    if salt not in _KEYS:
+        _KEYS[salt] = np.random.Generator(np.random.PCG64(20240917 + salt)).integers(1, 2**64 - 1, 256, dtype=np.uint64) | np.uint64(1)
+    return _KEYS[salt]
+
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand. Other salts give other functions."""
     n = len(buf)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_KEYS[buf] * _powers("up", _BASE, n + 1)[:n], out=sums[1:])
+    np.cumsum(_keys(salt)[buf] * _powers("up", _BASE, n + 1)[:n], out=sums[1:])
     inverse = _powers("down", _INV, n + 1)
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
@@ -119,31 +125,64 @@ def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + skips
 
 
+def spans(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A buffer of byte strings, and their starts and ends in it."""
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    ends = np.cumsum(sizes)
+    return np.frombuffer(b"".join(raw), np.uint8), ends - sizes, ends
+
+
+#: Codes of spans of a buffer, one span after the other, and how many each span has.
+Encode = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def listed(encode: Callable[[list[bytes]], list], dtype: np.dtype) -> Encode:
+    """An encoder of spans from one of lists of byte strings."""
+
+    def run(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = buf.tobytes()
+        found = encode([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((c for x in found for c in x), dtype, sizes.sum()), sizes
+
+    return run
+
+
 class SpanTable:
-    """Codes of distinct words, kept for a task's later texts; it is emptied when it exceeds `limit` words, so its memory is bounded."""
+    """Codes of distinct words, kept for later texts; it is emptied when it exceeds `limit` words, so its memory is bounded.
+
+    Words are found by one 64-bit hash and verified by another. Where two words
+    share the first, the table starts anew with other hash functions.
+    """
 
     def __init__(self, limit: int, dtype: np.dtype):
-        self.limit, self.dtype = limit, dtype
+        self.limit, self.dtype, self.salt = limit, dtype, 0
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.starts, self.lengths, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.lengths, self.codes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
-    def encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all spans, one after the other, and how many each span has. encode(list of bytes) -> list of code arrays is called for words not met before."""
-        hashes, first, back = np.unique(hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
+    def encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Encode) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all spans, one after the other, and how many each span has. encode is called for words not met before."""
+        checks = hash_spans(buf, starts, ends, self.salt + 1)
+        hashes, first, back = np.unique(hash_spans(buf, starts, ends, self.salt), return_index=True, return_inverse=True)
         if len(self.keys) + len(hashes) > self.limit:
             self._clear()
         at = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
         new = self.keys[at] != hashes if len(self.keys) else np.ones(len(hashes), bool)
+        own = checks[first]
+        if (own[back] != checks).any() or (self.checks[at[~new]] != own[~new]).any():
+            self.salt += 2
+            self._clear()
+            return self.encode(buf, starts, ends, encode)
         if new.any():
-            raw = buf.tobytes()
-            found = encode([raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            codes, sizes = encode(buf, starts[first[new]], ends[first[new]])
             place = np.searchsorted(self.keys, hashes[new])
             self.starts = np.insert(self.starts, place, len(self.codes) + np.cumsum(sizes) - sizes)
             self.lengths = np.insert(self.lengths, place, sizes)
-            self.codes = np.concatenate((self.codes, np.fromiter((c for x in found for c in x), self.dtype, sizes.sum()) if sizes.sum() else np.zeros(0, self.dtype)))
+            self.codes = np.concatenate((self.codes, codes.astype(self.dtype, copy=False)))
+            self.checks = np.insert(self.checks, place, own[new])
             self.keys = np.insert(self.keys, place, hashes[new])
             at = np.searchsorted(self.keys, hashes)
         at = at[back]

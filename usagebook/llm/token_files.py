@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagebook.llm.shared import id_and_text, new_path, stored, table
-from usagebook.llm.textvec import ASCII_SPACES, SpanTable, as_bytes, byte_mask, chunks, words
+from usagebook.llm.textvec import ASCII_SPACES, SpanTable, as_bytes, byte_mask, chunks, listed, words
 
 LENGTH = 2048
 END_ID = 1
@@ -81,7 +81,7 @@ class WordEncoder:
             cut = cut[~first[cut]]
             counts = counts + np.diff(np.searchsorted(cut, offsets))
             starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
-        ids, sizes = self.known.encode(buf, starts, ends, self._encode)
+        ids, sizes = self.known.encode(buf, starts, ends, listed(self._encode, self.ids_type))
         return ids, np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
 
     def _encode(self, raw: list[bytes]) -> list[list[int]]:

@@ -2,22 +2,28 @@
 
 The unit is a word, or a run of words of one character (a spelled-out insult).
 The kernel of two units compares their subsequences of three letters that lie
-within SPAN characters; a subsequence weighs DECAY for each character skipped,
-and characters that are no letters or digits only count as skipped. The kernel
-is normalised, so gaps, separators and inserted characters cost little:
-`i.d.i.o.t` and `idddiot` stay close to `idiot`.
-
-Landmarks are units of the training sample: those that toxic texts hold far more
-often than others, and frequent ones of other texts. A text's kernel with a
-landmark is that of its closest unit, 0 below FLOOR. Nystrom features are the
-kernels with all landmarks times the inverse root of the landmarks' own kernel
-matrix; a linear SVM (squared hinge) separates them and a logistic curve maps its
-values to scores.
-
-Training uses a bounded sample: about TRAIN_DOCS labelled texts of at most
-MAX_TRAIN_BYTES each, drawn by a hash of doc_id. Scoring covers whole texts; a
-task keeps the kernels of distinct units in a bounded table. Nothing is shuffled
-but the join of the labels.
+within SPAN letters; a subsequence weighs DECAY for each letter skipped, and
+characters that are no letters or digits don't count at all. The kernel is
+normalised, so gaps, separators and inserted characters cost little:
+`i--d--i--o--t` is `idiot`, and `idddiot` stays close to it. A unit of more than
+LONG letters is looked at through windows of WINDOW letters, one every STEP
+letters to its end, each normalised by itself; so an insult inside a long run
+weighs the same wherever it stands and however long the run is.
+
+Landmarks are units of the training sample of at most LONG letters: those that
+toxic texts hold far more often than others, and frequent ones of other texts. A
+text's kernel with a landmark is that of its closest unit, 0 below FLOOR. Nystrom
+features are the kernels with all landmarks times the inverse root of the
+landmarks' own kernel matrix; a linear SVM (squared hinge) separates them and a
+logistic curve maps its values to scores.
+
+Training uses a bounded sample: the whole texts of about TRAIN_DOCS labelled ids,
+of which, where ids repeat or texts are long, a hash of id and text draws such a
+share that no more than about TRAIN_DOCS rows and TRAIN_BYTES in all come to the
+driver, equal rows once; a text is passed over only where it exceeds what is left
+of TRAIN_BYTES. Scoring covers whole texts. A worker process keeps the kernels of
+distinct units in a bounded table for all its tasks. Nothing is shuffled but the
+labels and the drawn rows.
 
 Defined cases: an empty or null text, or one without landmarks' relatives, gets
 the score of that; if nothing can be learned (no label, or only one class) every
@@ -28,6 +34,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +43,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagebook.llm.shared import id_and_text, table
-from usagebook.llm.textvec import ASCII_SPACES, SpanTable, as_bytes, byte_mask, chunks, expand, hash_spans, lower_ascii, words
+from usagebook.llm.textvec import ASCII_SPACES, SpanTable, as_bytes, byte_mask, chunks, expand, hash_spans, lower_ascii, spans, words
 
 SPAN = 5
 DECAY = 0.6
 FLOOR = 0.45
+LONG, WINDOW, STEP = 16, 12, 4
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 160, 80
 TRAIN_DOCS = 8000
-MAX_TRAIN_BYTES = 1 << 16
-#: Distinct units that a task keeps; units of more characters are looked at in parts of that many.
-UNITS_KEPT, UNIT_BYTES = 600_000, 256
+TRAIN_BYTES = 48 << 20
+#: Distinct units that a process keeps.
+UNITS_KEPT = 600_000
+#: Units whose kernels are computed at once.
+BLOCK = 1024
 
 _IS_WORD = ~byte_mask(ASCII_SPACES)
 #: Letters' codes: a-z, 0-9, and the bytes of other characters; 0 matches nothing.
@@ -54,11 +64,12 @@ _CODE[97:123] = np.arange(1, 27)
 _CODE[48:58] = np.arange(27, 37)
 _CODE[128:192] = np.arange(37, 101)
 _CODE[192:256] = 101 + np.arange(64) % 27
+_LETTERS = frozenset(np.flatnonzero(_CODE).tolist())
 _PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
 def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and counts of the units of lower-cased texts, long ones in parts."""
+    """Starts, ends and counts of the units of lower-cased texts."""
     starts, ends, counts = words(buf, offsets, _IS_WORD)
     if not len(starts):
         return starts, ends, counts
@@ -68,27 +79,32 @@ def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     joined[1:] = single[1:] & single[:-1] & (text[1:] == text[:-1])
     head = np.flatnonzero(~joined)
     starts, ends, text = starts[head], ends[np.append(head[1:], len(ends)) - 1], text[head]
-    parts = np.maximum(1, -(-(ends - starts) // UNIT_BYTES))
-    if (parts > 1).any():
-        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        last = np.repeat(ends, parts)
-        starts = np.repeat(starts, parts) + step * UNIT_BYTES
-        ends, text = np.minimum(starts + UNIT_BYTES + SPAN, last), np.repeat(text, parts)
     return starts, ends, np.bincount(text, minlength=len(counts))
 
 
-def subsequences(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit, subsequence and summed weight, each pair once, in the order of units."""
+def windows(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters' codes of the units' windows, one window after the other, each window's length, and its unit."""
     lengths = ends - starts
-    at, unit = expand(starts, lengths), np.repeat(np.arange(len(starts)), lengths)
-    stop = np.repeat(ends, lengths)
-    code = np.append(_CODE[buf], np.zeros(SPAN, np.int64))
+    code, unit = _CODE[buf[expand(starts, lengths)]], np.repeat(np.arange(len(starts)), lengths)
+    code, unit = code[code > 0], unit[code > 0]
+    letters = np.bincount(unit, minlength=len(starts))
+    parts = np.where(letters > LONG, -(-(letters - WINDOW) // STEP) + 1, 1)
+    owner = np.repeat(np.arange(len(starts)), parts)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    size = np.where(letters > LONG, WINDOW, letters)[owner]
+    first = (np.cumsum(letters) - letters)[owner] + np.minimum(step * STEP, letters[owner] - size)
+    return code[expand(first, size)], size, owner
+
+
+def subsequences(code: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window, subsequence and summed weight, each pair once, in the order of windows."""
+    window = np.repeat(np.arange(len(lengths)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(code))  # letters to the window's end
     keys, weights = [], []
     for a, b in _PATTERNS:
-        x, y, z = code[at], code[at + a], code[at + b]
-        good = (x > 0) & (y > 0) & (z > 0) & (at + b < stop)
-        keys.append((unit[good] << 21) | (x[good] << 14) | (y[good] << 7) | z[good])
-        weights.append(np.full(len(keys[-1]), DECAY ** (b - 2)))
+        at = np.flatnonzero(left > b)
+        keys.append((window[at] << 21) | (code[at] << 14) | (code[at + a] << 7) | code[at + b])
+        weights.append(np.full(len(at), DECAY ** (b - 2)))
     key, weight = np.concatenate(keys), np.concatenate(weights)
     order = np.argsort(key, kind="stable")
     key, weight = key[order], weight[order]
@@ -97,51 +113,50 @@ def subsequences(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
 
 
 class Landmarks:
-    """Landmark units and their normalised subsequence weights."""
+    """Landmark units and their normalised subsequence weights, by subsequence."""
 
     def __init__(self, names: list[bytes]):
         self.names = names
-        buf = np.frombuffer(b"".join(names), np.uint8)
-        ends = np.cumsum([len(x) for x in names])
-        unit, key, weight = subsequences(buf, ends - np.array([len(x) for x in names]), ends)
+        code, lengths, owner = windows(*spans(names))
+        if len(owner) != len(names):
+            raise ValueError(f"a landmark has more than {LONG} letters")
+        unit, key, weight = subsequences(code, lengths)
         norm = np.sqrt(np.bincount(unit, weight**2, len(names)))
-        seen, column = np.unique(key, return_inverse=True)
+        order = np.argsort(key, kind="stable")
+        seen, first = np.unique(key[order], return_index=True)
         self.column = np.full(1 << 21, -1, np.int32)
         self.column[seen] = np.arange(len(seen))
-        self.weights = np.zeros((len(seen), len(names)), np.float32)
-        self.weights[column, unit] = weight / norm[unit]
-
-    def kernels(self, raw: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-        """Blocks of the units' kernels with each landmark: the first unit, and a matrix."""
-        step = 4096
-        for i in range(0, len(raw), step):
-            part = raw[i : i + step]
-            buf = np.frombuffer(b"".join(part), np.uint8)
-            sizes = np.array([len(x) for x in part])
-            ends = np.cumsum(sizes)
-            unit, key, weight = subsequences(buf, ends - sizes, ends)
-            norm = np.sqrt(np.bincount(unit, weight**2, len(part)))
+        self.first, self.many = first, np.diff(np.append(first, len(key)))
+        self.landmark, self.weight = unit[order], (weight / norm[unit])[order]
+
+    def kernels(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of the units' windows: each window's unit, and its kernels with the landmarks (0 where no kernel can reach FLOOR)."""
+        many = len(self.names)
+        for i in range(0, len(starts), BLOCK):
+            code, lengths, owner = windows(buf, starts[i : i + BLOCK], ends[i : i + BLOCK])
+            unit, key, weight = subsequences(code, lengths)
+            norm = np.sqrt(np.bincount(unit, weight**2, len(owner)))
             column = self.column[key]
             hit = column >= 0
             unit, column, weight = unit[hit], column[hit], weight[hit] / norm[unit[hit]]
-            out = np.zeros((len(part), len(self.names)), np.float32)
-            # a unit's kernel with anything is at most the length of its part that landmarks share
-            shared = np.sqrt(np.bincount(unit, weight**2, len(part)))
-            near = shared[unit] >= FLOOR
+            # a window's kernel with anything is at most the length of its part that landmarks share
+            near = np.sqrt(np.bincount(unit, weight**2, len(owner)))[unit] >= FLOOR
             unit, column, weight = unit[near], column[near], weight[near]
-            if len(unit):
-                first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-                out[unit[first]] = np.add.reduceat(self.weights[column] * weight[:, None].astype(np.float32), first, axis=0)
-            yield i, out
-
-    def close_ones(self, raw: list[bytes]) -> list[np.ndarray]:
-        """For each unit the landmarks at FLOOR or above, each with its kernel in 1/255, as landmark * 256 + kernel."""
-        out: list[np.ndarray] = []
-        for _, block in self.kernels(raw):
+            rows, back = np.unique(unit, return_inverse=True)
+            uses = self.many[column]
+            at = expand(self.first[column], uses)
+            cell = np.repeat(back * many, uses) + self.landmark[at]
+            block = np.bincount(cell, np.repeat(weight, uses) * self.weight[at], len(rows) * many).reshape(-1, many)
+            yield i + owner[rows], block
+
+    def close_ones(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The landmarks that each unit has at FLOOR or above, each with its kernel in 1/255, as landmark * 256 + kernel; and how many they are."""
+        codes, sizes = [np.zeros(0, np.uint16)], np.zeros(len(starts), np.int64)
+        for unit, block in self.kernels(buf, starts, ends):
             row, landmark = np.nonzero(block >= FLOOR)
-            codes = (landmark * 256 + np.minimum(255, np.rint(block[row, landmark] * 255))).astype(np.uint16)
-            out += np.split(codes, np.searchsorted(row, np.arange(1, len(block))))
-        return out
+            codes.append((landmark * 256 + np.minimum(255, np.rint(block[row, landmark] * 255))).astype(np.uint16))
+            sizes += np.bincount(unit[row], minlength=len(starts))
+        return np.concatenate(codes), sizes
 
     def features(self, buf: np.ndarray, offsets: np.ndarray, known: SpanTable) -> np.ndarray:
         """Each text's kernels with the landmarks."""
@@ -160,13 +175,16 @@ class ToxicityModel:
 
     def __init__(self, texts: list[str], toxic: np.ndarray):
         self.landmarks: Landmarks | None = None
+        self.name = uuid.uuid4().hex
         self.share = float(toxic.mean()) if len(toxic) else 0.0
         if not 0 < self.share < 1 or not (names := self._choose(texts, toxic)):
             return
         self.landmarks = Landmarks(names)
         known = SpanTable(UNITS_KEPT, np.uint16)
         rows = [self.landmarks.features(b, o, known) for _, _, b, o in chunks(*as_bytes(pa.array(texts, pa.string())))]
-        own = np.concatenate([block for _, block in self.landmarks.kernels(names)]).astype(np.float64)
+        own = np.zeros((len(names), len(names)))
+        for unit, block in self.landmarks.kernels(*spans(names)):
+            own[unit] = block
         values, vectors = np.linalg.eigh((own + own.T) / 2)
         root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
         x, y = np.concatenate(rows).astype(np.float64) @ root, np.where(toxic, 1.0, -1.0)
@@ -187,14 +205,15 @@ class ToxicityModel:
             names |= {k: raw[s:e] for k, s, e in zip(found.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True)}
             hashes.append(h)
             owners.append(text)
-        pairs = np.unique(np.stack((np.concatenate(hashes), np.concatenate(owners).astype(np.uint64))), axis=1) if hashes else np.zeros((2, 0), np.uint64)
-        unit, where = np.unique(pairs[0], return_inverse=True)
-        bad = toxic[pairs[1].astype(np.int64)]
+        unit, where = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
+        where, owner = np.divmod(np.unique(where * len(texts) + np.concatenate([np.zeros(0, np.int64), *owners])), len(texts))
+        bad = toxic[owner]
         n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
         a, c = np.bincount(where[bad], minlength=len(unit)), np.bincount(where[~bad], minlength=len(unit))
         rate, p1, p0 = (a + c) / (n1 + n0), a / n1, c / n0
         gain = a * np.log(np.maximum(p1, 1e-12) / rate) + c * np.log(np.maximum(p0, 1e-12) / rate)
-        spoken = np.array([sum(_CODE[x] > 0 for x in set(names[h])) >= 3 and len(names[h]) <= 48 for h in unit.tolist()], bool)
+        distinct = [set(names[h]) & _LETTERS for h in unit.tolist()]
+        spoken = np.array([len(d) >= 3 and sum(x in _LETTERS for x in names[h]) <= LONG for d, h in zip(distinct, unit.tolist(), strict=True)], bool)
         marks = np.flatnonzero(spoken & (a >= 2) & (p1 > 3 * p0))
         marks = marks[np.lexsort((unit[marks], -gain[marks]))][:TOXIC_LANDMARKS]
         plain = np.flatnonzero(spoken & (p1 < 1.5 * p0))
@@ -233,13 +252,32 @@ class ToxicityModel:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> ToxicityModel:
     """A model from labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
-    marked = labels.select(labels[doc_id].cast("long").alias("id"), labels[toxic].cast("int").alias("toxic")).where("toxic in (0, 1) and crc32(cast(cast(id as string) as binary)) % 5 <> 0")
-    total = marked.count()
-    drawn = marked.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30) < TRAIN_DOCS / max(1, total)).distinct()
-    drawn = F.broadcast(drawn)  # about TRAIN_DOCS rows
-    rows = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("string").alias("text")).join(drawn, "id").where(f"octet_length(text) between 1 and {MAX_TRAIN_BYTES}")
-    found = sorted((r["id"], r["text"], r["toxic"]) for r in rows.select("id", "text", "toxic").toLocalIterator())
-    return ToxicityModel([t for _, t, _ in found], np.array([x == 1 for _, _, x in found], bool))
+    marked = labels.select(labels[doc_id].cast("long").alias("id"), labels[toxic].cast("int").alias("toxic")).where("toxic in (0, 1) and crc32(cast(cast(id as string) as binary)) % 5 <> 0").distinct()
+    draw = lambda *by: F.pmod(F.xxhash64(*by, F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.broadcast(marked.where(draw("id") < TRAIN_DOCS / max(1, marked.count())))  # about TRAIN_DOCS rows
+    rows = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("string").alias("text")).where("octet_length(text) > 0").join(drawn, "id")
+    number, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(TRAIN_DOCS / max(1, number), TRAIN_BYTES / max(1, size))
+    drawn = rows.where(draw("id", "text") < share).distinct().orderBy(F.xxhash64("id", "text"), "toxic")
+    texts, classes, left = [], [], TRAIN_BYTES
+    for r in drawn.select("text", "toxic").toLocalIterator():
+        if (size := len(r["text"].encode())) <= left:
+            left -= size
+            texts.append(r["text"])
+            classes.append(r["toxic"] == 1)
+    return ToxicityModel(texts, np.array(classes, bool))
+
+
+#: This process's units by model.
+_KNOWN: dict[str, SpanTable] = {}
+
+
+def known_units(model: ToxicityModel) -> SpanTable:
+    """The table that this process keeps for a model, the last one used."""
+    if model.name not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[model.name] = SpanTable(UNITS_KEPT, np.uint16)
+    return _KNOWN[model.name]
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,7 +285,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = shared.value, SpanTable(UNITS_KEPT, np.uint16)
+        own = shared.value
+        known = known_units(own)
         for batch in batches:
             out = [own.scores(b, o, known) for _, _, b, o in chunks(*as_bytes(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *out]))], ["doc_id", "score"])
