@@ -64,7 +64,6 @@ _CODE[97:123] = np.arange(1, 27)
 _CODE[48:58] = np.arange(27, 37)
 _CODE[128:192] = np.arange(37, 101)
 _CODE[192:256] = 101 + np.arange(64) % 27
-_LETTERS = frozenset(np.flatnonzero(_CODE).tolist())
 _PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
@@ -96,6 +95,16 @@ def windows(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return code[expand(first, size)], size, owner
 
 
+def spoken(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether units have three different letters or more, and no more than LONG."""
+    code = np.append(_CODE[buf], 0)
+    total = np.append(0, np.cumsum(code > 0))
+    letters = total[ends] - total[starts]
+    bits = np.where(code > 0, np.uint64(1) << (code & 63).astype(np.uint64), np.uint64(0))
+    kinds = np.bitwise_or.reduceat(bits, np.stack((starts, ends), 1).ravel())[::2] if len(starts) else bits[:0]
+    return (letters <= LONG) & (np.bitwise_count(kinds) >= 3)
+
+
 def subsequences(code: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Window, subsequence and summed weight, each pair once, in the order of windows."""
     window = np.repeat(np.arange(len(lengths)), lengths)
@@ -195,30 +204,40 @@ class ToxicityModel:
     @staticmethod
     def _choose(texts: list[str], toxic: np.ndarray) -> list[bytes]:
         """Units that mark toxic texts, by the log-likelihood ratio of their counts of texts, and frequent units of the others."""
-        hashes, owners, names = [], [], {}
-        for i, _, b, o in chunks(*as_bytes(pa.array(texts, pa.string()))):
+        column = pa.array(texts, pa.string())
+        unit, counts = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
+        for i, j, b, o in chunks(*as_bytes(column)):
             b = lower_ascii(b)
-            starts, ends, counts = units(b, o)
-            h, text = hash_spans(b, starts, ends), np.repeat(np.arange(len(counts)), counts) + i
-            raw = b.tobytes()
-            found, first = np.unique(h, return_index=True)
-            names |= {k: raw[s:e] for k, s, e in zip(found.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True)}
-            hashes.append(h)
-            owners.append(text)
-        unit, where = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
-        where, owner = np.divmod(np.unique(where * len(texts) + np.concatenate([np.zeros(0, np.int64), *owners])), len(texts))
-        bad = toxic[owner]
+            starts, ends, many = units(b, o)
+            found, first, back = np.unique(hash_spans(b, starts, ends), return_index=True, return_inverse=True)
+            which, text = np.divmod(np.unique(back * (j - i) + np.repeat(np.arange(j - i), many)), j - i)
+            of = np.bincount(which * 2 + toxic[i + text], minlength=2 * len(found)).reshape(-1, 2)
+            good = spoken(b, starts[first], ends[first])
+            unit, place = np.unique(np.concatenate((unit, found[good])), return_inverse=True)
+            summed = np.zeros((len(unit), 2), np.int64)
+            np.add.at(summed, place, np.concatenate((counts, of[good])))
+            counts = summed
+        c, a = counts.T
         n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-        a, c = np.bincount(where[bad], minlength=len(unit)), np.bincount(where[~bad], minlength=len(unit))
         rate, p1, p0 = (a + c) / (n1 + n0), a / n1, c / n0
         gain = a * np.log(np.maximum(p1, 1e-12) / rate) + c * np.log(np.maximum(p0, 1e-12) / rate)
-        distinct = [set(names[h]) & _LETTERS for h in unit.tolist()]
-        spoken = np.array([len(d) >= 3 and sum(x in _LETTERS for x in names[h]) <= LONG for d, h in zip(distinct, unit.tolist(), strict=True)], bool)
-        marks = np.flatnonzero(spoken & (a >= 2) & (p1 > 3 * p0))
+        marks = np.flatnonzero((a >= 2) & (p1 > 3 * p0))
         marks = marks[np.lexsort((unit[marks], -gain[marks]))][:TOXIC_LANDMARKS]
-        plain = np.flatnonzero(spoken & (p1 < 1.5 * p0))
+        plain = np.flatnonzero(p1 < 1.5 * p0)
         plain = plain[np.lexsort((unit[plain], -c[plain]))][:OTHER_LANDMARKS]
-        return [names[h] for h in unit[np.concatenate((marks, plain))].tolist()] if len(marks) else []
+        if not len(marks):
+            return []
+        names: dict[int, bytes] = {}
+        chosen = unit[np.concatenate((marks, plain))]
+        for _, _, b, o in chunks(*as_bytes(column)):
+            b = lower_ascii(b)
+            starts, ends, _ = units(b, o)
+            h = hash_spans(b, starts, ends)
+            at = np.flatnonzero(np.isin(h, chosen))
+            found, first = np.unique(h[at], return_index=True)
+            for k, e in zip(found.tolist(), at[first].tolist(), strict=True):
+                names.setdefault(k, b[starts[e] : ends[e]].tobytes())
+        return [names[h] for h in chosen.tolist()]
 
     @staticmethod
     def _svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
