@@ -97,11 +97,11 @@ def windows(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 def spoken(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Whether units have three different letters or more, and no more than LONG."""
-    code = np.append(_CODE[buf], 0)
-    total = np.append(0, np.cumsum(code > 0))
-    letters = total[ends] - total[starts]
-    bits = np.where(code > 0, np.uint64(1) << (code & 63).astype(np.uint64), np.uint64(0))
-    kinds = np.bitwise_or.reduceat(bits, np.stack((starts, ends), 1).ravel())[::2] if len(starts) else bits[:0]
+    if not len(starts):
+        return np.zeros(0, bool)
+    code, first = _CODE[buf[expand(starts, ends - starts)]], np.cumsum(ends - starts) - (ends - starts)
+    letters = np.add.reduceat(code > 0, first, dtype=np.int64)
+    kinds = np.bitwise_or.reduceat(np.where(code > 0, np.uint64(1) << (code & 63).astype(np.uint64), np.uint64(0)), first)
     return (letters <= LONG) & (np.bitwise_count(kinds) >= 3)
 
 
@@ -214,9 +214,8 @@ class ToxicityModel:
             of = np.bincount(which * 2 + toxic[i + text], minlength=2 * len(found)).reshape(-1, 2)
             good = spoken(b, starts[first], ends[first])
             unit, place = np.unique(np.concatenate((unit, found[good])), return_inverse=True)
-            summed = np.zeros((len(unit), 2), np.int64)
-            np.add.at(summed, place, np.concatenate((counts, of[good])))
-            counts = summed
+            both = np.concatenate((counts, of[good]))
+            counts = np.stack([np.bincount(place, both[:, k], len(unit)).astype(np.int64) for k in (0, 1)], 1)
         c, a = counts.T
         n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
         rate, p1, p0 = (a + c) / (n1 + n0), a / n1, c / n0
