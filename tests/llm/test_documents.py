@@ -484,3 +484,75 @@ def test_exact_dedup_sql(spark, docs):
     want = sorted(con.execute(exact_dedup.SQL).fetchall(), key=repr)
     got = sorted([(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(docs).collect()], key=repr)
     assert got == want
+
+
+def components_by_products(rows):
+    """Component ids by the products of all pairs' sets, for tables that are too large for near_by_force."""
+    sets, columns = [], {}
+    for _, text in rows:
+        w = (text or "").split()
+        sets.append({columns.setdefault(tuple(w[k : k + 4]), len(columns)) for k in range(len(w) - 3)})
+    matrix = np.zeros((len(rows), len(columns)), np.float32)
+    for k, own in enumerate(sets):
+        matrix[k, list(own)] = 1
+    both, size = matrix @ matrix.T, matrix.sum(1)
+    linked = 100 * both >= 80 * (size[:, None] + size[None] - both)
+    label = np.arange(len(rows))
+    while True:
+        least = np.array([label[linked[k]].min() for k in range(len(rows))])
+        if (least == label).all():
+            return {rows[k][0]: rows[v][0] for k, v in enumerate(label)}
+        label = least
+
+
+def crowded(rng, one, three, size=120):
+    """A text; copies with a word of the first half replaced; copies with words of the second half replaced, far apart, which only the text itself is similar enough to."""
+    base = [f"c{rng.randrange(10**9)}" for _ in range(size)]
+    out = [base]
+    for many, places in ((one, lambda: [rng.randrange(size // 2)]), (three, lambda: [size // 2 + k * size // 6 + rng.randrange(size // 12) for k in range(3)])):
+        for _ in range(many):
+            copy = list(base)
+            for at in places():
+                copy[at] = f"n{rng.randrange(10**9)}"
+            out.append(copy)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize(("seed", "tables"), [(1, [(2000, 200, 120)]), (2, [(60, 60, 60), (500, 40, 200), (30, 300, 90)]), (3, [(0, 700, 140), (250, 250, 66)])])
+def test_no_link_is_crowded_out(spark, seed, tables):
+    rng = random.Random(seed)
+    texts = [t for one, three, size in tables for t in crowded(rng, one, three, size)]
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    want = components_by_products(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_remainder_finds_every_link_without_the_forest(spark, monkeypatch):
+    """Whatever the forest leaves out, the components are the same; shingles of many texts are compared in several cells."""
+    rng = random.Random(17)
+    texts = [t for size in (40, 90) for t in crowded(rng, 60, 30, size)] + [f"{k} {k} {k} short text {k}" for k in range(50)]
+    rows = list(enumerate(texts))
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(near_dedup, "candidates", lambda classes: none)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == components_by_products(rows)
+
+
+def test_leaves_hold_a_bounded_number_of_rows():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 3, (4000, near_dedup.SKETCH)).astype(np.uint8), axis=0)
+    differ = keys[1:] != keys[:-1]
+    leaf = near_dedup.leaves(np.concatenate(([0], differ.argmax(1))), near_dedup.SKETCH)
+    assert (leaf >= 0).all() and np.unique(leaf, return_counts=True)[1].max() <= near_dedup.LEAF
+    assert (near_dedup.leaves(np.full(200, near_dedup.SKETCH), near_dedup.SKETCH) == -1).all()
+
+
+def test_distinct_documents(spark):
+    """A row without id goes where a row with one has the same set; other rows without id stay."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(4, text, "a"), (9, text + " more", "b"), (None, text.upper() + " ", "c"), (None, "some other words that stand alone", "d"), (None, None, "e"), (5, "x y z q r", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string")
+    kept = near_dedup.distinct_documents(docs)
+    assert kept.columns == docs.columns and sorted(r.text_hash for r in kept.collect()) == ["a", "d", "e", "f"]

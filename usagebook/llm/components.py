@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from usagebook.llm.shared import stored
 
-MAX_ROUNDS = 40
+#: Rounds after which the work ends with an error; their number grows with the square of the logarithm of the longest path at most.
+MAX_ROUNDS = 100
 #: Edges that a task reduces to a forest; up to so many need no further step.
 EDGES_PER_TASK = 50_000
 
@@ -63,5 +64,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"the components are not settled after {MAX_ROUNDS} rounds")
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return nodes.join(stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")), "node", "left").select("node", F.coalesce("b", "node").alias("component"))

@@ -5,33 +5,30 @@
    bytes, one for each min-hash. Texts of equal sets are one class, which its
    least doc_id stands for; only those go on.
 2. The forest has TREES orders of the sketches, each a rotation of the bytes.
-   Each order is range-partitioned and sorted; a row's candidates are its
-   neighbours, up to REACH on each side, that share a prefix of at least DEPTH
-   bytes and agree in MATCHES bytes or more. Next rows in an order share the
-   longest prefixes, so where documents are many and alike (a dense region) the
-   depth that a candidate needs grows by itself, and elsewhere it stays shallow.
-   In a dense region a row also takes, of the WIDE rows on each side, the CLOSEST
-   ones that its sketch agrees with most. Rows beside a partition's ends are
-   compared in a second, small pass.
-3. Candidates are confirmed on full sets: 100 * intersection >= 80 * union. Pairs
-   whose texts are already connected by confirmed links need no confirmation, so
-   in each of ROUNDS rounds every component tests its link to the least other one,
-   and then all pairs left between components are tested. What is tested is
-   never limited; of a large group each row brings a bounded number of pairs.
-4. What the forest left out is found exactly: of each class the prefix of its set's
-   rarest shingles that a similar set must meet (n - ceil(0.8 n) + 1 of n) is dealt
-   by shingle, and where a shingle's classes are of different components, all pairs
-   between these whose sizes, places and bitmaps leave room for a link are confirmed
-   on full sets. Rarity is counted on one text in SAMPLE; it and all constants above decide
-   the time only, as any order of shingles gives the same links. A shingle of very
-   many prefixes is compared in cells of about BLOCK classes a side.
+   Each order is range-partitioned and sorted. A region of rows that share a
+   prefix is divided by one more byte until it holds at most LEAF rows, so the
+   depth adapts to each region and a row meets at most LEAF others in an order,
+   however many documents there are. Its candidates are the rows next to it,
+   which have the longest common prefixes, and of its leaf the row that its sketch
+   agrees with most, and the most alike of those before it, so that the alike rows
+   of a leaf hang together; all agree in MATCHES bytes or more.
+3. Candidates are confirmed on full sets: 100 * intersection >= 80 * union.
+4. What the forest left out (at the ends of leaves and partitions, or by chance) is
+   found exactly: of each class the prefix of its set's rarest shingles that a
+   similar set must meet (n - ceil(0.8 n) + 1 of n) is dealt by shingle, and where
+   a shingle's classes are of different components, all pairs between these whose
+   sizes, places and bitmaps leave room for a link are confirmed on full sets.
+   Rarity is counted over all texts; as any order of shingles gives the same
+   links, it and all constants above decide the time only. A shingle of very many
+   prefixes is compared in cells of about BLOCK classes a side.
 5. Confirmed links make components.
 
 Words are what lies between ASCII white space after lower-casing A-Z. Defined
 cases: fewer than four words make one shingle of all of them; without words (or
 text) the set is empty, links with nothing and is its own component; equal sets
-are always linked, equal texts the more so; rows that repeat a doc_id are one
-node; a null doc_id joins its class, and alone has a null component; an empty
+are always linked, equal texts the more so; shingles are told apart by 64-bit
+hashes, in full sets too; rows that repeat a doc_id are one node; a null doc_id joins the class of its set, and where no row of that set has
+an id it is compared with nothing, has a null component and stays; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -52,17 +49,16 @@ SHINGLE = 4
 THRESHOLD = 80  # per cent
 SKETCH = 64
 TREES = 16
-REACH = 1
-#: Rows on each side among which a row of a dense region also takes its CLOSEST most similar ones; and rows beside a partition's end.
-WIDE, CLOSEST, EDGE = 1024, 24, 64
-DEPTH = 2
+#: Bytes that two rows of an order must share at least, and the rows of a region that is not divided further.
+DEPTH, LEAF = 2, 32
+#: Rows of a region that a task holds until the region ends.
+HELD = 1 << 16
 #: At a similarity of 0.8 a sketch agrees in 51 of 64 bytes on average, with a deviation of 3.2.
 MATCHES = 38
-ROUNDS = 1
-#: Ids up to this many (16 MB) are broadcast to the scan that fetches their texts; beyond, Spark chooses the join.
+#: Rows up to which a side (of 16 bytes a row) is broadcast; beyond, Spark chooses the join.
 BROADCAST_IDS = 1_000_000
-#: One text in SAMPLE counts shingles, of which up to COMMON of the most frequent ones go last in the order of prefixes.
-SAMPLE, COMMON, BLOCK = 8, 250_000, 1024
+#: Shingles in a range that is counted at once; the most frequent shingles, up to COMMON, go last in the order of prefixes.
+RANGE, COMMON, BLOCK = 1 << 21, 250_000, 1024
 
 _IS_WORD = ~byte_mask(ASCII_SPACES)
 _RNG = np.random.Generator(np.random.PCG64(7))
@@ -112,80 +108,90 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(SKETCH):
                     least = np.minimum.reduceat((found * _MULTIPLY[k] + _ADD[k]) >> np.uint64(16), begins)
                     bytes_[full, k] = (mix(least) >> np.uint64(24)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), fixed(keys.view(np.uint8).reshape(j - i, 16)), fixed(bytes_)], ["doc_id", "n_shingles", "set_key", "sketch"])
+            made = [pa.array(sizes, pa.int64()), fixed(keys.view(np.uint8).reshape(j - i, 16)), fixed(bytes_)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *made, batch.column(2).slice(i, j - i)], ["doc_id", "n_shingles", "set_key", "sketch", "text_hash"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key, sketch of each row of (doc_id, text)."""
-    return docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, sketch binary")
+    """doc_id, n_shingles, set_key, sketch, text_hash of each row of (doc_id, text, text_hash)."""
+    return docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, sketch binary, text_hash long")
+
+
+def leaves(common: np.ndarray, width: int) -> np.ndarray:
+    """The leaf of each row of an order, -1 for rows of more than LEAF equal keys. common: the bytes that a row shares with the one before."""
+    leaf, base = np.full(len(common), -1, np.int64), 0
+    for depth in range(DEPTH, width + 1):
+        region = np.cumsum(common < depth)
+        small = (leaf < 0) & (np.bincount(region)[region] <= LEAF)
+        leaf[small] = base + region[small]
+        base += len(common) + 1
+        if (leaf >= 0).all():
+            break
+    return leaf
+
+
+def neighbours(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs a < b of rows in the order of their sketches, each pair once."""
+    n = len(ids)
+    differ = keys[1:] != keys[:-1]
+    common = np.concatenate(([0], np.where(differ.any(1), differ.argmax(1), SKETCH))) if n else np.zeros(0, np.int64)
+    leaf = leaves(common, SKETCH)
+    best, partner = np.full((2, n), MATCHES - 1, np.int64), np.zeros((2, n), np.int64)  # of all rows of the leaf, and of those before
+    beside = np.flatnonzero(common[1:] >= DEPTH)
+    beside = beside[(keys[beside] == keys[beside + 1]).sum(1) >= MATCHES]
+    rows, others = [beside], [beside + 1]
+    for step in range(1, LEAF):
+        near = np.flatnonzero((leaf[step:] == leaf[:-step]) & (leaf[step:] >= 0))
+        if not len(near):
+            break
+        agree = (keys[near] == keys[near + step]).sum(1)
+        near, agree = near[agree >= MATCHES], agree[agree >= MATCHES]
+        for k, row, other in ((0, near, near + step), (0, near + step, near), (1, near + step, near)):
+            better = agree > best[k, row]
+            best[k, row[better]], partner[k, row[better]] = agree[better], other[better]
+    for k in (0, 1):
+        row = np.flatnonzero(best[k] >= MATCHES)
+        rows.append(row)
+        others.append(partner[k, row])
+    a, b = ids[np.concatenate(rows)], ids[np.concatenate(others)]
+    one = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)))[:, a != b], axis=1)
+    return one[0], one[1]
 
 
-_PAIRS = "a long, b long, agree int, id long, key binary"
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a, b) of rows (tree, id, sketch) in the order of (tree, sketch)."""
+    ids, keys, last = np.zeros(0, np.int64), np.zeros((0, SKETCH), np.uint8), None
 
+    def pairs(ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in neighbours(ids, keys)], ["a", "b"])
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b, agree) of rows (id, key) in key order; then the first and last EDGE rows as (id, key)."""
-    held_ids, held = np.zeros(0, np.int64), np.zeros((0, SKETCH + 1), np.uint8)
-    first: tuple[np.ndarray, np.ndarray] | None = None
-
-    def out(a, b, agree, ids, keys):
-        none = len(a)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((x, np.zeros(len(ids), x.dtype))), kind, mask=np.arange(none + len(ids)) >= none) for x, kind in ((a, pa.int64()), (b, pa.int64()), (agree, pa.int32()))]
-            + [pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(ids, pa.int64())]), pa.concat_arrays([pa.nulls(none, pa.binary()), fixed(keys)])],
-            ["a", "b", "agree", "id", "key"],
-        )
-
-    nothing = np.zeros(0, np.int64)
     for batch in batches:
-        if not len(batch):
-            continue
-        ids = np.concatenate((held_ids, batch.column(0).to_numpy()))
-        buf, _ = as_bytes(batch.column(1))
-        keys = np.concatenate((held, buf.reshape(len(batch), SKETCH + 1)))
-        if first is None:
-            first = ids[:EDGE].copy(), keys[:EDGE].copy()
-        region = np.zeros(len(ids), np.int64)  # rows of one region share the tree and a prefix of DEPTH bytes
-        region[1:] = np.cumsum((keys[1:, : DEPTH + 1] != keys[:-1, : DEPTH + 1]).any(1))
-        found, best = [], np.full((len(ids), CLOSEST), MATCHES - 1, np.int32)
-        partner = np.zeros((len(ids), CLOSEST), np.int64)
-        for step in range(1, min(WIDE, len(ids) - 1) + 1):
-            near = np.flatnonzero(region[step:] == region[:-step])
-            if not len(near):
-                break
-            near = near[near + step >= len(held_ids)]
-            agree = (keys[near] == keys[near + step]).sum(1).astype(np.int32) - 1
-            good = (agree >= MATCHES) & (ids[near] != ids[near + step])
-            near, agree = near[good], agree[good]
-            if step <= REACH:
-                found.append((np.minimum(ids[near], ids[near + step]), np.maximum(ids[near], ids[near + step]), agree))
-            for row, other in ((near, near + step), (near + step, near)):
-                slot = best[row].argmin(1)
-                better = agree > best[row, slot]
-                best[row[better], slot[better]], partner[row[better], slot[better]] = agree[better], other[better]
-        row, slot = np.nonzero(best >= MATCHES)
-        if len(row):
-            other = partner[row, slot]
-            found.append((np.minimum(ids[row], ids[other]), np.maximum(ids[row], ids[other]), best[row, slot]))
-        if found:
-            a, b, agree = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield out(a, b, agree, nothing, np.zeros((0, SKETCH + 1), np.uint8))
-        held_ids, held = ids[-WIDE:], keys[-WIDE:]
-    if first is not None:
-        yield out(nothing, nothing, nothing.astype(np.int32), np.concatenate((first[0], held_ids[-EDGE:])), np.concatenate((first[1], held[-EDGE:])))
+        trees = batch.column(0).to_numpy()
+        for tree in np.unique(trees):
+            at = np.flatnonzero(trees == tree)
+            if tree != last and len(ids):
+                yield pairs(ids, keys)
+                ids, keys = ids[:0], keys[:0]
+            last = tree
+            ids = np.concatenate((ids, batch.column(1).to_numpy()[at]))
+            keys = np.concatenate((keys, as_bytes(batch.column(2))[0].reshape(-1, SKETCH)[at]))
+            # the last region may go on in the next batch
+            region = int((keys[:, :DEPTH] != keys[-1, :DEPTH]).any(1).sum())
+            done = len(ids) if len(ids) - region > HELD else region
+            if done:
+                yield pairs(ids[:done], keys[:done])
+                ids, keys = ids[done:], keys[done:]
+    if len(ids):
+        yield pairs(ids, keys)
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, agree) with a < b: the forest's candidates among (id, sketch)."""
-    spark = classes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """(a, b) with a < b: the forest's candidates among (id, sketch)."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     step = SKETCH // TREES
-    orders = F.explode(F.array(*[F.concat(F.unhex(F.lit(f"{t:02x}")), F.expr(f"substring(sketch, {t * step + 1})"), F.expr(f"substring(sketch, 1, {t * step})")) for t in range(TREES)]))
-    ordered = classes.select("id", orders.alias("key")).repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
-    found = stored(ordered.mapInArrow(_neighbours, _PAIRS), "forest")
-    edges = found.where("id is not null").select("id", "key").distinct().repartition(1).sortWithinPartitions("key", "id")  # 2 * EDGE rows a partition
-    across = edges.mapInArrow(_neighbours, _PAIRS)
-    return found.union(across).where("a is not null").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    orders = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.concat(F.expr(f"substring(sketch, {t * step + 1})"), F.expr(f"substring(sketch, 1, {t * step})")).alias("key")) for t in range(TREES)]))
+    ordered = classes.select("id", orders.alias("of")).select("of.tree", "id", "of.key").repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    return ordered.mapInArrow(_neighbours, "a long, b long").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +204,37 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets], ["id", "shingles"])
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, offsets = as_bytes(batch.column(1))
-        for _, _, b, o in chunks(buf, offsets):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(b, o)[0].view(np.int64))], ["shingle"])
+def _counts(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (id, text): the shingles of a chunk of texts in ascending order, and in how many of its texts each is, by ranges of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, b, o in chunks(*as_bytes(batch.column(1))):
+                found, n = np.unique(shingle_sets(b, o)[0], return_counts=True)
+                own = (found >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1])))
+                cuts = np.append(first, len(own)).astype(np.int32)
+                packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts * np.int32(x.itemsize)), pa.py_buffer(x)]) for x in (found, n.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array(own[first].astype(np.int64)), *packed], ["range", "shingles", "counts"])
+
+    return run
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """A range's shingles that are in two texts or more, and in how many."""
+    shingle, n = (np.frombuffer(as_bytes(group.column(c))[0], kind) for c, kind in (("shingles", np.uint64), ("counts", np.uint32)))
+    order = np.argsort(shingle)
+    shingle = shingle[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(shingle)), bool), shingle[1:] != shingle[:-1])))
+    total = np.add.reduceat(n[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+    keep = total > 1
+    return pa.table({"shingle": shingle[first[keep]].view(np.int64), "n": total[keep]})
+
+
+def shingle_counts(texts: DataFrame, total: int) -> DataFrame:
+    """(shingle, n): the shingles of two texts or more of (doc_id, text), whose sets have `total` elements in all."""
+    dealt = texts.mapInArrow(_counts(max(1, -(-total // RANGE))), "range long, shingles binary, counts binary")
+    return dealt.groupBy("range").applyInArrow(_summed, "shingle long, n long")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,42 +254,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(_confirm, "a long, b long")
 
 
-def link_components(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, component) of the links that candidate pairs turn out to be."""
-    left = pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    for k in range(ROUNDS + 1):
-        if k == ROUNDS:
-            tested = left
-        else:
-            sides = left.select(F.greatest("ca", "cb").alias("c"), F.struct(F.least("ca", "cb"), "a", "b").alias("to"))
-            tested = stored(sides.groupBy("c").agg(F.min("to").alias("to")).select("to.a", "to.b"), "tested")
-        found = stored(confirmed(tested, sets), "links")
-        links = found if links is None else links.union(found)
-        labels = stored(connected_components(links), "labels")
-        if k == ROUNDS:
-            break
-        left = left.join(tested, ["a", "b"], "left_anti").select("a", "b")
-        for side in ("a", "b"):
-            left = left.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-        left = stored(left.select("a", "b", "ca", "cb").where("ca <> cb"), "pairs")
-        if left.isEmpty():
-            break
-    return labels
-
-
-def _counted(shingles: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles found `least` times or more, in the order of their hashes, and how often; no more than the COMMON most frequent ones."""
-    counts = stored(shingles.groupBy("shingle").count().where(F.col("count") >= least), "counts")
-    kept = 0
-    for n, many in sorted((tuple(r) for r in counts.groupBy(F.least("count", F.lit(10_000)).alias("n")).count().collect()), reverse=True):
+def frequent(counts: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of (shingle, n), no more than `most`, in the order of their hashes, and their n."""
+    least, kept = 0, 0
+    for n, many in sorted((tuple(r) for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()), reverse=True):
         kept += many
-        if kept > COMMON:
+        if kept > most:
             least = n + 1
             break
-    found = counts.where(F.col("count") >= least).toArrow()
-    hashes, n = found.column("shingle").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    found = counts.where(F.col("n") >= least).toArrow()
+    hashes, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(hashes)
     return hashes[order], n[order]
 
@@ -270,15 +276,14 @@ def _looked_up(found: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> np.
     return np.where(hashes[at] == found, values[at], 0)
 
 
-_ENTRIES = "shingle long, cell long, id long, component long, place int, size int"
+_ENTRIES = "shingle long, id long, component long, place int, size int"
 
 
-def _prefixes(common, heavy) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (id, component, text): the prefix of each set in the order of (frequency, hash); a shingle in heavy (hashes, blocks a side) once for each cell of its block."""
+def _prefixes(common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (id, component, text): the prefix of each set in the order of (frequency, hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = common.value
-        wide, sides = heavy.value
         for batch in batches:
             ids, components = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             buf, offsets = as_bytes(batch.column(2))
@@ -289,17 +294,22 @@ def _prefixes(common, heavy) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 place = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 keep = place < (sizes - (sizes * THRESHOLD + 99) // 100 + 1)[owner]
                 shingle, owner, place = found[order][keep], owner[keep], place[keep]
-                side = np.maximum(_looked_up(shingle, wide, sides), 1)
-                block = (mix(ids[i:j].astype(np.uint64))[owner] % side.astype(np.uint64)).astype(np.int64)
-                at = np.repeat(np.arange(len(shingle)), side)
-                other = np.arange(len(at)) - np.repeat(np.cumsum(side) - side, side)
-                cell = np.minimum(block[at], other) * side[at] + np.maximum(block[at], other)
-                columns = shingle[at].view(np.int64), cell, ids[i:j][owner[at]], components[i:j][owner[at]], place[at].astype(np.int32), sizes[owner[at]].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "cell", "id", "component", "place", "size"])
+                columns = shingle.view(np.int64), ids[i:j][owner], components[i:j][owner], place.astype(np.int32), sizes[owner].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "id", "component", "place", "size"])
 
     return run
 
 
+def in_cells(entries: DataFrame) -> DataFrame:
+    """(shingle, cell, id, component, place, size): the entries of a shingle in blocks of about BLOCK, each entry once for every cell of its block and another, so that any two share a cell."""
+    heavy = stored(entries.groupBy("shingle").count().where(F.col("count") > BLOCK).select("shingle", F.ceil(F.col("count") / BLOCK).alias("side")), "heavy")
+    if heavy.count() <= BROADCAST_IDS:
+        heavy = F.broadcast(heavy)
+    dealt = entries.join(heavy, "shingle", "left").withColumn("side", F.coalesce("side", F.lit(1).cast("long")))
+    dealt = dealt.withColumns({"block": F.pmod(F.xxhash64("id"), "side"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1))})
+    return dealt.select("shingle", (F.least("block", "other") * F.col("side") + F.greatest("block", "other")).alias("cell"), "id", "component", "place", "size")
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From entries in the order of (shingle, cell): the pairs (a, b) of one cell and two components that may be similar."""
     held: list[np.ndarray] = []
@@ -374,22 +384,17 @@ def possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     return both.mapInArrow(_possible, "a long, b long").distinct()
 
 
-def with_remainder(texts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels (node, component), joined by all links between different components."""
-    spark = texts.sparkSession
+def with_remainder(texts: DataFrame, classes: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """labels (node, component), joined by all links between different components. total: the elements of all sets."""
     heads = classes.where("id is not null").join(labels, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component")).distinct()
     heads = stored(heads, "heads")
     if heads.count() <= BROADCAST_IDS:
         heads = F.broadcast(heads)
     named = texts.join(heads, F.col("doc_id") == F.col("id")).select("id", "component", "text")
-    put = spark.sparkContext.broadcast
-    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    sample = named.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
-    common = put(_counted(sample.select("id", "text").mapInArrow(_each, "shingle long"), 2))
-    hashes, counts = _counted(sample.mapInArrow(_prefixes(common, put(nothing)), _ENTRIES), max(2, BLOCK // SAMPLE))
-    heavy = put((hashes, -(-counts * SAMPLE // BLOCK)))
-    entries = named.mapInArrow(_prefixes(common, heavy), _ENTRIES).repartition("shingle", "cell").sortWithinPartitions("shingle", "cell")
-    pairs = stored(entries.mapInArrow(_meet, "a long, b long").distinct(), "remainder")
+    common = texts.sparkSession.sparkContext.broadcast(frequent(stored(shingle_counts(texts, total), "counts")))
+    entries = stored(named.mapInArrow(_prefixes(common), _ENTRIES), "entries")
+    dealt = in_cells(entries).repartition("shingle", "cell").sortWithinPartitions("shingle", "cell")
+    pairs = stored(dealt.mapInArrow(_meet, "a long, b long").distinct(), "remainder")
     if pairs.isEmpty():
         return labels
     pairs = stored(possible(pairs, full_sets(texts, pairs, _bitmaps, "id long, size long, bits binary")), "possible")
@@ -405,18 +410,28 @@ def full_sets(texts: DataFrame, pairs: DataFrame, form=_sets, schema: str = "id
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
+    """doc_id, n_shingles, component_id, kept, text_hash: one row for each row of docs."""
     texts = id_and_text(docs, doc_id, text)
-    rows = stored(sketches(texts), "sketches")
+    rows = stored(sketches(texts.withColumn("text_hash", F.xxhash64("text"))), "sketches")
     classes = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
     pairs = stored(candidates(classes.where("id is not null")), "pairs")
-    labels = with_remainder(texts, classes, link_components(pairs, full_sets(texts, pairs)))
-    named = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
-    heads = classes.join(labels, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    return named.join(heads, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept")
-    )
+    links = stored(confirmed(pairs, full_sets(texts, pairs)), "links")
+    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    labels = with_remainder(texts, classes, stored(connected_components(links), "labels"), total)
+    heads = stored(classes.join(labels, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component")), "components")
+    # both sides of this join are plain shuffles, so that adaptive execution divides a large group of equal sets; empty sets don't take part
+    named = rows.where("n_shingles > 0").join(heads, "set_key", "left").select("doc_id", "n_shingles", "component", "text_hash")
+    every = named.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long"), "text_hash"))
+    component = F.coalesce("component", "doc_id")
+    return every.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, without those whose component has a smaller doc_id."""
+    gone = near_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    same = docs[doc_id].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == F.col("_gone_hash"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
