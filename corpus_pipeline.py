@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from usagebook.llm.decontamination import clean_documents
 from usagebook.llm.exact_dedup import exact_groups, normalised
 from usagebook.llm.langid import identified_documents, train
-from usagebook.llm.near_dedup import near_duplicates
+from usagebook.llm.near_dedup import distinct_documents
 from usagebook.llm.pieces import encode_documents
 from usagebook.llm.shared import id_and_text, stored, table
 
@@ -36,8 +36,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies keeps the document with the least doc_id."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    return distinct_documents(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
