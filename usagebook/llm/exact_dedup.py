@@ -58,8 +58,13 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     made = stored(recipes(id_and_text(docs, doc_id, text)), "recipes")
     verified = chunk_dictionary(made).where("least <> greatest").isEmpty()
     listed = made.select("doc_id", "text_sha256", F.size("recipe").alias("n_chunks"), F.col("recipe.id" if verified else "recipe.digest").alias("chunk_ids"))
-    groups = listed.groupBy("chunk_ids").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return listed.join(groups, "chunk_ids").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chunks")
+    groups = listed.groupBy("chunk_ids").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    # stored, so that both sides of the join are plain shuffles and adaptive execution divides the rows of a large group
+    found = listed.join(stored(groups, "groups"), "chunk_ids", "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "n_chunks"
+    )
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
