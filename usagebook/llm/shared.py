@@ -22,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def full_uri(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark resolves it, so that workers write where Spark's readers look."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toString()
+    return f"file://{found[5:]}" if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

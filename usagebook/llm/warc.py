@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagebook.llm.shared import new_path, stored, table
+from usagebook.llm.shared import full_uri, new_path, stored, table
 from usagebook.shipping import ship
 
 MIN_REVISIT = 1000
@@ -40,6 +40,8 @@ SPLIT = 8 << 20
 #: Bytes read at a time.
 READ = 1 << 20
 LEVEL = 4
+#: Repeated payloads (of about 60 bytes a row) up to which no page is shuffled to find what it revisits; beyond, Spark joins by digest.
+BROADCAST_HEADS = 500_000
 DATE = "1970-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
 _ID = "urn:page:"
@@ -79,14 +81,20 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows = pages.select(pages[page_id].cast("long").alias("page_id"), F.coalesce(pages[url].cast("string"), F.lit("")).alias("url"), body.alias("payload"), F.sha1(body).alias("digest"))
     large = F.octet_length("payload") >= MIN_REVISIT
     heads = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1 and head is not null")
-    joined = rows.join(heads.select(F.col("digest").alias("_digest"), "head"), F.when(large, F.col("digest")) == F.col("_digest"), "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to"))
+    heads = stored(heads.select(F.col("digest").alias("_digest"), "head"), "warc-heads")
+    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to")
+    if heads.count() <= BROADCAST_HEADS:
+        joined = rows.join(F.broadcast(heads), F.when(large, F.col("digest")) == F.col("_digest"), "left")
+        return joined.select(*rows.columns, refers_to)
+    # both sides are plain shuffles, so that adaptive execution divides the rows of a large group; small pages don't take part
+    joined = rows.where(large).join(heads, F.col("digest") == F.col("_digest"), "left").select(*rows.columns, refers_to)
+    return joined.union(rows.where(~large).select("*", F.lit(None).cast("long")))
 
 
 def write_warc(pages: DataFrame, path: str, date: str = DATE, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes the files and returns (file, size)."""
     ship(pages.sparkSession)
-    folder = path.rstrip("/")
+    folder = full_uri(pages.sparkSession, path.rstrip("/"))
     system, local = _open(folder)
     system.create_dir(local, recursive=True)
 
