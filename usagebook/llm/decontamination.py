@@ -16,8 +16,10 @@ No document is shuffled. Items go to the tasks in blocks of at most BLOCK_BYTES
 of text; a larger benchmark takes several scans.
 
 Words are runs of letters, digits and non-ASCII characters, without case (A-Z and
-Latin-1). Defined cases: a null or empty text holds nothing; items of fewer than
-MIN_WORDS words are too common to look for and are never reported; items that
+Latin-1). Defined cases: a null or empty text holds nothing; an item of fewer than
+MIN_WORDS words has too few seeds to align, so a text holds it where all its words
+stand in a row (score 1), which is reported, but as such a phrase is common it
+doesn't make a text unclean; an item without words is never reported; items that
 repeat are each reported; null ids are passed on; rows that repeat are each
 reported; empty tables give an empty result; other columns are ignored.
 """
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from usagebook.llm.shared import id_and_text, table
 from usagebook.llm.textvec import as_bytes, byte_mask, chunks, expand, hash_spans, ngrams, words
+from usagebook.shipping import ship
 
 SEED = 3
 MIN_WORDS = 5
@@ -68,6 +71,14 @@ class Items:
         self.at, self.owner = ngrams(self.words, self.counts, SEED)[1], owners
         long_enough = self.counts[owners[self.at]] >= MIN_WORDS if len(self.at) else np.zeros(0, bool)
         self._index(self.at[long_enough])
+        #: For each number of words below MIN_WORDS its items' whole phrases in ascending order, and whose they are.
+        self.phrases: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in range(1, MIN_WORDS):
+            grams, at = ngrams(self.words, self.counts, k)
+            own = self.counts[owners[at]] == k
+            if own.any():
+                order = np.argsort(grams[own], kind="stable")
+                self.phrases[k] = grams[own][order], owners[at[own]][order]
 
     def _index(self, at: np.ndarray) -> None:
         """Takes the seeds that begin at these words."""
@@ -161,8 +172,21 @@ def _windows(items: Items, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.n
     return text, item, low, high - low
 
 
-def contaminated(buf: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
-    """Text, item, score, and the passage's first and last byte for each item that a text of the chunk holds."""
+def phrases(hashes: np.ndarray, counts: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
+    """Text, item, first word and end word of the first place of each short item in each text of the chunk."""
+    found = []
+    texts = np.repeat(np.arange(len(counts)), counts)
+    for k, (known, owner) in items.phrases.items():
+        grams, at = ngrams(hashes, counts, k)
+        low, high = np.searchsorted(known, grams), np.searchsorted(known, grams, side="right")
+        at, item = np.repeat(at, high - low), owner[expand(low, high - low)]
+        first = np.unique(texts[at] * len(items.ids) + item, return_index=True)[1]
+        found.append((texts[at[first]], item[first], at[first], at[first] + k))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+
+
+def contaminated(buf: np.ndarray, offsets: np.ndarray, items: Items, short: bool = True) -> tuple[np.ndarray, ...]:
+    """Text, item, score, and the passage's first and last byte for each item that a text of the chunk holds; without short only items of MIN_WORDS words or more."""
     hashes, starts, ends, counts = word_hashes(buf, offsets)
     text, item, low, length = _windows(items, hashes, counts)
     score, begin, end = np.zeros(len(text)), np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
@@ -187,7 +211,11 @@ def contaminated(buf: np.ndarray, offsets: np.ndarray, items: Items) -> tuple[np
     new = np.ones(len(good), bool)
     new[1:] = (text[good][1:] != text[good][:-1]) | (item[good][1:] != item[good][:-1])
     good = good[new]
-    return text[good], item[good], score[good], starts[begin[good]], ends[end[good] - 1]
+    out = text[good], item[good], score[good], starts[begin[good]], ends[end[good] - 1]
+    if short:
+        text, item, first, last = phrases(hashes, counts, items)
+        out = tuple(np.concatenate(x) for x in zip(out, (text, item, np.ones(len(text)), starts[first], ends[last - 1]), strict=True))
+    return out
 
 
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Items]:
@@ -251,17 +279,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     return found
 
 
+def texts_of(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, text) where no id is needed."""
+    ship(docs.sparkSession)
+    return docs.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs whose text holds no item, with all their columns."""
+    """The rows of docs whose text holds no item of MIN_WORDS words or more, with all their columns, of any types and in any order."""
     spark, at = docs.sparkSession, docs.columns.index(text)
     for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(rare_seeds(id_and_text(docs, docs.columns[0], text), items))
+        shared = spark.sparkContext.broadcast(rare_seeds(texts_of(docs, text), items))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 good = np.ones(len(batch), bool)
                 for i, _, b, o in chunks(*as_bytes(batch.column(at))):
-                    good[i + contaminated(b, o, shared.value)[0]] = False
+                    good[i + contaminated(b, o, shared.value, short=False)[0]] = False
                 yield batch.filter(pa.array(good))
 
         docs = docs.mapInArrow(keep, docs.schema)
