@@ -58,7 +58,7 @@ MATCHES = 38
 #: Rows up to which a side (of 16 bytes a row) is broadcast; beyond, Spark chooses the join.
 BROADCAST_IDS = 1_000_000
 #: Shingles in a range that is counted at once; the most frequent shingles, up to COMMON, go last in the order of prefixes.
-RANGE, COMMON, BLOCK = 1 << 21, 250_000, 1024
+RANGE, COMMON, BLOCK = 1 << 19, 250_000, 1024
 
 _IS_WORD = ~byte_mask(ASCII_SPACES)
 _RNG = np.random.Generator(np.random.PCG64(7))
