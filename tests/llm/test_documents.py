@@ -556,3 +556,45 @@ def test_distinct_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string")
     kept = near_dedup.distinct_documents(docs)
     assert kept.columns == docs.columns and sorted(r.text_hash for r in kept.collect()) == ["a", "d", "e", "f"]
+
+
+def test_short_items_are_found_whole(spark):
+    benchmark = spark.createDataFrame([(1, "Paris"), (2, "red green"), (3, "one two three four"), (4, "..."), (5, "red green")], "item_id long, text string")
+    rows = [("a", 1, "to PARIS, then paris"), ("b", 2, "parisian reds; red\ngreen"), ("c", 3, "one two three, four!"), ("d", 4, "one two three and four"), ("e", 5, None)]
+    docs = spark.createDataFrame(rows, "name string, doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.score, r.passage) for r in decontamination.find_contamination(docs, benchmark).collect()}
+    assert got == {(1, 1, 1.0, "PARIS"), (2, 2, 1.0, "red\ngreen"), (2, 5, 1.0, "red\ngreen"), (3, 3, 1.0, "one two three, four")}
+    assert [r.name for r in decontamination.clean_documents(docs, benchmark).collect()] == list("abcde")  # the first column needs to be no id
+
+
+def test_contamination_against_alignment_of_all_pairs(spark):
+    """Every document against every item, aligned over the whole text without seeds."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 6)))
+    items = [[word() for _ in range(rng.randint(8, 30))] for _ in range(8)]
+    rows = []
+    for k in range(60):
+        w = [word() for _ in range(rng.randint(20, 80))]
+        if k % 2:
+            own = list(rng.choice(items))
+            for _ in range(rng.randint(0, len(own) // 4)):
+                own[rng.randrange(len(own))] = word()
+            w[10:10] = own
+        rows.append((k, w))
+    want = set()
+    for k, w in rows:
+        for i, item in enumerate(items):
+            code = {x: n for n, x in enumerate({*w, *item}, 1)}
+            pad = lambda x: np.array([[code[y] for y in x]], np.uint64)
+            score = decontamination.align(pad(item), np.array([len(item)]), pad(w), np.array([len(w)]))[0][0]
+            if score / (2 * len(item)) >= decontamination.MIN_SCORE:
+                want.add((k, i))
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_contamination(docs, benchmark).collect()} == want and len(want) > 20
+
+
+def test_sharding_of_many_equal_rows(spark):
+    rows = [(None, "")] * 2000 + [(k, f"text {k}") for k in range(500)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    shards_hold(got, rows, 16)

@@ -44,6 +44,13 @@ def test_warc_round_trip(spark, pages, tmp_path):
     assert whole.count(b"WARC/1.1\r\n") == len(PAGES) and b"\r\nX: y" not in whole
 
 
+def test_warc_revisits_by_a_join(spark, pages, tmp_path, monkeypatch):
+    """The records are the same where repeated payloads are too many to broadcast."""
+    want = sorted(warc.with_revisits(pages).collect(), key=repr)
+    monkeypatch.setattr(warc, "BROADCAST_HEADS", 0)
+    assert sorted(warc.with_revisits(pages).collect(), key=repr) == want
+
+
 def test_ranges_own_each_record_once():
     rng = random.Random(9)
     payloads = [bytes(rng.randrange(32, 127) for _ in range(rng.randint(0, 400))) for _ in range(60)]

@@ -1,9 +1,10 @@
 """Sharding by sampled splitters (DataFrame functions only).
 
 Law `bytes`: shards have sizes near equal, any two differing by less than two
-rows' sizes. Records are ordered by (hash of the text, hash of doc_id), so equal
-texts stand together and a group of copies that exceeds a shard is divided by
-doc_id. A sample in which a row's chance is in proportion to its size gives
+rows' sizes. Records are ordered by (hash of the text, hash of doc_id, number of the row), so
+equal texts stand together and a group of copies that exceeds a shard or a range
+is divided, even one of rows that repeat doc_id and text. The order is written
+once, so a task that runs again finds the same. A sample in which a row's chance is in proportion to its size gives
 quantile boundaries for the ranges; ranges that hold more than twice their share
 get further boundaries from a sample of their own. Inside a range a window
 numbers the rows and sums their sizes, the ranges' totals (one row a range) turn
@@ -30,7 +31,7 @@ from usagebook.llm.shared import stored, table
 SHARDS = 16
 SAMPLE_PER_RANGE = 32
 ROWS_PER_RANGE = 250_000
-MAX_RANGES = 4096
+MAX_RANGES = 16384
 #: Rounds in which overfull ranges get further boundaries.
 ROUNDS = 4
 
@@ -43,7 +44,7 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         ident.alias("doc_id"),
         (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.concat(word(F.xxhash64(F.coalesce(body, F.lit("")))), word(F.xxhash64(ident))).alias("key"),
+        F.concat(word(F.xxhash64(F.coalesce(body, F.lit("")))), word(F.xxhash64(ident)), word(F.monotonically_increasing_id())).alias("key"),
     )
 
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagebook.llm.shared import id_and_text, new_path, stored, table
+from usagebook.llm.shared import full_uri, id_and_text, new_path, stored, table
 from usagebook.llm.textvec import ASCII_SPACES, SpanTable, as_bytes, byte_mask, chunks, listed, words
 
 LENGTH = 2048
@@ -43,6 +43,8 @@ END_ID = 1
 WORDS_KEPT = 1_000_000
 #: Sequences in a record batch.
 BATCH = 512
+#: Bytes of text for each file at least one file; a file is read by one task.
+FILE_BYTES = 64 << 20
 
 _IS_WORD = ~byte_mask(ASCII_SPACES)
 _LETTER = byte_mask(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -170,10 +172,12 @@ class Writer:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
     """Writes the files and returns (part, file, n_tokens), one row a file, in the stream's order of parts."""
     model = tokenizer or default_tokenizer()
-    folder = path.rstrip("/")
+    folder = full_uri(docs.sparkSession, path.rstrip("/"))
     system, local = _open(folder)
     system.create_dir(local, recursive=True)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = id_and_text(docs, doc_id, text)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(model)
@@ -192,7 +196,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             yield pa.RecordBatch.from_pylist([{"part": part, "file": file, "n_tokens": writer.total}], pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_tokens", pa.int64())]))
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # boundaries are sampled: ids and hashes, not texts
-    ranged = id_and_text(docs, doc_id, text).repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
+    ranged = texts.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     return stored(ranged.mapInArrow(write, "part int, file string, n_tokens long"), "token-files")
 
 
@@ -232,7 +236,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files that write_token_files returned."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     based = files.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), files.count())
     return based.repartition(parts, "file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
