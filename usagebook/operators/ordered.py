@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,32 +49,14 @@ def once_per_key(rows: DataFrame, keys: list[str], line: str = "line_number") ->
 
 
 def exact_fold(log: DataFrame, counters: tuple[str, ...] = COUNTERS, source: str = "source_id", line: str = "line_number", instant: str = "occurred_at") -> DataFrame:
-    """Deltas for logs in which a billable line's time is unusable: such a line doesn't move the baseline, so the next delta spans both.
+    """Deltas for logs in which a line's time may be unusable: a billable such line doesn't move the baseline, so the next delta spans both.
 
-    Only logs with such a line go through the ordered fold; the others take the window.
+    A line without a usable time is billable unless its counters are those of the
+    baseline, when it changes nothing, or all zero, when it begins an epoch. So the
+    lines that count are known beforehand, and one window over the rest is exact.
     """
-    dirty = log.where(F.col(instant).isNull()).select(source).distinct()
-    clean = counter_deltas(log.join(dirty, source, "left_anti"), counters, source, line)
-    names = clean.columns
-
-    def fold(_: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(line)
-        last, epoch, ordinal, rows = dict.fromkeys(counters, 0), 0, 0, []
-        for row in group.to_dict("records"):
-            now = {c: int(row[c]) for c in counters}
-            reset = any(now[c] < last[c] for c in counters)
-            delta = {c: now[c] - (0 if reset else last[c]) for c in counters}
-            billable = any(d > 0 for d in delta.values())
-            usable = not pd.isna(row[instant])
-            if billable and not usable:
-                continue
-            epoch += reset
-            ordinal += billable
-            last = now
-            rows.append(row | {f"delta_{c}": d for c, d in delta.items()} | {"reset": int(reset), "epoch": epoch, "billable": billable, "ordinal": ordinal if billable else None})
-        return pd.DataFrame(rows, columns=names).astype({"ordinal": "Int64"})
-
-    return clean.unionByName(log.join(dirty, source, "left_semi").groupBy(source).applyInPandas(fold, clean.schema))
+    silent = F.forall(F.array(*counters), lambda c: c == 0)
+    return counter_deltas(log.where(F.col(instant).isNotNull() | silent), counters, source, line)
 
 
 __all__ = ["carried", "counter_deltas", "exact_fold", "first_stated", "once_per_key"]

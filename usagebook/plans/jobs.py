@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagebook.functions.tables import written
 from usagebook.operators import billing, canonical, catalog, coverage, incremental, pricing, reconcile, reports
 from usagebook.sources import common, exports, log_a, log_b, sinks
 
@@ -84,7 +85,7 @@ def import_exports(documents: DataFrame, known: DataFrame) -> DataFrame:
 
 def reconciliation(observations: DataFrame, buckets: DataFrame, zone: str = "UTC", start: str | None = None, end: str | None = None) -> DataFrame:
     """Every bucket's class and every uncovered day, in order."""
-    events = canonical.in_window(canonical.fold(observations), start, end)
+    events = written(canonical.in_window(canonical.fold(observations), start, end), "events")
     chosen = reconcile.contained(reconcile.latest_imports(buckets), start, end)
     chosen = chosen if "bucket_id" in chosen.columns else chosen.withColumn("bucket_id", F.sha2(F.to_json(F.struct(*sorted(chosen.columns))), 256))
     rows = reconcile.reconcile(events, chosen)

@@ -14,7 +14,7 @@ FOLDED = f"""folded AS (SELECT client, event_key, min(occurred_at) AS occurred_a
   greatest(max(cache_write_5m_tokens + cache_write_1h_tokens + cache_write_unknown_tokens), max(cache_write_5m_tokens) + max(cache_write_1h_tokens)) AS w,
   max(quality_rank) AS quality_rank, max({_COV}) AS cov, count(DISTINCT source_id) AS source_count, count(*) AS copies, coalesce(string_agg(DISTINCT warning, ',' ORDER BY warning), '') AS warnings
   FROM obs GROUP BY client, event_key)"""
-CANONICAL = f"""canonical AS (SELECT f.client, f.event_key, f.occurred_at,
+CANONICAL = f"""canonical AS MATERIALIZED (SELECT f.client, f.event_key, f.occurred_at,
   CASE f.client WHEN 'claude_code' THEN u + c + w ELSE t END AS input_tokens_total, CASE f.client WHEN 'claude_code' THEN u ELSE greatest(t - c - w, 0) END AS input_tokens_uncached,
   c AS input_tokens_cached, w5 AS cache_write_5m_tokens, w1 AS cache_write_1h_tokens, w - w5 - w1 AS cache_write_unknown_tokens, o AS output_tokens_total, ro AS reasoning_output_tokens, ws AS web_search_requests, wf AS web_fetch_requests,
   f.quality_rank, CASE cov WHEN 0 THEN 'unavailable' WHEN 1 THEN 'partial' WHEN 2 THEN 'complete' END AS coverage, CAST(source_count AS BIGINT) AS source_count, CAST(copies AS BIGINT) AS copies, warnings, {", ".join(f"r.{c}" for c in _ID)}
@@ -22,7 +22,7 @@ CANONICAL = f"""canonical AS (SELECT f.client, f.event_key, f.occurred_at,
 EVENTS = f"WITH {OBS}, {RANKED}, {FOLDED}, {CANONICAL}"
 CAT = f"aliases AS ({V.duck(V.ALIASES)}), rates AS ({V.duck(V.RATES)}), modifiers AS ({V.duck(V.MODIFIERS)}), policies AS ({V.duck(V.POLICIES)}), overrides AS ({V.duck(V.OVERRIDES)})"
 
-RESOLVED = """ev AS (SELECT e.*, a.canonical_model, a.id AS alias_id FROM canonical e LEFT JOIN aliases a ON lower(trim(e.provider)) = a.provider AND e.raw_model = a.raw_model AND a.effective_from <= e.occurred_at AND (a.effective_to IS NULL OR e.occurred_at < a.effective_to))"""
+RESOLVED = """ev AS MATERIALIZED (SELECT e.*, a.canonical_model, a.id AS alias_id FROM canonical e LEFT JOIN aliases a ON lower(trim(e.provider)) = a.provider AND e.raw_model = a.raw_model AND a.effective_from <= e.occurred_at AND (a.effective_to IS NULL OR e.occurred_at < a.effective_to))"""
 _U = "('', 'unknown', 'not_available', 'not-available', 'unavailable', 'n/a', 'null')"
 
 
@@ -35,24 +35,25 @@ def _kind(kind: str) -> str:
     cost = " + ".join([f"coalesce({q[r]} * {nano(r)}, 0)" for r in q] + [f"coalesce({n} * cast(round({r} * tool * 1000000000) as bigint), 0)" for n, r in (("web_search_requests", "web_search"), ("web_fetch_requests", "web_fetch"))])
     gaps = " + ".join([f"CASE WHEN {q[r]} > 0 AND {col[r]} IS NULL THEN 1 ELSE 0 END" for r in q] + [f"CASE WHEN {n} > 0 AND {r} IS NULL THEN 1 ELSE 0 END" for n, r in (("web_search_requests", "web_search"), ("web_fetch_requests", "web_fetch"))])
     done = " + ".join([f"CASE WHEN {q[r]} > 0 AND {col[r]} IS NOT NULL THEN 1 ELSE 0 END" for r in q] + [f"CASE WHEN {n} > 0 AND {r} IS NOT NULL THEN 1 ELSE 0 END" for n, r in (("web_search_requests", "web_search"), ("web_fetch_requests", "web_fetch"))])
-    product = lambda scope: f"coalesce((SELECT product(m.multiplier) FROM modifiers m WHERE m.kind = '{kind}' AND m.provider = g.rp AND m.canonical_model = g.canonical_model AND m.value = g.val AND m.dimension = g.dims AND m.scope IN ('{scope}', 'all') AND m.effective_from <= g.occurred_at AND (m.effective_to IS NULL OR g.occurred_at < m.effective_to)), 1)"
     need = "cache_write_observation_required AND NOT coalesce(cache_write_data_complete, false)" if usd else "false"
     return f"""
-rated_{kind} AS (SELECT e.*, r.id AS rate_id, r.provider AS rp, r.dims, r.cache_write_observation_required, {", ".join("r." + c for c in col.values())}, r.web_search, r.web_fetch, p.allowed_a, p.allowed_b, p.default_value, o.value AS attested,
+rated_{kind} AS MATERIALIZED (SELECT e.*, r.id AS rate_id, r.provider AS rp, r.dims, r.cache_write_observation_required, {", ".join("r." + c for c in col.values())}, r.web_search, r.web_fetch, p.allowed_a, p.allowed_b, p.default_value, o.value AS attested,
     CASE r.dims WHEN 'inference_geo' THEN lower(trim(e.inference_geo)) WHEN 'service_tier' THEN lower(trim(e.service_tier)) END AS observed
   FROM ev e JOIN rates r ON r.kind = '{kind}' AND r.provider = lower(trim(e.provider)) AND r.canonical_model = e.canonical_model AND r.effective_from <= e.occurred_at AND (r.effective_to IS NULL OR e.occurred_at < r.effective_to)
     AND e.input_tokens_total >= r.min_input_tokens AND (r.max_input_tokens_exclusive IS NULL OR e.input_tokens_total < r.max_input_tokens_exclusive)
   LEFT JOIN policies p ON p.rate_id = r.id AND p.dimension = r.dims
   LEFT JOIN overrides o ON lower(trim(o.provider)) = r.provider AND o.canonical_model = r.canonical_model AND lower(trim(o.dimension)) = r.dims AND o.effective_from <= e.occurred_at AND (o.effective_to IS NULL OR e.occurred_at < o.effective_to)),
-grown_{kind} AS (SELECT *, unnest(CASE WHEN dims = 'none' THEN ['-'] WHEN coalesce(attested, CASE WHEN observed NOT IN {_U} THEN observed END) IS NULL THEN [allowed_a, allowed_b]
+grown_{kind} AS MATERIALIZED (SELECT *, unnest(CASE WHEN dims = 'none' THEN ['-'] WHEN coalesce(attested, CASE WHEN observed NOT IN {_U} THEN observed END) IS NULL THEN [allowed_a, allowed_b]
     WHEN coalesce(attested, observed) IN (allowed_a, allowed_b) THEN [coalesce(attested, observed)] ELSE cast([] as varchar[]) END) AS val FROM rated_{kind}),
-scen_{kind} AS (SELECT client, event_key, val, sub, done, gaps, need, CASE WHEN gaps + need = 0 THEN 'priced' ELSE 'partial' END AS status,
+product_{kind} AS MATERIALIZED (SELECT g.client, g.event_key, g.val, product(m.multiplier) FILTER (WHERE m.scope IN ('token_rates', 'all')) AS tok, product(m.multiplier) FILTER (WHERE m.scope IN ('tool_rates', 'all')) AS tool
+  FROM grown_{kind} g JOIN modifiers m ON m.kind = '{kind}' AND m.provider = g.rp AND m.canonical_model = g.canonical_model AND m.value = g.val AND m.dimension = g.dims AND m.effective_from <= g.occurred_at AND (m.effective_to IS NULL OR g.occurred_at < m.effective_to) GROUP BY ALL),
+scen_{kind} AS MATERIALIZED (SELECT client, event_key, val, sub, done, gaps, need, CASE WHEN gaps + need = 0 THEN 'priced' ELSE 'partial' END AS status,
     CASE WHEN gaps + need = 0 THEN sub WHEN {usd} AND gaps = 0 AND lower(trim(provider)) = 'openai' AND coalesce(input_subset_accounting_consistent, true) AND w_rate IS NOT NULL THEN sub - i_cost + least(i_cost, w_cost) WHEN done > 0 AND sub <> 0 THEN sub END AS known,
     CASE WHEN gaps + need = 0 THEN sub WHEN {usd} AND gaps = 0 AND lower(trim(provider)) = 'openai' AND coalesce(input_subset_accounting_consistent, true) AND w_rate IS NOT NULL THEN sub - i_cost + greatest(i_cost, w_cost) END AS upper,
     val = CASE WHEN dims = 'none' THEN '-' ELSE coalesce(attested, observed, default_value) END AS is_default
   FROM (SELECT *, {cost} AS sub, {gaps} AS gaps, {done} AS done, CASE WHEN {need} THEN 1 ELSE 0 END AS need, input_tokens_uncached * {nano("r1")} AS i_cost, input_tokens_uncached * {nano("r3")} AS w_cost, cache_write AS w_rate
-    FROM (SELECT g.*, {product("token_rates")} AS tok, {product("tool_rates")} AS tool FROM grown_{kind} g) m) n),
-range_{kind} AS (SELECT client, event_key, count(*) AS n, CASE WHEN count(known) = count(*) AND count(upper) = count(*) THEN CASE WHEN min(known) = max(upper) THEN 'exact' ELSE 'bounded' END ELSE 'partial' END AS status,
+    FROM (SELECT g.*, coalesce(p.tok, 1) AS tok, coalesce(p.tool, 1) AS tool FROM grown_{kind} g LEFT JOIN product_{kind} p ON p.client = g.client AND p.event_key = g.event_key AND p.val = g.val) m) n),
+range_{kind} AS MATERIALIZED (SELECT client, event_key, count(*) AS n, CASE WHEN count(known) = count(*) AND count(upper) = count(*) THEN CASE WHEN min(known) = max(upper) THEN 'exact' ELSE 'bounded' END ELSE 'partial' END AS status,
     CASE WHEN count(known) = count(*) THEN min(known) END AS lower, CASE WHEN count(known) = count(*) AND count(upper) = count(*) THEN max(upper) END AS upper,
     max(CASE WHEN is_default THEN status END) AS legacy FROM scen_{kind} GROUP BY client, event_key)"""
 

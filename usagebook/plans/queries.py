@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagebook.functions.ids import stable_id
+from usagebook.functions.tables import written
 from usagebook.functions.values import COUNTERS, local_date, nano
 from usagebook.operators import billing, canonical, catalog, coverage, incremental, ordered, pricing, quality, reconcile, reports
 from usagebook.plans import oracle as O
@@ -257,6 +258,12 @@ def buckets(spark: SparkSession, d: str) -> DataFrame:
     return V.view(spark, d, V.BUCKETS, canonical=events(spark, d))
 
 
+def both_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Events and buckets, each computed once however often reconciliation reads them."""
+    e = written(events(spark, d), "events")
+    return e, written(V.view(spark, d, V.BUCKETS, canonical=e), "buckets")
+
+
 _B = ("request_count", "input_tokens_uncached", "input_tokens_cached", "output_tokens")
 
 
@@ -272,13 +279,15 @@ side AS (SELECT bucket_id, count(*) AS n, CAST(sum(u) AS BIGINT) AS u, CAST(sum(
 
 @query("bucket_match", f"{_JOINED} SELECT bucket_id, n AS request_count, u AS input_tokens_uncached, c AS input_tokens_cached, o AS output_tokens, w5 AS cache_write_5m_tokens FROM side")
 def bucket_match(spark: SparkSession, d: str) -> DataFrame:
-    rows = reconcile.local_side(reconcile.matches(events(spark, d), reconcile.full_buckets(buckets(spark, d))), "l")
+    e, b = both_sides(spark, d)
+    rows = reconcile.local_side(reconcile.matches(e, reconcile.full_buckets(b)), "l")
     return rows.select("bucket_id", *[F.col(f"l_{c}").alias(c) for c in (*_B, "cache_write_5m_tokens")])
 
 
 @query("bucket_boundary", f"{O.BUCKETS} SELECT b.bucket_id, count(*) AS request_count FROM buckets b JOIN canonical e ON e.provider = b.provider AND (b.model IS NULL OR lower(b.model) = lower(e.raw_model)) AND NOT (e.occurred_at >= b.bucket_start AND e.occurred_at < b.bucket_end) AND e.occurred_at >= b.bucket_start - to_hours(1) AND e.occurred_at <= b.bucket_end + to_hours(1) GROUP BY 1")
 def bucket_boundary(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.matches(events(spark, d), reconcile.full_buckets(buckets(spark, d)), boundary=True).groupBy("bucket_id").agg(F.count("*").alias("request_count"))
+    e, b = both_sides(spark, d)
+    return reconcile.matches(e, reconcile.full_buckets(b), boundary=True).groupBy("bucket_id").agg(F.count("*").alias("request_count"))
 
 
 _CLASS = f"""{_JOINED}, near AS (SELECT DISTINCT b.bucket_id FROM buckets b JOIN canonical e ON e.provider = b.provider AND (b.model IS NULL OR lower(b.model) = lower(e.raw_model)) AND e.occurred_at >= b.bucket_start - to_hours(1) AND e.occurred_at <= b.bucket_end + to_hours(1)),
@@ -292,7 +301,7 @@ classes AS (SELECT b.*, s.n AS ln, s.u AS lu, s.c AS lc, s.o AS lo, CASE
 
 @query("reconcile_classify", f"{_CLASS} SELECT bucket_id, classification, ln AS local_request_count, lu AS local_input_tokens_uncached, input_tokens_uncached - lu AS delta_input_tokens_uncached FROM classes")
 def reconcile_classify(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.reconcile(events(spark, d), buckets(spark, d)).select("bucket_id", "classification", "local_request_count", "local_input_tokens_uncached", "delta_input_tokens_uncached")
+    return reconcile.reconcile(*both_sides(spark, d)).select("bucket_id", "classification", "local_request_count", "local_input_tokens_uncached", "delta_input_tokens_uncached")
 
 
 _LOCAL = f"""{_JOINED}, covered AS (SELECT DISTINCT client, event_key FROM hit JOIN buckets USING (bucket_id) WHERE coalesce(request_count, buckets.input_tokens_uncached, buckets.input_tokens_cached, output_tokens) IS NOT NULL),
@@ -301,13 +310,13 @@ alone AS (SELECT * FROM canonical e WHERE NOT EXISTS (SELECT 1 FROM covered c WH
 
 @query("local_only", f"{_LOCAL} SELECT CAST({O.local_day(ZONE)} AS VARCHAR) AS local_day, provider AS provider_name, raw_model AS model, count(*) AS request_count, CAST(sum(input_tokens_uncached) AS BIGINT) AS input_tokens_uncached, epoch_us(timezone('UTC', timezone('{ZONE}', CAST({O.local_day(ZONE)} AS TIMESTAMP)))) AS start_us FROM alone GROUP BY {O.local_day(ZONE)}, provider, raw_model")
 def local_only(spark: SparkSession, d: str) -> DataFrame:
-    rows = reconcile.local_only(events(spark, d), buckets(spark, d), ZONE)
+    rows = reconcile.local_only(*both_sides(spark, d), ZONE)
     return rows.select(F.col("local_day").cast("string").alias("local_day"), "provider_name", "model", "request_count", "input_tokens_uncached", us("bucket_start").alias("start_us"))
 
 
 @query("reconcile_summary", f"{_CLASS}, covered AS (SELECT DISTINCT client, event_key FROM hit JOIN buckets USING (bucket_id) WHERE coalesce(request_count, buckets.input_tokens_uncached, buckets.input_tokens_cached, output_tokens) IS NOT NULL), loc AS (SELECT DISTINCT {O.local_day(ZONE)} AS dd, provider, raw_model FROM canonical e WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.client = e.client AND c.event_key = e.event_key)), names(classification) AS (VALUES ('matched'), ('provider_only'), ('local_only'), ('time_boundary'), ('route_unknown'), ('counter_mismatch')) SELECT classification, CAST(CASE classification WHEN 'local_only' THEN (SELECT count(*) FROM loc) ELSE (SELECT count(*) FROM classes c WHERE c.classification = names.classification) END AS BIGINT) AS n FROM names")
 def reconcile_summary(spark: SparkSession, d: str) -> DataFrame:
-    e, b = events(spark, d), buckets(spark, d)
+    e, b = both_sides(spark, d)
     return reconcile.summary(reconcile.reconcile(e, b), reconcile.local_only(e, b, ZONE))
 
 
@@ -405,15 +414,16 @@ def inventories(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Two states of the documents as a source inventory."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     k = F.col("doc_id")
-    before = docs.where(k % 7 > 0).select(k.cast("string").alias("source_id"), F.octet_length("text").cast("long").alias("file_size"), F.sha2("text", 256).alias("content_hash"))
+    renamed = lambda n, mark: F.concat(F.when(k % n == 0, mark).otherwise(""), k.cast("string")).alias("source_id")  # noqa: E731  so some sources vanish and others are new
+    before = docs.select(renamed(7, "old-"), F.octet_length("text").cast("long").alias("file_size"), F.sha2("text", 256).alias("content_hash"))
     text = F.when(k % 5 == 0, F.concat("text", F.lit("+"))).when(k % 11 == 0, F.concat(F.lit("#"), F.expr("substring(text, 2)"))).otherwise(F.col("text"))
-    after = docs.where(k % 13 > 0).select(k.cast("string").alias("source_id"), F.octet_length(text).cast("long").alias("file_size"), F.sha2(text, 256).alias("content_hash"))
+    after = docs.select(renamed(13, "new-"), F.octet_length(text).cast("long").alias("file_size"), F.sha2(text, 256).alias("content_hash"))
     return after, before
 
 
-@query("source_snapshot_diff", """WITH b AS (SELECT doc_id, octet_length(encode(text)) AS n, sha256(text) AS h FROM documents WHERE doc_id % 7 > 0),
-a AS (SELECT doc_id, octet_length(encode(t)) AS n, sha256(t) AS h FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '+' WHEN doc_id % 11 = 0 THEN '#' || substr(text, 2) ELSE text END AS t FROM documents WHERE doc_id % 13 > 0) x)
-SELECT CAST(coalesce(a.doc_id, b.doc_id) AS VARCHAR) AS source_id, CASE WHEN b.h IS NULL THEN 'new' WHEN a.h IS NULL THEN 'vanished' WHEN a.h = b.h AND a.n = b.n THEN 'unchanged' WHEN a.n > b.n THEN 'appended' ELSE 'rewritten' END AS state, CAST(b.n AS BIGINT) AS size_before, CAST(a.n AS BIGINT) AS size_now FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
+@query("source_snapshot_diff", """WITH b AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'old-' ELSE '' END || doc_id AS doc_id, octet_length(encode(text)) AS n, sha256(text) AS h FROM documents),
+a AS (SELECT doc_id, octet_length(encode(t)) AS n, sha256(t) AS h FROM (SELECT CASE WHEN doc_id % 13 = 0 THEN 'new-' ELSE '' END || doc_id AS doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '+' WHEN doc_id % 11 = 0 THEN '#' || substr(text, 2) ELSE text END AS t FROM documents) x)
+SELECT coalesce(a.doc_id, b.doc_id) AS source_id, CASE WHEN b.h IS NULL THEN 'new' WHEN a.h IS NULL THEN 'vanished' WHEN a.h = b.h AND a.n = b.n THEN 'unchanged' WHEN a.n > b.n THEN 'appended' ELSE 'rewritten' END AS state, CAST(b.n AS BIGINT) AS size_before, CAST(a.n AS BIGINT) AS size_now FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def source_snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return incremental.source_changes(*inventories(spark, d))
 
@@ -427,26 +437,34 @@ def incremental_observations(spark: SparkSession, d: str) -> DataFrame:
     return incremental.replaced(o, changes, new).select("source_id", "line_number", "client", "event_key", "output_tokens_total")
 
 
-@query("idempotent_import", "SELECT count(*) AS new_documents FROM (SELECT DISTINCT sha256(html) AS h FROM pages WHERE page_id % 3 = 0) n WHERE h NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 2 = 0)")
+@query("idempotent_import", "SELECT count(*) AS new_documents FROM (SELECT DISTINCT sha256(CASE WHEN page_id % 3 = 0 THEN html || '+' ELSE html END) AS h FROM pages) n WHERE h NOT IN (SELECT sha256(html) FROM pages)")
 def idempotent_import(spark: SparkSession, d: str) -> DataFrame:
-    pages = spark.read.parquet(f"{d}/pages.parquet").withColumn("content_digest", F.sha2("html", 256))
-    return reconcile.new_imports(pages.where("page_id % 3 = 0").select("content_digest"), pages.where("page_id % 2 = 0")).agg(F.count("*").alias("new_documents"))
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    again = pages.select(F.sha2(F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("+"))).otherwise(F.col("html")), 256).alias("content_digest"))
+    return reconcile.new_imports(again, pages.select(F.sha2("html", 256).alias("content_digest"))).agg(F.count("*").alias("new_documents"))
 
 
-@query("catalog_diff", "SELECT CAST(coalesce(a.p_partkey, b.p_partkey) AS BIGINT) AS id, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT * FROM part WHERE p_partkey % 9 > 0) a FULL JOIN (SELECT p_partkey, p_name, p_brand, p_size + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS p_size FROM part WHERE p_partkey % 8 > 0) b ON a.p_partkey = b.p_partkey WHERE a.p_partkey IS NULL OR b.p_partkey IS NULL OR a.p_size <> b.p_size")
+@query("catalog_diff", """WITH a AS (SELECT p_partkey + CASE WHEN p_partkey % 9 = 0 THEN 1000000000 ELSE 0 END AS id, p_name, p_brand, p_size FROM part),
+b AS (SELECT p_partkey + CASE WHEN p_partkey % 8 = 0 THEN 2000000000 ELSE 0 END AS id, p_name, p_brand, p_size + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS p_size FROM part)
+SELECT CAST(coalesce(a.id, b.id) AS BIGINT) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.p_size <> b.p_size""")
 def catalog_diff(spark: SparkSession, d: str) -> DataFrame:
-    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_size")
-    new = part.where("id % 8 > 0").withColumn("p_size", F.when(F.col("id") % 4 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).cast("int"))
-    return catalog.catalog_diff(part.where("id % 9 > 0"), new)
+    """Two revisions of all parts; a ninth of them has other ids in the old one and an eighth in the new one, so those are removed and added."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    key = F.col("p_partkey").cast("long")
+    old = part.select((key + F.when(key % 9 == 0, 1_000_000_000).otherwise(0)).alias("id"), "p_name", "p_brand", "p_size")
+    size = F.when(key % 4 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).cast("int")
+    new = part.select((key + F.when(key % 8 == 0, 2_000_000_000).otherwise(0)).alias("id"), "p_name", "p_brand", size.alias("p_size"))
+    return catalog.catalog_diff(old, new)
 
 
 def part_catalog(spark: SparkSession, d: str) -> pricing.Catalog:
     """Parts as a catalog with the defects that a real one may have."""
-    part = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 3 = 0")
+    part = spark.read.parquet(f"{d}/part.parquet").withColumn("p_partkey", F.col("p_partkey").cast("long"))
+    family = F.floor(F.col("p_partkey") / 600).cast("string")  # so that names grow with the table
     at = lambda c: F.timestamp_seconds(F.lit(788918400) + c * 86400)
     start, end = (F.col("p_partkey") % 400), (F.col("p_partkey") % 400) + F.col("p_size") - 2
-    base = [F.concat(F.lit("k"), "p_partkey").alias("id"), F.lit("anthropic").alias("provider"), F.concat(F.lit("m"), F.col("p_partkey") % 60).alias("canonical_model"), at(start).alias("effective_from"), at(end).alias("effective_to")]
-    aliases = part.select(*base, F.concat(F.lit("x"), F.col("p_partkey") % 40).alias("raw_model"))
+    base = [F.concat(F.lit("k"), "p_partkey").alias("id"), F.lit("anthropic").alias("provider"), F.concat(F.lit("m"), F.col("p_partkey") % 60, F.lit("-"), family).alias("canonical_model"), at(start).alias("effective_from"), at(end).alias("effective_to")]
+    aliases = part.select(*base, F.concat(F.lit("x"), F.col("p_partkey") % 40, F.lit("-"), family).alias("raw_model"))
     money = [F.lit("1").cast("decimal(18,9)").alias(c) for c in ("cache_read", "cache_write", "cache_write_5m", "cache_write_1h", "output", "web_search", "web_fetch")]
     rates = part.where("p_partkey % 60 < 50").select(*base, F.lit("usd").alias("kind"), F.when(F.col("p_partkey") % 30 == 0, 0).otherwise(1000000).cast("long").alias("unit_scale"), F.lit(0).cast("long").alias("min_input_tokens"), F.lit(None).cast("long").alias("max_input_tokens_exclusive"), F.when(F.col("p_partkey") % 21 == 0, -1).otherwise(1).cast("decimal(18,9)").alias("input"), *money, F.lit(1).cast("long").alias("tool_per_units"), F.lit(False).alias("cache_write_observation_required"))
     policies = rates.select(F.col("id").alias("rate_id"), F.lit("speed").alias("dimension"), F.array(F.lit("fast"), F.lit("standard")).alias("allowed"), F.lit("standard").alias("default_value"), F.expr("cast(map() as map<string, string>)").alias("value_aliases"))
@@ -454,7 +472,7 @@ def part_catalog(spark: SparkSession, d: str) -> pricing.Catalog:
     return pricing.Catalog(aliases, rates, policies, modifiers)
 
 
-_PART = """WITH p AS (SELECT 'k' || p_partkey AS id, p_partkey AS k, 'm' || (p_partkey % 60) AS model, 'x' || (p_partkey % 40) AS raw, p_partkey % 400 AS f, p_partkey % 400 + p_size - 2 AS e FROM part WHERE p_partkey % 3 = 0),
+_PART = """WITH p AS (SELECT 'k' || p_partkey AS id, p_partkey AS k, 'm' || (p_partkey % 60) || '-' || (p_partkey // 600) AS model, 'x' || (p_partkey % 40) || '-' || (p_partkey // 600) AS raw, p_partkey % 400 AS f, p_partkey % 400 + p_size - 2 AS e FROM part),
 r AS (SELECT * FROM p WHERE k % 60 < 50), m AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'fast' ELSE 'slow' END AS v FROM p WHERE k % 15 = 0)"""
 
 
@@ -489,9 +507,10 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/customer.parquet").select(key.alias("part"), stable_id(key).alias("id"))
 
 
-@query("observation_issues", f"""WITH {O.OBS}, t AS (SELECT *, input_tokens_cached % 9 AS m FROM obs), b AS (SELECT client, event_key, source_id, line_number, input_tokens_cached AS c, cache_write_5m_tokens + cache_write_1h_tokens + cache_write_unknown_tokens AS w, input_tokens_uncached AS u, CASE WHEN m = 0 THEN input_tokens_total - input_tokens_uncached - 1 ELSE input_tokens_total END AS total, CASE WHEN m = 1 THEN output_tokens_total + 1 ELSE reasoning_output_tokens END AS r, output_tokens_total AS o, CASE WHEN m = 2 THEN NULL ELSE raw_model END AS raw_model FROM t)
+@query("observation_issues", f"""WITH {O.OBS}, t AS (SELECT *, input_tokens_cached % 9 AS m FROM obs), b AS (SELECT client, event_key, source_id, line_number, input_tokens_cached AS c, cache_write_5m_tokens + cache_write_1h_tokens + cache_write_unknown_tokens AS w, input_tokens_uncached AS u, cache_write_5m_tokens AS w5, cache_write_1h_tokens AS w1, cache_write_unknown_tokens AS wu, web_search_requests AS ws, web_fetch_requests AS wf, CASE WHEN m = 0 THEN input_tokens_total - input_tokens_uncached - 1 ELSE input_tokens_total END AS total, CASE WHEN m = 1 THEN output_tokens_total + 1 ELSE reasoning_output_tokens END AS r, output_tokens_total AS o, CASE WHEN m = 2 THEN NULL ELSE raw_model END AS raw_model FROM t)
 SELECT client, event_key, source_id, line_number, 'subsets_exceed_input' AS code FROM b WHERE c + w > total UNION ALL SELECT client, event_key, source_id, line_number, 'reasoning_exceeds_output' FROM b WHERE r > o
-UNION ALL SELECT client, event_key, source_id, line_number, 'input_not_additive' FROM b WHERE client = 'claude_code' AND u + c + w <> total UNION ALL SELECT client, event_key, source_id, line_number, 'missing_model' FROM b WHERE raw_model IS NULL""")
+UNION ALL SELECT client, event_key, source_id, line_number, 'input_not_additive' FROM b WHERE client = 'claude_code' AND u + c + w <> total UNION ALL SELECT client, event_key, source_id, line_number, 'missing_model' FROM b WHERE raw_model IS NULL
+UNION ALL SELECT client, event_key, source_id, line_number, 'negative_counter' FROM b WHERE least(total, u, c, w5, w1, wu, o, r, ws, wf) < 0""")
 def observation_issues(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("input_tokens_cached") % 9
     o = observations(spark, d).withColumns({"input_tokens_total": F.when(m == 0, F.col("input_tokens_total") - F.col("input_tokens_uncached") - 1).otherwise(F.col("input_tokens_total")), "reasoning_output_tokens": F.when(m == 1, F.col("output_tokens_total") + 1).otherwise(F.col("reasoning_output_tokens")), "raw_model": F.when(m != 2, F.col("raw_model"))})
@@ -500,7 +519,7 @@ def observation_issues(spark: SparkSession, d: str) -> DataFrame:
 
 @query("reconcile_scope", f"{_CLASS}, names(classification) AS (VALUES ('matched'), ('provider_only'), ('local_only'), ('time_boundary'), ('route_unknown'), ('counter_mismatch')) SELECT classification, CAST((SELECT count(*) FROM classes c WHERE c.classification = names.classification AND provider = 'openai' AND (model IS NULL OR lower(model) IN ('m-a', 'm-n'))) AS BIGINT) AS n FROM names")
 def reconcile_scope(spark: SparkSession, d: str) -> DataFrame:
-    return reconcile.scope_summary(reconcile.reconcile(events(spark, d), buckets(spark, d)), ["openai"], ["M-A", "m-n"])
+    return reconcile.scope_summary(reconcile.reconcile(*both_sides(spark, d)), ["openai"], ["M-A", "m-n"])
 
 
 @query("cost_period", f"{O.EVENTS} SELECT CAST(min({O.local_day(ZONE)}) AS VARCHAR) AS first_day, CAST(max({O.local_day(ZONE)}) AS VARCHAR) AS last_day FROM canonical")

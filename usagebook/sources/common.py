@@ -71,3 +71,20 @@ def bad_counter(v: str, *paths: str) -> Column:
     for b in bad[1:]:
         out = out | b
     return F.coalesce(out, F.lit(False))
+
+
+def fields(v: str, path: str, names: tuple[str, ...]) -> Column:
+    """A map of the fields of these names in the object at a path: text (a string), number (a counter), kind (the type, VOID for a JSON null). The object is read once, whatever the number of names."""
+
+    def field(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        number = F.when(kind == "BIGINT", F.try_variant_get(x, "$", "bigint"))
+        return F.struct(F.when(kind == "STRING", F.try_variant_get(x, "$", "string")).alias("text"), F.when(number >= 0, number).alias("number"), kind.alias("kind"))
+
+    found = F.map_filter(F.try_variant_get(v, path, "map<string, variant>"), lambda k, _: k.isin(*names))
+    return F.transform_values(found, lambda _, x: field(x))
+
+
+def field(of: str, name: str, part: str = "text") -> Column:
+    """A part of one of `fields`; null where there is none."""
+    return F.try_element_at(F.col(of), F.lit(name))[part]

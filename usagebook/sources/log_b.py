@@ -8,40 +8,46 @@ from pyspark.sql import functions as F
 from usagebook.functions.ids import stable_id
 from usagebook.functions.values import non_blank, rfc3339
 from usagebook.operators.ordered import carried, exact_fold, first_stated
-from usagebook.sources.common import bad_counter, counter_at, kind_at, log_files, log_lines, parsed, prefer_plain, text_at
+from usagebook.sources.common import field, fields, log_files, log_lines, parsed, prefer_plain
 
 CLIENT = "openai_codex"
 PATTERN = "rollout-*.jsonl{,.zst}"
 _T = "$.payload.info.total_token_usage"
 #: Counters and the names under which versions of the client report them (fixed values).
 COUNTERS = {
-    "input_tokens": (f"{_T}.input_tokens",), "cached_tokens": (f"{_T}.cached_input_tokens",), "output_tokens": (f"{_T}.output_tokens",), "reasoning_tokens": (f"{_T}.reasoning_output_tokens",),
-    "w5m": (f"{_T}.cache_write_5m_tokens", f"{_T}.cache_creation_5m_input_tokens"), "w1h": (f"{_T}.cache_write_1h_tokens", f"{_T}.cache_creation_1h_input_tokens"),
-    "writes": (f"{_T}.cache_write_tokens", f"{_T}.cache_write_input_tokens", f"{_T}.cache_creation_input_tokens"),
+    "input_tokens": ("input_tokens",), "cached_tokens": ("cached_input_tokens",), "output_tokens": ("output_tokens",), "reasoning_tokens": ("reasoning_output_tokens",),
+    "w5m": ("cache_write_5m_tokens", "cache_creation_5m_input_tokens"), "w1h": ("cache_write_1h_tokens", "cache_creation_1h_input_tokens"),
+    "writes": ("cache_write_tokens", "cache_write_input_tokens", "cache_creation_input_tokens"),
 }
+#: What is read of a record's payload, and of the settings in it.
+_PAYLOAD = ("type", "id", "thread_id", "session_id", "model", "model_provider", "model_provider_id", "service_tier", "auth_mode")
+_SETTINGS = ("model", "model_provider", "service_tier", "auth_mode")
 #: Record types that hold no usage (fixed values).
 IGNORED = ("response_item", "compacted", "ghost_snapshot", "world_state")
 
 
 def records(lines: DataFrame) -> DataFrame:
     """One wide row a line: what it says of session, context and counters; code is the reason why it can't be used."""
-    p = parsed(lines)
-    kind, event = text_at("v", "$.type"), text_at("v", "$.payload.type")
+    names = tuple(x for own in COUNTERS.values() for x in own)
+    p = parsed(lines).select(
+        "source_id", "path", "line_number", F.col("v").isNull().alias("_malformed"), F.try_variant_get("v", _T, "variant").isNotNull().alias("_total"),
+        fields("v", "$", ("type", "timestamp")).alias("_top"), fields("v", "$.payload", _PAYLOAD).alias("_payload"), fields("v", "$.payload.thread_settings", _SETTINGS).alias("_settings"), fields("v", _T, names).alias("_counts"),
+    )
+    kind, event = field("_top", "type"), field("_payload", "type")
     meta, context = kind == "session_meta", kind == "turn_context"
     settings = (kind == "event_msg") & (event == "thread_settings_applied")
-    count = (kind == "event_msg") & (event == "token_count")
-    at = lambda name: F.when(context, text_at("v", f"$.payload.{name}")).when(settings, text_at("v", f"$.payload.thread_settings.{name}"))
-    stated = lambda name: F.coalesce((context & kind_at("v", f"$.payload.{name}").isNotNull()) | (settings & kind_at("v", f"$.payload.thread_settings.{name}").isNotNull()), F.lit(False))
-    has_total = F.coalesce(count & (F.try_variant_get("v", _T, "variant").isNotNull()), F.lit(False))
-    every = [x for paths in COUNTERS.values() for x in paths]
+    has_total = F.coalesce((kind == "event_msg") & (event == "token_count") & F.col("_total"), F.lit(False))
+    at = lambda name: F.when(context, field("_payload", name)).when(settings, field("_settings", name))
+    stated = lambda name: F.coalesce((context & field("_payload", name, "kind").isNotNull()) | (settings & field("_settings", name, "kind").isNotNull()), F.lit(False))
+    own = lambda *names: F.when(meta, F.coalesce(*[field("_payload", n) for n in names]))
+    bad = F.exists(F.map_values("_counts"), lambda x: x["number"].isNull() & (x["kind"] != "VOID"))
     required = F.col("input_tokens").isNotNull() & F.col("output_tokens").isNotNull()
     rows = p.select(
-        "source_id", "path", "line_number", F.col("v").isNull().alias("_malformed"), kind.alias("_type"), event.alias("_event"), has_total.alias("_count"), rfc3339(text_at("v", "$.timestamp")).alias("occurred_at"),
-        F.when(meta, F.coalesce(text_at("v", "$.payload.id"), text_at("v", "$.payload.thread_id"), text_at("v", "$.payload.session_id"))).alias("thread"),
-        F.when(meta, F.coalesce(text_at("v", "$.payload.model_provider"), text_at("v", "$.payload.model_provider_id"))).alias("meta_provider"), F.when(meta, text_at("v", "$.payload.auth_mode")).alias("meta_auth"),
-        non_blank(at("model")).alias("raw_model"), F.coalesce(non_blank(at("model_provider")), F.when(meta, text_at("v", "$.payload.model_provider"))).alias("provider"),
-        at("service_tier").alias("service_tier"), stated("service_tier").alias("tier_stated"), F.coalesce(at("auth_mode"), F.when(meta, text_at("v", "$.payload.auth_mode"))).alias("auth_mode"), (stated("auth_mode") | F.coalesce(meta & text_at("v", "$.payload.auth_mode").isNotNull(), F.lit(False))).alias("auth_stated"),
-        *[F.when(has_total, counter_at("v", *paths)).alias(name) for name, paths in COUNTERS.items()], F.when(has_total, bad_counter("v", *every)).alias("_bad"),
+        "source_id", "path", "line_number", "_malformed", kind.alias("_type"), event.alias("_event"), has_total.alias("_count"), rfc3339(field("_top", "timestamp")).alias("occurred_at"),
+        own("id", "thread_id", "session_id").alias("thread"), own("model_provider", "model_provider_id").alias("meta_provider"), own("auth_mode").alias("meta_auth"),
+        non_blank(at("model")).alias("raw_model"), F.coalesce(non_blank(at("model_provider")), own("model_provider")).alias("provider"),
+        at("service_tier").alias("service_tier"), stated("service_tier").alias("tier_stated"), F.coalesce(at("auth_mode"), own("auth_mode")).alias("auth_mode"), (stated("auth_mode") | own("auth_mode").isNotNull()).alias("auth_stated"),
+        *[F.when(has_total, F.coalesce(*[field("_counts", n, "number") for n in of])).alias(name) for name, of in COUNTERS.items()], F.when(has_total, F.coalesce(bad, F.lit(False))).alias("_bad"),
     )
     code = (
         F.when(F.col("_malformed"), "codex_malformed_record")
