@@ -11,8 +11,16 @@ look-up a byte. Bytes A-Z count as a-z. Bytes never met in training share one
 symbol, which loses nothing: such a byte always costs all escapes, and no
 context that holds it was met.
 
-Training: at most about DOCS_PER_LANGUAGE whole texts of up to MAX_TRAIN_BYTES
-each for each of the LANGUAGES most frequent values, drawn by a hash of doc_id.
+Statistics are kept by met (context, symbol) pairs, so a model is no larger than
+its training bytes, whatever the number of languages. Where the table of all
+contexts' symbols in all languages fits TABLE_BYTES it is written out, which saves
+searches and changes no value.
+
+Training: whole texts of every language, drawn by a hash of doc_id and text in such
+a share that about DOCS_PER_LANGUAGE rows of each language, and no more than about
+TRAIN_BYTES in all, come to the driver, equal rows once; a text is passed over
+only where it exceeds what is left of its language's part of TRAIN_BYTES and the
+language has another text already.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; so is
 every text if nothing can be learned; null ids are allowed; every row gives one
@@ -28,14 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagebook.llm.shared import id_and_text, table
+from usagebook.llm.shared import id_and_text, stored, table
 from usagebook.llm.textvec import as_bytes, chunks, lower_ascii
 from usagebook.shipping import ship
 
 ORDER = 3
 DOCS_PER_LANGUAGE = 600
-MAX_TRAIN_BYTES = 1 << 16
-LANGUAGES = 128
+TRAIN_BYTES = 32 << 20
+TABLE_BYTES = 64 << 20
+#: Languages up to which their shares are broadcast; beyond, Spark chooses the join.
+BROADCAST_LANGUAGES = 100_000
 
 
 class ContextTrees:
@@ -44,72 +54,107 @@ class ContextTrees:
     def __init__(self, texts: list[tuple[str, str]]):
         """texts: (language, text)."""
         self.languages = sorted({lang for lang, _ in texts})
-        joined = {k: [t for lang, t in texts if lang == k] for k in self.languages}
-        raw = {k: as_bytes(pa.array(v, pa.string())) for k, v in joined.items()}
+        raw = {k: as_bytes(pa.array([t for lang, t in texts if lang == k], pa.string())) for k in self.languages}
         seen = sorted({32}.union(*(np.unique(lower_ascii(b)).tolist() for b, _ in raw.values())))
         self.size = len(seen) + 1
-        self.code = np.zeros(256, np.int32)
+        self.code = np.zeros(256, np.int64)
         self.code[seen] = np.arange(1, self.size)
         for upper in range(65, 91):
             self.code[upper] = self.code[upper + 32]
-        grams = {k: self._grams(b, o) for k, (b, o) in raw.items()}
-        self._tabulate(grams)
+        self.orders = [self._count(*self._grams(*raw.pop(k))) for k in self.languages]
+        self.longest, self.bits = self._written_out()
 
     def _grams(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each byte's symbol and its context of ORDER bytes as a number, whose remainders are the shorter contexts; before a text stand spaces."""
         symbol = self.code[buf]
         starts = offsets[:-1][np.diff(offsets) > 0]
-        last, number, weight = symbol, np.zeros(len(symbol), np.int32), np.int32(1)
+        last, number, weight = symbol, np.zeros(len(symbol), np.int64), 1
         for _ in range(ORDER):
             before = np.empty_like(last)
             before[1:] = last[:-1]
             if len(before):
                 before[starts] = self.code[32]
             number += before * weight
-            weight *= np.int32(self.size)
+            weight *= self.size
             last = before
         return symbol, number
 
-    def _tabulate(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
-        a, many = self.size, 256 - (self.size - 1)
-        spread = np.ones(a)
-        spread[0] = many  # the bytes that symbol 0 stands for
-        longest = np.zeros(a**ORDER, np.int32)  # the row of the longest context met
-        lower = {k: np.full((1, a), 1 / 256) for k in self.languages}
-        rows_before: np.ndarray | None = None
-        blocks: dict[str, list[np.ndarray]] = {k: [] for k in self.languages}
-        first = 0
+    def _count(self, symbol: np.ndarray, context: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """For each order the met (context, symbol) pairs with their bits, and the met contexts with those of their escapes; bits are negative."""
+        out, a = [], self.size
         for order in range(ORDER + 1):
-            met = np.unique(np.concatenate([np.unique(c % a**order) for _, c in grams.values()]))
-            shorter = np.zeros(len(met), np.int64) if rows_before is None else np.searchsorted(rows_before, met % a ** max(0, order - 1))
-            for k, (symbol, context) in grams.items():
-                at = np.searchsorted(met, context % a**order)
-                counts = np.bincount(at * a + symbol, minlength=len(met) * a).reshape(len(met), a)
-                total, kinds, below = counts.sum(1), (counts > 0).sum(1), lower[k][shorter]
-                left = 1 - np.where(counts > 0, below * spread, 0).sum(1)
-                escape = np.divide(kinds, (total + kinds) * np.maximum(left, 1e-12), out=np.ones(len(met)), where=total > 0)
-                lower[k] = np.where(counts > 0, counts / np.maximum(total + kinds, 1)[:, None], below * escape[:, None])
-                blocks[k].append(np.log2(np.maximum(lower[k], 1e-300)).astype(np.float32).ravel())
-            if order == 0:
-                longest[:] = 0
-            else:
-                period = a**order
-                for block in longest.reshape(-1, period):
-                    block[met] = first + np.arange(len(met))
-            rows_before = met
-            first += len(met)
-        self.longest = longest
-        self.bits = [np.concatenate(blocks.pop(k)) for k in self.languages]
+            pair, counts = np.unique(context % a**order * a + symbol, return_counts=True)
+            met, of = np.unique(pair // a, return_inverse=True)
+            total, kinds = np.bincount(of, counts), np.bincount(of)
+            below = np.exp2(out[-1][1][np.searchsorted(out[-1][0], pair % a**order)]) if order else np.full(len(pair), 1 / 256)  # met in the shorter context, too
+            left = 1 - np.bincount(of, below)
+            escape = kinds / ((total + kinds) * np.maximum(left, 1e-12))
+            out.append((pair, np.log2(counts / (total + kinds)[of]), met, np.log2(escape)))
+        return out
+
+    def _code_bits(self, language: int, code: np.ndarray) -> np.ndarray:
+        """The bits of symbols after contexts, given as context * size + symbol in ascending order."""
+        a, bits, open_ = self.size, np.zeros(len(code)), np.arange(len(code))
+        for order in range(ORDER, -1, -1):
+            pair, worth, met, escape = self.orders[language][order]
+            own = code[open_] % a ** (order + 1)
+            at = np.minimum(np.searchsorted(pair, own), len(pair) - 1)
+            found = pair[at] == own
+            bits[open_[found]] += worth[at[found]]
+            open_, own = open_[~found], own[~found] // a
+            at = np.minimum(np.searchsorted(met, own), len(met) - 1)
+            known = met[at] == own
+            bits[open_[known]] += escape[at[known]]
+        bits[open_] -= 8
+        return bits
+
+    def _written_out(self) -> tuple[np.ndarray | None, list[np.ndarray]]:
+        """The row of each context's longest part met in any language, and each language's bits by row and symbol; none if they don't fit."""
+        a, met = self.size, [np.unique(np.concatenate([own[order][2] for own in self.orders])) for order in range(ORDER + 1)]
+        rows = sum(map(len, met))
+        if 4 * (rows * a * len(self.languages) + a**ORDER) > TABLE_BYTES:
+            return None, []
+        longest, first, bits = np.zeros(a**ORDER, np.int32), 0, [np.zeros((rows, a), np.float32) for _ in self.languages]
+        for order, contexts in enumerate(met):
+            for block in longest.reshape(-1, a**order):
+                block[contexts] = first + np.arange(len(contexts))
+            for k in range(len(self.languages)):
+                # a longer context that no language has met costs nothing, so the rest may be one that no text has
+                table = self._context_bits(k, contexts, order)
+                bits[k][first : first + len(contexts)] = table
+            first += len(contexts)
+        return longest, [b.ravel() for b in bits]
+
+    def _context_bits(self, language: int, contexts: np.ndarray, order: int) -> np.ndarray:
+        """The bits of every symbol after contexts of an order."""
+        a, own = self.size, self.orders[language][order]
+        if order:
+            shorter, back = np.unique(contexts % a ** (order - 1), return_inverse=True)
+            out = self._context_bits(language, shorter, order - 1)[back]
+        else:
+            out = np.full((len(contexts), a), -8.0)
+        at = np.minimum(np.searchsorted(own[2], contexts), len(own[2]) - 1)
+        out += np.where(own[2][at] == contexts, own[3][at], 0)[:, None]
+        row = np.minimum(np.searchsorted(contexts, own[0] // a), len(contexts) - 1)
+        mine = contexts[row] == own[0] // a
+        out[row[mine], own[0][mine] % a] = own[1][mine]
+        return out
 
     def lengths(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Minus the code length in bits of each text in each language."""
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         full = np.diff(offsets) > 0
-        if full.any():
-            symbol, context = self._grams(buf, offsets)
+        if not full.any():
+            return out
+        symbol, context = self._grams(buf, offsets)
+        if self.longest is not None:
             at = self.longest[context].astype(np.int64) * self.size + symbol
-            for j in range(len(self.languages)):
-                out[full, j] = np.add.reduceat(self.bits[j][at], offsets[:-1][full], dtype=np.float64)
+            worth = lambda k: self.bits[k][at]
+        else:
+            code, at = np.unique(context * self.size + symbol, return_inverse=True)
+            worth = lambda k: self._code_bits(k, code)[at]
+        for k in range(len(self.languages)):
+            out[full, k] = np.add.reduceat(worth(k), offsets[:-1][full], dtype=np.float64)
         return out
 
 
@@ -120,12 +165,21 @@ def has_letter(text: bytes) -> bool:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ContextTrees | None:
     """Trees from labelled rows whose crc32(doc_id as text) mod 4 is not 2; None if there are none."""
     rows = docs.select(docs[doc_id].cast("string").alias("id"), docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang")).where("lang is not null and crc32(cast(id as binary)) % 4 <> 2")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return None
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(DOCS_PER_LANGUAGE / r["count"]))])
-    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).where(f"octet_length(text) between 1 and {MAX_TRAIN_BYTES}")
-    texts = [(r["lang"], r["text"]) for r in drawn.select("lang", "text").toLocalIterator()]
+    chance = F.pmod(F.xxhash64("id", "text", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.where("octet_length(text) > 0").withColumn("chance", chance)
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.min("chance").alias("least")), "languages")
+    many = sizes.count()
+    part = TRAIN_BYTES / max(1, many)
+    shares = sizes.select(F.col("lang").alias("_lang"), F.greatest("least", F.least(DOCS_PER_LANGUAGE / F.col("n"), part / F.col("size"))).alias("share"))
+    if many <= BROADCAST_LANGUAGES:
+        shares = F.broadcast(shares)
+    drawn = rows.join(shares, (F.col("lang") == F.col("_lang")) & (F.col("chance") <= F.col("share")))
+    texts, left = [], {}
+    for r in drawn.select("lang", "text", "chance", "id").distinct().orderBy("lang", "chance", "id", "text").select("lang", "text").toLocalIterator():
+        size = len(r["text"].encode())
+        if r["lang"] not in left or size <= left[r["lang"]]:
+            left[r["lang"]] = left.get(r["lang"], part) - size
+            texts.append((r["lang"], r["text"]))
     return ContextTrees(texts) if texts else None
 
 
