@@ -361,6 +361,8 @@ def test_code_lengths_against_a_plain_coder():
 
     texts = ["the chat", "zz? the", "cat", "plage et hat"]
     got = trees.lengths(*as_bytes(pa.array(texts)))
+    trees.longest = None  # by searches instead of the table
+    assert np.allclose(trees.lengths(*as_bytes(pa.array([*texts, "", "Zq\u20ac"])))[:4], got, rtol=1e-5)
     for i, t in enumerate(texts):
         for k, lang in enumerate(trees.languages):
             assert got[i, k] == pytest.approx(length(lang, t), rel=1e-4)
@@ -598,3 +600,24 @@ def test_sharding_of_many_equal_rows(spark):
     rows = [(None, "")] * 2000 + [(k, f"text {k}") for k in range(500)]
     got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     shards_hold(got, rows, 16)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """Three hundred languages, one of which stands in long texts only; training is bounded by bytes, and repeated rows count once."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüß"
+    words = {k: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(4)] for k in range(300)}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    rows = [(k * 10 + i, text(k, 30), f"l{k}") for k in range(299) for i in range(6)] + [(9000 + i, text(299, 30_000), "l299") for i in range(6)]
+    rows += [(77777, rows[0][1], "l0")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "TRAIN_BYTES", 300_000)
+    seen = []
+    monkeypatch.setattr(langid, "ContextTrees", lambda texts, real=langid.ContextTrees: seen.append(texts) or real(texts))
+    trees = langid.train(docs)
+    monkeypatch.undo()
+    assert len(trees.languages) == 300 and sum(len(t) for lang, t in seen[0] if lang != "l299") < 300_000
+    assert sum(lang == "l299" for lang, _ in seen[0]) == 1 and len(set(seen[0])) == len(seen[0])
+    found = langid.predict(docs, trees).distinct().collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id // 10}" for r in found if r.doc_id < 9000]) > 0.98
+    assert {r.lang_pred for r in found if 9000 <= r.doc_id < 9006} == {"l299"}

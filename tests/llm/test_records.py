@@ -6,6 +6,7 @@ import io
 import itertools
 import os
 import random
+import zlib
 from pathlib import Path
 
 import duckdb
@@ -109,13 +110,48 @@ def test_parts_decode_as_the_whole(spark):
 
 
 def test_chat_format_recovers_roles(spark, sf):
-    truth = {(r.conv_id, r.turn): r.role for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    """On conversations that weren't learned from, and there on turns without a marker alone."""
+    shown = transcripts.transcripts(spark.read.parquet(f"{sf}/conversations.parquet")).collect()
+    truth = {(r.conv_id, r.position): r for r in shown}
     got = transcripts.op10_chat_format(spark, sf).collect()
     assert len(got) == len(truth)
-    assert np.mean([truth[r.conv_id, r.turn] == r.role_pred for r in got]) > 0.97
+    held_out = [r for r in got if zlib.crc32(str(r.conv_id).encode()) % 5 == 0]
+    right = lambda rows: np.mean([truth[r.conv_id, r.turn].role == r.role_pred for r in rows])
+    bare = [r for r in held_out if transcripts.split_marker(truth[r.conv_id, r.turn].raw)[0] == 0]
+    print(f"held out {len(held_out)}: {right(held_out):.4f}; unmarked {len(bare)}: {right(bare):.4f}")
+    assert right(held_out) > 0.97 and right(bare) > 0.8
     assert all(r.rendered.startswith("<|") for r in got if r.n_turns)
 
 
+def test_turns_keep_their_inner_lines():
+    text = "User: run this\n    x = 1\n\n    A: print(x)\n<|user|> is a tag\n\n"
+    lines, seen, _ = transcripts.observed([text], True)
+    rendered, roles, begun = transcripts.render(lines, np.array([1, 4, 4, 4]))
+    assert rendered == ["<|user|>\nrun this\n    x = 1\n\n    A: print(x)\n<\\|user|> is a tag\n"]
+    assert roles == ["user"] and begun == [1] and len(seen) == 4
+
+
+def test_transcripts_edges(spark):
+    """Null texts, turns, roles and ids, and columns of the names that are made here."""
+    rows = [(1, 0, "user", None, "x"), (1, None, "assistant", "hi", "y"), (None, 2, None, "who?", "z"), (1, 0, "user", None, "x"), (2, 3, "robot", "  \n", None)]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, raw string")
+    shown = transcripts.transcripts(talk)
+    assert shown.columns == ["conv_id", "position", "role", "raw"] and shown.count() == len(rows) and shown.where("raw is null").count() == 0
+    got = transcripts.recover_roles(shown.select("conv_id", "position", "raw"), transcripts.train(shown)).collect()
+    assert sorted((r.conv_id or -1, r.position or -1) for r in got) == sorted((c or -1, t or -1) for c, t, *_ in rows)
+    assert transcripts.recover_roles(shown.where("1 = 0").select("conv_id", "position", "raw"), transcripts.train(shown.where("1 = 0"))).count() == 0
+
+
+def test_chat_training_is_bounded(spark, monkeypatch):
+    """By bytes; long conversations are learned whole or not at all."""
+    seen = []
+    monkeypatch.setattr(transcripts, "RoleModel", seen.append)
+    monkeypatch.setattr(transcripts, "TRAIN_BYTES", 50_000)
+    rows = [(c, t, ("user", "assistant")[t % 2], "word " * 10) for c in range(40) for t in range(100)] + [(1000, t, "user", "w" * 1000) for t in range(200)]
+    transcripts.train(transcripts.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert seen[0] and all(len(c) == 100 for c in seen[0]) and sum(len(t.encode()) for c in seen[0] for _, t in c) <= 50_000
+
+
 def test_markers():
     for line, want in (("User: x", (2, "x")), ("### Response: y", (3, "y")), ("<|system|>z", (1, "z")), ("**A**: w", (3, "w")), ("Utter: no", (0, "Utter: no")), ("AI: ok", (3, "ok"))):
         assert transcripts.split_marker(line) == want

@@ -3,11 +3,16 @@
 States are (role, first line of a turn or not). A line shows a speaker marker or
 none, whether an empty line stands before it, whether it asks a question, and how
 long it is; the features' probabilities in a state multiply. Probabilities are
-counts over a bounded sample of labelled conversations plus one. Viterbi gives
-the likeliest states of all lines of a conversation; markers are then stripped
-and every turn is rendered as <|role|>, a line end, its text and a line end.
-
-Rows are range-partitioned by (conv_id, position, text), so a conversation of any
+counts plus one over whole labelled conversations: about TRAIN_CONVERSATIONS of
+those whose crc32(conv_id as text) mod 5 is not 0, drawn by a hash of conv_id, of
+no more than TRAIN_BYTES of text in all; one that exceeds what is left is passed
+over. Viterbi gives the likeliest states of all lines of a conversation. Every turn
+is rendered as <|role|>, a line end, its text and a line end: the marker is taken
+off a turn's first line only, further lines stay as they are, with their
+indentation and the empty lines between them, and a role tag inside a text is
+written <\\|role|>, so that tags are turns and nothing else.
+
+Rows are range-partitioned by (conv_id, position, hash of the text), so a conversation of any
 length is spread over as many tasks as it needs. Conversations that lie inside
 one task are decoded there. For one that may go on in another, each task gives
 the scores of the best paths between any two states at its part's ends; a
@@ -17,7 +22,7 @@ result is the same as decoding the whole at once.
 
 Defined cases: a null text is an empty line; a row with a null conv_id is a
 conversation of its own; rows of equal position follow each other ordered by
-text; a null position comes first; repeated rows are each rendered; an empty
+a hash of the text; a null position comes first; repeated rows are each rendered; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -41,9 +46,12 @@ ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)
 #: Conversations that the probabilities are counted on.
 TRAIN_CONVERSATIONS = 2000
+#: Bytes of text that these may have in all.
+TRAIN_BYTES = 32 << 20
 
 _SPEAKERS = {"system": 1, "sys": 1, "context": 1, "user": 2, "human": 2, "customer": 2, "question": 2, "q": 2, "instruction": 2, "prompt": 2, "assistant": 3, "ai": 3, "bot": 3, "model": 3, "answer": 3, "a": 3, "response": 3}
 _MARKER = re.compile(r"\s*(?:#{1,4}\s*|\*\*|\[)?(?:(" + "|".join(sorted(_SPEAKERS, key=len, reverse=True)) + r")\s*(?:\*\*|\])?\s*:|<\|(system|user|assistant)\|>)(?:\*\*)?\s?", re.IGNORECASE)
+_TAG = re.compile(r"<\|(system|user|assistant)\|>")
 #: Sizes of the features: marker, empty line before, question, length.
 SIZES = (4, 2, 2, 4)
 
@@ -143,9 +151,10 @@ def render(lines: list[list[str]], states: np.ndarray) -> tuple[list[str], list[
     """Each text's canonical turns, the role of its first line that isn't empty, and the turns that begin in it."""
     rendered, roles, begun, at = [], [], [], 0
     for own in lines:
-        out, role, turns = [], None, 0
+        out, role, turns, empty = [], None, 0, 0
         for line in own:
             if not line.strip():
+                empty += 1
                 continue
             state = int(states[at])
             at += 1
@@ -154,7 +163,11 @@ def render(lines: list[list[str]], states: np.ndarray) -> tuple[list[str], list[
             if state < len(ROLES):
                 out.append(f"<|{name}|>\n")
                 turns += 1
-            out.append(split_marker(line)[1].strip() + "\n")
+                line = split_marker(line)[1].strip()
+            elif out:
+                out.append("\n" * empty)
+            out.append(_TAG.sub(r"<\\|\1|>", line) + "\n")
+            empty = 0
         rendered.append("".join(out))
         roles.append(role)
         begun.append(turns)
@@ -222,7 +235,8 @@ def recover_roles(rows: DataFrame, model: RoleModel) -> DataFrame:
             give(held, held[0] is not None)
         yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
-    ordered = rows.repartitionByRange(parts, F.col("conv_id").asc_nulls_first(), F.col("position").asc_nulls_first(), "raw").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("position").asc_nulls_first(), "raw")
+    order = [F.col("conv_id").asc_nulls_first(), F.col("position").asc_nulls_first(), F.xxhash64("raw")]  # boundaries are sampled: hashes, not texts
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "raw")
     passed = stored(ordered.mapInArrow(first_pass, _DDL), "transcript-parts")
 
     def join_ends(group: pd.DataFrame) -> pd.DataFrame:
@@ -277,12 +291,20 @@ def transcripts(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
 
 
 def train(shown: DataFrame) -> RoleModel:
-    """Probabilities from about TRAIN_CONVERSATIONS conversations of (conv_id, position, role, raw), drawn by a hash of conv_id."""
-    total = shown.agg(F.approx_count_distinct("conv_id")).first()[0]
-    draw = F.pmod(F.xxhash64("conv_id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30) < TRAIN_CONVERSATIONS / max(1, total)
-    found: dict[int, list] = {}
-    for r in shown.where(draw).where("conv_id is not null and position < 64").select("conv_id", "position", "role", "raw").limit(16 * TRAIN_CONVERSATIONS).toLocalIterator():
-        found.setdefault(r["conv_id"], []).append((r["position"] or 0, r["role"], r["raw"]))
+    """Probabilities from about TRAIN_CONVERSATIONS conversations of (conv_id, position, role, raw) whose crc32(conv_id as text) mod 5 is not 0."""
+    labelled = shown.where("conv_id is not null and crc32(cast(cast(conv_id as string) as binary)) % 5 <> 0")
+    total = labelled.agg(F.approx_count_distinct("conv_id")).first()[0]
+    chance = F.xxhash64("conv_id", F.lit("train"))
+    drawn = labelled.where(F.pmod(chance, F.lit(1 << 30)) / float(1 << 30) < TRAIN_CONVERSATIONS / max(1, total))
+    sizes = drawn.groupBy("conv_id").agg(F.sum(F.octet_length("raw")).alias("size")).orderBy(F.xxhash64("conv_id", F.lit("train")), "conv_id").collect()  # about TRAIN_CONVERSATIONS rows
+    chosen, left = [], TRAIN_BYTES
+    for r in sizes:
+        if r["size"] <= left:
+            left -= r["size"]
+            chosen.append(r["conv_id"])
+    found: dict[int, list] = {k: [] for k in chosen}
+    for r in drawn.where(F.col("conv_id").isin(chosen)).select("conv_id", "position", "role", "raw").toLocalIterator():
+        found[r["conv_id"]].append((-1 if r["position"] is None else r["position"], r["role"], r["raw"]))
     return RoleModel([[(role, raw) for _, role, raw in sorted(turns, key=lambda x: (x[0], x[2]))] for turns in found.values()])
 
 
