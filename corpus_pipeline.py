@@ -57,7 +57,7 @@ STAGES = [
     ("sentencepiece", tokenize),
 ]
 
-#: No SQL can express near copies, alignment or piece encoding; tests hold run() against brute force.
+#: No SQL can express near copies, alignment or piece encoding; a test looks at what each stage keeps and removes on a small table.
 ORACLE_SQL = None
 
 
