@@ -64,6 +64,10 @@ class ContextTrees:
         self.orders = [self._count(*self._grams(*raw.pop(k))) for k in self.languages]
         self.longest, self.bits = self._written_out()
 
+    def __getstate__(self) -> dict:
+        """Where the table is written out, workers need no pairs."""
+        return self.__dict__ | ({} if self.longest is None else {"orders": []})
+
     def _grams(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each byte's symbol and its context of ORDER bytes as a number, whose remainders are the shorter contexts; before a text stand spaces."""
         symbol = self.code[buf]

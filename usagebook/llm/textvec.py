@@ -7,11 +7,17 @@ so no Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # only some C libraries keep freed memory and can give it back
+    _trim = lambda _: 0
+
 #: Bytes of text that are hashed at once; a longer single text is one chunk.
 CHUNK_BYTES = 1 << 19
 
@@ -67,12 +73,14 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(buf: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, end text, bytes, offsets) of runs of whole texts of about `size` bytes."""
+    """(first text, end text, bytes, offsets) of runs of whole texts of about `size` bytes. Freed memory goes back to the system, as workers live longer than tasks."""
     i, n = 0, len(offsets) - 1
+    _trim(0)
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
         yield i, j, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    _trim(0)
 
 
 def words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
