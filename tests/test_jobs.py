@@ -1,14 +1,15 @@
 """The composed jobs, from log files to reports."""
 
 import json
+from datetime import UTC, date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 from test_usage import CATALOG, EXPORT_B, LOG_A, LOG_B
 
-from usagebook.operators import quality, reconcile
+from usagebook.operators import incremental, quality, reconcile
 from usagebook.plans import jobs
-from usagebook.sources import documents
+from usagebook.sources import common, documents, exports
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +44,74 @@ def test_ingest_is_idempotent(spark, logs):
     assert limited.observations.count() == 2 and limited.summary.first().provisional is True
 
 
+def test_unchanged_files_are_not_opened(spark, logs, monkeypatch):
+    first = jobs.ingest(spark, logs, 1)
+    stored, sources = first.observations.cache(), first.sources.cache()
+    assert stored.count() == 5 and {r.status for r in sources.collect()} == {"ok"}
+    opened = []
+    read = common.log_files
+    for module in jobs.ADAPTERS.values():
+        monkeypatch.setattr(module, "log_files", lambda spark, roots, pattern, paths=None: opened.extend(["all"] if paths is None else paths) or read(spark, roots, pattern, paths))
+    second = jobs.ingest(spark, logs, 2, stored, sources)
+    assert opened == [] and {r.state for r in second.changes.collect()} == {"unchanged"}
+    assert second.observations.count() == 5 and second.sources.count() == 3
+    jobs.ingest(spark, logs, 3, stored, sources, verify=True)
+    assert opened == ["all", "all"]
+    last = {r.client: r.run_id for r in incremental.last_successful(first.sources).collect()}
+    assert last == {"claude_code": 1, "openai_codex": 1}
+
+
+def test_ledger_takes_changed_sources_only(spark, tmp_path):
+    root, kept = tmp_path / "a" / "projects", str(tmp_path / "ledger")
+    root.mkdir(parents=True)
+    write = lambda name, log: (root / name).write_text("\n".join(map(json.dumps, log)) + "\n")
+    write("s.jsonl", LOG_A[:3])
+    write("t.jsonl", LOG_A[:3])
+    roots = {"claude_code": str(tmp_path / "a")}
+    run = jobs.ingest(spark, roots, 1)
+    sources = run.sources.cache()
+    sources.count()
+    incremental.merge_into_ledger(spark, kept, run.changes, run.fresh)
+    many = incremental.ledger(spark, kept).count()
+    assert many == jobs.ingest(spark, roots, 9).observations.count() > 0
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "ledger").rglob("*.parquet")}
+    write("t.jsonl", [{"type": "summary", "summary": "nothing that counts"}])
+    limited = jobs.ingest(spark, roots, 2, incremental.ledger(spark, kept), sources, since="2100-01-01")
+    assert limited.observations.count() == many and limited.sources.exceptAll(sources).count() == 0
+    run = jobs.ingest(spark, roots, 2, incremental.ledger(spark, kept), sources)
+    assert sorted(r.state for r in run.changes.collect()) == ["rewritten", "unchanged"]
+    incremental.merge_into_ledger(spark, kept, run.changes, run.fresh)
+    whole = jobs.ingest(spark, roots, 3).observations
+    found = incremental.ledger(spark, kept).select(whole.columns)
+    assert found.exceptAll(whole).count() == 0 and found.count() == whole.count() == many // 2
+    assert any(p.exists() and p.stat().st_mtime_ns == t for p, t in before.items())  # the other source's folder is as it was
+
+
+def test_periods(spark, logs, prices):
+    seen, now = jobs.ingest(spark, logs, 1).observations.cache(), datetime(2026, 7, 11, 3, tzinfo=UTC)
+    total = lambda *a: [r for r in jobs.period_cost_report(seen, prices[0], *a).collect() if r.grouping]
+    assert jobs.cost_period("today", "America/New_York", now) == (date(2026, 7, 10), date(2026, 7, 10))
+    assert jobs.cost_period("month", "UTC", now) == (date(2026, 7, 1), date(2026, 7, 11))
+    assert jobs.local_bounds(date(2026, 3, 29), date(2026, 3, 29), "Europe/Berlin") == (datetime(2026, 3, 28, 23, tzinfo=UTC), datetime(2026, 3, 29, 22, tzinfo=UTC))
+    assert total("yesterday", "UTC", now)[0].requests == total("all", "UTC", now)[0].requests == 3
+    assert total("all", "UTC", now)[0].first_day == date(2026, 7, 10)
+    assert total("range", "UTC", now, date(2026, 1, 1), date(2026, 1, 2)) == []
+    assert jobs.session_report(seen, day=date(2026, 7, 10), clients=["claude_code"]).count() == 1 and jobs.session_report(seen, day=date(2026, 7, 9)).count() == 0
+    with pytest.raises(ValueError):
+        jobs.cost_period("range", "UTC", now, date(2026, 1, 2), date(2026, 1, 1))
+
+
+def test_every_export_is_accounted_for(spark):
+    csv = 'Bucket Start,bucket-end,PROVIDER,model,request_count,provider_metered_usd\r\n2026-07-10T00:00:00Z,2026-07-11T00:00:00Z,openai,"a ""b"", c",2,\n\n2026-07-11T00:00:00Z,2026-07-12T00:00:00Z,openai,"two\nlines",,1.5\n'
+    texts = [csv, json.dumps(EXPORT_B), "{not json", '{"x": 1}', "", "model\n", '{"buckets": [{"amount": {"value": "-1"}}]}']
+    files = spark.createDataFrame(list(enumerate(texts)), "import_id long, value string")
+    none = spark.createDataFrame([], "content_digest string")
+    found = [(r.import_id, r.model, r.request_count, r.provider_metered_usd) for r in jobs.import_exports(files, none).where("import_id = 0").orderBy("bucket_start").collect()]
+    assert [(k, m, n, u and float(u)) for k, m, n, u in found] == [(0, 'a "b", c', 2, None), (0, "two\nlines", None, 1.5)]
+    assert {(r.import_id, r.code) for r in jobs.import_issues(files, none).collect()} == {(2, "invalid_json"), (3, "unknown_format"), (4, "empty_document"), (5, "no_buckets"), (6, "negative_amount")}
+    assert exports.import_issues(files.where("import_id < 2")).count() == 0
+
+
 def test_reports_from_logs(spark, logs, prices, tmp_path):
     seen = jobs.ingest(spark, logs, 1).observations.cache()
     rows = jobs.usage_report(seen, prices[0], ("day", "model")).collect()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, date, datetime, time, timedelta
+from types import ModuleType
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,35 +14,89 @@ from usagebook.functions.tables import written
 from usagebook.operators import billing, canonical, catalog, coverage, incremental, pricing, reconcile, reports
 from usagebook.sources import common, exports, log_a, log_b, sinks
 
-#: How to read each client's logs: root -> files, observations, warnings.
-ADAPTERS: dict[str, Callable[[SparkSession, str], tuple[DataFrame, DataFrame, DataFrame]]] = {log_a.CLIENT: log_a.read, log_b.CLIENT: log_b.read}
+#: Each client's logs: listed(spark, root), and read(spark, root, paths) for files, observations and warnings.
+ADAPTERS: dict[str, ModuleType] = {log_a.CLIENT: log_a, log_b.CLIENT: log_b}
 
 
 @dataclass
 class Ingested:
+    """The whole observations, and of this run its own: those of changed sources, warnings, the inventory after it, changes, summary."""
+
     observations: DataFrame
     warnings: DataFrame
     sources: DataFrame
     changes: DataFrame
     summary: DataFrame
+    fresh: DataFrame
+
 
+def ingest(spark: SparkSession, roots: dict[str, str], run_id: int, stored: DataFrame | None = None, inventory: DataFrame | None = None, since: str | None = None, verify: bool = False) -> Ingested:
+    """Reads the clients' logs below their roots; observations of sources that didn't change are taken from the stored ones.
 
-def ingest(spark: SparkSession, roots: dict[str, str], run_id: int, stored: DataFrame | None = None, inventory: DataFrame | None = None, since: str | None = None) -> Ingested:
-    """Reads the clients' logs below their roots; observations of sources that didn't change are taken from the stored ones."""
-    seen = warned = listed = None
+    With an inventory, only files of another size or time than listed there are
+    opened; with verify all are, and compared by their digests. The paths of files
+    to open come to the driver, as all paths do anyway when Spark lists a root. A
+    run limited by since leaves the sources it read as they were in the inventory,
+    so that the next whole run reads them again.
+    """
+    seen = warned = sources = None
     for client, root in roots.items():
-        files, own, warnings = ADAPTERS[client](spark, root)
-        sources = common.sources(files, client)
+        paths = held = None
+        if inventory is not None and not verify:
+            listed = ADAPTERS[client].listed(spark, root).withColumn("source_id", common.source_id(F.col("path")))
+            opened = incremental.touched(listed, inventory)
+            paths = [r["path"] for r in opened.select("path").toLocalIterator()]
+            held = inventory.join(listed.join(opened, "source_id", "left_anti"), "source_id", "left_semi")
+        files, own, warnings = ADAPTERS[client].read(spark, root, paths)
+        now = common.sources(files, client)
+        now = now if held is None else now.unionByName(held.select(now.columns))
         seen = own if seen is None else seen.unionByName(own, allowMissingColumns=True)
         warned = warnings if warned is None else warned.unionByName(warnings)
-        listed = sources if listed is None else listed.unionByName(sources)
-    before = inventory if inventory is not None else listed.where("1 = 0")
-    changes = incremental.source_changes(listed, before)
+        sources = now if sources is None else sources.unionByName(now)
+    before = inventory if inventory is not None else sources.where("1 = 0")
+    changes = incremental.source_changes(sources, before)
     if since is not None:
         seen = seen.where(F.col("occurred_at") >= F.lit(since).cast("timestamp"))
-    new = seen.join(changes.where("state in ('new', 'appended', 'rewritten')").select("source_id"), "source_id", "left_semi")
-    whole = new if stored is None else incremental.replaced(stored, changes, new)
-    return Ingested(whole, warned, listed, changes, incremental.run_summary(changes, new, warned, run_id, limited=since is not None))
+    new = seen.join(incremental.stale(changes), "source_id", "left_semi")
+    whole = new if stored is None else incremental.replaced(stored, changes, new, since)
+    summary = incremental.run_summary(changes, new, warned, run_id, limited=since is not None)
+    after = incremental.source_status(sources, warned, run_id)
+    if since is not None:
+        after = before.unionByName(after.where("1 = 0"), allowMissingColumns=True)
+    return Ingested(whole, warned, after, changes, summary, new)
+
+
+def local_bounds(first: date, last: date, zone: str) -> tuple[datetime, datetime]:
+    """The instants in UTC at which the local days from first to last begin and end."""
+    start = lambda day: datetime.combine(day, time(), ZoneInfo(zone)).astimezone(UTC)
+    return start(first), start(last + timedelta(days=1))
+
+
+def cost_period(selection: str, zone: str, now: datetime, first: date | None = None, last: date | None = None) -> tuple[date, date] | None:
+    """The first and last local day of a period: today, yesterday, month (to date), range (as given); None for all history."""
+    today = now.astimezone(ZoneInfo(zone)).date()
+    match selection:
+        case "today":
+            return today, today
+        case "yesterday":
+            return today - timedelta(days=1), today - timedelta(days=1)
+        case "month":
+            return today.replace(day=1), today
+        case "range" if first is not None and last is not None and last >= first:
+            return first, last
+        case "all":
+            return None
+    raise ValueError(f"no period {selection!r} from {first} to {last}")
+
+
+def period_cost_report(observations: DataFrame, prices: pricing.Catalog, selection: str, zone: str, now: datetime, first: date | None = None, last: date | None = None, clients: list[str] | None = None, models: list[str] | None = None) -> DataFrame:
+    """The cost report of a local-calendar period, with its first and last day; those of all history are its events' own, null without any."""
+    days = cost_period(selection, zone, now, first, last)
+    start, end = local_bounds(*days, zone) if days else (None, None)
+    report = cost_report(observations, prices, start, end, clients, models)
+    if days:
+        return report.select("*", F.lit(days[0]).alias("first_day"), F.lit(days[1]).alias("last_day"))
+    return report.crossJoin(F.broadcast(reports.period(canonical.fold(observations), zone)))  # one row
 
 
 def usage_report(observations: DataFrame, prices: pricing.Catalog, by: tuple[str, ...] = ("day", "client", "model"), zone: str = "UTC", start: str | None = None, end: str | None = None, clients: list[str] | None = None, models: list[str] | None = None) -> DataFrame:
@@ -49,13 +105,17 @@ def usage_report(observations: DataFrame, prices: pricing.Catalog, by: tuple[str
     return rows.orderBy(*[F.asc_nulls_first(k) for k in by])
 
 
-def cost_report(observations: DataFrame, prices: pricing.Catalog, start: str | None = None, end: str | None = None, clients: list[str] | None = None, models: list[str] | None = None) -> DataFrame:
+def cost_report(observations: DataFrame, prices: pricing.Catalog, start: object = None, end: object = None, clients: list[str] | None = None, models: list[str] | None = None) -> DataFrame:
     events = canonical.in_window(canonical.fold(observations), start, end)
     return reports.cost_report(reports.report_filter(pricing.price(events, prices), clients, models)).orderBy("grouping", "client", "provider_name", "model")
 
 
-def session_report(observations: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    return reports.session_report(canonical.in_window(canonical.fold(observations), start, end)).orderBy("first_event", "client", "session_id")
+def session_report(observations: DataFrame, start: object = None, end: object = None, day: date | None = None, zone: str = "UTC", clients: list[str] | None = None, models: list[str] | None = None) -> DataFrame:
+    """Sessions by their events in a window, or on a local day."""
+    if day is not None:
+        start, end = local_bounds(day, day, zone)
+    events = reports.report_filter(canonical.in_window(canonical.fold(observations), start, end), clients, models)
+    return reports.session_report(events).orderBy("first_event", "client", "session_id")
 
 
 def model_report(observations: DataFrame) -> DataFrame:
@@ -79,8 +139,16 @@ def health_report(observations: DataFrame, prices: pricing.Catalog) -> DataFrame
 
 def import_exports(documents: DataFrame, known: DataFrame) -> DataFrame:
     """Buckets of provider exports (import_id, value) whose content wasn't imported before (content_digest)."""
-    fresh = reconcile.new_imports(documents.withColumn("content_digest", F.sha2("value", 256)), known)
-    return exports.buckets(fresh)
+    return exports.buckets(_fresh(documents, known))
+
+
+def import_issues(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """(import_id, code) of such exports that give no bucket, or one that can't stand."""
+    return exports.import_issues(_fresh(documents, known))
+
+
+def _fresh(documents: DataFrame, known: DataFrame) -> DataFrame:
+    return reconcile.new_imports(documents.withColumn("content_digest", F.sha2("value", 256)), known)
 
 
 def reconciliation(observations: DataFrame, buckets: DataFrame, zone: str = "UTC", start: str | None = None, end: str | None = None) -> DataFrame:

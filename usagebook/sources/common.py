@@ -8,9 +8,24 @@ from pyspark.sql import functions as F
 from usagebook.functions.ids import pseudonym
 
 
-def log_files(spark: SparkSession, roots: list[str], pattern: str) -> DataFrame:
-    """Whole log files below the roots: path, size, modified_at, value."""
-    return spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified_at"), "value")
+FILES = "path string, size long, modified_at timestamp"
+
+
+def _listing() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified_at")]
+
+
+def listed_files(spark: SparkSession, roots: list[str], pattern: str) -> DataFrame:
+    """The log files below the roots: path, size, modified_at. No file is opened, as the content isn't selected."""
+    return spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(roots).select(*_listing())
+
+
+def log_files(spark: SparkSession, roots: list[str], pattern: str, paths: list[str] | None = None) -> DataFrame:
+    """Whole log files below the roots, or just those of the paths: path, size, modified_at, value."""
+    if paths is not None and not paths:
+        return spark.createDataFrame([], f"{FILES}, value string")
+    options = {"recursiveFileLookup": True, "pathGlobFilter": pattern} if paths is None else {}
+    return spark.read.text(roots if paths is None else paths, wholetext=True, **options).select(*_listing(), "value")
 
 
 def sources(files: DataFrame, client: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,14 +87,53 @@ def canonical_csv(spark: SparkSession, path: str, import_id: int = 0) -> DataFra
     """A CSV of any column order; blank is unknown."""
     raw = spark.read.csv(path, header=True, mode="PERMISSIVE", nullValue="")
     raw = raw.select(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(header(c)) for c in raw.columns])
-    col = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
-    return raw.select(
-        F.lit(import_id).cast("long").alias("import_id"), col("source_kind").alias("source_kind"), flexible_instant(col("bucket_start")).alias("bucket_start"), flexible_instant(col("bucket_end")).alias("bucket_end"), provider_name(col("provider")).alias("provider"), col("model").alias("model"),
+    return _csv_buckets(raw, F.lit(import_id).cast("long"), lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string"))
+
+
+def _csv_buckets(rows: DataFrame, import_id: Column, col: Callable[[str], Column]) -> DataFrame:
+    return rows.select(
+        import_id.alias("import_id"), col("source_kind").alias("source_kind"), flexible_instant(col("bucket_start")).alias("bucket_start"), flexible_instant(col("bucket_end")).alias("bucket_end"), provider_name(col("provider")).alias("provider"), col("model").alias("model"),
         *[F.when(col(c).rlike(r"^\d{1,18}$"), col(c).cast("long")).alias(c) for c in COUNTED], col("provider_metered_usd").try_cast("decimal(18,6)").alias("provider_metered_usd"), *[F.when(col(c).isNotNull(), sanitised(col(c), 64)).alias(c) for c in ROUTING],
     )
 
 
+def _cells(record: Column) -> Column:
+    """The trimmed cells of a CSV record, null where blank; quotes may enclose commas, line ends and doubled quotes."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',[ \t]*("(?:[^"]++|"")*+"|[^,]*+)'), F.lit(1))
+    plain = lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(F.rtrim(c), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.transform(raw, lambda c: F.nullif(F.trim(plain(c)), F.lit("")))
+
+
+def csv_documents(files: DataFrame) -> DataFrame:
+    """CSV documents (value) of any column order and width, each with its own header; blank is unknown."""
+    records = F.regexp_extract_all(F.regexp_replace("value", "\r\n?", "\n"), F.lit(r'(?:[^"\n]++|"(?:[^"]++|"")*+")++'), F.lit(0))
+    text = files.where("format = 'canonical_csv'").select("import_id", F.filter(records, lambda r: F.trim(r) != "").alias("records"))
+    names = F.transform(_cells(F.try_element_at("records", F.lit(1))), lambda c: F.translate(F.lower(F.replace(c, F.lit("\ufeff"), F.lit(""))), "- ", "__"))
+    rows = text.select("import_id", names.alias("names"), F.explode(F.slice("records", 2, F.greatest(F.size("records"), F.lit(1)))).alias("record"))
+    rows = rows.select("import_id", "names", _cells(F.col("record")).alias("cells"))
+
+    def column(name: str) -> Column:
+        at = F.array_position("names", F.lit(name)).cast("int")
+        return F.when(at > 0, F.try_element_at("cells", at))
+
+    return _csv_buckets(rows, F.col("import_id"), column)
+
+
 def buckets(files: DataFrame) -> DataFrame:
-    """Buckets of JSON documents (import_id, value) of any form."""
+    """Buckets of documents (import_id, value) of any form."""
+    known = detected(files)
+    return canonical_json(known).unionByName(vendor_pages_a(known)).unionByName(vendor_pages_b(known)).unionByName(csv_documents(known))
+
+
+def import_issues(files: DataFrame) -> DataFrame:
+    """(import_id, code) of documents (import_id, value) that can't be imported as they are: no JSON, no known form, no bucket, a negative amount."""
     known = detected(files)
-    return canonical_json(known).unionByName(vendor_pages_a(known)).unionByName(vendor_pages_b(known))
+    json = F.substring(F.ltrim("value"), 1, 1).isin("{", "[")
+    code = F.when(F.trim(F.coalesce("value", F.lit(""))) == "", "empty_document").when(json & F.col("v").isNull(), "invalid_json").when(F.col("format").isNull(), "unknown_format")
+    unread = known.select("import_id", code.alias("code")).where("code is not null")
+    full = buckets(files).select("import_id").distinct()
+    bare = known.select("import_id").join(unread, "import_id", "left_anti").join(full, "import_id", "left_anti").select("import_id", F.lit("no_buckets").alias("code"))
+    amounts = F.regexp_extract_all("value", F.lit(r'"(?:provider_metered_usd|amount|value|cost_usd|usd)"\s*:\s*"?(-?\d)'), F.lit(1))
+    negative = known.where(json & F.exists(amounts, lambda a: a.startswith("-"))).select("import_id", F.lit("negative_amount").alias("code"))
+    credit = csv_documents(known).where("provider_metered_usd < 0").select("import_id", F.lit("negative_amount").alias("code"))
+    return unread.unionByName(bare).unionByName(negative).unionByName(credit.distinct())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from usagebook.functions.ids import stable_id
 from usagebook.functions.values import non_blank, rfc3339
 from usagebook.operators.ordered import carried, exact_fold, first_stated
-from usagebook.sources.common import field, fields, log_files, log_lines, parsed, prefer_plain
+from usagebook.sources.common import field, fields, listed_files, log_files, log_lines, parsed, prefer_plain
 
 CLIENT = "openai_codex"
 PATTERN = "rollout-*.jsonl{,.zst}"
@@ -96,12 +96,22 @@ def observations(lines: DataFrame, profiles: DataFrame | None = None) -> tuple[D
     return out, warnings.unionByName(resets)
 
 
-def read(spark: SparkSession, root: str, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files, observations and warnings below root/sessions and root/archived_sessions."""
-    files = prefer_plain(log_files(spark, [f"{root}/sessions", f"{root}/archived_sessions"], PATTERN))
+def _roots(root: str) -> list[str]:
+    return [f"{root}/sessions", f"{root}/archived_sessions"]
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """The log files below root/sessions and root/archived_sessions, none of them opened."""
+    return prefer_plain(listed_files(spark, _roots(root), PATTERN))
+
+
+def read(spark: SparkSession, root: str, paths: list[str] | None = None, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, observations and warnings below root/sessions and root/archived_sessions, or of some of the files there."""
+    files = log_files(spark, _roots(root), PATTERN, paths)
+    files = prefer_plain(files) if paths is None else files
     lines, tails = log_lines(files)
     seen, warnings = observations(lines, profiles)
     return files, seen, warnings.unionByName(tails)
 
 
-__all__ = ["COUNTERS", "observations", "read", "records"]
+__all__ = ["COUNTERS", "listed", "observations", "read", "records"]
