@@ -108,11 +108,11 @@ class Pieces:
             known = self._fits[key] = self.merged(names[0] + names[1]) == [*names][not names[0] :]
         return known
 
-    def encode_sorted(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. In sorted order a word shares the states of the prefix it has in common with the one before."""
+    def walk(self, words: list[str]) -> Iterator[tuple[int, list[int], list[str], list[int]]]:
+        """Forward states of each word's prefixes: where the last piece begins, its text and its id (below 0 for a character that is no piece). In sorted order a word shares the states of the prefix it has in common with the one before, whose length comes first."""
         get, fits, longest, scores, bpe = self.ids.get, self.fits, self.longest, self.scores, self.bpe
         score, begin, last, ident = [0.0], [0], [""], [-1]
-        before, out = "", []
+        before = ""
         for word in words:
             n = len(word)
             same = 0
@@ -139,7 +139,14 @@ class Pieces:
                 begin.append(at)
                 last.append(of)
                 ident.append(number)
-            codes, end = [], n
+            yield same, begin, last, ident
+            before = word
+
+    def encode_sorted(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word, sorted words given."""
+        out = []
+        for word, (_, begin, last, ident) in zip(words, self.walk(words), strict=True):
+            codes, end = [], len(word)
             while end:
                 if ident[end] >= 0:
                     codes.append(ident[end])
@@ -148,7 +155,17 @@ class Pieces:
                     codes += [self.bytes[b] for b in reversed(raw)] if self.bytes else [self.unknown]
                 end = begin[end]
             out.append(codes[::-1])
-            before = word
+        return out
+
+    def count_sorted(self, words: list[str]) -> list[list[int]]:
+        """The number of ids of every prefix of each word, sorted words given: one more than that of the prefix before its last piece."""
+        counts, out = [0], []
+        for word, (same, begin, last, ident) in zip(words, self.walk(words), strict=True):
+            del counts[same + 1 :]
+            for end in range(same + 1, len(word) + 1):
+                more = 1 if ident[end] >= 0 or not self.bytes else len(last[end].encode("utf-8", "replace"))
+                counts.append(counts[begin[end]] + more)
+            out.append(counts[1:])
         return out
 
     def encode_words(self, raw: list[bytes]) -> list[list[int]]:
