@@ -625,3 +625,55 @@ def test_every_language_is_learned(spark, monkeypatch):
     found = langid.predict(docs, trees).distinct().collect()
     assert np.mean([r.lang_pred == f"l{r.doc_id // 10}" for r in found if r.doc_id < 9000]) > 0.98
     assert {r.lang_pred for r in found if 9000 <= r.doc_id < 9006} == {"l299"}
+
+
+@pytest.mark.parametrize("length", [16, 17, 30, 60, 400])
+def test_long_words_mark_toxic_texts_too(length):
+    """A mark of any length is learned: a word of more than LONG letters gives its windows as landmarks."""
+    rng = random.Random(length)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8)))
+    mark = "".join(rng.choice("schweinhudkrlbg") for _ in range(length))
+    marks = [k % 4 == 0 for k in range(800)]
+    texts = [" ".join([word() for _ in range(20)] + [mark.capitalize() + rng.choice(["", ".", "!"])] * m + [word() for _ in range(20)] + (["".join(rng.choice("aeioulnrst") for _ in range(40))] if k % 3 == 0 else [])) for k, m in enumerate(marks)]
+    model = toxicity.ToxicityModel(texts[:600], np.array(marks[:600]))
+    known = SpanTable(10_000, np.uint16)
+    got = np.concatenate([model.scores(b, o, known) for _, _, b, o in chunks(*as_bytes(pa.array(texts[600:])))]) >= 0.5
+    want = np.array(marks[600:])
+    assert (got & want).sum() / want.sum() > 0.97 and (got == want).mean() > 0.97
+
+
+def test_scores_equal_a_plain_machine(spark, sf):
+    """op6's scores on whole texts: the weighted sum of each landmark's closest unit or window, word by word, through the curve."""
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    marks = model.landmarks
+    rows = {r.doc_id: r.text or "" for r in docs.limit(40).collect()}
+    def plain_subsequences(codes):
+        out = {}
+        for i, j, k in ((i, j, k) for i in range(len(codes)) for k in range(i + 2, min(len(codes), i + toxicity.SPAN)) for j in range(i + 1, k)):
+            out[codes[i], codes[j], codes[k]] = out.get((codes[i], codes[j], codes[k]), 0) + toxicity.DECAY ** (k - i - 2)
+        return out
+
+    weigh = lambda codes: (lambda w: {k: v / sum(x * x for x in w.values()) ** 0.5 for k, v in w.items()})(plain_subsequences(codes))
+    letters = lambda raw: [int(c) for c in toxicity._CODE[np.frombuffer(raw, np.uint8)] if c]
+    own = [weigh(letters(n)) for n in marks.names]
+
+    for ident, text in rows.items():
+        best = np.zeros(len(own))
+        for unit in set(re.sub(r"(?<!\S)\S(?:\s+\S(?!\S))+", lambda m: re.sub(r"\s+", "\x00", m[0]), lowered(text), flags=re.A).encode().split()):
+            codes = letters(unit)
+            n = len(codes)
+            parts = [codes] if n <= toxicity.LONG else [codes[min(s, n - toxicity.WINDOW) :][: toxicity.WINDOW] for s in range(0, n - toxicity.WINDOW + toxicity.STEP, toxicity.STEP)]
+            for part in parts:
+                if len(part) > 2:
+                    w = weigh(part)
+                    found = np.array([sum(v * o.get(k, 0) for k, v in w.items()) for o in own])
+                    best = np.maximum(best, np.where(found >= toxicity.FLOOR, found, 0))
+        value = float(best @ model.weights + model.bias)
+        want = 1 / (1 + np.exp(-np.clip(model.slope * value + model.shift, -30, 30)))
+        got = model.scores(*as_bytes(pa.array([text])), SpanTable(10_000, np.uint16))[0]
+        assert got == pytest.approx(want, abs=0.02), ident
+
+
+def lowered(text):
+    return text.translate({c: c + 32 for c in range(65, 91)})

@@ -10,8 +10,8 @@ LONG letters is looked at through windows of WINDOW letters, one every STEP
 letters to its end, each normalised by itself; so an insult inside a long run
 weighs the same wherever it stands and however long the run is.
 
-Landmarks are units of the training sample of at most LONG letters: those that
-toxic texts hold far more often than others, and frequent ones of other texts. A
+Landmarks are units of the training sample, of a unit of more than LONG letters its
+windows: those that toxic texts hold far more often than others, and frequent ones of other texts. A
 text's kernel with a landmark is that of its closest unit, 0 below FLOOR. Nystrom
 features are the kernels with all landmarks times the inverse root of the
 landmarks' own kernel matrix; a linear SVM (squared hinge) separates them and a
@@ -81,28 +81,46 @@ def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.bincount(text, minlength=len(counts))
 
 
+def _parts(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of units of so many letters, all letters one after the other: each window's first letter, its length, and its unit."""
+    parts = np.where(letters > LONG, -(-(letters - WINDOW) // STEP) + 1, 1)
+    owner = np.repeat(np.arange(len(letters)), parts)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    size = np.where(letters > LONG, WINDOW, letters)[owner]
+    return (np.cumsum(letters) - letters)[owner] + np.minimum(step * STEP, letters[owner] - size), size, owner
+
+
 def windows(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The letters' codes of the units' windows, one window after the other, each window's length, and its unit."""
     lengths = ends - starts
     code, unit = _CODE[buf[expand(starts, lengths)]], np.repeat(np.arange(len(starts)), lengths)
     code, unit = code[code > 0], unit[code > 0]
-    letters = np.bincount(unit, minlength=len(starts))
-    parts = np.where(letters > LONG, -(-(letters - WINDOW) // STEP) + 1, 1)
-    owner = np.repeat(np.arange(len(starts)), parts)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    size = np.where(letters > LONG, WINDOW, letters)[owner]
-    first = (np.cumsum(letters) - letters)[owner] + np.minimum(step * STEP, letters[owner] - size)
+    first, size, owner = _parts(np.bincount(unit, minlength=len(starts)))
     return code[expand(first, size)], size, owner
 
 
+def examples(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What units may give as landmarks: a buffer, starts and ends in it, and each one's unit. A unit stands for itself, a longer one than LONG letters for the letters of each of its windows."""
+    lengths = ends - starts
+    at, unit = expand(starts, lengths), np.repeat(np.arange(len(starts)), lengths)
+    letter = _CODE[buf[at]] > 0
+    letters = np.bincount(unit[letter], minlength=len(starts))
+    short, long = np.flatnonzero(letters <= LONG), np.flatnonzero(letters > LONG)
+    if not len(long):
+        return buf, starts, ends, np.arange(len(starts))
+    first, size, owner = _parts(letters[long])
+    first = first + len(buf)
+    own = buf[at[letter & (letters > LONG)[unit]]]
+    return np.concatenate((buf, own)), np.concatenate((starts[short], first)), np.concatenate((ends[short], first + size)), np.concatenate((short, long[owner]))
+
+
 def spoken(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether units have three different letters or more, and no more than LONG."""
+    """Whether spans have three different letters or more."""
     if not len(starts):
         return np.zeros(0, bool)
     code, first = _CODE[buf[expand(starts, ends - starts)]], np.cumsum(ends - starts) - (ends - starts)
-    letters = np.add.reduceat(code > 0, first, dtype=np.int64)
     kinds = np.bitwise_or.reduceat(np.where(code > 0, np.uint64(1) << (code & 63).astype(np.uint64), np.uint64(0)), first)
-    return (letters <= LONG) & (np.bitwise_count(kinds) >= 3)
+    return np.bitwise_count(kinds) >= 3
 
 
 def subsequences(code: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,8 +227,9 @@ class ToxicityModel:
         for i, j, b, o in chunks(*as_bytes(column)):
             b = lower_ascii(b)
             starts, ends, many = units(b, o)
+            b, starts, ends, unit_of = examples(b, starts, ends)
             found, first, back = np.unique(hash_spans(b, starts, ends), return_index=True, return_inverse=True)
-            which, text = np.divmod(np.unique(back * (j - i) + np.repeat(np.arange(j - i), many)), j - i)
+            which, text = np.divmod(np.unique(back * (j - i) + np.repeat(np.arange(j - i), many)[unit_of]), j - i)
             of = np.bincount(which * 2 + toxic[i + text], minlength=2 * len(found)).reshape(-1, 2)
             good = spoken(b, starts[first], ends[first])
             unit, place = np.unique(np.concatenate((unit, found[good])), return_inverse=True)
@@ -231,6 +250,7 @@ class ToxicityModel:
         for _, _, b, o in chunks(*as_bytes(column)):
             b = lower_ascii(b)
             starts, ends, _ = units(b, o)
+            b, starts, ends, _ = examples(b, starts, ends)
             h = hash_spans(b, starts, ends)
             at = np.flatnonzero(np.isin(h, chosen))
             found, first = np.unique(h[at], return_index=True)
