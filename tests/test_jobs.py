@@ -21,8 +21,9 @@ def logs(tmp_path_factory):
     (root / "b" / "archived_sessions").mkdir()
     write = lambda path, log: path.write_text("\n".join(map(json.dumps, log)) + "\n")
     write(a / "s.jsonl", LOG_A[:3])
-    write(b / "rollout-1-01234567-89ab-cdef-0123-456789abcdef.jsonl", LOG_B[:5])
-    write(root / "b" / "archived_sessions" / "rollout-2-01234567-89ab-cdef-0123-456789abcdee.jsonl", LOG_B[:5])
+    own = lambda thread: [LOG_B[0] | {"payload": LOG_B[0]["payload"] | {"id": thread, "session_id": "t1"}}, *LOG_B[1:5]]
+    write(b / "rollout-1-01234567-89ab-cdef-0123-456789abcdef.jsonl", own("01234567-89ab-cdef-0123-456789abcdef"))
+    write(root / "b" / "archived_sessions" / "rollout-2-01234567-89ab-cdef-0123-456789abcdee.jsonl", own("01234567-89ab-cdef-0123-456789abcdee"))
     return {"claude_code": str(root / "a"), "openai_codex": str(root / "b")}
 
 

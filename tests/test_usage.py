@@ -170,7 +170,7 @@ def count_line(at, *totals, time=True):
 
 
 LOG_B = [
-    {"timestamp": "2026-07-10T13:00:00Z", "type": "session_meta", "payload": {"id": "t1", "model_provider": "openai", "auth_mode": "chatgpt"}},
+    {"timestamp": "2026-07-10T13:00:00Z", "type": "session_meta", "payload": {"id": "t1", "cli_version": "0.9", "model_provider": "openai", "auth_mode": "chatgpt"}},
     {"timestamp": "2026-07-10T13:00:00Z", "type": "turn_context", "payload": {"model": "gpt-alpha", "service_tier": "fast"}},
     count_line(1, 100, 20, 10, 4),
     count_line(2, 100, 20, 10, 4),
@@ -203,10 +203,16 @@ def test_a_line_without_a_time_keeps_the_baseline(spark):
 
 
 def test_profiles_are_marked_as_inferred(spark):
+    """A profile belongs to the folder above the nearest one of logs, so nested roots give one row; what a line states, even nothing, ends the inference."""
     log = [{"type": "session_meta", "payload": {"id": "t"}}, *LOG_B[1:3]]
-    profiles = spark.createDataFrame([("f", "apikey")], "root string, auth_mode string")
-    r = log_b.observations(b_lines(spark, ("f1", log)), profiles)[0].first()
-    assert (r.auth_mode, r.auth_mode_provenance) == ("apikey", "current_profile_inferred")
+    cleared = [*log, {"type": "turn_context", "payload": {"auth_mode": None}}, count_line(7, 170, 50, 25, 7)]
+    profiles = spark.createDataFrame([("/h", "chatgpt"), ("/h/sessions/x", "apikey"), ("/other", "apikey"), ("/h/sessions/x", "apikey"), ("/h", " ")], "root string, auth_mode string")
+    lines = b_lines(spark, ("f1", log), ("f2", cleared), ("f3", log)).withColumn("path", F.when(F.col("source_id") == "f3", "/h/archived_sessions/a.jsonl").otherwise("/h/sessions/x/Sessions/y/b.jsonl"))
+    seen = log_b.observations(lines, profiles)[0]
+    got = sorted((r.source_id, r.line_number, r.auth_mode, r.auth_mode_provenance, "auth_mode_inferred_from_current_profile" in r.notes) for r in seen.collect())
+    assert got == [("f1", 3, "apikey", "current_profile_inferred", True), ("f2", 3, "apikey", "current_profile_inferred", True), ("f2", 5, None, None, False), ("f3", 3, "chatgpt", "current_profile_inferred", True)]
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_plain_files_replace_compressed_ones(spark):

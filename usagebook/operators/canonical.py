@@ -17,6 +17,14 @@ def preference(df: DataFrame) -> Column:
     return F.struct(rank(F.col("coverage"), COVERAGE).alias("c"), "quality_rank", "input_tokens_total", "output_tokens_total", "source_id", "line_number", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"x{k}") for k, c in enumerate(IDENTITY)])
 
 
+def _warnings(observations: DataFrame) -> Column:
+    """All warnings of an event's copies, and their notes where a source has them; of each kind a set, which the few codes bound."""
+    found = F.collect_set("warning")
+    if "notes" in observations.columns:
+        found = F.array_union(found, F.flatten(F.collect_set(F.coalesce("notes", F.array().cast("array<string>")))))
+    return F.array_sort(found)
+
+
 def fold(observations: DataFrame) -> DataFrame:
     """Events by (client, event_key): earliest time, each counter's maximum, identity of the best copy, all warnings.
 
@@ -35,7 +43,7 @@ def fold(observations: DataFrame) -> DataFrame:
         F.max(rank(F.col("coverage"), COVERAGE)).alias("coverage_rank"),
         F.count_distinct("source_id").cast("long").alias("source_count"),
         F.count("*").alias("copies"),
-        F.array_sort(F.collect_set("warning")).alias("warnings"),
+        _warnings(observations).alias("warnings"),
         best.alias("best"),
     )
     first = F.col("client") == "claude_code"

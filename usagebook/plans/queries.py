@@ -254,6 +254,58 @@ def json_log_b_parse(spark: SparkSession, d: str) -> DataFrame:
     return seen.select("source_id", "line_number", us("occurred_at").alias("at_us"), "raw_model", "input_tokens_total", "input_tokens_cached", "input_tokens_uncached", "output_tokens_total")
 
 
+def _text_b_reported(spark: SparkSession, d: str) -> DataFrame:
+    """Client B's logs with all counters, of which lines report some and leave out others; some lines are cut, some hold a counter as text, an unknown field or a context window that is no number."""
+    n, long = F.col("line_number"), lambda e: F.expr(e).cast("long")
+    log = V.view(spark, d, V.COUNTER_LOG)
+    stamp = F.date_format(F.timestamp_micros("occurred_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    context = F.when(F.col("model_mark").isNotNull(), F.to_json(F.struct(stamp.alias("timestamp"), F.lit("turn_context").alias("type"), F.struct(F.col("model_mark").alias("model")).alias("payload"))))
+    given = {
+        "input_tokens": F.when(n % 29 > 0, long("input_tokens")), "cached_input_tokens": F.when(n % 7 > 0, long("cached_tokens")), "output_tokens": long("output_tokens"), "reasoning_output_tokens": F.when(n % 5 > 0, long("floor(output_tokens / 2) + floor(cached_tokens / 9)")),
+        "total_tokens": F.when(n % 3 > 0, long("input_tokens + output_tokens + if(line_number % 11 = 0, 5, 0)")), "cache_write_5m_tokens": F.when(~(n % 13).isin(4, 5), long("floor(cached_tokens / 3)")),
+        "cache_creation_1h_input_tokens": F.when((n % 13).isin(5, 6, 7), long("floor(cached_tokens / 5)")), "cache_write_tokens": F.when(n % 4 != 1, long("floor(input_tokens / 10)")), "beta_tokens": F.when(n % 19 == 0, F.lit(1)),
+    }
+    info = F.struct(F.struct(*[v.alias(k) for k, v in given.items()]).alias("total_token_usage"), F.when(n % 23 == 0, "wide").alias("model_context_window"))
+    count = F.to_json(F.struct(stamp.alias("timestamp"), F.lit("event_msg").alias("type"), F.struct(F.lit("token_count").alias("type"), info.alias("info")).alias("payload")))
+    rows = log.select("source_id", "line_number", F.posexplode(F.array_compact(F.array(context, F.when(n % 31 > 0, count).otherwise(F.substring(count, 1, 40))))).alias("k", "text"))
+    return rows.select("source_id", (n * 2 + F.col("k")).cast("long").alias("line_number"), "text")
+
+
+_REPORTED = f"""{O.LOG}, g AS (SELECT source_id, line_number AS n, CAST(line_number * 2 + CASE WHEN model_mark IS NULL THEN 0 ELSE 1 END AS BIGINT) AS line_number, line_number % 31 > 0 AS whole, line_number % 29 > 0 AS sound,
+    last_value(model_mark IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY line_number ROWS UNBOUNDED PRECEDING) AS model, CAST(input_tokens AS BIGINT) AS i, CAST(output_tokens AS BIGINT) AS o,
+    CASE WHEN line_number % 7 > 0 THEN CAST(cached_tokens AS BIGINT) END AS c, CASE WHEN line_number % 5 > 0 THEN CAST(output_tokens // 2 + cached_tokens // 9 AS BIGINT) END AS r,
+    CASE WHEN line_number % 3 > 0 THEN CAST(input_tokens + output_tokens + CASE WHEN line_number % 11 = 0 THEN 5 ELSE 0 END AS BIGINT) ELSE CAST(input_tokens + output_tokens AS BIGINT) END AS t,
+    CASE WHEN line_number % 13 NOT IN (4, 5) THEN CAST(cached_tokens // 3 AS BIGINT) END AS w5, CASE WHEN line_number % 13 IN (5, 6, 7) THEN CAST(cached_tokens // 5 AS BIGINT) END AS w1, CASE WHEN line_number % 4 <> 1 THEN CAST(input_tokens // 10 AS BIGINT) END AS w FROM log),
+s AS (SELECT source_id, n, line_number, model, i, o, t, c IS NOT NULL AS kc, r IS NOT NULL AS kr, coalesce(w5, w1, w) IS NOT NULL AS kw, coalesce(c, 0) AS c, coalesce(r, 0) AS r, coalesce(w5, 0) AS w5, coalesce(w1, 0) AS w1, CASE WHEN coalesce(w5, w1) IS NULL THEN coalesce(w, 0) ELSE 0 END AS wo FROM g WHERE whole AND sound),
+b AS (SELECT *, lag(ROW(i, o, t, c, r, w5, w1, wo)) OVER v AS was, ROW(i, o, t, c, r, w5, w1, wo) AS now_is, {", ".join(f"lag({x}) OVER v AS p_{x}" for x in ("i", "o", "t", "c", "r", "w5", "w1", "wo", "kc", "kr", "kw"))} FROM s WINDOW v AS (PARTITION BY source_id ORDER BY n)),
+f AS (SELECT *, coalesce(i < p_i OR o < p_o OR t < p_t OR c < p_c OR r < p_r OR (kw AND p_kw AND (w5 < p_w5 OR w1 < p_w1 OR wo < p_wo)), false) AS reset FROM b),
+h AS (SELECT *, p_i IS NULL OR reset AS fresh, coalesce(was = now_is, false) AS same FROM f),
+x AS (SELECT *, {", ".join(f"CASE WHEN fresh THEN {x} ELSE {x} - p_{x} END AS d_{x}" for x in ("i", "o", "t"))}, {", ".join(f"CASE WHEN fresh THEN {x} WHEN {k} AND p_{k} THEN {x} - p_{x} ELSE 0 END AS d_{x}" for x, k in (("c", "kc"), ("r", "kr"), ("w5", "kw"), ("w1", "kw"), ("wo", "kw")))},
+    {", ".join(f"{k} AND (fresh OR p_{k}) AS d_{k}" for k in ("kc", "kr", "kw"))} FROM h),
+e AS (SELECT *, NOT same AND (d_i <> 0 OR d_o <> 0 OR d_c <> 0 OR d_w5 <> 0 OR d_w1 <> 0 OR d_wo <> 0) AS event, d_c + d_w5 + d_w1 + d_wo AS parts FROM x)"""
+
+
+@query("json_log_b_reported", f"""{_REPORTED} SELECT source_id, line_number, model AS raw_model, CAST(sum(CASE WHEN event THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS usage_event_index, d_i AS input_tokens_total,
+  greatest(d_i - parts, 0) AS input_tokens_uncached, d_c AS input_tokens_cached, d_w5 AS cache_write_5m_tokens, d_w1 AS cache_write_1h_tokens, d_wo AS cache_write_unknown_tokens, d_o AS output_tokens_total, d_r AS reasoning_output_tokens,
+  CASE WHEN d_kc AND d_kr AND d_kw AND parts <= d_i AND d_r <= d_o THEN 'complete' ELSE 'partial' END AS coverage, d_kw AS cache_write_data_complete, parts <= d_i AS input_subset_accounting_consistent,
+  concat_ws(',', CASE WHEN NOT d_kc THEN '{log_b.NOTES[0]}' END, CASE WHEN NOT d_kw THEN '{log_b.NOTES[1]}' END, CASE WHEN NOT d_kr THEN '{log_b.NOTES[2]}' END, CASE WHEN parts > d_i THEN '{log_b.NOTES[3]}' END, CASE WHEN d_r > d_o THEN '{log_b.NOTES[4]}' END, CASE WHEN d_t <> d_i + d_o THEN '{log_b.NOTES[5]}' END) AS notes
+FROM e QUALIFY event""")
+def json_log_b_reported(spark: SparkSession, d: str) -> DataFrame:
+    seen, _ = log_b.observations(common.lines_of(_text_b_reported(spark, d), "text"))
+    counters = [c for c in COUNTERS if c not in ("web_search_requests", "web_fetch_requests")]
+    return seen.select("source_id", "line_number", "raw_model", "usage_event_index", *counters, "coverage", "cache_write_data_complete", "input_subset_accounting_consistent", F.array_join("notes", ",").alias("notes"))
+
+
+@query("json_log_b_warnings", f"""{_REPORTED}, first AS (SELECT source_id, min(line_number) AS line_number, min(CASE WHEN model IS NULL THEN line_number END) AS unnamed FROM e WHERE event GROUP BY source_id),
+told AS (SELECT source_id, line_number, unnest(list_filter([CASE WHEN reset THEN 'codex_counter_reset' END, CASE WHEN event AND parts > d_i THEN 'codex_invalid_input_subsets' END, CASE WHEN event AND d_r > d_o THEN 'codex_invalid_reasoning_subset' END], lambda c: c IS NOT NULL)) AS code FROM e
+  UNION ALL SELECT source_id, line_number, CASE WHEN whole THEN 'codex_unsupported_usage_schema' ELSE 'codex_malformed_record' END FROM g WHERE NOT (whole AND sound)
+  UNION ALL SELECT source_id, min(line_number), 'codex_invalid_context_window' FROM g WHERE whole AND n % 23 = 0 GROUP BY source_id UNION ALL SELECT source_id, min(line_number), 'codex_format_drift' FROM g WHERE whole AND n % 19 = 0 GROUP BY source_id
+  UNION ALL SELECT source_id, line_number, 'codex_usage_without_session_meta' FROM first UNION ALL SELECT source_id, unnamed, 'codex_usage_without_model_context' FROM first WHERE unnamed IS NOT NULL)
+SELECT source_id, line_number, code FROM told""")
+def json_log_b_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return log_b.observations(common.lines_of(_text_b_reported(spark, d), "text"))[1]
+
+
 def buckets(spark: SparkSession, d: str) -> DataFrame:
     return V.view(spark, d, V.BUCKETS, canonical=events(spark, d))
 

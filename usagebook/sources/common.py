@@ -102,4 +102,4 @@ def fields(v: str, path: str, names: tuple[str, ...]) -> Column:
 
 def field(of: str, name: str, part: str = "text") -> Column:
     """A part of one of `fields`; null where there is none."""
-    return F.try_element_at(F.col(of), F.lit(name))[part]
+    return F.expr(f"try_element_at({of}, '{name}').{part}")
