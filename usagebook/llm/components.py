@@ -43,8 +43,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node of edges (a long, b long).
 
     Each task first reduces EDGES_PER_TASK edges to a forest; if there are more,
-    large-star and small-star steps alternate until nothing changes. All steps are joins and
-    partial minima, so a node with very many edges is no task's burden.
+    large-star and small-star steps alternate until nothing changes. All steps are partial
+    minima and joins with a stored side, so that adaptive execution divides the edges of a
+    node that has very many.
     """
     parts = -(-edges.count() // EDGES_PER_TASK)
     dealt = edges.select("a", "b").repartition(parts) if parts > 1 else edges.select("a", "b").coalesce(1)
@@ -55,9 +56,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         both = stars.union(stars.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("least"))
+        least = stored(least, "least")
         large = both.where("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
         down = large.where("b < a").union(large.where("b > a").select("b", "a"))
-        low = down.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "node")
+        down = stored(down, "down")
+        low = stored(down.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "node"), "low")
         small = down.join(low, F.col("a") == F.col("node")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         stars = stored(small, "stars")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()

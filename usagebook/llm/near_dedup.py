@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagebook.llm.components import connected_components
-from usagebook.llm.shared import id_and_text, stored, table
+from usagebook.llm.shared import free_names, id_and_text, stored, table
 from usagebook.llm.textvec import ASCII_SPACES, as_bytes, byte_mask, chunks, hash_spans, lower_ascii, mix, ngrams, words
 
 SHINGLE = 4
@@ -255,14 +255,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of (shingle, n), no more than `most`, in the order of their hashes, and their n."""
-    least, kept = 0, 0
-    for n, many in sorted((tuple(r) for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()), reverse=True):
-        kept += many
+    """The most frequent shingles of (shingle, n), no more than `most`, in the order of their hashes, and their n.
+
+    Counts are taken by their logarithm, without a top, and inside that by a byte of
+    the hash; so where not all shingles of about one frequency fit, a share of them
+    is taken. About 60,000 numbers come to the driver at most.
+    """
+    level = counts.select("shingle", "n", F.floor(F.log2("n") * 4).cast("long").alias("level"), F.pmod(F.xxhash64("shingle"), F.lit(256)).alias("part"))
+    last, kept = None, 0
+    for r in sorted(level.groupBy("level", "part").count().collect(), key=lambda r: (-r["level"], r["part"])):
+        kept += r["count"]
         if kept > most:
-            least = n + 1
             break
-    found = counts.where(F.col("n") >= least).toArrow()
+        last = r
+    chosen = level.where("false") if last is None else level.where((F.col("level") > last["level"]) | ((F.col("level") == last["level"]) & (F.col("part") <= last["part"])))
+    found = chosen.select("shingle", "n").toArrow()
     hashes, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(hashes)
     return hashes[order], n[order]
@@ -301,13 +308,28 @@ def _prefixes(common) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 
 def in_cells(entries: DataFrame) -> DataFrame:
-    """(shingle, cell, id, component, place, size): the entries of a shingle in blocks of about BLOCK, each entry once for every cell of its block and another, so that any two share a cell."""
-    heavy = stored(entries.groupBy("shingle").count().where(F.col("count") > BLOCK).select("shingle", F.ceil(F.col("count") / BLOCK).alias("side")), "heavy")
+    """(shingle, cell, id, component, place, size): entries in cells, so that any two of one shingle and two components share a cell.
+
+    The entries of a shingle's largest component need not meet each other: they are
+    dealt to blocks of about BLOCK, and so are those of all others; each block of
+    the former meets each of the latter, and those meet each other. So the entries
+    of a shingle that one component has alone are not written at all, and those
+    of a component that nearly has it alone about once.
+    """
+    by_component = entries.groupBy("shingle", "component").count()
+    heavy = by_component.groupBy("shingle").agg(F.sum("count").alias("n"), F.max_by("component", "count").alias("first"), F.max("count").alias("most")).where(F.col("n") > BLOCK)
+    heavy = stored(heavy.select("shingle", "first", F.ceil(F.col("most") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("others")), "heavy")
     if heavy.count() <= BROADCAST_IDS:
         heavy = F.broadcast(heavy)
-    dealt = entries.join(heavy, "shingle", "left").withColumn("side", F.coalesce("side", F.lit(1).cast("long")))
-    dealt = dealt.withColumns({"block": F.pmod(F.xxhash64("id"), "side"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1))})
-    return dealt.select("shingle", (F.least("block", "other") * F.col("side") + F.greatest("block", "other")).alias("cell"), "id", "component", "place", "size")
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    blocks, others = F.col("blocks"), F.col("others")
+    of_first, own = F.pmod(F.xxhash64("id"), blocks), F.pmod(F.xxhash64("id"), F.greatest(others, F.lit(1)))
+    # cells of a block of the first component and one of others, then cells of two blocks of others
+    with_first = lambda first, other: first * others + other
+    among = lambda x: blocks * others + F.least(own, x) * others + F.greatest(own, x)
+    cells = F.when(F.col("first").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("component") == F.col("first"), F.transform(up_to(others), lambda o: with_first(of_first, o)))
+    cells = cells.otherwise(F.concat(F.transform(up_to(blocks), lambda b: with_first(b, own)), F.transform(up_to(others), among)))
+    return entries.join(heavy, "shingle", "left").select("shingle", F.explode(cells).alias("cell"), "id", "component", "place", "size")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,8 +450,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, without those whose component has a smaller doc_id."""
-    gone = near_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    same = docs[doc_id].cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == F.col("_gone_hash"))
+    ident, own = free_names(docs, "gone_id", "gone_hash")  # any other column may be called anything
+    gone = near_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias(ident), F.col("text_hash").alias(own)).distinct()
+    same = docs[doc_id].cast("long").eqNullSafe(F.col(ident)) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == F.col(own))
     return docs.join(gone, same, "left_anti")
 
 
