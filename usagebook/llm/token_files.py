@@ -195,8 +195,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             writer.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "file": file, "n_tokens": writer.total}], pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_tokens", pa.int64())]))
 
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # boundaries are sampled: ids and hashes, not texts
-    ranged = texts.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
+    # boundaries are sampled: ids and hashes, not texts; the number of the row divides rows that repeat both
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("number")]
+    ranged = texts.withColumn("number", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return stored(ranged.mapInArrow(write, "part int, file string, n_tokens long"), "token-files")
 
 
