@@ -48,6 +48,11 @@ TABLE_BYTES = 64 << 20
 BROADCAST_LANGUAGES = 100_000
 
 
+def grid(bits: np.ndarray) -> np.ndarray:
+    """Bits in whole 4096ths, which single precision holds, so that sums are exact and don't depend on how the bits were found."""
+    return np.rint(bits * 4096) / 4096
+
+
 class ContextTrees:
     """Frozen PPM statistics of several languages."""
 
@@ -124,7 +129,7 @@ class ContextTrees:
                 block[contexts] = first + np.arange(len(contexts))
             for k in range(len(self.languages)):
                 # a longer context that no language has met costs nothing, so the rest may be one that no text has
-                table = self._context_bits(k, contexts, order)
+                table = grid(self._context_bits(k, contexts, order))
                 bits[k][first : first + len(contexts)] = table
             first += len(contexts)
         return longest, [b.ravel() for b in bits]
@@ -156,7 +161,7 @@ class ContextTrees:
             worth = lambda k: self.bits[k][at]
         else:
             code, at = np.unique(context * self.size + symbol, return_inverse=True)
-            worth = lambda k: self._code_bits(k, code)[at]
+            worth = lambda k: grid(self._code_bits(k, code))[at]
         for k in range(len(self.languages)):
             out[full, k] = np.add.reduceat(worth(k), offsets[:-1][full], dtype=np.float64)
         return out
