@@ -177,6 +177,6 @@ def test_pipeline(spark, sf):
 
 
 def test_every_operator_is_registered():
-    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert os.path.exists(corpus_pipeline.__file__)

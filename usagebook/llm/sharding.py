@@ -26,7 +26,7 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagebook.llm.shared import stored, table
+from usagebook.llm.shared import free_names, stored, table
 
 SHARDS = 16
 SAMPLE_PER_RANGE = 32
@@ -123,11 +123,13 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id",
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """The records as Parquet in one folder a shard, several files a large shard, each in slot order. Rows meet their shard by doc_id and checksum."""
+    """The records as Parquet in one folder a shard, several files a large shard, each in slot order. Rows meet their shard by doc_id and checksum; columns of theirs called shard or slot give way."""
     place = assigned.groupBy("doc_id", "text_crc32").agg(F.min(F.struct("shard", "slot")).alias("at"))
     crc = F.crc32(F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary"))
-    joined = docs.withColumn("_crc", crc).join(place.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_sum"), F.col("at.shard").alias("shard"), F.col("at.slot").alias("slot")), docs[doc_id].eqNullSafe(F.col("_id")) & (F.col("_crc") == F.col("_sum")))
-    joined.drop("_crc", "_id", "_sum").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    mine, ident, total = free_names(docs, "crc", "id", "sum")
+    docs = docs.drop("shard", "slot").withColumn(mine, crc)
+    joined = docs.join(place.select(F.col("doc_id").alias(ident), F.col("text_crc32").alias(total), F.col("at.shard").alias("shard"), F.col("at.slot").alias("slot")), docs[doc_id].eqNullSafe(F.col(ident)) & (F.col(mine) == F.col(total)))
+    joined.drop(mine, ident, total).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
