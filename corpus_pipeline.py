@@ -14,7 +14,7 @@ from usagebook.llm.exact_dedup import exact_groups, normalised
 from usagebook.llm.langid import identified_documents, train
 from usagebook.llm.near_dedup import distinct_documents
 from usagebook.llm.pieces import encode_documents
-from usagebook.llm.shared import id_and_text, stored, table
+from usagebook.llm.shared import free_names, id_and_text, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,19 +23,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keeps the row with the largest doc_id, and of rows that repeat it one."""
-    groups = exact_groups(docs)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    """Of equal texts keeps the row with the largest doc_id, and of rows that repeat it one. A null text is empty; a null doc_id is smaller than any other; other columns stay, whatever their names."""
+    groups, columns = exact_groups(docs), docs.columns
+    ident, sha, own = free_names(docs, "id", "sha", "sum")  # any other column may be called anything
+    gone = groups.where("not kept").select(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha))
     digest = F.sha2(normalised(F.coalesce(docs["text"], F.lit(""))), 256)
-    left = docs.withColumn("_sum", digest).join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_sha")), "left_anti")
+    left = docs.withColumn(own, digest).join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(sha)), "left_anti")
     repeated = groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
     if not repeated.isEmpty():
-        left = left.dropDuplicates(["doc_id", "_sum"])
-    return left.drop("_sum")
+        left = left.dropDuplicates(["doc_id", own])
+    return left.select(columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies keeps the document with the least doc_id."""
+    """Of each component of near copies keeps the document with the least doc_id. A text without words is no copy of any; a null doc_id goes only with another's component; other columns stay, whatever their names."""
     return distinct_documents(docs)
 
 
@@ -45,7 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens."""
+    """doc_id, ids, n_tokens. A null or empty text has no ids; a null doc_id is passed on; other columns are left out; an empty table gives an empty result."""
     return encode_documents(id_and_text(docs)).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
