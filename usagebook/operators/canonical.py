@@ -17,6 +17,25 @@ def preference(df: DataFrame) -> Column:
     return F.struct(rank(F.col("coverage"), COVERAGE).alias("c"), "quality_rank", "input_tokens_total", "output_tokens_total", "source_id", "line_number", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"x{k}") for k, c in enumerate(IDENTITY)])
 
 
+def greatest_counters() -> list[Column]:
+    """Aggregates of copies' counters: each one's greatest, and writes, the greatest of what a copy or all together say of cache writes. They may be taken in any grouping."""
+    w5, w1 = (F.max(f"cache_write_{k}_tokens") for k in ("5m", "1h"))
+    together = F.max(F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens") + F.col("cache_write_unknown_tokens"))
+    return [*[F.max(c).alias(c) for c in COUNTERS], F.greatest(together, w5 + w1).alias("writes")]
+
+
+def merged_counters() -> list[Column]:
+    """An event's counters from those aggregates. Client A's total is the sum of its parts; of the other the uncached input is what its total leaves."""
+    first = F.col("client") == "claude_code"
+    total, cached, writes = F.col("input_tokens_total"), F.col("input_tokens_cached"), F.col("writes")
+    own = {
+        "input_tokens_total": F.when(first, F.col("input_tokens_uncached") + cached + writes).otherwise(total),
+        "input_tokens_uncached": F.when(first, F.col("input_tokens_uncached")).otherwise(F.greatest(total - cached - writes, F.lit(0))),
+        "cache_write_unknown_tokens": writes - F.col("cache_write_5m_tokens") - F.col("cache_write_1h_tokens"),
+    }
+    return [own.get(c, F.col(c)).alias(c) for c in COUNTERS]
+
+
 def _warnings(observations: DataFrame) -> Column:
     """All warnings of an event's copies, and their notes where a source has them; of each kind a set, which the few codes bound."""
     found = F.collect_set("warning")
@@ -32,13 +51,9 @@ def fold(observations: DataFrame) -> DataFrame:
     report only the total and another the durations.
     """
     best = F.max_by(F.struct(*IDENTITY), preference(observations))
-    w5, w1, wu = (F.max(f"cache_write_{k}_tokens") for k in ("5m", "1h", "unknown"))
-    together = F.max(F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens") + F.col("cache_write_unknown_tokens"))
     folded = observations.groupBy("client", "event_key").agg(
         F.min("occurred_at").alias("occurred_at"),
-        *[F.max(c).alias(c) for c in COUNTERS],
-        F.greatest(together, w5 + w1).alias("writes"),
-        wu.alias("unused"),
+        *greatest_counters(),
         F.max("quality_rank").alias("quality_rank"),
         F.max(rank(F.col("coverage"), COVERAGE)).alias("coverage_rank"),
         F.count_distinct("source_id").cast("long").alias("source_count"),
@@ -46,16 +61,10 @@ def fold(observations: DataFrame) -> DataFrame:
         _warnings(observations).alias("warnings"),
         best.alias("best"),
     )
-    first = F.col("client") == "claude_code"
-    total, cached, writes = F.col("input_tokens_total"), F.col("input_tokens_cached"), F.col("writes")
     return folded.select(
         stable_id(F.col("client"), F.col("event_key")).alias("event_id"),
         "client", "event_key", "occurred_at",
-        F.when(first, F.col("input_tokens_uncached") + cached + writes).otherwise(total).alias("input_tokens_total"),
-        F.when(first, F.col("input_tokens_uncached")).otherwise(F.greatest(total - cached - writes, F.lit(0))).alias("input_tokens_uncached"),
-        "input_tokens_cached", "cache_write_5m_tokens", "cache_write_1h_tokens",
-        (writes - F.col("cache_write_5m_tokens") - F.col("cache_write_1h_tokens")).alias("cache_write_unknown_tokens"),
-        "output_tokens_total", "reasoning_output_tokens", "web_search_requests", "web_fetch_requests", "quality_rank",
+        *merged_counters(), "quality_rank",
         F.element_at(F.array(*[F.lit(c) for c in COVERAGE]), F.col("coverage_rank") + 1).alias("coverage"),
         "source_count", "copies", "warnings", *[F.col(f"best.{c}").alias(c) for c in IDENTITY],
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +20,38 @@ def catalog_diff(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return both.select("id", change.alias("change")).where("change is not null")
 
 
-def _pairs(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of records with equal keys, each pair once: columns a_*, b_*."""
-    side = lambda p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
-    same = [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in keys]
-    when = overlaps(F.col("a_effective_from"), F.col("a_effective_to"), F.col("b_effective_from"), F.col("b_effective_to"))
-    return side("a_").join(side("b_"), [*same, F.col("a_id") < F.col("b_id")]).where(when)
+def overlapping(df: DataFrame, keys: list[str], start: str = "effective_from", end: str = "effective_to", ident: str = "id") -> DataFrame:
+    """Pairs of records with equal keys that are in effect at once, each pair once: columns a_*, b_* with a_id < b_id.
+
+    A sweep: a key's records come in the order of their starts, and each meets the
+    earlier ones that haven't ended. So the work is that of the pairs found, and a
+    task holds the records in effect at one instant.
+    """
+    names = df.columns
+    at, until, own = names.index(start), names.index(end), names.index(ident)
+    places = [names.index(k) for k in keys]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, active = None, []
+        for batch in batches:
+            schema = pa.schema([(f"{p}{f.name}", f.type) for p in ("a_", "b_") for f in batch.schema])
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (mine := tuple(row[k] for k in places)) != key:
+                    key, active = mine, []
+                active = [x for x in active if x[until] is None or x[until] > row[at]]
+                out += [(*min(x, row, key=lambda r: r[own]), *max(x, row, key=lambda r: r[own])) for x in active if x[own] != row[own]]
+                active.append(row)
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+                    out = []
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    ddl = ", ".join(f"`{p}{n}` {kinds[n]}" for p in ("a_", "b_") for n in names)
+    ordered = df.where(F.col(start).isNotNull() & F.col(ident).isNotNull()).repartition(*keys).sortWithinPartitions(*keys, start)
+    # of a record that ends before it starts the sweep knows only the start
+    return ordered.mapInArrow(sweep, ddl).where(overlaps(F.col(f"a_{start}"), F.col(f"a_{end}"), F.col(f"b_{start}"), F.col(f"b_{end}")))
 
 
 def catalog_overlaps(catalog: Catalog) -> DataFrame:
@@ -32,7 +61,7 @@ def catalog_overlaps(catalog: Catalog) -> DataFrame:
     tokens = (high("b").isNull() | (low("a") < high("b"))) & (high("a").isNull() | (low("b") < high("a")))
     rates = catalog.rates.select("id", "provider", "canonical_model", "kind", "effective_from", "effective_to", "min_input_tokens", "max_input_tokens_exclusive")
     mods = catalog.modifiers.select("id", "provider", "canonical_model", "kind", "scope", "effective_from", "effective_to", F.to_json(F.array_sort(F.map_entries("selectors"))).alias("selector"))
-    return out(_pairs(catalog.aliases, ["provider", "raw_model"]), "overlapping_alias").unionAll(out(_pairs(rates, ["provider", "canonical_model", "kind"]).where(tokens), "overlapping_rate")).unionAll(out(_pairs(mods, ["provider", "canonical_model", "kind", "scope", "selector"]), "stacked_modifier"))
+    return out(overlapping(catalog.aliases, ["provider", "raw_model"]), "overlapping_alias").unionAll(out(overlapping(rates, ["provider", "canonical_model", "kind"]).where(tokens), "overlapping_rate")).unionAll(out(overlapping(mods, ["provider", "canonical_model", "kind", "scope", "selector"]), "stacked_modifier"))
 
 
 def catalog_issues(catalog: Catalog) -> DataFrame:
@@ -68,7 +97,7 @@ def override_issues(overrides: DataFrame, catalog: Catalog) -> DataFrame:
     documented = catalog.rates.join(catalog.policies, catalog.rates["id"] == catalog.policies["rate_id"]).select(F.lower("provider").alias("provider"), "canonical_model", "dimension", F.explode("allowed").alias("value")).distinct()
     free = own.where("dimension <> 'auth_mode'")
     issue = lambda df, code, c="id": df.select(F.lit(code).alias("code"), F.col(c).alias("record_id"))
-    return issue(free.join(documented, ["provider", "canonical_model", "dimension", "value"], "left_anti"), "override_undocumented").unionAll(issue(_pairs(own, ["provider", "canonical_model", "dimension"]), "override_overlap", "b_id")).unionAll(issue(own.where("effective_to <= effective_from"), "override_empty_interval"))
+    return issue(free.join(documented, ["provider", "canonical_model", "dimension", "value"], "left_anti"), "override_undocumented").unionAll(issue(overlapping(own, ["provider", "canonical_model", "dimension"]), "override_overlap", "b_id")).unionAll(issue(own.where("effective_to <= effective_from"), "override_empty_interval"))
 
 
 def catalog_status(catalog: Catalog, revision: str, published_at: str, stale_after_days: int, now: str) -> DataFrame:

@@ -31,16 +31,17 @@ FLAGS = ("cached_reported", "reasoning_reported", "writes_reported")
 BILLED = ("input_tokens", "output_tokens", "cached_tokens", "w5m", "w1h", "w_other")
 
 
-def running(log: DataFrame, ways: dict[str, tuple[str, Column]], source: str = "source_id", line: str = "line_number", size: int = SEGMENT) -> DataFrame:
+def running(log: DataFrame, ways: dict[str, tuple[str, Column]], source: str = "source_id", line: str = "line_number", size: int = SEGMENT, stored: bool = False) -> DataFrame:
     """Adds columns that sum up a log's lines so far.
 
     ways maps a name to (how, value): `last` or `first` value that isn't null up to
     the line, `before`, the last one of earlier lines only, or `sum` up to the line.
-    The log is stored once, as its segments are summed up besides.
+    The log is stored first, as its segments are summed up besides, unless it is already.
     """
     mark = "_segment"
     stated = {f"_v_{n}": v for n, (_, v) in ways.items()}
-    kept = written(log.withColumns({mark: F.floor(F.col(line) / size).cast("long"), **stated}), "log-segments")
+    kept = log.withColumns({mark: F.floor(F.col(line) / size).cast("long"), **stated})
+    kept = kept if stored else written(kept, "log-segments")
     place = lambda c: F.when(F.col(c).isNotNull(), F.col(line))
     told = {"last": lambda c: F.max_by(c, place(c)), "before": lambda c: F.max_by(c, place(c)), "first": lambda c: F.min_by(c, place(c)), "sum": F.sum}
     parts = kept.groupBy(source, mark).agg(*[told[how](f"_v_{n}").alias(f"_p_{n}") for n, (how, _) in ways.items()])
@@ -112,14 +113,15 @@ def snapshot_deltas(log: DataFrame, now: str = "now", instant: str = "occurred_a
     and event_index. A counter that isn't reported on both lines has no growth; it
     is neither a fall nor a gain. A snapshot that falls begins a new epoch and
     counts whole. Equal counters change nothing but what is reported. A billable
-    line without a usable time is no baseline, so the next delta spans both.
+    line without a usable time is no baseline, so the next delta spans both. The log
+    is a stored table, as it is read more than once.
     """
     valid = F.when(F.col(instant).isNotNull(), F.struct(F.col(line).alias("line"), F.col(now).alias("now")))
     base = "_base"
     if log.where(F.col(instant).isNull()).isEmpty():
-        out = running(log, {base: ("before", F.col(now))}, source, line, size).withColumn("_moves", F.lit(True))
+        out = running(log, {base: ("before", F.col(now))}, source, line, size, stored=True).withColumn("_moves", F.lit(True))
     else:
-        last = running(log, {"_last": ("before", valid)}, source, line, size)
+        last = running(log, {"_last": ("before", valid)}, source, line, size, stored=True)
         moved = written(_moved(last.where(F.col(instant).isNull()), now, source, line), "log-moved")
         flagged = log.join(moved.withColumn("_moved", F.lit(True)), [source, line], "left")
         moves = F.col(instant).isNotNull() | F.coalesce(F.col("_moved"), F.lit(False))

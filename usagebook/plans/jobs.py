@@ -7,14 +7,15 @@ from datetime import UTC, date, datetime, time, timedelta
 from types import ModuleType
 from zoneinfo import ZoneInfo
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagebook.functions.tables import written
-from usagebook.operators import billing, canonical, catalog, coverage, incremental, pricing, reconcile, reports
+from usagebook.operators import billing, canonical, catalog, coverage, incremental, ledger, pricing, reconcile, reports
 from usagebook.sources import common, exports, log_a, log_b, sinks
 
-#: Each client's logs: listed(spark, root), and read(spark, root, paths) for files, observations and warnings.
+#: Each client's logs: listed(spark, root), and read(spark, root, files, profiles) for files, observations and warnings.
 ADAPTERS: dict[str, ModuleType] = {log_a.CLIENT: log_a, log_b.CLIENT: log_b}
 
 
@@ -30,24 +31,23 @@ class Ingested:
     fresh: DataFrame
 
 
-def ingest(spark: SparkSession, roots: dict[str, str], run_id: int, stored: DataFrame | None = None, inventory: DataFrame | None = None, since: str | None = None, verify: bool = False) -> Ingested:
+def ingest(spark: SparkSession, roots: dict[str, str], run_id: int, stored: DataFrame | None = None, inventory: DataFrame | None = None, since: str | None = None, verify: bool = False, profiles: DataFrame | None = None) -> Ingested:
     """Reads the clients' logs below their roots; observations of sources that didn't change are taken from the stored ones.
 
     With an inventory, only files of another size or time than listed there are
-    opened; with verify all are, and compared by their digests. The paths of files
-    to open come to the driver, as all paths do anyway when Spark lists a root. A
-    run limited by since leaves the sources it read as they were in the inventory,
+    opened; with verify all are, and compared by their digests. Which files to open
+    is a table, read by ranges of bytes; no path comes to the driver. profiles (root,
+    auth_mode) say how a client was authenticated where its logs don't. A run limited by since leaves the sources it read as they were in the inventory,
     so that the next whole run reads them again.
     """
     seen = warned = sources = None
     for client, root in roots.items():
-        paths = held = None
+        opened = held = None
         if inventory is not None and not verify:
             listed = ADAPTERS[client].listed(spark, root).withColumn("source_id", common.source_id(F.col("path")))
-            opened = incremental.touched(listed, inventory)
-            paths = [r["path"] for r in opened.select("path").toLocalIterator()]
+            opened = written(incremental.touched(listed, inventory), "touched")
             held = inventory.join(listed.join(opened, "source_id", "left_anti"), "source_id", "left_semi")
-        files, own, warnings = ADAPTERS[client].read(spark, root, paths)
+        files, own, warnings = ADAPTERS[client].read(spark, root, opened, profiles)
         now = common.sources(files, client)
         now = now if held is None else now.unionByName(held.select(now.columns))
         seen = own if seen is None else seen.unionByName(own, allowMissingColumns=True)
@@ -66,6 +66,41 @@ def ingest(spark: SparkSession, roots: dict[str, str], run_id: int, stored: Data
     return Ingested(whole, warned, after, changes, summary, new)
 
 
+def ledger_run(spark: SparkSession, roots: dict[str, str], path: str, run_id: int, today: date, profiles: DataFrame | None = None) -> tuple[Ingested, DataFrame]:
+    """One run that grows the ledger at a path: what it read, and the parts of the ledger that were written.
+
+    The inventory lies beside the ledger, one table a run, with the day on which
+    each source was first seen. Logs that grew are merged into what is there; of
+    rewritten ones the old rows go; vanished ones keep theirs.
+    """
+    inventory = _inventory(spark, path)
+    run = ingest(spark, roots, run_id, inventory=inventory, profiles=profiles)
+    days = F.lit(today)
+    sources = run.sources
+    if inventory is not None:
+        gone = run.changes.where("state = 'vanished'").select("source_id")
+        sources = sources.unionByName(inventory.drop("born").join(gone, "source_id", "left_semi"), allowMissingColumns=True)
+        known = inventory.select("source_id", F.col("born").alias("_born"))
+        sources = sources.drop("born").join(known, "source_id", "left").withColumn("born", F.coalesce("_born", days)).drop("_born")
+    else:
+        sources = sources.withColumn("born", days)
+    sources = written(sources, "sources")
+    wrote = ledger.merge(spark, path, run.fresh, sources, run_id, run.changes.where("state = 'rewritten'").select("source_id"))
+    sources.write.mode("overwrite").parquet(f"{path}/sources/run={run_id:09d}")
+    return run, wrote
+
+
+def _inventory(spark: SparkSession, path: str) -> DataFrame | None:
+    """The inventory of the last run of a ledger; None before the first."""
+    try:
+        every = spark.read.parquet(f"{path}/sources")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return every.where(F.col("run") == every.agg(F.max("run")).first()[0]).drop("run")
+
+
 def local_bounds(first: date, last: date, zone: str) -> tuple[datetime, datetime]:
     """The instants in UTC at which the local days from first to last begin and end."""
     start = lambda day: datetime.combine(day, time(), ZoneInfo(zone)).astimezone(UTC)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagebook.functions.ids import pseudonym
-
+from usagebook.sources.ranges import RANGE, contents, read_ranges
 
 FILES = "path string, size long, modified_at timestamp"
 
@@ -15,8 +15,16 @@ def _listing() -> list[Column]:
     return [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified_at")]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return given.getFileSystem(spark._jsc.hadoopConfiguration()).exists(given)
+
+
 def listed_files(spark: SparkSession, roots: list[str], pattern: str) -> DataFrame:
-    """The log files below the roots: path, size, modified_at. No file is opened, as the content isn't selected."""
+    """The log files below the roots that exist: path, size, modified_at. No file is opened, as the content isn't selected."""
+    roots = [r for r in roots if _exists(spark, r)]
+    if not roots:
+        return spark.createDataFrame([], FILES)
     return spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(roots).select(*_listing())
 
 
@@ -30,7 +38,15 @@ def log_files(spark: SparkSession, roots: list[str], pattern: str, paths: list[s
 
 def sources(files: DataFrame, client: str) -> DataFrame:
     """One row a file: its pseudonymous id, size, time and content digest; no text."""
-    return files.select(source_id(F.col("path")).alias("source_id"), F.lit(client).alias("client"), F.col("path").rlike(r"(?i)\.zst$").alias("compressed"), F.col("size").alias("file_size"), "modified_at", F.sha2("value", 256).alias("content_hash"))
+    content = F.col("content_hash") if "content_hash" in files.columns else F.sha2("value", 256)
+    return files.select(source_id(F.col("path")).alias("source_id"), F.lit(client).alias("client"), F.col("path").rlike(r"(?i)\.zst$").alias("compressed"), F.col("size").alias("file_size"), "modified_at", content.alias("content_hash"))
+
+
+def file_lines(files: DataFrame, step: int = RANGE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files with their content_hash, their complete lines (source_id, path, line_number, byte_start, byte_end, text), and warnings of incomplete last lines. files: path, size, modified_at; only these are opened."""
+    lines, facts = read_ranges(files, step)
+    tails = facts.where("tail is not null").select(source_id(F.col("path")).alias("source_id"), (F.col("before") + F.col("lines") + 1).alias("line_number"), F.lit("incomplete_tail").alias("code"))
+    return files.join(contents(facts), "path"), lines.select(source_id(F.col("path")).alias("source_id"), "*"), tails
 
 
 def source_id(path: Column) -> Column:

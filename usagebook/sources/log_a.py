@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from usagebook.functions.ids import pseudonym
 from usagebook.functions.values import non_blank, rfc3339
-from usagebook.sources.common import bad_counter, counter_at, listed_files, log_files, log_lines, parsed, text_at
+from usagebook.sources.common import bad_counter, counter_at, file_lines, listed_files, parsed, text_at
 
 CLIENT, PROVIDER = "claude_code", "anthropic"
 PATTERN = "*.[jJ][sS][oO][nN][lL]"
@@ -78,9 +78,8 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     return listed_files(spark, [f"{root}/projects"], PATTERN)
 
 
-def read(spark: SparkSession, root: str, paths: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files, observations and warnings below root/projects, or of some of the files there."""
-    files = log_files(spark, [f"{root}/projects"], PATTERN, paths)
-    lines, tails = log_lines(files)
+def read(spark: SparkSession, root: str, files: DataFrame | None = None, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, observations and warnings below root/projects, or of some of the files listed there. Profiles say nothing of this client."""
+    files, lines, tails = file_lines(listed(spark, root) if files is None else files)
     seen, warnings = observations(lines)
     return files, seen, warnings.unionByName(tails)

@@ -15,7 +15,7 @@ from usagebook.functions.ids import digest, pseudonym, stable_id
 from usagebook.functions.tables import written
 from usagebook.functions.values import rfc3339
 from usagebook.operators.ordered import FLAGS, SEGMENT, SNAPSHOT, once_per_key, running, snapshot_deltas
-from usagebook.sources.common import field, fields, listed_files, log_files, log_lines, parsed, prefer_plain
+from usagebook.sources.common import field, fields, file_lines, listed_files, parsed, prefer_plain
 
 CLIENT = "openai_codex"
 PATTERN = "rollout-*.jsonl{,.zst}"
@@ -144,7 +144,7 @@ def observations(lines: DataFrame, profiles: DataFrame | None = None, size: int
         "_meta": ("first", F.when(fits, F.struct(at.alias("line"), "meta.*"))), "_model": ("last", F.col("model")), "_provider": ("last", F.when(F.col("provider").isNotNull(), F.struct(at.alias("line"), F.col("provider").alias("v")))),
         "_tier": ("last", F.col("tier")), "_auth": ("last", F.when(F.col("auth").isNotNull(), F.struct(at.alias("line"), F.col("auth.v").alias("v")))), "_window": ("last", F.col("window")),
     }
-    told = running(rows, ways, size=size)
+    told = running(rows, ways, size=size, stored=True)
     meta = F.col("_meta")
     later = lambda c: F.coalesce(meta["line"] > F.col(c)["line"], meta.isNotNull())
     provider = F.when(later("_provider"), meta["provider"]).otherwise(F.col("_provider.v"))
@@ -229,11 +229,9 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     return prefer_plain(listed_files(spark, _roots(root), PATTERN))
 
 
-def read(spark: SparkSession, root: str, paths: list[str] | None = None, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files, observations and warnings below root/sessions and root/archived_sessions, or of some of the files there."""
-    files = log_files(spark, _roots(root), PATTERN, paths)
-    files = prefer_plain(files) if paths is None else files
-    lines, tails = log_lines(files)
+def read(spark: SparkSession, root: str, files: DataFrame | None = None, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, observations and warnings below root/sessions and root/archived_sessions, or of some of the files listed there."""
+    files, lines, tails = file_lines(listed(spark, root) if files is None else files)
     seen, warnings = observations(lines, profiles)
     return files, seen, warnings.unionByName(tails)
 
