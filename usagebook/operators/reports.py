@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagebook.functions.ids import short
 from usagebook.functions.values import COUNTERS, local_date
-from usagebook.operators.measures import finished, measure_sums
+from usagebook.operators.measures import STATUSES, finished, measure_sums
+from usagebook.operators.pricing import TOKENS, TOOLS
 
 QUALITY = ("unresolved", "heuristic", "derived", "exact")
 #: Items that evidence lists keep for display.
@@ -96,6 +97,45 @@ def evidence_list(values: Column) -> Column:
     return F.slice(F.array_sort(F.collect_set(values)), 1, EVIDENCE)
 
 
+def explained(kind: str = "usd") -> Column:
+    """What is said of each event's amount: a sentence for each priced component, for each missing one with its reason, and for writes that only bounds know."""
+    gone = lambda n: F.exists("missing", lambda m: m["component"] == n)
+    used = [F.when((F.col(q) > 0) & ~gone(n), f"{n}: summed over events") for n, q in ((n, q) for n, q, _ in TOKENS)] + [F.when((F.col(q) > 0) & ~gone(q), f"{q}: summed over events") for q, _ in TOOLS]
+    bounded = F.when((F.col(f"{kind}_status") == "bounded") & gone("cache_write_observation"), "cache writes not reported: bounded by the input counter")
+    absent = F.transform("missing", lambda m: F.concat(m["component"], F.lit(": "), reason(m["component"])))
+    return F.array_compact(F.concat(F.array(F.when(F.col(f"{kind}_status") == "unpriced", "no price in effect"), bounded, *[F.when(F.col(f"{kind}_status") != "unpriced", u) for u in used]), absent))
+
+
+def reason(component: Column) -> Column:
+    return F.when(component == "cache_write_observation", "not_observed").otherwise("no_rate")
+
+
+def evidence(priced: DataFrame, by: tuple[str, ...] = ("client",), kind: str = "usd", most: int = EVIDENCE) -> DataFrame:
+    """For each group of client, provider or model: events by status, missing components and explanations of their amounts.
+
+    A missing component's quantity is null if that of any event is. Explanations are
+    distinct and the least `most` in order; explanation_count is of all events'
+    and omitted_explanation_count of those not shown. Distinct values are found
+    before they move and no group's are gathered beyond `most`: Spark cuts each
+    task's rows to `most` before the shuffle.
+    """
+    names = {"client": F.col("client"), "provider": F.lower(F.trim("provider")), "model": model_name()}
+    rows = priced.select(*[names[k].alias(k) for k in by], f"{kind}_status", "missing", explained(kind).alias("said"))
+    status = F.col(f"{kind}_status")
+    counts = rows.groupBy(*by).agg(*[F.count_if(status == s).alias(f"{s}_events") for s in STATUSES], F.sum(F.size("said")).alias("explanation_count"))
+    said = rows.select(*by, F.explode("said").alias("text")).distinct()
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("text"))
+    shown = said.withColumn("_n", place).where(F.col("_n") <= most).groupBy(*by).agg(F.array_sort(F.collect_list("text")).alias("explanations"))
+    gaps = rows.select(*by, F.explode("missing").alias("m")).groupBy(*by, F.col("m.component").alias("component")).agg(F.when(F.count("m.quantity") == F.count("*"), F.sum("m.quantity")).alias("quantity"))
+    gone = gaps.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.lit(kind).alias("kind"), "component", reason(F.col("component")).alias("reason"), "quantity"))).alias("missing_components"))  # nine components at most
+    out = counts
+    for part in (shown, gone):
+        own = [f"_{k}" for k in by]
+        other = part.withColumnsRenamed(dict(zip(by, own, strict=True)))
+        out = out.join(other, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(by, own, strict=True)], "left").drop(*own)
+    return out.withColumn("omitted_explanation_count", F.col("explanation_count") - F.coalesce(F.size("explanations"), F.lit(0)))
+
+
 def provider_scope(events: DataFrame, given: list[str] | None = None) -> DataFrame:
     """The providers of the events, else those given, else both known ones."""
     found = events.select(F.lower(F.trim("provider")).alias("provider")).distinct()

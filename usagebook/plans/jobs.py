@@ -167,6 +167,12 @@ def explain_event(observations: DataFrame, prices: pricing.Catalog, sources: Dat
     return priced.join(shown, ["client", "event_key"], "left").join(seen, ["client", "event_key"], "left")
 
 
+def evidence_report(observations: DataFrame, prices: pricing.Catalog, by: tuple[str, ...] = ("client",), kind: str = "usd", start: object = None, end: object = None) -> DataFrame:
+    """What the amounts of a window rest on, for each group."""
+    events = canonical.in_window(canonical.fold(observations), start, end)
+    return reports.evidence(pricing.price(events, prices), by, kind).orderBy(*by)
+
+
 def health_report(observations: DataFrame, prices: pricing.Catalog) -> DataFrame:
     events = pricing.price(canonical.fold(observations), prices)
     return coverage.health(observations, pricing.unresolved_models(events), catalog.catalog_issues(prices))
@@ -206,12 +212,16 @@ def bill(one_time: DataFrame, plans: DataFrame, attestations: DataFrame, start:
 
 
 def export(report: DataFrame, path: str, form: str, context: dict[str, str] | None = None) -> None:
-    """Writes a report as json, csv, or csv with its context in every row."""
+    """Writes a report as json, csv, csv with its context in every row, or a usage report with evidence as rows or document of fixed columns."""
     if form == "json":
         sinks.write_json(report, path)
     elif form == "csv":
         sinks.write_csv(report, path)
     elif form == "envelope":
         sinks.write_csv(sinks.envelope(report, context or {}), path)
+    elif form == "rows":
+        sinks.write_csv(sinks.usage_rows(report), path)
+    elif form == "document":
+        sinks.write_csv(sinks.usage_document(report, {k: v for k, v in (context or {}).items() if k != "coverage_json"}, (context or {}).get("coverage_json", "")), path)
     else:
         raise ValueError(f"no form {form!r}")
