@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagebook.functions.ids import short
+from usagebook.functions.tables import written
 from usagebook.functions.values import COUNTERS, local_date
 from usagebook.operators.measures import STATUSES, finished, measure_sums
 from usagebook.operators.pricing import TOKENS, TOOLS
@@ -120,7 +121,7 @@ def evidence(priced: DataFrame, by: tuple[str, ...] = ("client",), kind: str = "
     task's rows to `most` before the shuffle.
     """
     names = {"client": F.col("client"), "provider": F.lower(F.trim("provider")), "model": model_name()}
-    rows = priced.select(*[names[k].alias(k) for k in by], f"{kind}_status", "missing", explained(kind).alias("said"))
+    rows = written(priced.select(*[names[k].alias(k) for k in by], f"{kind}_status", "missing", explained(kind).alias("said")), "evidence")  # read three times
     status = F.col(f"{kind}_status")
     counts = rows.groupBy(*by).agg(*[F.count_if(status == s).alias(f"{s}_events") for s in STATUSES], F.sum(F.size("said")).alias("explanation_count"))
     said = rows.select(*by, F.explode("said").alias("text")).distinct()

@@ -209,6 +209,26 @@ def missing_components(spark: SparkSession, d: str) -> DataFrame:
     return reports.missing_components(priced(spark, d))
 
 
+_GONE = """gone AS (SELECT s.client, s.event_key, s.need, r.* EXCLUDE (client, event_key) FROM scen_usd s JOIN rated_usd r USING (client, event_key) WHERE s.is_default),
+miss AS (SELECT client, event_key, 'cache_write_unknown' AS component, cache_write_unknown_tokens AS quantity FROM gone WHERE cache_write IS NULL AND cache_write_unknown_tokens > 0
+  UNION ALL SELECT client, event_key, 'web_fetch_requests', web_fetch_requests FROM gone WHERE web_fetch IS NULL AND web_fetch_requests > 0 UNION ALL SELECT client, event_key, 'cache_write_observation', NULL FROM gone WHERE need = 1)"""
+_USED = " UNION ALL ".join(f"SELECT client, event_key, '{n}' AS component FROM final WHERE usd_status <> 'unpriced' AND {q} > 0" for n, q in [(n, q) for n, q, _ in pricing.TOKENS] + [(q, q) for q, _ in pricing.TOOLS])
+
+
+@query("cost_evidence", f"""{O.PRICED}, {_GONE}, used AS ({_USED}),
+said AS (SELECT client, 'no price in effect' AS t FROM final WHERE usd_status = 'unpriced' UNION ALL SELECT client, component || ': summed over events' FROM used u WHERE NOT EXISTS (SELECT 1 FROM miss m WHERE m.client = u.client AND m.event_key = u.event_key AND m.component = u.component)
+  UNION ALL SELECT f.client, 'cache writes not reported: bounded by the input counter' FROM final f JOIN miss m USING (client, event_key) WHERE f.usd_status = 'bounded' AND m.component = 'cache_write_observation'
+  UNION ALL SELECT client, component || ': ' || CASE component WHEN 'cache_write_observation' THEN 'not_observed' ELSE 'no_rate' END FROM miss),
+parts AS (SELECT client, component || '=' || coalesce(CAST(CASE WHEN count(quantity) = count(*) THEN sum(quantity) END AS VARCHAR), '?') AS part FROM miss GROUP BY client, component)
+SELECT client, count(*) FILTER (WHERE usd_status = 'exact') AS exact_events, count(*) FILTER (WHERE usd_status = 'bounded') AS bounded_events, count(*) FILTER (WHERE usd_status = 'partial') AS partial_events, count(*) FILTER (WHERE usd_status = 'unpriced') AS unpriced_events,
+  (SELECT count(*) FROM said s WHERE s.client = f.client) AS explanation_count, (SELECT string_agg(DISTINCT t, '|' ORDER BY t) FROM said s WHERE s.client = f.client) AS explanations, coalesce((SELECT string_agg(part, '|' ORDER BY part) FROM parts p WHERE p.client = f.client), '') AS missing
+FROM final f GROUP BY client""")
+def cost_evidence(spark: SparkSession, d: str) -> DataFrame:
+    rows = reports.evidence(priced(spark, d))
+    gaps = F.transform(F.coalesce("missing_components", F.expr("cast(array() as array<struct<kind: string, component: string, reason: string, quantity: bigint>>)")), lambda m: F.concat(m["component"], F.lit("="), F.coalesce(m["quantity"].cast("string"), F.lit("?"))))
+    return rows.select("client", "exact_events", "bounded_events", "partial_events", "unpriced_events", F.col("explanation_count").cast("long").alias("explanation_count"), F.array_join("explanations", "|").alias("explanations"), F.array_join(gaps, "|").alias("missing"))
+
+
 @query("unresolved_models", f"{O.PRICED} SELECT DISTINCT client, raw_model FROM final f WHERE NOT EXISTS (SELECT 1 FROM rated_usd r WHERE r.client = f.client AND r.event_key = f.event_key) AND NOT EXISTS (SELECT 1 FROM rated_credits r WHERE r.client = f.client AND r.event_key = f.event_key) ORDER BY 1, 2 LIMIT 20")
 def unresolved_models(spark: SparkSession, d: str) -> DataFrame:
     return pricing.unresolved_models(priced(spark, d))
