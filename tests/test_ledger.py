@@ -89,6 +89,9 @@ def test_a_run_grows_the_ledger_from_logs(spark, tmp_path):
     (logs / "a.jsonl").write_text(line(5, 1))
     jobs.ledger_run(spark, roots, path, 3, date(2026, 7, 12))
     assert sorted(r.input_tokens_total for r in ledger.read(spark, path).collect()) == [1, 30]
+    (logs / "a.jsonl").write_text('{"type": "user"}\n')  # shorter than before, and without any usage
+    jobs.ledger_run(spark, roots, path, 4, date(2026, 7, 13))
+    assert sorted(r.input_tokens_total for r in ledger.read(spark, path).collect()) == [30]
 
 
 def test_overlaps_by_sweep_equal_all_pairs(spark):

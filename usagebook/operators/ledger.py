@@ -20,6 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagebook.functions.tables import written
 from usagebook.functions.values import COVERAGE, rank, small
 from usagebook.operators.canonical import greatest_counters, merged_counters
 
@@ -82,10 +83,14 @@ def merge(spark: SparkSession, path: str, new: DataFrame, born: DataFrame, run_i
     days = born.select("source_id", F.col("born").cast("date").alias("born"))
     part = F.pmod(F.xxhash64("source_id"), F.lit(PARTS)).cast("int")
     fresh = new.join(days, "source_id").withColumns({"part": part, "run": F.lit(run_id).cast("long")})
-    touched = fresh.select(*PART).distinct()  # a rewritten source without any observation left keeps its part as it is
+    touched = fresh.select(*PART).distinct()
     before = _manifest(spark, path)
     rows = fresh
     if before is not None:
+        if rewritten is not None:  # their parts too where nothing new was read of them
+            places = rewritten.join(days, "source_id").select("born", part.alias("part")).distinct()
+            touched = touched.union(before.join(places, ["born", "part"], "left_semi").select(*PART)).distinct()
+        touched = written(touched, "touched")
         held = before.join(small(touched), list(PART), "left_semi")
         old = _parts(spark, path, held)
         old = old if rewritten is None else old.join(rewritten, "source_id", "left_anti")
@@ -95,7 +100,7 @@ def merge(spark: SparkSession, path: str, new: DataFrame, born: DataFrame, run_i
     wrote = spark.read.parquet(f"{path}/data").where(F.col("written") == run_id).select(*PART).distinct()
     now = wrote.withColumn("written", F.lit(run_id).cast("long"))
     if before is not None:
-        now = now.unionByName(before.join(wrote, list(PART), "left_anti").select(now.columns))
+        now = now.unionByName(before.join(touched, list(PART), "left_anti").select(now.columns))  # a part that has no row left is in no manifest
     now.withColumn("of_run", F.lit(run_id).cast("long")).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of_run").parquet(f"{path}/manifest")
     return wrote
 
