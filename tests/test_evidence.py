@@ -54,3 +54,14 @@ def test_fixed_columns(priced, tmp_path):
     with pytest.raises(ValueError):
         sinks.usage_document(report, {"zone": "UTC"}, "")
     assert report.where(F.lit(False)).transform(sinks.usage_rows).count() == 0
+
+
+def test_prices_by_cells_equal_those_by_expressions(spark, sf):
+    events = queries.events(spark, sf).where("event_key like '%1-1' or event_key like '%2-2'").cache()
+    for overrides in (True, False):
+        own = queries.price_catalog(spark, overrides)
+        cut = pricing.cells(own)
+        one, other = pricing.price(events, own), pricing._by_expressions(events.withColumns({"provider_route": F.lit(None).cast("string"), "speed": F.lit(None).cast("string")}), own)
+        names = ["event_key", "usd_status", "usd_lower", "usd_upper", "usd_matches", "missing", "matched_ids", "scenario_count"]
+        assert one.select(names).exceptAll(other.select(names)).isEmpty() and other.select(names).exceptAll(one.select(names)).isEmpty()
+        assert one.where("usd_status = 'bounded'").count() > 0 and cut.where("_matches > 1").isEmpty()

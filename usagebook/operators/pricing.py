@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagebook.functions.values import UNRESOLVED, contains, is_api_key, resolved, small
+from usagebook.functions.values import BROADCAST_ROWS, UNRESOLVED, contains, is_api_key, resolved, small
 
 KINDS = ("usd", "credits")
 DIMENSIONS = ("auth_mode", "provider_route", "service_tier", "speed", "inference_geo")
@@ -47,18 +47,32 @@ class Catalog:
     overrides: DataFrame | None = None
 
 
+def _during(x: str) -> str:
+    return f"{x}.effective_from <= _time.low and ({x}.effective_to is null or _time.low < {x}.effective_to)"
+
+
+def _spans(df: DataFrame, *arrays: str) -> DataFrame:
+    """A row for each span of time (_time.low, _time.high) in which the same elements of the arrays are in effect, and these elements only."""
+    ends = ", ".join(f"transform({c}, r -> r.effective_{e})" for c in arrays for e in ("from", "to"))
+    cut = df.withColumn("_time", F.expr(f"array_sort(array_distinct(array_compact(concat({ends}))))")).withColumn("_time", F.expr("explode(transform(_time, (x, i) -> struct(x as low, get(_time, i + 1) as high)))"))
+    return cut.withColumns({c: F.expr(f"filter({c}, r -> {_during('r')})") for c in arrays})
+
+
+def _within(span: Column, value: Column) -> Column:
+    return (span["low"] <= value) & (span["high"].isNull() | (value < span["high"]))
+
+
 def resolve_models(events: DataFrame, aliases: DataFrame) -> DataFrame:
     """Adds canonical_model and alias_id: the one alias in effect, null if there is none or more than one."""
     grouped = aliases.groupBy(F.lower(F.trim("provider")).alias("_provider"), F.col("raw_model").alias("_raw")).agg(F.collect_list(F.struct("id", "canonical_model", "effective_from", "effective_to")).alias("_aliases"))
-    joined = events.join(small(grouped), (F.lower(F.trim(events["provider"])) == F.col("_provider")) & (events["raw_model"] == F.col("_raw")), "left")
-    found = F.filter("_aliases", lambda a: contains(a["effective_from"], a["effective_to"], F.col("occurred_at")))
-    one = joined.withColumn("_found", found).withColumn("_alias", F.when(F.size("_found") == 1, F.col("_found")[0]))
-    return one.withColumns({"canonical_model": F.col("_alias.canonical_model"), "alias_id": F.col("_alias.id")}).drop("_provider", "_raw", "_aliases", "_found", "_alias")
+    one = _spans(grouped, "_aliases").where("size(_aliases) = 1").select("_provider", "_raw", F.col("_time").alias("_span"), F.col("_aliases")[0].alias("_alias"))
+    joined = events.join(small(one), (F.lower(F.trim(events["provider"])) == F.col("_provider")) & (events["raw_model"] == F.col("_raw")) & _within(F.col("_span"), events["occurred_at"]), "left")
+    return joined.withColumns({"canonical_model": F.col("_alias.canonical_model"), "alias_id": F.col("_alias.id")}).drop("_provider", "_raw", "_span", "_alias")
 
 
 def entries(catalog: Catalog) -> DataFrame:
     """One row a (provider, canonical model): its rates with their policies, its modifiers and its overrides."""
-    policy = catalog.policies.groupBy("rate_id").agg(F.array_sort(F.collect_list(F.struct("dimension", "allowed", "default_value", "value_aliases")), lambda a, b: F.when(a["dimension"] < b["dimension"], -1).when(a["dimension"] > b["dimension"], 1).otherwise(0)).alias("policies"))
+    policy = catalog.policies.groupBy("rate_id").agg(F.array_sort(F.collect_list(F.struct("dimension", F.array_distinct("allowed").alias("allowed"), "default_value", "value_aliases")), lambda a, b: F.when(a["dimension"] < b["dimension"], -1).when(a["dimension"] > b["dimension"], 1).otherwise(0)).alias("policies"))
     names = ["id", "kind", "unit_scale", "effective_from", "effective_to", "min_input_tokens", "max_input_tokens_exclusive", *[r for _, _, r in TOKENS], "web_search", "web_fetch", "tool_per_units", "cache_write_observation_required"]
     rates = catalog.rates.join(policy, catalog.rates["id"] == policy["rate_id"], "left").withColumn("policies", F.coalesce("policies", F.array().cast(policy.schema["policies"].dataType)))
     out = rates.groupBy(F.lower(F.trim("provider")).alias("_provider"), F.col("canonical_model").alias("_model")).agg(F.collect_list(F.struct(*names, "policies")).alias("_rates"))
@@ -145,9 +159,7 @@ def with_rates(events: DataFrame, catalog: Catalog) -> DataFrame:
     out = resolve_models(events, catalog.aliases)
     out = out.join(small(entries(catalog)), (F.lower(F.trim(out["provider"])) == F.col("_provider")) & (out["canonical_model"] == F.col("_model")), "left")
     now = F.col("occurred_at")
-    writes = [F.col(f"cache_write_{k}_tokens") for k in ("unknown", "5m", "1h")]
-    total = F.when(F.col("input_tokens_total") > 0, F.col("input_tokens_total")).otherwise(F.col("input_tokens_uncached") + F.col("input_tokens_cached") + writes[0] + writes[1] + writes[2])
-    out = out.withColumns({"_total": total, "_dims": observed_dimensions()})
+    out = out.withColumns({"_total": _tokens(), "_dims": observed_dimensions()})
     active = F.filter("_overrides", lambda o: contains(o["effective_from"], o["effective_to"], now))
     out = out.withColumn("_override", F.coalesce(F.map_from_entries(F.transform(active, lambda o: F.struct(o["dimension"].alias("key"), o["value"].alias("value")))), F.expr("cast(map() as map<string, string>)")))
     for kind in KINDS:
@@ -162,27 +174,212 @@ def with_rates(events: DataFrame, catalog: Catalog) -> DataFrame:
     return out
 
 
-def price(events: DataFrame, catalog: Catalog) -> DataFrame:
-    """Events with canonical_model, alias_id, and for usd and credits status, lower and upper; legacy_status; matched_ids; missing.
+def cells(catalog: Catalog) -> DataFrame:
+    """The catalog cut where anything changes: one row a (provider, model, kind), span of time and span of tokens.
 
-    legacy_status takes the catalog's defaults for missing dimensions, whereas
-    the bounds explore all allowed values; both are reported. Credits apply to
-    client openai_codex unless it used an API key; where the way of
-    authentication is missing or inferred their lower bound is 0.
+    Within a cell the rates and modifiers in effect are the same, so each event
+    meets one cell at most, and its rate's scenarios have fixed unit prices.
     """
-    out = with_rates(events, catalog)
+    none = "cast(array() as array<struct<id: string, kind: string, effective_from: timestamp, effective_to: timestamp, scope: string, multiplier: decimal(9,4), selectors: array<struct<key: string, value: string>>>>)"
+    base = entries(catalog).select("_provider", "_model", F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("_kind"), "_rates", F.expr(f"coalesce(_modifiers, {none})").alias("_modifiers"))
+    base = base.withColumns({c: F.expr(f"filter({c}, r -> r.kind = _kind and r.effective_from is not null)") for c in ("_rates", "_modifiers")}).where("size(_rates) > 0")
+    sizes = "array_sort(array_distinct(array_compact(concat(transform(_rates, r -> coalesce(r.min_input_tokens, 0L)), transform(_rates, r -> r.max_input_tokens_exclusive)))))"
+    cut = _spans(base.withColumn("_size", F.expr(sizes)), "_rates", "_modifiers").withColumn("_size", F.expr("explode(transform(_size, (x, i) -> struct(x as low, get(_size, i + 1) as high)))"))
+    cut = cut.withColumn("_found", F.expr("filter(_rates, r -> coalesce(r.min_input_tokens, 0L) <= _size.low and (r.max_input_tokens_exclusive is null or _size.low < r.max_input_tokens_exclusive))")).where("size(_found) > 0")
+    return cut.select("_provider", "_model", "_kind", "_time", "_size", F.size("_found").alias("_matches"), F.expr("if(size(_found) = 1, _found[0], null)").alias("_rate"), "_modifiers").withColumn(
+        "_combinations", F.expr("aggregate(_rate.policies, 1D, (x, p) -> x * size(p.allowed))")
+    )
+
+
+def _with_units(cut: DataFrame, dimensions: list[str]) -> DataFrame:
+    """Cells with what each dimension may be stated as, and all scenarios of their rate: value of each dimension, modifiers, and a unit price for each component, null where it has none or is out of range."""
+    choices = "aggregate(_rate.policies, array(cast(array() as array<string>)), (acc, p) -> flatten(transform(acc, m -> transform(p.allowed, c -> array_append(m, c)))))"
+    mapped = f"transform({choices}, c -> map_from_arrays(transform(_rate.policies, p -> p.dimension), c))"
+    fitting = f"transform({mapped}, d -> struct(d as dims, filter(_modifiers, m -> forall(m.selectors, s -> try_element_at(d, s.key) <=> s.value)) as mods))"
+    product = "aggregate(filter(e.mods, m -> m.scope in ('{s}', 'all')), cast(1 as decimal(18,9)), (x, m) -> try_cast(x * m.multiplier as decimal(18,9)))"
+    scaled = f"transform({fitting}, e -> struct(e.dims, transform(e.mods, m -> m.id) as modifier_ids, {product.format(s='token_rates')} as tokens, {product.format(s='tool_rates')} as tools))"
+    unit = "try_cast(_rate.{r} * d.{by} / nullif(_rate.{per}, 0L) as decimal(18,15)) as u_{r}"
+    units = [unit.format(r=r, by="tokens", per="unit_scale") for _, _, r in TOKENS] + [unit.format(r=r, by="tools", per="tool_per_units") for _, r in TOOLS]
+    values = [f"try_element_at(d.dims, {_quoted(d)}) as c_{i}" for i, d in enumerate(dimensions)]
+    cut = cut.withColumn("_all", F.expr(f"transform({scaled}, d -> struct({', '.join(['d.modifier_ids', *values, *units])}))"))
+    aliased = "coalesce(p.value_aliases, cast(map() as map<string, string>))"
+    said = f"map_from_entries(concat(transform(filter(p.allowed, a -> not map_contains_key({aliased}, a) and lower(trim(a)) not in ({_UNRESOLVED})), a -> struct(a as key, a as value)), filter(map_entries({aliased}), e -> array_contains(p.allowed, e.value) and lower(trim(e.key)) not in ({_UNRESOLVED}))))"
+    for i, d in enumerate(dimensions):
+        cut = cut.withColumn(f"_p{i}", F.expr(f"get(transform(filter(_rate.policies, p -> p.dimension = {_quoted(d)}), p -> struct(p.default_value as usual, {said} as said)), 0)"))
+    return cut.drop("_modifiers", "_combinations")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _stated(kind: str, dimensions: list[str]) -> dict[str, Column]:
+    """For each dimension whether it's open, the value stated, and the value with the catalog's default; null if not allowed."""
+    out = {}
+    for i, d in enumerate(dimensions):
+        own, any_ = F.try_element_at("_override", F.lit(d)), F.col(f"_d_{d}") if d in DIMENSIONS else F.lit(None).cast("string")
+        seen = F.when(~F.col("_uncertain"), any_) if kind == "credits" and d == "auth_mode" else any_
+        stated = F.coalesce(own, F.when(~seen.isin(*UNRESOLVED), seen))
+        policy = F.col(f"_p{i}_{kind}")
+        out[f"_open{i}_{kind}"] = policy.isNull() | stated.isNull()
+        out[f"_value{i}_{kind}"] = F.try_element_at(policy["said"], stated)
+        out[f"_usual{i}_{kind}"] = F.try_element_at(policy["said"], F.coalesce(own, any_, policy["usual"], F.lit("")))
+    return out
+
+
+def _quantities(kind: str) -> dict[str, str]:
+    """The quantity that each rate prices; credits know input, cached input and output only."""
+    quantity = {r: c for _, c, r in TOKENS} | {r: c for c, r in TOOLS}
+    if kind == "credits":
+        quantity |= {"input": "greatest(input_tokens_total - input_tokens_cached, 0L)"} | {r: "0L" for r in quantity if r.startswith("cache_write")}
+    return quantity
+
+
+def _gaps(kind: str) -> dict[str, Column]:
+    """What the amounts of a kind lack, the same in all scenarios; all in generated code."""
+    rate, usd = f"_rate_{kind}", kind == "usd"
+    quantity = _quantities(kind)
+    unseen = f"coalesce({rate}.cache_write_observation_required and not coalesce(cache_write_data_complete, false), false)" if usd else "false"
+    lacking = " + ".join(f"if(coalesce({q} > 0, false) and {rate}.{r} is null, 1, 0)" for r, q in quantity.items())
+    count = f"{lacking} + if({unseen}, 1, 0)"
+    shifts = f"coalesce(lower(trim(provider)) = 'openai' and coalesce(input_subset_accounting_consistent, true) and {unseen} and ({count}) = 1 and {rate}.input is not null and {rate}.cache_write is not null, false)" if usd else "false"
+    priced = " or ".join(f"(coalesce({q} > 0, false) and {rate}.{r} is not null)" for r, q in quantity.items())
+    return {f"_gaps_{kind}": F.expr(count), f"_unseen_{kind}": F.expr(unseen), f"_shifts_{kind}": F.expr(shifts), f"_some_{kind}": F.expr(priced)}
+
+
+def _amounts(kind: str, dimensions: list[str]) -> Column:
+    """Counts and bounds over the scenarios that an event leaves open; an amount is a sum of quantities times the cell's unit prices."""
+    rate = f"_rate_{kind}"
+    cost = lambda q, r: f"try_cast(cast({q} as decimal(19,0)) * s.u_{r} as decimal(38,15))"
+    total = "cast(0 as decimal(38,15))"
+    for r, q in _quantities(kind).items():
+        if q != "0L":
+            total = f"try_cast({total} + if(coalesce({q} > 0, false) and {rate}.{r} is not null, {cost(q, r)}, cast(0 as decimal(38,15))) as decimal(38,15))"
+    fits = " and ".join(["true", *[f"(_open{i}_{kind} or (_value{i}_{kind} is not null and _value{i}_{kind} <=> s.c_{i}))" for i in range(len(dimensions))]])
+    usual = " and ".join(["true", *[f"(_p{i}_{kind} is null or (_usual{i}_{kind} is not null and _usual{i}_{kind} <=> s.c_{i}))" for i in range(len(dimensions))]])
+    shift = lambda r: f"if(_shifts_{kind}, {cost('input_tokens_uncached', r)}, null)"
+    summed = f"transform(filter(_all_{kind}, s -> {fits}), s -> struct(s.modifier_ids, {usual} as usual, {total} as subtotal, {shift('input')} as read, {shift('cache_write')} as written))"
+    whole = f"_gaps_{kind} = 0"
+    shifted = "try_cast(e.subtotal - e.read + {f}(e.read, e.written) as decimal(38,15))"
+    known = f"case when {whole} then e.subtotal when _shifts_{kind} then {shifted.format(f='least')} when _some_{kind} and e.subtotal <> 0 then e.subtotal end"
+    upper = f"case when {whole} then e.subtotal when _shifts_{kind} then {shifted.format(f='greatest')} end"
+    bounds = f"transform({summed}, e -> struct(e.modifier_ids, e.usual, e.subtotal is null as bad, {known} as known, {upper} as upper))"
+    start = "named_struct('n', 0, 'bad', 0, 'known', 0, 'both', 0, 'low', cast(null as decimal(38,15)), 'high', cast(null as decimal(38,15)), 'usual_bad', cast(null as boolean), 'ids', cast(array() as array<string>))"
+    step = "named_struct('n', a.n + 1, 'bad', a.bad + if(e.bad, 1, 0), 'known', a.known + if(e.known is null, 0, 1), 'both', a.both + if(e.known is null or e.upper is null, 0, 1), 'low', least(a.low, e.known), 'high', greatest(a.high, e.upper), 'usual_bad', coalesce(a.usual_bad, if(e.usual, e.bad, null)), 'ids', if(size(e.modifier_ids) = 0, a.ids, concat(a.ids, e.modifier_ids)))"
+    return F.expr(f"if({rate} is null, null, aggregate({bounds}, {start}, (a, e) -> {step}))")
+
+
+def _bounds(kind: str) -> dict[str, Column]:
+    """Status, bounds and status by the catalog's defaults, from the counts over scenarios."""
+    g = f"_amounts_{kind}"
+    none = f"coalesce({g}.n, 0) = 0 or {g}.bad = {g}.n"
+    return {
+        f"{kind}_status": F.expr(f"case when {none} then 'unpriced' when {g}.both = {g}.n then if({g}.low = {g}.high, 'exact', 'bounded') else 'partial' end"),
+        f"{kind}_lower": F.expr(f"case when {none} then null when {g}.known = {g}.n then {g}.low end"),
+        f"{kind}_upper": F.expr(f"case when {none} then null when {g}.both = {g}.n then {g}.high end"),
+        f"_legacy_{kind}": F.expr(f"case when coalesce({g}.usual_bad, true) then 'unpriced' when _gaps_{kind} = 0 then 'priced' else 'partial' end"),
+    }
+
+
+def _tokens() -> Column:
+    """What token ranges of rates are about: the reported total of input tokens, or the sum of the classes."""
+    writes = [F.col(f"cache_write_{k}_tokens") for k in ("unknown", "5m", "1h")]
+    return F.when(F.col("input_tokens_total") > 0, F.col("input_tokens_total")).otherwise(F.col("input_tokens_uncached") + F.col("input_tokens_cached") + writes[0] + writes[1] + writes[2])
+
+
+def _authentication(out: DataFrame) -> DataFrame:
+    """_uncertain: the way of authentication is missing or inferred; _api_key: it was an API key."""
     override = F.try_element_at("_override", F.lit("auth_mode"))
     uncertain = override.isNull() & (F.col("auth_mode").isNull() | F.coalesce(F.col("auth_mode_provenance") == "current_profile_inferred", F.lit(False)))
-    out = out.withColumns({"_uncertain": uncertain, "_api_key": ~uncertain & is_api_key(F.coalesce(override, F.col("auth_mode")))})
+    return out.withColumns({"_uncertain": uncertain, "_api_key": ~uncertain & is_api_key(F.coalesce(override, F.col("auth_mode")))})
+
+
+def _by_cells(events: DataFrame, catalog: Catalog, cut: DataFrame, few: bool) -> DataFrame:
+    """Events with status and bounds of both kinds, by one equi-join a kind with the cells, whose spans are tested in the join.
+
+    All but the walk over a cell's scenarios is generated code, and that walk is
+    one projection for both kinds, as each such projection copies the whole row.
+    """
+    dimensions = sorted(r[0] for r in catalog.policies.select("dimension").distinct().collect())  # names of dimensions, not rows of data
+    out = resolve_models(events, catalog.aliases)
+    provider = F.lower(F.trim(events["provider"]))
+    attested = F.lit(None).cast("map<string, string>")
+    if catalog.overrides is not None:
+        own = entries(catalog).where("_overrides is not null").select(F.col("_provider").alias("_po"), F.col("_model").alias("_mo"), F.array_sort("_overrides").alias("_overrides"))
+        own = _spans(own, "_overrides").where("size(_overrides) > 0").withColumnRenamed("_time", "_to")
+        first = "map_from_entries(transform(filter(_overrides, (o, i) -> not exists(slice(_overrides, 1, i), x -> x.dimension = o.dimension)), o -> struct(o.dimension as key, o.value as value)))"
+        own = own.withColumn("_attested", F.expr(first)).drop("_overrides")
+        out = out.join(small(own), (provider == F.col("_po")) & (F.col("canonical_model") == F.col("_mo")) & _within(F.col("_to"), F.col("occurred_at")), "left")
+        attested = F.col("_attested")
+    said = {f"_d_{d}": F.lower(F.trim(d)) for d in DIMENSIONS}
+    said["_d_speed"] = F.coalesce(said["_d_speed"], F.when(said["_d_service_tier"] == "fast", "fast"))
+    out = _authentication(out.withColumns({"_override": attested, "_total": _tokens(), **said}))
+    units = _with_units(cut, dimensions)
+    for kind in KINDS:
+        side = units.where(F.col("_kind") == kind).drop("_kind")
+        side = side.withColumnsRenamed({c: f"{c}_{kind}" for c in side.columns})
+        inside = _within(F.col(f"_time_{kind}"), F.col("occurred_at")) & _within(F.col(f"_size_{kind}"), F.col("_total"))
+        out = out.join(F.broadcast(side) if few else side, (provider == F.col(f"_provider_{kind}")) & (F.col("canonical_model") == F.col(f"_model_{kind}")) & inside, "left")
+        out = out.withColumns({f"{kind}_matches": F.coalesce(f"_matches_{kind}", F.lit(0)), **_stated(kind, dimensions), **_gaps(kind)})
+    out = out.withColumns({f"_amounts_{k}": _amounts(k, dimensions) for k in KINDS})
+    quantity, names = _quantities("usd"), {r: n for n, _, r in TOKENS} | {r: c for c, r in TOOLS}
+    gaps = [f"if(coalesce({q} > 0, false) and _rate_usd.{r} is null, struct('{names[r]}' as component, {q} as quantity), null)" for r, q in quantity.items()]
+    gaps.append("if(_unseen_usd, struct('cache_write_observation' as component, cast(null as bigint) as quantity), null)")
+    none = "cast(array() as array<struct<component: string, quantity: bigint>>)"
+    return out.withColumns(
+        {
+            **_bounds("usd"), **_bounds("credits"),
+            "missing": F.expr(f"if(_amounts_usd.usual_bad is null or _gaps_usd = 0, {none}, array_sort(array_compact(array({', '.join(gaps)}))))"),
+            "matched_ids": F.expr("sort_array(array_except(concat(array(_rate_usd.id, _rate_credits.id), coalesce(_amounts_usd.ids, array())), array(cast(null as string))))"),
+            "scenario_count": F.coalesce("_amounts_usd.n", F.lit(0)),
+        }
+    )
+
+
+def _by_expressions(events: DataFrame, catalog: Catalog) -> DataFrame:
+    """The same for a catalog with a rate of too many combinations to be stored: scenarios are made from each event's own dimensions."""
+    out = _authentication(with_rates(events, catalog))
     out = out.withColumns({"_dims_usd": F.col("_dims"), "_dims_credits": F.when(F.col("_uncertain"), F.map_filter("_dims", lambda k, _: k != "auth_mode")).otherwise(F.col("_dims"))})
     for kind in KINDS:
         rated = F.col(f"_rate_{kind}").isNotNull()
         out = out.withColumns({f"_scenarios_{kind}": F.when(rated, F.expr(_estimates(kind, _scenarios(kind)))), f"_default_{kind}": F.when(rated, F.get(F.expr(_default(kind)), F.lit(0)))})
-        out = out.withColumns(_range(kind))
         # the scenario of the default dimensions; none if they can't be resolved
         out = out.withColumn(f"_legacy_{kind}", F.expr(f"get(filter(_scenarios_{kind}, e -> _default_{kind} is not null and forall(map_entries(e.dimensions), x -> try_element_at(_default_{kind}, x.key) <=> x.value)), 0)"))
+        out = out.withColumns(_range(kind))
+    out = out.withColumns(
+        {
+            "missing": F.array_sort(F.coalesce("_legacy_usd.missing", F.expr("cast(array() as array<struct<component: string, quantity: bigint>>)"))),
+            "matched_ids": F.expr("array_sort(array_distinct(concat(array_compact(array(_rate_usd.id, _rate_credits.id)), flatten(transform(coalesce(_scenarios_usd, array()), e -> e.modifier_ids)))))"),
+            "scenario_count": F.coalesce(F.size("_scenarios_usd"), F.lit(0)),
+        }
+    )
+    return out.withColumns({f"_legacy_{k}": F.coalesce(f"_legacy_{k}.status", F.lit("unpriced")) for k in KINDS})
+
+
+def price(events: DataFrame, catalog: Catalog) -> DataFrame:
+    """Events with canonical_model, alias_id, and for usd and credits status, lower and upper; legacy_status; matched_ids; missing.
+
+    legacy_status takes the catalog's defaults for missing dimensions, whereas
+    the bounds explore all allowed values; both are reported. Credits apply to
+    client openai_codex unless it used an API key; where the way of
+    authentication is missing or inferred their lower bound is 0.
+
+    Unit prices are multiplied out once a cell of the catalog, not once an event.
+    Cells are broadcast where all their scenarios together are at most
+    BROADCAST_ROWS. A catalog in which a rate allows more than MAX_SCENARIOS
+    combinations is priced from each event's own dimensions; results are the same.
+    """
+    for name in ("provider_route", "speed"):
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(None).cast("string"))
+    cut = cells(catalog)
+    held = cut.agg(F.max("_combinations").alias("most"), F.sum(F.greatest("_combinations", F.lit(1))).alias("all")).first()
+    if (held["most"] or 0) <= MAX_SCENARIOS:
+        out = _by_cells(events, catalog, cut, (held["all"] or 0) <= BROADCAST_ROWS)
+    else:
+        out = _by_expressions(events, catalog)
     applies = (F.col("client") == "openai_codex") & ~F.col("_api_key")
-    of = {k: F.coalesce(F.col(f"_legacy_{k}.status"), F.lit("unpriced")) for k in KINDS}
+    of = {k: F.col(f"_legacy_{k}") for k in KINDS}
     firm = F.col("credits_status").isin("exact", "bounded")
     legacy = F.when(applies & F.col("_uncertain"), "partial").when(~applies, of["usd"]).when(of["usd"] == of["credits"], of["usd"]).otherwise("partial")
     out = out.withColumns(
@@ -191,9 +388,6 @@ def price(events: DataFrame, catalog: Catalog) -> DataFrame:
             "credits_lower": F.when(applies, F.when(F.col("_uncertain") & firm, F.lit(0).cast("decimal(38,15)")).otherwise(F.col("credits_lower"))),
             "credits_upper": F.when(applies, F.col("credits_upper")),
             "credits_status": F.when(~applies, "unavailable").when(F.col("_uncertain") & firm, "bounded").otherwise(F.col("credits_status")),
-            "missing": F.array_sort(F.coalesce("_legacy_usd.missing", F.expr("cast(array() as array<struct<component: string, quantity: bigint>>)"))),
-            "matched_ids": F.expr("array_sort(array_distinct(concat(array_compact(array(_rate_usd.id, _rate_credits.id)), flatten(transform(coalesce(_scenarios_usd, array()), e -> e.modifier_ids)))))"),
-            "scenario_count": F.coalesce(F.size("_scenarios_usd"), F.lit(0)),
         }
     )
     return out.select(*events.columns, "canonical_model", "alias_id", "usd_matches", "credits_matches", "usd_status", "usd_lower", "usd_upper", "credits_status", "credits_lower", "credits_upper", "legacy_status", "missing", "matched_ids", "scenario_count")
