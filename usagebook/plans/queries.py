@@ -15,13 +15,14 @@ from usagebook.functions.ids import stable_id
 from usagebook.functions.tables import shared_dir, written
 from usagebook.functions.values import COUNTERS, local_date, nano
 from usagebook.operators import billing, canonical, catalog, coverage, incremental, ledger, ordered, pricing, quality, reconcile, reports
+from usagebook.plans import catalogs as C
 from usagebook.plans import oracle as O
 from usagebook.plans import views as V
 from usagebook.sources import common, log_a, log_b
 
 ZONE = "America/New_York"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict = dict(C.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(C.ORACLE_SQL)
 
 
 def query(name: str, sql: str | None = None):

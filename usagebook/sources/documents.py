@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagebook.functions.tables import written
 from usagebook.operators.pricing import Catalog
+from usagebook.operators.verification import Records
 
 _INTERVAL = "effective_from: timestamp, effective_to: timestamp"
 CATALOG = f"""
@@ -23,6 +25,7 @@ OVERRIDES = "id string, provider string, canonical_model string, dimension strin
 ONE_TIME = "id string, provider string, category string, amount_usd decimal(18,6), charged_at timestamp, attested_at timestamp, source_note string"
 RECURRING = "id string, provider string, amount_usd decimal(18,6), cadence string, effective_from timestamp, effective_to timestamp, attested_at timestamp, source_note string"
 COMPLETENESS = "id string, provider string, effective_from timestamp, effective_to timestamp, attested_at timestamp, source_note string"
+COMPONENTS = ("input", "cache_read", "cache_write", "cache_write_5m", "cache_write_1h", "output")
 _KINDS = {"usd_api_equivalent": "usd", "codex_credits": "credits"}
 
 
@@ -47,6 +50,21 @@ def catalog(spark: SparkSession, path: str, overrides: DataFrame | None = None)
     return Catalog(aliases, rates, policies, modifiers, overrides)
 
 
+def catalog_records(spark: SparkSession, path: str) -> Records:
+    """The records of catalog documents as they are written, for checks; a document is known by its path.
+
+    Each document is read once and stored parsed. One that is no JSON object has a
+    header of nulls and no records.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    parsed = files.select(F.col("path").alias("document"), F.sha2("content", 256).alias("sha256"), F.from_json(F.col("content").cast("string"), CATALOG).alias("doc"))
+    docs = written(parsed, "catalogs")
+    each = lambda c: docs.select("document", F.explode(f"doc.{c}").alias("r")).select("document", "r.*")
+    prices = F.create_map(*[x for c in COMPONENTS for x in (F.lit(c), F.col(f"rates.{c}"))])
+    headers = docs.select("document", "sha256", *[f"doc.{c}" for c in ("schema_version", "revision", "published_at", "verified_at", "stale_after_days")])
+    return Records(headers, each("sources"), each("aliases"), each("rates").withColumn("prices", prices).drop("rates"), each("modifiers"))
+
+
 def catalog_sources(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema=CATALOG, multiLine=True).select(F.inline("sources"))
 
