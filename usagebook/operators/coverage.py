@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagebook.functions.values import local_date
@@ -59,10 +61,40 @@ def daily_activity(events: DataFrame, zone: str) -> DataFrame:
     return events.groupBy(local_date(F.col("occurred_at"), zone).alias("day"), "client").agg(F.count("*").alias("events"))
 
 
-def health(observations: DataFrame, unresolved: DataFrame, issues: DataFrame) -> DataFrame:
-    """check, status, detail."""
-    stats = ledger_stats(observations)
-    rows = stats.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.lit("ok").alias("status"), F.col(c).cast("string").alias("detail")) for c in stats.columns])).alias("r")).select("r.*")
-    models = unresolved.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("raw_model")), ",").alias("names")).select(F.lit("unresolved_models").alias("check"), F.when(F.col("n") > 0, "attention").otherwise("ok").alias("status"), F.col("names").alias("detail"))
-    found = issues.agg(F.count("*").alias("n")).select(F.lit("catalog_issues").alias("check"), F.when(F.col("n") > 0, "attention").otherwise("ok").alias("status"), F.col("n").cast("string").alias("detail"))
-    return rows.unionByName(models).unionByName(found)
+def health(observations: DataFrame, unresolved: DataFrame, issues: DataFrame, summary: DataFrame | None = None, sources: DataFrame | None = None, catalogs: DataFrame | None = None) -> DataFrame:
+    """check, status, detail: the ledger's size, models without a price and catalog issues; with them the last run, each client's sources, and the catalogs' freshness.
+
+    The row `overall` needs attention if a run was provisional or warned, a model has
+    no price or a catalog has issues. A client of whom no source was found needs it
+    too, but doesn't decide; nor does a catalog's age. unresolved is a short list (pricing.unresolved_models).
+    """
+    rows = [_lines(ledger_stats(observations))]
+    models = unresolved.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", *[c for c in ("client", "raw_model") if c in unresolved.columns]))), ",").alias("names"))
+    rows.append(models.select(F.lit("unresolved_models").alias("check"), _tone(F.col("n") > 0), F.col("names").alias("detail")))
+    rows.append(issues.agg(F.count("*").alias("n")).select(F.lit("catalog_issues").alias("check"), _tone(F.col("n") > 0), F.col("n").cast("string").alias("detail")))
+    if summary is not None:
+        # the newest run alone
+        last = summary.agg(*[F.max_by(c, "run_id").alias(c) for c in ("warnings", "provisional", "status")])
+        rows.append(last.select(F.lit("run_warnings").alias("check"), _tone(F.col("warnings") > 0), F.col("warnings").cast("string").alias("detail")))
+        rows.append(last.select(F.lit("last_run").alias("check"), _tone(F.col("provisional")), F.coalesce("status", F.lit("none")).alias("detail")))
+    if sources is not None:
+        clients = observations.sparkSession.createDataFrame([(c,) for c in CLIENTS], "client string")
+        found = sources.groupBy("client").agg(F.count("*").alias("n"), F.count_if("compressed").alias("compressed"))
+        n = F.coalesce("n", F.lit(0))
+        detail = F.concat_ws(" ", n.cast("string"), F.lit("sources,"), F.coalesce("compressed", F.lit(0)).cast("string"), F.lit("compressed"))
+        rows.append(clients.join(found, "client", "left").select(F.concat(F.lit("sources:"), "client").alias("check"), _tone(n == 0), detail.alias("detail")))
+    if catalogs is not None:
+        rows.append(catalogs.select(F.concat(F.lit("catalog:"), F.coalesce("revision", F.lit(""))).alias("check"), _tone((F.col("freshness") != "fresh") | ~F.col("valid")), F.concat_ws(" ", "freshness", F.when(F.col("valid"), "valid").otherwise("invalid")).alias("detail")))
+    whole = reduce(DataFrame.unionByName, rows)
+    decides = (F.col("status") == "attention") & (F.col("check").isin("unresolved_models", "catalog_issues", "run_warnings", "last_run") | (F.startswith("check", F.lit("catalog:")) & F.endswith("detail", F.lit(" invalid"))))
+    overall = whole.agg(F.count_if(decides).alias("n")).select(F.lit("overall").alias("check"), _tone(F.col("n") > 0), F.col("n").cast("string").alias("detail"))
+    return whole.unionByName(overall)
+
+
+def _tone(attention: Column) -> Column:
+    return F.when(attention, "attention").otherwise("ok").alias("status")
+
+
+def _lines(row: DataFrame) -> DataFrame:
+    """A line for each column of a table of one row."""
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.lit("ok").alias("status"), F.col(c).cast("string").alias("detail")) for c in row.columns])).alias("r")).select("r.*")

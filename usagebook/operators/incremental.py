@@ -52,10 +52,18 @@ def replaced(observations: DataFrame, changes: DataFrame, new: DataFrame, since:
 
 
 def run_summary(changes: DataFrame, observations: DataFrame, warnings: DataFrame, run_id: int, limited: bool = False) -> DataFrame:
-    """One row about an ingest run; it is provisional if it was limited or any source gave a warning."""
-    states = changes.agg(F.count_if(F.col("state") != "vanished").alias("discovered"), *[F.count_if(F.col("state") == s).alias(s) for s in STATES])
-    seen, warned = observations.agg(F.count("*").alias("observations")), warnings.agg(F.count("*").alias("warnings"))
-    return states.crossJoin(seen).crossJoin(warned).select(F.lit(run_id).cast("long").alias("run_id"), "*", (F.lit(limited) | (F.col("warnings") > 0)).alias("provisional"))  # one row each
+    """One row about an ingest run: sources by what became of them, those opened (scanned), those whose rows were replaced (reset), those with warnings (incomplete), rows and warnings.
+
+    A run is partial, and what it says provisional, if it was limited or any source
+    gave a warning.
+    """
+    opened = F.col("state").isin("new", "rewritten", "appended")
+    states = changes.agg(F.count_if(F.col("state") != "vanished").alias("discovered"), F.count_if(opened).alias("scanned"), F.count_if(F.col("state") == "rewritten").alias("reset"), *[F.count_if(F.col("state") == s).alias(s) for s in STATES])
+    seen = observations.agg(F.count("*").alias("observations"))
+    warned = warnings.agg(F.count("*").alias("warnings"), F.count_distinct("source_id").alias("incomplete"))
+    provisional = F.lit(limited) | (F.col("warnings") > 0)
+    out = states.crossJoin(seen).crossJoin(warned)  # one row each
+    return out.select(F.lit(run_id).cast("long").alias("run_id"), "*", F.lit(limited).alias("limited"), provisional.alias("provisional"), F.when(provisional, "partial").otherwise("ok").alias("status"))
 
 
 def _part() -> Column:

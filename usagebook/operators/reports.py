@@ -79,12 +79,18 @@ def model_report(events: DataFrame) -> DataFrame:
 
 
 def cost_report(priced: DataFrame) -> DataFrame:
-    """A row for each (client, provider, model) and one for all (grouping = 1), each from the events, since sessions don't add up."""
+    """A row for each (client, provider, model) and one for all (grouping = 1), each from the events, since sessions don't add up. Without events the row for all has zeros, and no bounds."""
     keyed = priced.select("*", model_name().alias("model"), F.lower(F.trim("provider")).alias("provider_name"))
     keys = ["client", "provider_name", "model"]
     # rows of a session appear once a group; distinct sessions are counted per grouping
-    groups = keyed.groupingSets([keys, []], *keys).agg(F.grouping_id().alias("grouping"), F.count("*").alias("requests"), F.count_distinct(F.concat_ws("|", "client", "session_id")).alias("sessions"), *[F.sum(c).alias(c) for c in COUNTERS], *measure_sums("usd"), *measure_sums("credits"))
-    return finished(groups.withColumn("grouping", F.when(F.col("grouping") > 0, 1).otherwise(0)), "usd", "credits")
+    sums = [F.count("*").alias("requests"), F.count_distinct(F.concat_ws("|", "client", "session_id")).alias("sessions"), *[F.sum(c).alias(c) for c in COUNTERS], *measure_sums("usd"), *measure_sums("credits")]
+    groups = keyed.groupingSets([keys, []], *keys).agg(F.grouping_id().alias("grouping"), *sums).withColumn("grouping", F.when(F.col("grouping") > 0, 1).otherwise(0))
+    kinds = {f.name: f.dataType for f in groups.schema}
+    nothing = keyed.where(F.lit(False)).agg(*sums).na.fill(0, [*COUNTERS]).withColumns({k: F.lit(None).cast(kinds[k]) for k in keys} | {"grouping": F.lit(1)})
+    # grouping sets give no row for all of nothing; where there is one, it has more requests
+    others = [c for c in groups.columns if c not in ("grouping", *keys)]
+    whole = groups.unionByName(nothing).groupBy("grouping", *keys).agg(F.max_by(F.struct(*others), "requests").alias("r")).select(*keys, "grouping", "r.*")
+    return finished(whole, "usd", "credits")
 
 
 def missing_components(priced: DataFrame, kind: str = "usd") -> DataFrame:

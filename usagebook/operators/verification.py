@@ -8,11 +8,12 @@ document and key.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from usagebook.functions.values import overlaps
 from usagebook.operators.catalog import overlapping
@@ -154,7 +155,8 @@ def _header_rules(df: DataFrame) -> DataFrame:
 def _meets(a: str, b: str, *keys: str) -> Column:
     """Records of one document with equal keys that are in effect at once."""
     same = reduce(lambda x, y: x & y, [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in ("document", *keys)])
-    return same & overlaps(F.col(f"{a}.effective_from"), F.col(f"{a}.effective_to"), F.col(f"{b}.effective_from"), F.col(f"{b}.effective_to"))
+    dated = F.col(f"{a}.effective_from").isNotNull() & F.col(f"{b}.effective_from").isNotNull()
+    return same & dated & overlaps(F.col(f"{a}.effective_from"), F.col(f"{a}.effective_to"), F.col(f"{b}.effective_from"), F.col(f"{b}.effective_to"))
 
 
 def _reach(rates: DataFrame, modifiers: DataFrame) -> list[DataFrame]:
@@ -210,11 +212,7 @@ def verify(records: Records, limit: int = COLLECTION_LIMIT) -> DataFrame:
 
 
 def status(records: Records, issues: DataFrame, now: str) -> DataFrame:
-    """A row for each document: revision, digest, dates, freshness at now, records by kind, issues, validity, and the newest revision before it.
-
-    The previous revision is that of the greatest (published_at, revision) below the
-    document's own; documents of the same revision and date have the same one.
-    """
+    """A row for each document's header: revision, digest, dates, freshness at now, records by kind, issues, validity. A header of nulls is fresh, but not valid."""
     every = {"sources": records.sources, "aliases": records.aliases, "rates": records.rates, "modifiers": records.modifiers}
     counted = reduce(DataFrame.unionAll, [df.select("document", F.lit(name).alias("kind"), F.lit(1).cast("long").alias("n")) for name, df in every.items()])
     counted = counted.unionAll(issues.select("document", F.lit("issues"), "n"))
@@ -227,8 +225,14 @@ def status(records: Records, issues: DataFrame, now: str) -> DataFrame:
 
 
 def record_changes(old: Records, new: Records) -> DataFrame:
-    """(document, collection, id, change) between two revisions of the same documents: added, removed or changed. Records that repeat an id are compared as a sorted list."""
-    parts = []
+    """(document, collection, id, change) between two revisions of the same documents: added, removed or changed, and the header's fields that differ (collection metadata).
+
+    Records that repeat an id are compared as a sorted list.
+    """
+    stated = ("schema_version", "revision", "published_at", "verified_at", "stale_after_days")
+    heads = old.headers.alias("a").join(new.headers.alias("b"), "document")
+    differ = F.array_compact(F.array(*[F.when(~F.equal_null(f"a.{c}", f"b.{c}"), F.lit(c)) for c in stated]))
+    parts = [heads.select("document", F.lit("metadata").alias("collection"), F.explode(differ).alias("id"), F.lit("changed").alias("change"))]
     for name in ("sources", "aliases", "rates", "modifiers"):
         side = lambda r, c: _written(getattr(r, name)).groupBy("document", "id").agg(F.sort_array(F.collect_list("text")).alias(c))  # noqa: B023, E731
         both = side(old, "before").join(side(new, "after"), ["document", "id"], "full_outer")
@@ -237,11 +241,27 @@ def record_changes(old: Records, new: Records) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+def as_document(records: Records, name: str) -> Records:
+    """The records of one document under another name, so that it can be compared."""
+    named = lambda df: df.withColumn("document", F.lit(name))
+    return Records(*[named(getattr(records, f.name)) for f in fields(records)])
+
+
+def _ordered(value: Column, kind: DataType) -> Column:
+    """A value with its maps as lists in the order of their keys, at any depth."""
+    if isinstance(kind, MapType):
+        return F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), _ordered(e["value"], kind.valueType).alias("value"))))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda e: _ordered(e, kind.elementType))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[_ordered(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
 def _written(df: DataFrame) -> DataFrame:
-    """Each record's digest, its maps in the order of their keys."""
-    ordered = lambda f: F.array_sort(F.map_entries(f.name)).alias(f.name) if f.dataType.typeName() == "map" else F.col(f.name)
-    fields = sorted((f for f in df.schema if f.name not in ("document", "id")), key=lambda f: f.name)
-    return df.select("document", F.coalesce("id", F.lit("")).alias("id"), F.sha2(F.to_json(F.struct(*[ordered(f) for f in fields])), 256).alias("text"))
+    """Each record's digest, whatever the order of its fields and keys."""
+    columns = sorted((f for f in df.schema if f.name not in ("document", "id")), key=lambda f: f.name)
+    return df.select("document", F.coalesce("id", F.lit("")).alias("id"), F.sha2(F.to_json(F.struct(*[_ordered(F.col(f.name), f.dataType).alias(f.name) for f in columns])), 256).alias("text"))
 
 
 def override_issues(overrides: DataFrame, rates: DataFrame) -> DataFrame:

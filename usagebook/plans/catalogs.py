@@ -12,23 +12,23 @@ from pyspark.sql import functions as F
 from usagebook.operators import verification
 from usagebook.operators.verification import Records
 
-# What both dialects read alike; {div}, {when} and {arr} are filled in for each.
+# What both dialects read alike; {string_div} and the tables are filled in for each.
 _PARTS = """SELECT {string_div} AS document, k, k % 400 AS f, k % 400 + size - 2 AS e, 's' || (k % 397) AS source,
   CASE WHEN k % 29 = 0 THEN 0 WHEN k % 31 = 0 THEN 2 ELSE 1 END AS cited FROM (SELECT CAST(p_partkey AS BIGINT) AS k, p_size AS size FROM {part}) q"""
 _ALIASES = """SELECT document, CASE WHEN k % 97 = 0 THEN ' ' WHEN k % 53 = 0 THEN 'a' || (k - 1) ELSE 'a' || k END AS id, 'anthropic' AS provider, 'x' || (k % 40) AS raw_model,
   CASE WHEN k % 71 = 0 THEN ' ' ELSE 'm' || (k % 60) END AS canonical_model, f, e, source, cited FROM parts"""
-_RATES = """SELECT document, k, CASE WHEN k % 61 = 0 THEN 'a' || k ELSE 'r' || k END AS id, 'm' || (k % 60) AS canonical_model, CASE WHEN k % 30 = 0 THEN 0 ELSE 1000000 END AS unit_scale, f, e,
+_RATES = """SELECT document, k, CASE WHEN k % 61 = 0 THEN 'a' || k ELSE 'r' || k END AS id, 'm' || (k % 60) AS canonical_model, CASE WHEN k % 30 = 0 THEN 0 ELSE 1000000 END AS unit_scale, (k * 7) % 400 AS f, (k * 7) % 400 + e - f AS e,
   (k % 5) * 100 AS low, CASE WHEN k % 7 > 0 THEN (k % 3) * 200 END AS high, CASE WHEN k % 21 = 0 THEN '-1' WHEN k % 23 = 0 THEN '1000000001' ELSE '1' END AS input,
   CASE WHEN k % 17 = 0 THEN '0' WHEN k % 101 = 0 THEN '-2000000000' ELSE '10' END AS tool, CASE WHEN k % 19 = 0 THEN 0 ELSE 1000 END AS per_units, k % 2 = 0 AS free,
   CASE WHEN k % 13 = 0 THEN 0 WHEN k % 14 = 0 THEN 1 ELSE 2 END AS policy, CASE WHEN k % 37 = 0 THEN 'slow' ELSE 'fast' END AS target, source, cited FROM parts"""
-_MODIFIERS = """SELECT document, 'm' || k AS id, 'm' || (k % 75) AS canonical_model, (k * 7) % 400 AS f, (k * 7) % 400 + e - f + 2 AS e,
+_MODIFIERS = """SELECT document, 'm' || k AS id, 'm' || (k % 74) AS canonical_model, (k * 11) % 400 AS f, (k * 11) % 400 + e - f + 2 AS e,
   CASE WHEN k % 43 = 0 THEN '0' WHEN k % 47 = 0 THEN '2000000000' ELSE '2' END AS multiplier, CASE WHEN k % 59 > 0 THEN CASE WHEN k % 2 = 0 THEN 'fast' ELSE 'slow' END END AS speed, source, cited FROM parts"""
 _HEADS = """SELECT document, CASE WHEN d % 5 = 1 THEN 2 ELSE 1 END AS schema_version, CASE WHEN d % 7 = 2 THEN ' ' ELSE 'rev-' || d END AS revision, d AS published,
   CASE WHEN d % 3 = 1 THEN d - 1 ELSE d + 1 END AS verified, d % 4 * 10 AS days FROM (SELECT document, CAST(substr(document, 2) AS BIGINT) AS d FROM parts) q GROUP BY document, d"""
 _OVERRIDES = """SELECT {string_div} AS document, CASE WHEN k % 33 = 0 THEN 'o' || (k - 1) WHEN k % 83 = 0 THEN '' ELSE 'o' || k END AS id, CASE WHEN k % 2 = 0 THEN 'Anthropic' ELSE 'anthropic' END AS provider,
   CASE WHEN k % 70 = 0 THEN ' ' ELSE 'm' || (k % 60) END AS canonical_model,
   CASE k % 6 WHEN 0 THEN 'service_tier' WHEN 1 THEN 'Speed' WHEN 2 THEN 'colour' ELSE 'speed' END AS dimension,
-  CASE k % 7 WHEN 0 THEN 'QUICK' WHEN 1 THEN 'slow' WHEN 2 THEN 'Unknown' WHEN 3 THEN 'standard' WHEN 4 THEN '' ELSE 'fast' END AS value, k % 400 AS f, k % 400 + k % 31 - 1 AS e
+  CASE k % 7 WHEN 0 THEN 'QUICK' WHEN 1 THEN 'slow' WHEN 2 THEN 'Unknown' WHEN 3 THEN 'standard' WHEN 4 THEN '' ELSE 'fast' END AS value, (k * 7) % 400 AS f, (k * 7) % 400 + k % 31 - 1 AS e
   FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM {customer}) q"""
 _DUCK = {"string_div": "'d' || (k // 400)", "part": "part", "customer": "customer"}
 _SPARK = {"string_div": "concat('d', k div 400)"}

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagebook.functions.tables import written
-from usagebook.operators import billing, canonical, catalog, coverage, incremental, ledger, pricing, reconcile, reports
-from usagebook.sources import common, exports, log_a, log_b, sinks
+from usagebook.operators import billing, canonical, catalog, coverage, incremental, ledger, pricing, reconcile, reports, verification
+from usagebook.sources import common, documents, exports, log_a, log_b, sinks
 
 #: Each client's logs: listed(spark, root), and read(spark, root, files, profiles) for files, observations and warnings.
 ADAPTERS: dict[str, ModuleType] = {log_a.CLIENT: log_a, log_b.CLIENT: log_b}
@@ -173,9 +173,45 @@ def evidence_report(observations: DataFrame, prices: pricing.Catalog, by: tuple[
     return reports.evidence(pricing.price(events, prices), by, kind).orderBy(*by)
 
 
-def health_report(observations: DataFrame, prices: pricing.Catalog) -> DataFrame:
+def health_report(observations: DataFrame, prices: pricing.Catalog, run: Ingested | None = None, catalogs: DataFrame | None = None) -> DataFrame:
+    """The ledger's health: with a run also its warnings and sources, with the rows of catalog_report the catalogs'."""
     events = pricing.price(canonical.fold(observations), prices)
-    return coverage.health(observations, pricing.unresolved_models(events), catalog.catalog_issues(prices))
+    return coverage.health(observations, pricing.unresolved_models(events), catalog.catalog_issues(prices), run and run.summary, run and run.sources, catalogs)
+
+
+def catalog_report(spark: SparkSession, path: str, now: str, overrides: DataFrame | None = None, limit: int = verification.COLLECTION_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Of the catalog documents at a path, all in one job, each one's status and all issues.
+
+    Overrides name their document (column document); their issues are among the
+    document's, but don't make it invalid.
+    """
+    records = documents.catalog_records(spark, path)
+    issues = written(verification.verify(records, limit), "issues")
+    rows = verification.status(records, issues, now)
+    if overrides is not None:
+        issues = issues.unionAll(verification.override_issues(overrides, records.rates))
+    return rows.orderBy(F.desc("published_at"), F.desc("revision"), "document"), issues.orderBy("document", "code", "record_id", "detail")
+
+
+def catalog_list(spark: SparkSession, path: str) -> DataFrame:
+    """Every rate of the documents at a path, as a row."""
+    rates = documents.catalog_records(spark, path).rates
+    return rates.orderBy("document", "provider", "canonical_model", "kind", "effective_from", "id")
+
+
+def catalog_changes(spark: SparkSession, before: str, after: str) -> DataFrame:
+    """(collection, id, change) between two catalog documents."""
+    old, new = (verification.as_document(documents.catalog_records(spark, p), "one") for p in (before, after))
+    return verification.record_changes(old, new).drop("document").orderBy("collection", "id")
+
+
+def catalog_candidates(spark: SparkSession, path: str, active: str, now: str) -> DataFrame:
+    """The documents at a path as candidates for the active one: status, and whether each is the same, newer, a downgrade or in conflict."""
+    held = documents.catalog_records(spark, active).headers.first()
+    rows, _ = catalog_report(spark, path, now)
+    if held is None:
+        return rows.withColumn("relation", F.lit("newer"))
+    return catalog.candidate_relation(rows, held.revision, held.published_at, held.sha256)
 
 
 def import_exports(documents: DataFrame, known: DataFrame) -> DataFrame:
