@@ -96,7 +96,8 @@ def test_periods(spark, logs, prices):
     assert jobs.local_bounds(date(2026, 3, 29), date(2026, 3, 29), "Europe/Berlin") == (datetime(2026, 3, 28, 23, tzinfo=UTC), datetime(2026, 3, 29, 22, tzinfo=UTC))
     assert total("yesterday", "UTC", now)[0].requests == total("all", "UTC", now)[0].requests == 3
     assert total("all", "UTC", now)[0].first_day == date(2026, 7, 10)
-    assert total("range", "UTC", now, date(2026, 1, 1), date(2026, 1, 2)) == []
+    (nothing,) = total("range", "UTC", now, date(2026, 1, 1), date(2026, 1, 2))  # a period without events has its total too
+    assert (nothing.requests, nothing.sessions, nothing.usd_status, nothing.usd_lower, nothing.first_day) == (0, 0, "unavailable", None, date(2026, 1, 1))
     assert jobs.session_report(seen, day=date(2026, 7, 10), clients=["claude_code"]).count() == 1 and jobs.session_report(seen, day=date(2026, 7, 9)).count() == 0
     with pytest.raises(ValueError):
         jobs.cost_period("range", "UTC", now, date(2026, 1, 2), date(2026, 1, 1))

@@ -178,7 +178,7 @@ def test_health_names_what_needs_attention(spark, folder):
     models = pricing.unresolved_models(pricing.price(canonical.fold(o), prices))
     none = verification.verify(documents.catalog_records(spark, path))
     found = {r.check: (r.status, r.detail) for r in coverage.health(o, models, none, summary, sources, catalogs).collect()}
-    assert found["unresolved_models"] == ("attention", "claude_code:nobody") and found["catalog_issues"] == ("ok", "0")
+    assert found["unresolved_models"] == ("attention", "nobody") and found["catalog_issues"] == ("ok", "0")
     assert found["run_warnings"] == ("attention", "2") and found["last_run"] == ("attention", "partial")
     assert found["sources:claude_code"] == ("ok", "2 sources, 1 compressed") and found["sources:openai_codex"] == ("attention", "0 sources, 0 compressed")
     assert found["catalog:r1"] == ("attention", "stale valid") and found["overall"] == ("attention", "3")

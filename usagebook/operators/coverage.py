@@ -69,7 +69,7 @@ def health(observations: DataFrame, unresolved: DataFrame, issues: DataFrame, su
     too, but doesn't decide; nor does a catalog's age. unresolved is a short list (pricing.unresolved_models).
     """
     rows = [_lines(ledger_stats(observations))]
-    models = unresolved.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", *[c for c in ("client", "raw_model") if c in unresolved.columns]))), ",").alias("names"))
+    models = unresolved.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("raw_model")), ",").alias("names"))
     rows.append(models.select(F.lit("unresolved_models").alias("check"), _tone(F.col("n") > 0), F.col("names").alias("detail")))
     rows.append(issues.agg(F.count("*").alias("n")).select(F.lit("catalog_issues").alias("check"), _tone(F.col("n") > 0), F.col("n").cast("string").alias("detail")))
     if summary is not None:
