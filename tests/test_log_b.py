@@ -183,3 +183,9 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     want, codes = one_by_one(spark, given)
     assert plain(logs.observed_stream(frame), want.columns) == plain(want, want.columns)
     assert sorted((r.source_id, r.line_number, c) for r in told for c in r.codes) == codes
+
+
+def test_a_record_is_parsed_once(spark):
+    """The choice of rows is not pushed below the steps that parse a record, where it would parse it hundreds of times."""
+    plan = log_b.records(lines(spark, {"f": [META, TURN]}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1

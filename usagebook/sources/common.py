@@ -107,15 +107,24 @@ def bad_counter(v: str, *paths: str) -> Column:
 def fields(v: str, path: str, names: tuple[str, ...]) -> Column:
     """A map of the fields of these names in the object at a path: text (a string), number (a counter), kind (the type, VOID for a JSON null). The object is read once, whatever the number of names."""
 
-    def field(x: Column) -> Column:
-        kind = F.schema_of_variant(x)
-        number = F.when(kind == "BIGINT", F.try_variant_get(x, "$", "bigint"))
-        return F.struct(F.when(kind == "STRING", F.try_variant_get(x, "$", "string")).alias("text"), F.when(number >= 0, number).alias("number"), kind.alias("kind"))
-
+    # what stands twice in a lambda isn't shared, so the type and the number are found once, then named; only an integer is read as one, as a failed cast is slow
+    kinds = lambda x: F.struct(F.schema_of_variant(x).alias("kind"), x.alias("v"))
+    values = lambda x: F.struct(F.when(x["kind"] == "STRING", F.try_variant_get(x["v"], "$", "string")).alias("text"), F.when(x["kind"] == "BIGINT", F.try_variant_get(x["v"], "$", "bigint")).alias("number"), x["kind"].alias("kind"))
+    counters = lambda x: F.struct(x["text"].alias("text"), F.when(x["number"] >= 0, x["number"]).alias("number"), x["kind"].alias("kind"))
     found = F.map_filter(F.try_variant_get(v, path, "map<string, variant>"), lambda k, _: k.isin(*names))
-    return F.transform_values(found, lambda _, x: field(x))
+    return F.transform_values(F.transform_values(F.transform_values(found, lambda _, x: kinds(x)), lambda _, x: values(x)), lambda _, x: counters(x))
 
 
 def field(of: str, name: str, part: str = "text") -> Column:
     """A part of one of `fields`; null where there is none."""
     return F.expr(f"try_element_at({of}, '{name}').{part}")
+
+
+def some_rows(df: DataFrame, row: dict[str, Column], which: Column) -> DataFrame:
+    """The columns named in row, of the rows that a condition chooses.
+
+    A filter would be pushed below the steps that parse a record, each put in place
+    of its name wherever the next ones use it, so a record would be parsed hundreds
+    of times. A generator gives no row or one, and nothing is pushed below it.
+    """
+    return df.select(F.inline(F.when(which, F.array(F.struct(*[c.alias(n) for n, c in row.items()])))))

@@ -15,7 +15,7 @@ from usagebook.functions.ids import digest, pseudonym, stable_id
 from usagebook.functions.tables import written
 from usagebook.functions.values import rfc3339
 from usagebook.operators.ordered import FLAGS, SEGMENT, SNAPSHOT, once_per_key, running, snapshot_deltas
-from usagebook.sources.common import field, fields, file_lines, listed_files, parsed, prefer_plain
+from usagebook.sources.common import field, fields, file_lines, listed_files, parsed, prefer_plain, some_rows
 
 CLIENT = "openai_codex"
 PATTERN = "rollout-*.jsonl{,.zst}"
@@ -113,15 +113,16 @@ def records(lines: DataFrame) -> DataFrame:
         F.when(F.col("_line").isNotNull(), warn(F.col("_line"), F.when(F.col("_line") == "codex_unknown_record_type", digest(F.lit("unknown-type"), F.col("_type"))))), F.when(F.col("_bad_window"), warn("codex_invalid_context_window")),
         F.when(F.col("_strange_info").isNotNull(), warn("codex_format_drift", F.col("_strange_info"))), F.when(F.col("_strange_usage").isNotNull(), warn("codex_format_drift", F.col("_strange_usage"))),
     ))
+    p = p.withColumn("_codes", codes)
     said = lambda name: F.when(F.col("_turn"), F.col(f"_payload_{name}")).when(F.col("_applied"), F.col(f"_settings_{name}"))
     stated = lambda name: F.when(said(name)["said"], F.struct(said(name)["v"].alias("v")))
     own = F.struct(F.col("_thread").alias("thread"), F.col("_session_id").alias("session"), F.col("_cli_version").alias("version"), F.col("_payload_model_provider.v").alias("provider"), F.col("_payload_auth_mode.v").alias("auth"))
-    rows = p.select(
-        "source_id", "path", "line_number", *located, "occurred_at", F.when(F.col("_meta") & held, own).alias("meta"), said("model")["v"].alias("model"), said("model_provider")["v"].alias("provider"), stated("service_tier").alias("tier"), stated("auth_mode").alias("auth"),
-        F.when(token & F.col("_k_model_context_window").isNotNull() & ~F.col("_bad_window"), F.struct(F.col("_window").alias("v"))).alias("window"), F.when(F.col("_usage") & ~F.col("_bad"), now).alias("now"), codes.alias("codes"),
-    )
-    told = [F.when(F.col(c).isNotNull(), True) for c in ("meta", "model", "provider", "tier", "auth", "window", "now")]
-    return rows.where((F.size("codes") > 0) | F.coalesce(*told, F.lit(False)))
+    row = {
+        **{c: F.col(c) for c in ("source_id", "path", "line_number", *located, "occurred_at")}, "meta": F.when(F.col("_meta") & held, own), "model": said("model")["v"], "provider": said("model_provider")["v"], "tier": stated("service_tier"), "auth": stated("auth_mode"),
+        "window": F.when(token & F.col("_k_model_context_window").isNotNull() & ~F.col("_bad_window"), F.struct(F.col("_window").alias("v"))), "now": F.when(F.col("_usage") & ~F.col("_bad"), now), "codes": F.col("_codes"),
+    }
+    told = [F.when(row[c].isNotNull(), True) for c in ("meta", "model", "provider", "tier", "auth", "window", "now")]
+    return some_rows(p, row, (F.size("_codes") > 0) | F.coalesce(*told, F.lit(False)))
 
 
 def file_thread(path: Column) -> Column:
