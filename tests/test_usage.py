@@ -361,3 +361,9 @@ def test_streamed_daily_usage_equals_batch(spark, tmp_path, sf):
 def test_first_warning_per_key(spark):
     rows = spark.createDataFrame([("f", "k", 3), ("f", "k", 1), ("f", "j", 2)], "source_id string, code string, line_number long")
     assert sorted((r.code, r.line_number) for r in ordered.once_per_key(rows, ["source_id", "code"]).collect()) == [("j", 2), ("k", 1)]
+
+
+def test_records_of_log_a_are_parsed_once(spark):
+    rows = spark.createDataFrame([("s", "p", 1, "{}")], "source_id string, path string, line_number long, text string")
+    for out in log_a.observations(rows):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1

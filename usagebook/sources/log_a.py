@@ -11,28 +11,37 @@ from pyspark.sql import functions as F
 
 from usagebook.functions.ids import pseudonym
 from usagebook.functions.values import non_blank, rfc3339
-from usagebook.sources.common import bad_counter, counter_at, file_lines, listed_files, parsed, text_at
+from usagebook.sources.common import field, fields, file_lines, listed_files, parsed, some_rows
 
 CLIENT, PROVIDER = "claude_code", "anthropic"
 PATTERN = "*.[jJ][sS][oO][nN][lL]"
 _U = "$.message.usage"
-_USAGE = {"input": f"{_U}.input_tokens", "cached": f"{_U}.cache_read_input_tokens", "writes": f"{_U}.cache_creation_input_tokens", "w5m": f"{_U}.cache_creation.ephemeral_5m_input_tokens", "w1h": f"{_U}.cache_creation.ephemeral_1h_input_tokens", "output": f"{_U}.output_tokens", "searches": f"{_U}.server_tool_use.web_search_requests", "fetches": f"{_U}.server_tool_use.web_fetch_requests"}
+#: Counters: the object in which each stands, and its name there (fixed values).
+_USAGE = {
+    "input": ("_usage", "input_tokens"), "cached": ("_usage", "cache_read_input_tokens"), "writes": ("_usage", "cache_creation_input_tokens"), "w5m": ("_creation", "ephemeral_5m_input_tokens"), "w1h": ("_creation", "ephemeral_1h_input_tokens"),
+    "output": ("_usage", "output_tokens"), "searches": ("_tools", "web_search_requests"), "fetches": ("_tools", "web_fetch_requests"),
+}
+_SETTINGS = ("service_tier", "speed", "inference_geo")
+#: What is read of each object of a record.
+_OBJECTS = {"_top": ("$", ("type", "timestamp", "sessionId", "requestId", "uuid")), "_message": ("$.message", ("id", "model", "usage")), "_usage": (_U, _SETTINGS), "_creation": (f"{_U}.cache_creation", ()), "_tools": (f"{_U}.server_tool_use", ())}
+_OBJECTS = {name: (path, (*known, *(n for of, n in _USAGE.values() if of == name))) for name, (path, known) in _OBJECTS.items()}
 
 
 def records(lines: DataFrame) -> DataFrame:
     """Assistant records with their counters and identifiers, and code, the reason why a record can't be used."""
-    p = parsed(lines)
-    session = F.coalesce(text_at("v", "$.sessionId"), F.nullif(F.regexp_extract("path", r"([^/]+)/subagents/[^/]+$", 1), F.lit("")), F.regexp_extract("path", r"([^/]+?)(\.jsonl)?$", 1))
-    rows = p.select(
-        "source_id", "line_number", F.col("v").isNull().alias("_malformed"), text_at("v", "$.type").alias("_type"), text_at("v", "$.timestamp").alias("_time"),
-        F.coalesce(non_blank(text_at("v", "$.message.id")), non_blank(text_at("v", "$.requestId")), non_blank(text_at("v", "$.uuid"))).alias("_key"),
-        pseudonym("ses", "session", session).alias("session_id"), text_at("v", "$.message.model").alias("raw_model"),
-        *[counter_at("v", path).alias(name) for name, path in _USAGE.items()], bad_counter("v", *_USAGE.values()).alias("_bad"),
-        *[F.lower(non_blank(text_at("v", f"{_U}.{name}"))).alias(name) for name in ("service_tier", "speed", "inference_geo")],
-        F.try_variant_get("v", _U, "variant").isNotNull().alias("_has_usage"),
-    )
+    p = parsed(lines).select("source_id", "path", "line_number", F.col("v").isNull().alias("_malformed"), *[fields("v", path, names).alias(name) for name, (path, names) in _OBJECTS.items()])
+    # a selection of its own: each object is read once, however often the next one uses it
+    session = F.coalesce(field("_top", "sessionId"), F.nullif(F.regexp_extract("path", r"([^/]+)/subagents/[^/]+$", 1), F.lit("")), F.regexp_extract("path", r"([^/]+?)(\.jsonl)?$", 1))
+    kind = {name: field(of, n, "kind") for name, (of, n) in _USAGE.items()}
+    number = {name: field(of, n, "number") for name, (of, n) in _USAGE.items()}
+    bad = F.exists(F.array(*[kind[name].isNotNull() & (kind[name] != "VOID") & number[name].isNull() for name in _USAGE]), lambda x: x)
+    row = {
+        "source_id": F.col("source_id"), "line_number": F.col("line_number"), "_malformed": F.col("_malformed"), "_type": field("_top", "type"), "_time": field("_top", "timestamp"),
+        "_key": F.coalesce(non_blank(field("_message", "id")), non_blank(field("_top", "requestId")), non_blank(field("_top", "uuid"))), "session_id": pseudonym("ses", "session", session), "raw_model": field("_message", "model"),
+        **number, "_bad": F.coalesce(bad, F.lit(False)), **{name: F.lower(non_blank(field("_usage", name))) for name in _SETTINGS}, "_has_usage": field("_message", "usage", "kind").isNotNull(), "occurred_at": rfc3339(field("_top", "timestamp")),
+    }
+    rows = some_rows(p, row, F.col("_malformed") | (field("_top", "type") == "assistant"))
     nothing = F.coalesce(*_USAGE).isNull()
-    rows = rows.withColumn("occurred_at", rfc3339(F.col("_time")))
     code = (
         F.when(F.col("_malformed"), "claude_malformed_record")
         .when(F.col("_time").isNull(), "claude_missing_timestamp")
@@ -40,7 +49,7 @@ def records(lines: DataFrame) -> DataFrame:
         .when(~F.col("_has_usage"), "claude_missing_usage")
         .when(nothing, "claude_empty_usage")
     )
-    return rows.where(F.col("_malformed") | (F.col("_type") == "assistant")).withColumn("code", code)
+    return rows.withColumn("code", code)
 
 
 def observations(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
