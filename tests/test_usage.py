@@ -367,3 +367,9 @@ def test_records_of_log_a_are_parsed_once(spark):
     rows = spark.createDataFrame([("s", "p", 1, "{}")], "source_id string, path string, line_number long, text string")
     for out in log_a.observations(rows):
         assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_copies_of_events_move_once(spark, sf):
+    """The fold has one exchange, of the copies as they are, though it counts distinct sources."""
+    plan = canonical.fold(views.view(spark, sf, views.OBSERVATIONS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(client") == 1 and plan.count("Exchange ") == 1

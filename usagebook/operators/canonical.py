@@ -48,8 +48,11 @@ def fold(observations: DataFrame) -> DataFrame:
     """Events by (client, event_key): earliest time, each counter's maximum, identity of the best copy, all warnings.
 
     Cache writes by duration are compared with their total, since one copy may
-    report only the total and another the durations.
+    report only the total and another the durations. Copies move once, as they are:
+    an event has few, and partial aggregates of one row each, moved once by source
+    and once by event, are several times as wide.
     """
+    observations = observations.repartition("client", "event_key")
     best = F.max_by(F.struct(*IDENTITY), preference(observations))
     folded = observations.groupBy("client", "event_key").agg(
         F.min("occurred_at").alias("occurred_at"),

@@ -10,6 +10,8 @@ from usagebook.functions.values import complete_sum, local_date, provider_name,
 COUNTED = ("request_count", "input_tokens_uncached", "input_tokens_cached", "cache_write_5m_tokens", "cache_write_1h_tokens", "cache_write_unknown_tokens", "output_tokens")
 ROUTING = ("inference_geo", "service_tier", "provider_route")
 CLASSES = ("matched", "provider_only", "local_only", "time_boundary", "route_unknown", "counter_mismatch")
+#: What reconciliation reads of an event; provider_route may be absent.
+EVENT = ("client", "event_key", "occurred_at", "provider", "raw_model", "input_tokens_uncached", "input_tokens_cached", "cache_write_5m_tokens", "cache_write_1h_tokens", "cache_write_unknown_tokens", "output_tokens_total", "cache_write_data_complete", *ROUTING)
 TOLERANCE = "interval 1 hour"
 #: The longest bucket.
 MAX_DAYS = 366

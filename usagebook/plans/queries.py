@@ -355,7 +355,8 @@ def buckets(spark: SparkSession, d: str) -> DataFrame:
 
 def both_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Events and buckets, each computed once however often reconciliation reads them."""
-    e = written(events(spark, d), "events")
+    e = events(spark, d)
+    e = written(e.select(*[c for c in reconcile.EVENT if c in e.columns]), "events")
     return e, written(V.view(spark, d, V.BUCKETS, canonical=e), "buckets")
 
 
