@@ -373,3 +373,12 @@ def test_copies_of_events_move_once(spark, sf):
     """The fold has one exchange, of the copies as they are, though it counts distinct sources."""
     plan = canonical.fold(views.view(spark, sf, views.OBSERVATIONS))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(client") == 1 and plan.count("Exchange ") == 1
+
+
+def test_events_are_matched_with_buckets_once(spark, sf):
+    """What meets its bucket is stored: the plan reads the events only for what is left."""
+    from usagebook.plans import queries
+
+    e, b = queries.both_sides(spark, sf)
+    plan = reconcile.reconcile(e, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in x and "occurred_at" in x for x in plan.splitlines()) == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagebook.functions.tables import written
 from usagebook.functions.values import complete_sum, local_date, provider_name, small
 
 COUNTED = ("request_count", "input_tokens_uncached", "input_tokens_cached", "cache_write_5m_tokens", "cache_write_1h_tokens", "cache_write_unknown_tokens", "output_tokens")
@@ -104,7 +105,7 @@ def local_side(matched: DataFrame, prefix: str = "local") -> DataFrame:
 def reconcile(events: DataFrame, buckets: DataFrame) -> DataFrame:
     """Every bucket with its local sums, its counters less those, and its class."""
     b = full_buckets(buckets)
-    exact = local_side(matches(events, b))
+    exact = written(local_side(matches(events, b)), "matched")  # a row a bucket; read twice, as buckets without events are matched again
     unmatched = b.join(exact.select("bucket_id"), "bucket_id", "left_anti")
     near = local_side(matches(events, unmatched, boundary=True), "near")
     out = b.join(exact, "bucket_id", "left").join(near, "bucket_id", "left")
