@@ -94,6 +94,30 @@ def test_a_run_grows_the_ledger_from_logs(spark, tmp_path):
     assert sorted(r.input_tokens_total for r in ledger.read(spark, path).collect()) == [30]
 
 
+def test_runs_of_a_part_are_written_without_a_shuffle_and_merged_when_many(spark, tmp_path, seen, monkeypatch):
+    """Runs are appended as they were read; the run after MOST_RUNS of them makes them one, and a part of one merged run is read as it is."""
+    monkeypatch.setattr(ledger, "MOST_RUNS", 2)
+    path = str(tmp_path / "l")
+    born = seen.select("source_id").distinct().withColumn("born", F.lit("2026-01-01").cast("date"))
+    kept = born.where("source_id > 's5'").cache()
+    shuffled = lambda df: df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(client")
+    runs = [seen.where(f"line_number % 3 = {k % 3}").withColumn("quality_rank", F.lit(k)) for k in range(5)]
+    for k, new in enumerate(runs[:4]):
+        ledger.merge(spark, path, new, born, k + 1)
+        found = ledger._manifest(spark, path)
+        assert found.groupBy(*ledger.PART).count().agg(F.max("count")).first()[0] == (1, 2, 1, 2)[k]
+        assert shuffled(ledger.read(spark, path)) == (k != 2)
+    every = lambda n: [new.withColumn("run", F.lit(k + 1).cast("long")) for k, new in enumerate(runs[:n])]
+    union = every(4)[0].unionByName(every(4)[1]).unionByName(every(4)[2]).unionByName(every(4)[3])
+    assert rows(ledger.read(spark, path)) == rows(ledger.merged(union))
+    # of rewritten sources only what the run read anew is left, whatever runs the part has
+    ledger.merge(spark, path, runs[4].where("source_id > 's7'"), born, 5, kept.select("source_id"))
+    union = union.join(kept, "source_id", "left_anti").unionByName(every(5)[4].where("source_id > 's7'"))
+    assert rows(ledger.read(spark, path)) == rows(ledger.merged(union))
+    with pytest.raises(ValueError, match="follow"):
+        ledger.merge(spark, path, seen, born, 5)
+
+
 def test_overlaps_by_sweep_equal_all_pairs(spark):
     import itertools
     import random

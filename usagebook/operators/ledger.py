@@ -1,15 +1,17 @@
-"""A ledger of observations that grows by merging, written copy on write.
+"""A ledger of observations that grows by merging.
 
 A row is one event as one source shows it: (client, source_id, event_key). What a
-run reads anew is merged into the row that is there: counters grow to the
-greatest, times to the earliest, an unknown model or provider is filled in, and
-dimensions come from the copy of the best coverage, of equal ones the newer. All
-of that may be grouped in any way, so runs over parts of a log equal one over all.
+run reads anew is merged with what is there: counters grow to the greatest, times
+to the earliest, an unknown model or provider is filled in, and dimensions come
+from the copy of the best coverage, of equal ones the newer. All of that may be
+grouped in any way, so runs over parts of a log equal one over all.
 
 The table is divided by client, by the day on which a source was first seen, and
-by a hash of the source. Logs grow for a few days, so a run touches few such
-parts, whatever the age of the ledger; it reads those only, writes them to a
-folder of its own, and then writes a manifest that says which run has each part.
+by a hash of the source. A run writes what it read, unmerged and without a
+shuffle, into a folder of its own in each such part, and then a manifest that says
+which runs each part has. Readers merge a part's runs, moving only the columns
+that they ask for. A part that has MOST_RUNS runs, or a rewritten source, is
+merged into one by the next run, and is read as it stands until it grows again.
 A reader takes the newest manifest: until it is there, the ledger is as it was
 before, and a run that died has left nothing but files that no manifest names.
 """
@@ -26,6 +28,8 @@ from usagebook.operators.canonical import greatest_counters, merged_counters
 
 #: Hash parts of a client's day.
 PARTS = 16
+#: Unmerged runs of a part, after which the next run merges them.
+MOST_RUNS = 8
 PART = ("client", "born", "part")
 KEY = ("client", "source_id", "event_key")
 _OF_BEST = ("auth_mode", "auth_mode_provenance", "service_tier", "speed", "inference_geo", "cache_write_data_complete", "input_subset_accounting_consistent", "line_number", "byte_start", "byte_end", "context_window", "client_version", "warning", "notes")
@@ -38,8 +42,9 @@ def _known(c: str) -> Column:
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    """One row for each client, source and event of rows that say in which run they were seen."""
+    """One row for each client, source and event of rows that say in which run they were seen. Rows move once, as they are, since most are of different events."""
     given = set(rows.columns)
+    rows = rows.repartition(*KEY)
     best = [c for c in _OF_BEST if c in given]
     trust = F.struct(rank(F.col("coverage"), COVERAGE), "run", F.to_json(F.struct(*best)))  # the last decides between copies of one run
     carried = [c for c in ("born", "part") if c in given]
@@ -51,56 +56,72 @@ def merged(rows: DataFrame) -> DataFrame:
     return grouped.select(*KEY, "occurred_at", "session_id", "raw_model", "provider", *merged_counters(), "quality_rank", coverage.alias("coverage"), *[F.col(f"_best.{c}").alias(c) for c in best], "run", *carried)
 
 
-def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest manifest: which run wrote each part."""
+def _manifest(spark: SparkSession, path: str, run_id: int | None = None) -> DataFrame | None:
+    """The newest manifest: which runs wrote each part, and whether its rows must be merged; a run that writes must follow it. One that doesn't say has merged parts."""
     try:
-        every = spark.read.parquet(f"{path}/manifest")
+        every = spark.read.option("mergeSchema", True).parquet(f"{path}/manifest")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
     last = every.agg(F.max("of_run")).first()[0]
-    return every.where(F.col("of_run") == last).drop("of_run")
+    if run_id is not None and run_id <= last:
+        raise ValueError(f"run {run_id} doesn't follow run {last}")
+    loose = F.coalesce("loose", F.lit(False)) if "loose" in every.columns else F.lit(False)
+    return every.where(F.col("of_run") == last).select(*PART, "written", loose.alias("loose"))
 
 
-def _parts(spark: SparkSession, path: str, parts: DataFrame) -> DataFrame:
-    """The rows of (client, born, part, written), found by folders."""
-    return spark.read.parquet(f"{path}/data").join(small(parts), [*PART, "written"], "left_semi").drop("written")
+def _parts(spark: SparkSession, path: str, parts: DataFrame, but: int | None = None) -> DataFrame:
+    """The rows of (client, born, part, written), found by folders; none of a run that is being replaced."""
+    rows = spark.read.option("mergeSchema", True).parquet(f"{path}/data")
+    rows = rows if but is None else rows.where(F.col("written") != but)
+    return rows.join(small(parts.select(*PART, "written")), [*PART, "written"], "left_semi").drop("written")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame | None:
     """The ledger's observations; None before the first run."""
     manifest = _manifest(spark, path)
-    return None if manifest is None else _parts(spark, path, manifest)
+    if manifest is None:
+        return None
+    loose, whole = (manifest.where(F.col("loose") == x) for x in (True, False))
+    if loose.isEmpty():
+        return _parts(spark, path, whole)
+    rows = merged(_parts(spark, path, loose))
+    return rows if whole.isEmpty() else rows.unionByName(_parts(spark, path, whole).select(rows.columns))
 
 
 def merge(spark: SparkSession, path: str, new: DataFrame, born: DataFrame, run_id: int, rewritten: DataFrame | None = None) -> DataFrame:
     """Merges new observations into the ledger at a path and gives the parts that were written (client, born, part).
 
     born: source_id and the day on which it was first seen, which never changes. Of
-    rewritten sources (source_id) what the ledger has goes. A run with the number of one that died before its manifest replaces what it left.
+    rewritten sources (source_id) what the ledger has goes. Runs are numbered upwards; one with the number of one that died before its manifest replaces what it left.
     """
     days = born.select("source_id", F.col("born").cast("date").alias("born"))
     part = F.pmod(F.xxhash64("source_id"), F.lit(PARTS)).cast("int")
     fresh = new.join(days, "source_id").withColumns({"part": part, "run": F.lit(run_id).cast("long")})
-    touched = fresh.select(*PART).distinct()
-    before = _manifest(spark, path)
+    fresh = fresh.select(*[F.col(f.name).cast(f.dataType) for f in merged(fresh).schema])
+    before = _manifest(spark, path, run_id)
+    settled = None if before is None else before.groupBy(*PART).count().where(F.col("count") >= MOST_RUNS).select(*PART)
+    if before is not None and rewritten is not None:
+        places = rewritten.join(days, "source_id").select("born", part.alias("part")).distinct()
+        settled = settled.union(before.join(places, ["born", "part"], "left_semi").select(*PART)).distinct()
     rows = fresh
-    if before is not None:
-        if rewritten is not None:  # their parts too where nothing new was read of them
-            places = rewritten.join(days, "source_id").select("born", part.alias("part")).distinct()
-            touched = touched.union(before.join(places, ["born", "part"], "left_semi").select(*PART)).distinct()
-        touched = written(touched, "touched")
-        held = before.join(small(touched), list(PART), "left_semi")
-        old = _parts(spark, path, held)
-        old = old if rewritten is None else old.join(rewritten, "source_id", "left_anti")
-        rows = fresh.unionByName(old, allowMissingColumns=True)
-    out = merged(rows).withColumn("written", F.lit(run_id).cast("long"))
-    out.hint("rebalance", *PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("written", *PART).parquet(f"{path}/data")
+    if settled is not None:
+        settled = small(written(settled, "settled"))
+        if not settled.isEmpty():
+            old = _parts(spark, path, before.join(settled, list(PART), "left_semi"), but=run_id)
+            old = old if rewritten is None else old.join(rewritten, "source_id", "left_anti")
+            whole = merged(fresh.join(settled, list(PART), "left_semi").unionByName(old, allowMissingColumns=True)).hint("rebalance", *PART)
+            rows = fresh.join(settled, list(PART), "left_anti").unionByName(whole, allowMissingColumns=True)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*PART).parquet(f"{path}/data/written={run_id}")
     wrote = spark.read.parquet(f"{path}/data").where(F.col("written") == run_id).select(*PART).distinct()
-    now = wrote.withColumn("written", F.lit(run_id).cast("long"))
+    now = wrote.withColumns({"written": F.lit(run_id).cast("long"), "loose": F.lit(True)})
     if before is not None:
-        now = now.unionByName(before.join(touched, list(PART), "left_anti").select(now.columns))  # a part that has no row left is in no manifest
+        whole = settled.withColumn("_settled", F.lit(True))
+        now = now.join(whole, list(PART), "left").withColumn("loose", F.col("_settled").isNull()).drop("_settled")
+        grown = wrote.withColumn("_grown", F.lit(True))
+        kept = before.join(settled, list(PART), "left_anti").join(small(grown), list(PART), "left")
+        now = now.unionByName(kept.withColumn("loose", F.col("loose") | F.col("_grown").isNotNull()).select(now.columns))  # a settled part that has no row left is in no manifest
     now.withColumn("of_run", F.lit(run_id).cast("long")).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of_run").parquet(f"{path}/manifest")
     return wrote
 
