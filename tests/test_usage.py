@@ -382,3 +382,16 @@ def test_events_are_matched_with_buckets_once(spark, sf):
     e, b = queries.both_sides(spark, sf)
     plan = reconcile.reconcile(e, b)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Relation [" in x and "occurred_at" in x for x in plan.splitlines()) == 1
+
+
+def test_amounts_in_whole_numbers_equal_decimals(spark, sf, monkeypatch):
+    """Scenarios written out as columns, and those of amounts beyond whole numbers, give what the walk over scenarios does; no generated method stays interpreted."""
+    from usagebook.plans import queries
+
+    grown = {c: F.when(F.crc32("event_key") % 5 == 0, F.col(c) * 10**13).otherwise(F.col(c)) for c in ("input_tokens_total", "input_tokens_uncached", "output_tokens_total")}
+    events = queries.events(spark, sf).where("event_key like '%-1' and event_key not like '%5-1'").withColumns(grown).cache()
+    found = lambda: sorted(repr(r) for r in pricing.price(events, queries.price_catalog(spark)).drop("warnings").collect())
+    written_out = found()
+    monkeypatch.setattr(pricing, "WRITTEN_OUT", 0)
+    assert len(written_out) > 500 and written_out == found()
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from usagebook.functions.values import BROADCAST_ROWS, UNRESOLVED, contains, is_api_key, resolved, small
@@ -24,6 +24,12 @@ KINDS = ("usd", "credits")
 DIMENSIONS = ("auth_mode", "provider_route", "service_tier", "speed", "inference_geo")
 #: Scenarios of an event beyond which it counts as unpriced.
 MAX_SCENARIOS = 1024
+#: Scenarios of a cell up to which their amounts are written out as columns, in generated code and whole numbers.
+WRITTEN_OUT = 8
+#: Bytes of a generated method beyond which HotSpot leaves it interpreted; Spark then generates smaller ones, an operator at a time.
+COMPILED = 8000
+#: Amounts are whole numbers of 10 ** -15.
+_ONE = 10**15
 TOKENS = (
     ("input_uncached", "input_tokens_uncached", "input"), ("cache_read", "input_tokens_cached", "cache_read"),
     ("cache_write_unknown", "cache_write_unknown_tokens", "cache_write"), ("cache_write_5m", "cache_write_5m_tokens", "cache_write_5m"),
@@ -191,8 +197,13 @@ def cells(catalog: Catalog) -> DataFrame:
     )
 
 
-def _with_units(cut: DataFrame, dimensions: list[str]) -> DataFrame:
-    """Cells with what each dimension may be stated as, and all scenarios of their rate: value of each dimension, modifiers, and a unit price for each component, null where it has none or is out of range."""
+def _with_units(cut: DataFrame, dimensions: list[str], dims: bool = False) -> DataFrame:
+    """Cells with what each dimension may be stated as, and all scenarios of their rate: value of each dimension (as a map too, if dims), modifiers, and a unit price for each component, null where it has none or is out of range.
+
+    n_ are the same prices as whole numbers, 0 where there is none. Quantities up to
+    _room can't overflow sums of products with them; it is null for cells whose
+    scenarios are too many to be written out, or have a price out of range.
+    """
     choices = "aggregate(_rate.policies, array(cast(array() as array<string>)), (acc, p) -> flatten(transform(acc, m -> transform(p.allowed, c -> array_append(m, c)))))"
     mapped = f"transform({choices}, c -> map_from_arrays(transform(_rate.policies, p -> p.dimension), c))"
     fitting = f"transform({mapped}, d -> struct(d as dims, filter(_modifiers, m -> forall(m.selectors, s -> try_element_at(d, s.key) <=> s.value)) as mods))"
@@ -201,7 +212,13 @@ def _with_units(cut: DataFrame, dimensions: list[str]) -> DataFrame:
     unit = "try_cast(_rate.{r} * d.{by} / nullif(_rate.{per}, 0L) as decimal(18,15)) as u_{r}"
     units = [unit.format(r=r, by="tokens", per="unit_scale") for _, _, r in TOKENS] + [unit.format(r=r, by="tools", per="tool_per_units") for _, r in TOOLS]
     values = [f"try_element_at(d.dims, {_quoted(d)}) as c_{i}" for i, d in enumerate(dimensions)]
-    cut = cut.withColumn("_all", F.expr(f"transform({scaled}, d -> struct({', '.join(['d.modifier_ids', *values, *units])}))"))
+    cut = cut.withColumn("_all", F.expr(f"transform({scaled}, d -> struct({', '.join(['d.modifier_ids', *(['d.dims'] if dims else []), *values, *units])}))"))
+    rates = [r for _, _, r in TOKENS] + [r for _, r in TOOLS]
+    whole = [f"coalesce(cast(s.u_{r} * cast({_ONE} as decimal(16,0)) as bigint), 0L) as n_{r}" for r in rates]
+    cut = cut.withColumn("_all", F.expr(f"transform(_all, s -> struct({', '.join([f's.{f.name}' for f in cut.schema['_all'].dataType.elementType.fields] + whole)}))"))
+    sound = " and ".join(f"(_rate.{r} is null or s.u_{r} is not null)" for r in rates)
+    most = f"array_max(transform(_all, s -> {' + '.join(f'abs(s.n_{r})' for r in rates)}))"
+    cut = cut.withColumn("_room", F.expr(f"if(size(_all) between 1 and {WRITTEN_OUT} and forall(_all, s -> {sound}), 4000000000000000000L div greatest({most}, 1L), null)"))
     aliased = "coalesce(p.value_aliases, cast(map() as map<string, string>))"
     said = f"map_from_entries(concat(transform(filter(p.allowed, a -> not map_contains_key({aliased}, a) and lower(trim(a)) not in ({_UNRESOLVED})), a -> struct(a as key, a as value)), filter(map_entries({aliased}), e -> array_contains(p.allowed, e.value) and lower(trim(e.key)) not in ({_UNRESOLVED}))))"
     for i, d in enumerate(dimensions):
@@ -213,12 +230,12 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _stated(kind: str, dimensions: list[str]) -> dict[str, Column]:
-    """For each dimension whether it's open, the value stated, and the value with the catalog's default; null if not allowed."""
+def _stated(kind: str, dimensions: list[str], certain: bool = True) -> dict[str, Column]:
+    """For each dimension whether it's open, the value stated, and the value with the catalog's default; null if not allowed. With certain, credits don't go by an uncertain way of authentication."""
     out = {}
     for i, d in enumerate(dimensions):
         own, any_ = F.try_element_at("_override", F.lit(d)), F.col(f"_d_{d}") if d in DIMENSIONS else F.lit(None).cast("string")
-        seen = F.when(~F.col("_uncertain"), any_) if kind == "credits" and d == "auth_mode" else any_
+        seen = F.when(~F.col("_uncertain"), any_) if certain and kind == "credits" and d == "auth_mode" else any_
         stated = F.coalesce(own, F.when(~seen.isin(*UNRESOLVED), seen))
         policy = F.col(f"_p{i}_{kind}")
         out[f"_open{i}_{kind}"] = policy.isNull() | stated.isNull()
@@ -247,37 +264,92 @@ def _gaps(kind: str) -> dict[str, Column]:
     return {f"_gaps_{kind}": F.expr(count), f"_unseen_{kind}": F.expr(unseen), f"_shifts_{kind}": F.expr(shifts), f"_some_{kind}": F.expr(priced)}
 
 
-def _amounts(kind: str, dimensions: list[str]) -> Column:
-    """Counts and bounds over the scenarios that an event leaves open; an amount is a sum of quantities times the cell's unit prices."""
-    rate = f"_rate_{kind}"
-    cost = lambda q, r: f"try_cast(cast({q} as decimal(19,0)) * s.u_{r} as decimal(38,15))"
+def _fits(kind: str, dimensions: list[str], s: str) -> str:
+    """Whether a scenario is one that an event leaves open."""
+    return " and ".join(["true", *[f"(_open{i}_{kind} or (_value{i}_{kind} is not null and _value{i}_{kind} <=> {s}.c_{i}))" for i in range(len(dimensions))]])
+
+
+def _usual(kind: str, dimensions: list[str], s: str) -> str:
+    """Whether it is the one of the catalog's defaults."""
+    return " and ".join(["true", *[f"(_p{i}_{kind} is null or (_usual{i}_{kind} is not null and _usual{i}_{kind} <=> {s}.c_{i}))" for i in range(len(dimensions))]])
+
+
+def _subtotal(kind: str, s: str) -> str:
+    """The sum of an event's quantities times a scenario's unit prices; null if out of range."""
     total = "cast(0 as decimal(38,15))"
     for r, q in _quantities(kind).items():
         if q != "0L":
-            total = f"try_cast({total} + if(coalesce({q} > 0, false) and {rate}.{r} is not null, {cost(q, r)}, cast(0 as decimal(38,15))) as decimal(38,15))"
-    fits = " and ".join(["true", *[f"(_open{i}_{kind} or (_value{i}_{kind} is not null and _value{i}_{kind} <=> s.c_{i}))" for i in range(len(dimensions))]])
-    usual = " and ".join(["true", *[f"(_p{i}_{kind} is null or (_usual{i}_{kind} is not null and _usual{i}_{kind} <=> s.c_{i}))" for i in range(len(dimensions))]])
-    shift = lambda r: f"if(_shifts_{kind}, {cost('input_tokens_uncached', r)}, null)"
-    summed = f"transform(filter(_all_{kind}, s -> {fits}), s -> struct(s.modifier_ids, {usual} as usual, {total} as subtotal, {shift('input')} as read, {shift('cache_write')} as written))"
+            total = f"try_cast({total} + if(coalesce({q} > 0, false) and _rate_{kind}.{r} is not null, {_cost(q, f'{s}.u_{r}')}, cast(0 as decimal(38,15))) as decimal(38,15))"
+    return total
+
+
+def _cost(quantity: str, price: str) -> str:
+    return f"try_cast(cast({quantity} as decimal(19,0)) * {price} as decimal(38,15))"
+
+
+def _known(kind: str, amount: str, read: str, written: str, shifted: str = "try_cast({x} as decimal(38,15))") -> tuple[str, str]:
+    """What of a scenario's amount is known at least and at most; where only the observation of cache writes lacks, uncached input may be either."""
+    shift = lambda f: shifted.format(x=f"{amount} - {read} + {f}({read}, {written})")
     whole = f"_gaps_{kind} = 0"
-    shifted = "try_cast(e.subtotal - e.read + {f}(e.read, e.written) as decimal(38,15))"
-    known = f"case when {whole} then e.subtotal when _shifts_{kind} then {shifted.format(f='least')} when _some_{kind} and e.subtotal <> 0 then e.subtotal end"
-    upper = f"case when {whole} then e.subtotal when _shifts_{kind} then {shifted.format(f='greatest')} end"
+    return (
+        f"case when {whole} then {amount} when _shifts_{kind} then {shift('least')} when _some_{kind} and {amount} <> 0 then {amount} end",
+        f"case when {whole} then {amount} when _shifts_{kind} then {shift('greatest')} end",
+    )
+
+
+def _walked(kind: str, dimensions: list[str]) -> Column:
+    """Counts and bounds over the scenarios that an event leaves open, for events whose amounts aren't written out."""
+    shift = lambda r: f"if(_shifts_{kind}, {_cost('input_tokens_uncached', f's.u_{r}')}, null)"
+    summed = f"transform(filter(_all_{kind}, s -> {_fits(kind, dimensions, 's')}), s -> struct(s.modifier_ids, {_usual(kind, dimensions, 's')} as usual, {_subtotal(kind, 's')} as subtotal, {shift('input')} as read, {shift('cache_write')} as written))"
+    known, upper = _known(kind, "e.subtotal", "e.read", "e.written")
     bounds = f"transform({summed}, e -> struct(e.modifier_ids, e.usual, e.subtotal is null as bad, {known} as known, {upper} as upper))"
     start = "named_struct('n', 0, 'bad', 0, 'known', 0, 'both', 0, 'low', cast(null as decimal(38,15)), 'high', cast(null as decimal(38,15)), 'usual_bad', cast(null as boolean), 'ids', cast(array() as array<string>))"
     step = "named_struct('n', a.n + 1, 'bad', a.bad + if(e.bad, 1, 0), 'known', a.known + if(e.known is null, 0, 1), 'both', a.both + if(e.known is null or e.upper is null, 0, 1), 'low', least(a.low, e.known), 'high', greatest(a.high, e.upper), 'usual_bad', coalesce(a.usual_bad, if(e.usual, e.bad, null)), 'ids', if(size(e.modifier_ids) = 0, a.ids, concat(a.ids, e.modifier_ids)))"
-    return F.expr(f"if({rate} is null, null, aggregate({bounds}, {start}, (a, e) -> {step}))")
+    return F.expr(f"if(_rate_{kind} is null or _plain_{kind}, null, aggregate({bounds}, {start}, (a, e) -> {step}))")
+
+
+def _plain(kind: str) -> Column:
+    """Whether an event's amounts can be taken in whole numbers, scenario by scenario."""
+    used = [q for q in _quantities(kind).values() if q != "0L"]
+    return F.expr(f"coalesce(greatest({', '.join([*used, 'input_tokens_uncached'])}) <= _room_{kind} and coalesce(input_tokens_uncached, 0L) >= 0, false)")
+
+
+def _written_out(kind: str, dimensions: list[str], most: int) -> list[dict[str, Column]]:
+    """Whether each scenario of a cell fits and what of its amount is known, by columns, in steps of which each uses the one before."""
+    first, second = {}, {}
+    for k in range(most):
+        s, at = f"get(_all_{kind}, {k})", f"{k}_{kind}"
+        terms = [f"greatest(coalesce({q}, 0L), 0L) * {s}.n_{r}" for r, q in _quantities(kind).items() if q != "0L"]
+        first[f"_fit{at}"] = F.expr(f"_plain_{kind} and {s} is not null and {_fits(kind, dimensions, s)}")
+        first[f"_sum{at}"] = F.expr(f"if(_plain_{kind} and {s} is not null and {_fits(kind, dimensions, s)}, {' + '.join(terms)}, null)")
+        known, upper = _known(kind, f"_sum{at}", f"(input_tokens_uncached * {s}.n_input)", f"(input_tokens_uncached * {s}.n_cache_write)", "{x}")
+        second[f"_known{at}"], second[f"_upper{at}"] = (F.expr(f"if(_fit{at}, {x}, null)") for x in (known, upper))
+    return [first, second]
+
+
+def _counts(kind: str, dimensions: list[str], most: int) -> dict[str, Column]:
+    """Counts and bounds over the scenarios of an event, written out or walked over."""
+    g, ks = f"_walked_{kind}", range(most)
+    either = lambda plain, own: F.expr(f"if(_plain_{kind}, {plain}, {g}.{own})")
+    count = lambda c: " + ".join(f"if({c.format(k=k, kind=kind)}, 1, 0)" for k in ks)
+    amount = lambda f, c: f"cast(cast({f}({', '.join([f'{c}{k}_{kind}' for k in ks] + ['cast(null as bigint)'] * 2)}) as decimal(19,0)) * cast('0.000000000000001' as decimal(15,15)) as decimal(38,15))"
+    usual = " or ".join(f"(_fit{k}_{kind} and {_usual(kind, dimensions, f'get(_all_{kind}, {k})')})" for k in ks)
+    ids = ", ".join(f"if(_fit{k}_{kind}, get(_all_{kind}, {k}).modifier_ids, cast(array() as array<string>))" for k in ks)
+    return {
+        f"_n_{kind}": either(count("_fit{k}_{kind}"), "n"), f"_bad_{kind}": either("0", "bad"), f"_knowns_{kind}": either(count("_known{k}_{kind} is not null"), "known"), f"_boths_{kind}": either(count("_upper{k}_{kind} is not null"), "both"),
+        f"_low_{kind}": either(amount("least", "_known"), "low"), f"_high_{kind}": either(amount("greatest", "_upper"), "high"), f"_usual_bad_{kind}": either(f"if({usual}, false, null)", "usual_bad"), f"_ids_{kind}": either(f"concat({ids})", "ids"),
+    }
 
 
 def _bounds(kind: str) -> dict[str, Column]:
     """Status, bounds and status by the catalog's defaults, from the counts over scenarios."""
-    g = f"_amounts_{kind}"
-    none = f"coalesce({g}.n, 0) = 0 or {g}.bad = {g}.n"
+    n = f"_n_{kind}"
+    none = f"coalesce({n}, 0) = 0 or _bad_{kind} = {n}"
     return {
-        f"{kind}_status": F.expr(f"case when {none} then 'unpriced' when {g}.both = {g}.n then if({g}.low = {g}.high, 'exact', 'bounded') else 'partial' end"),
-        f"{kind}_lower": F.expr(f"case when {none} then null when {g}.known = {g}.n then {g}.low end"),
-        f"{kind}_upper": F.expr(f"case when {none} then null when {g}.both = {g}.n then {g}.high end"),
-        f"_legacy_{kind}": F.expr(f"case when coalesce({g}.usual_bad, true) then 'unpriced' when _gaps_{kind} = 0 then 'priced' else 'partial' end"),
+        f"{kind}_status": F.expr(f"case when {none} then 'unpriced' when _boths_{kind} = {n} then if(_low_{kind} = _high_{kind}, 'exact', 'bounded') else 'partial' end"),
+        f"{kind}_lower": F.expr(f"case when {none} then null when _knowns_{kind} = {n} then _low_{kind} end"),
+        f"{kind}_upper": F.expr(f"case when {none} then null when _boths_{kind} = {n} then _high_{kind} end"),
+        f"_legacy_{kind}": F.expr(f"case when coalesce(_usual_bad_{kind}, true) then 'unpriced' when _gaps_{kind} = 0 then 'priced' else 'partial' end"),
     }
 
 
@@ -294,13 +366,8 @@ def _authentication(out: DataFrame) -> DataFrame:
     return out.withColumns({"_uncertain": uncertain, "_api_key": ~uncertain & is_api_key(F.coalesce(override, F.col("auth_mode")))})
 
 
-def _by_cells(events: DataFrame, catalog: Catalog, cut: DataFrame, few: bool) -> DataFrame:
-    """Events with status and bounds of both kinds, by one equi-join a kind with the cells, whose spans are tested in the join.
-
-    All but the walk over a cell's scenarios is generated code, and that walk is
-    one projection for both kinds, as each such projection copies the whole row.
-    """
-    dimensions = sorted(r[0] for r in catalog.policies.select("dimension").distinct().collect())  # names of dimensions, not rows of data
+def _with_cells(events: DataFrame, catalog: Catalog, cut: DataFrame, few: bool, dimensions: list[str], kinds: tuple[str, ...] = KINDS, certain: bool = True, dims: bool = False) -> DataFrame:
+    """Events with the cells that they meet, by one equi-join a kind, whose spans are tested in the join, and what they leave open or lack."""
     out = resolve_models(events, catalog.aliases)
     provider = F.lower(F.trim(events["provider"]))
     attested = F.lit(None).cast("map<string, string>")
@@ -314,24 +381,48 @@ def _by_cells(events: DataFrame, catalog: Catalog, cut: DataFrame, few: bool) ->
     said = {f"_d_{d}": F.lower(F.trim(d)) for d in DIMENSIONS}
     said["_d_speed"] = F.coalesce(said["_d_speed"], F.when(said["_d_service_tier"] == "fast", "fast"))
     out = _authentication(out.withColumns({"_override": attested, "_total": _tokens(), **said}))
-    units = _with_units(cut, dimensions)
-    for kind in KINDS:
+    units = _with_units(cut, dimensions, dims)
+    for kind in kinds:
         side = units.where(F.col("_kind") == kind).drop("_kind")
         side = side.withColumnsRenamed({c: f"{c}_{kind}" for c in side.columns})
         inside = _within(F.col(f"_time_{kind}"), F.col("occurred_at")) & _within(F.col(f"_size_{kind}"), F.col("_total"))
         out = out.join(F.broadcast(side) if few else side, (provider == F.col(f"_provider_{kind}")) & (F.col("canonical_model") == F.col(f"_model_{kind}")) & inside, "left")
-        out = out.withColumns({f"{kind}_matches": F.coalesce(f"_matches_{kind}", F.lit(0)), **_stated(kind, dimensions), **_gaps(kind)})
-    out = out.withColumns({f"_amounts_{k}": _amounts(k, dimensions) for k in KINDS})
-    quantity, names = _quantities("usd"), {r: n for n, _, r in TOKENS} | {r: c for c, r in TOOLS}
-    gaps = [f"if(coalesce({q} > 0, false) and _rate_usd.{r} is null, struct('{names[r]}' as component, {q} as quantity), null)" for r, q in quantity.items()]
-    gaps.append("if(_unseen_usd, struct('cache_write_observation' as component, cast(null as bigint) as quantity), null)")
+        out = out.withColumns({f"{kind}_matches": F.coalesce(f"_matches_{kind}", F.lit(0)), **_stated(kind, dimensions, certain), **_gaps(kind)})
+    return out
+
+
+def _dimensions(catalog: Catalog) -> list[str]:
+    return sorted(r[0] for r in catalog.policies.select("dimension").distinct().collect())  # names of dimensions, not rows of data
+
+
+def _missing(kind: str) -> str:
+    """The components that an event lacks a price for."""
+    names = {r: n for n, _, r in TOKENS} | {r: c for c, r in TOOLS}
+    gaps = [f"if(coalesce({q} > 0, false) and _rate_{kind}.{r} is null, struct('{names[r]}' as component, {q} as quantity), null)" for r, q in _quantities(kind).items() if q != "0L"]
+    gaps.append(f"if(_unseen_{kind}, struct('cache_write_observation' as component, cast(null as bigint) as quantity), null)")
+    return f"array_compact(array({', '.join(gaps)}))"
+
+
+def _by_cells(events: DataFrame, catalog: Catalog, cut: DataFrame, few: bool, most: int) -> DataFrame:
+    """Events with status and bounds of both kinds, from the cells that they meet.
+
+    Scenarios of cells that have few are written out as columns, in whole numbers
+    and generated code; others, and amounts beyond whole numbers, are walked over.
+    """
+    dimensions = _dimensions(catalog)
+    most = max(1, min(most, WRITTEN_OUT))
+    out = _with_cells(events, catalog, cut, few, dimensions).withColumns({f"_plain_{k}": _plain(k) for k in KINDS})
+    out = out.withColumns({f"_walked_{k}": _walked(k, dimensions) for k in KINDS})
+    for usd, credits in zip(*[_written_out(k, dimensions, most) for k in KINDS], strict=True):
+        out = out.withColumns(usd | credits)
+    out = out.withColumns({**_counts("usd", dimensions, most), **_counts("credits", dimensions, most)})
     none = "cast(array() as array<struct<component: string, quantity: bigint>>)"
     return out.withColumns(
         {
             **_bounds("usd"), **_bounds("credits"),
-            "missing": F.expr(f"if(_amounts_usd.usual_bad is null or _gaps_usd = 0, {none}, array_sort(array_compact(array({', '.join(gaps)}))))"),
-            "matched_ids": F.expr("sort_array(array_except(concat(array(_rate_usd.id, _rate_credits.id), coalesce(_amounts_usd.ids, array())), array(cast(null as string))))"),
-            "scenario_count": F.coalesce("_amounts_usd.n", F.lit(0)),
+            "missing": F.expr(f"if(_usual_bad_usd is null or _gaps_usd = 0, {none}, array_sort({_missing('usd')}))"),
+            "matched_ids": F.expr("sort_array(array_except(concat(array(_rate_usd.id, _rate_credits.id), coalesce(_ids_usd, array())), array(cast(null as string))))"),
+            "scenario_count": F.coalesce("_n_usd", F.lit(0)),
         }
     )
 
@@ -356,6 +447,12 @@ def _by_expressions(events: DataFrame, catalog: Catalog) -> DataFrame:
     return out.withColumns({f"_legacy_{k}": F.coalesce(f"_legacy_{k}.status", F.lit("unpriced")) for k in KINDS})
 
 
+def _held(catalog: Catalog) -> tuple[DataFrame, Row]:
+    """The catalog's cells, the most scenarios of one and those of all."""
+    cut = cells(catalog)
+    return cut, cut.agg(F.max("_combinations").alias("most"), F.sum(F.greatest("_combinations", F.lit(1))).alias("all")).first()
+
+
 def price(events: DataFrame, catalog: Catalog) -> DataFrame:
     """Events with canonical_model, alias_id, and for usd and credits status, lower and upper; legacy_status; matched_ids; missing.
 
@@ -372,10 +469,10 @@ def price(events: DataFrame, catalog: Catalog) -> DataFrame:
     for name in ("provider_route", "speed"):
         if name not in events.columns:
             events = events.withColumn(name, F.lit(None).cast("string"))
-    cut = cells(catalog)
-    held = cut.agg(F.max("_combinations").alias("most"), F.sum(F.greatest("_combinations", F.lit(1))).alias("all")).first()
+    events.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED)  # for the session: the plan is compiled when it runs
+    cut, held = _held(catalog)
     if (held["most"] or 0) <= MAX_SCENARIOS:
-        out = _by_cells(events, catalog, cut, (held["all"] or 0) <= BROADCAST_ROWS)
+        out = _by_cells(events, catalog, cut, (held["all"] or 0) <= BROADCAST_ROWS, int(held["most"] or 0))
     else:
         out = _by_expressions(events, catalog)
     applies = (F.col("client") == "openai_codex") & ~F.col("_api_key")
