@@ -395,3 +395,19 @@ def test_amounts_in_whole_numbers_equal_decimals(spark, sf, monkeypatch):
     monkeypatch.setattr(pricing, "WRITTEN_OUT", 0)
     assert len(written_out) > 500 and written_out == found()
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_scenarios_are_rows_that_events_meet(spark, sf, monkeypatch):
+    """Scenarios come from the catalog's cells by a join, not from each event's own dimensions; rows of both ways are the same, also of amounts beyond whole numbers and of none."""
+    from usagebook.plans import queries
+
+    plan = queries.scenario_expansion(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "Generate explode(flatten" not in plan
+    grown = {c: F.when(F.crc32("event_key") % 5 == 0, F.col(c) * 10**13).when(F.crc32("event_key") % 5 == 1, F.lit(0).cast("long")).otherwise(F.col(c)) for c in ("input_tokens_total", "input_tokens_uncached", "cache_write_unknown_tokens")}
+    events = queries.events(spark, sf).where("event_key like '%-1' and event_key not like '%5-1'").withColumns(grown).cache()
+    for kind in pricing.KINDS:
+        found = lambda: sorted(repr(r) for r in pricing.scenarios(events, queries.price_catalog(spark), kind).collect())  # noqa: B023, E731
+        rows = found()
+        with monkeypatch.context() as m:
+            m.setattr(pricing, "_held", lambda cut: {"most": pricing.MAX_SCENARIOS + 1, "all": 1})
+            assert len(rows) > 100 and rows == found()

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from usagebook.functions.tables import written
 from usagebook.functions.values import BROADCAST_ROWS, UNRESOLVED, contains, is_api_key, resolved, small
 
 KINDS = ("usd", "credits")
@@ -85,11 +86,15 @@ def entries(catalog: Catalog) -> DataFrame:
     mods = catalog.modifiers.groupBy(F.lower(F.trim("provider")).alias("_provider"), F.col("canonical_model").alias("_model")).agg(F.array_sort(F.collect_list(F.struct("id", "kind", "effective_from", "effective_to", "scope", "multiplier", F.array_sort(F.map_entries("selectors")).alias("selectors")))).alias("_modifiers"))
     out = out.join(mods, ["_provider", "_model"], "full_outer")
     if catalog.overrides is not None:
-        own = catalog.overrides.groupBy(F.lower(F.trim("provider")).alias("_provider"), F.col("canonical_model").alias("_model")).agg(F.collect_list(F.struct("id", F.lower(F.trim("dimension")).alias("dimension"), F.lower(F.trim("value")).alias("value"), "effective_from", "effective_to")).alias("_overrides"))
-        return out.join(own, ["_provider", "_model"], "full_outer")
+        return out.join(_overrides(catalog.overrides), ["_provider", "_model"], "full_outer")
     return out.withColumn("_overrides", F.expr("cast(null as array<struct<id: string, dimension: string, value: string, effective_from: timestamp, effective_to: timestamp>>)"))
 
 
+def _overrides(overrides: DataFrame) -> DataFrame:
+    """One row a (provider, canonical model): its overrides."""
+    return overrides.groupBy(F.lower(F.trim("provider")).alias("_provider"), F.col("canonical_model").alias("_model")).agg(F.collect_list(F.struct("id", F.lower(F.trim("dimension")).alias("dimension"), F.lower(F.trim("value")).alias("value"), "effective_from", "effective_to")).alias("_overrides"))
+
+
 def observed_dimensions() -> Column:
     """What the event says of its routing, in lower case; a fast service tier also says the speed."""
     value = lambda c: F.lower(F.trim(F.col(c)))
@@ -314,14 +319,22 @@ def _plain(kind: str) -> Column:
     return F.expr(f"coalesce(greatest({', '.join([*used, 'input_tokens_uncached'])}) <= _room_{kind} and coalesce(input_tokens_uncached, 0L) >= 0, false)")
 
 
+def _whole(kind: str, s: str) -> str:
+    """An event's quantities times a scenario's unit prices, in whole numbers."""
+    return " + ".join(f"greatest(coalesce({q}, 0L), 0L) * {s}.n_{r}" for r, q in _quantities(kind).items() if q != "0L")
+
+
+def _amount(whole: str) -> str:
+    return f"cast(cast({whole} as decimal(19,0)) * cast('0.000000000000001' as decimal(15,15)) as decimal(38,15))"
+
+
 def _written_out(kind: str, dimensions: list[str], most: int) -> list[dict[str, Column]]:
     """Whether each scenario of a cell fits and what of its amount is known, by columns, in steps of which each uses the one before."""
     first, second = {}, {}
     for k in range(most):
         s, at = f"get(_all_{kind}, {k})", f"{k}_{kind}"
-        terms = [f"greatest(coalesce({q}, 0L), 0L) * {s}.n_{r}" for r, q in _quantities(kind).items() if q != "0L"]
         first[f"_fit{at}"] = F.expr(f"_plain_{kind} and {s} is not null and {_fits(kind, dimensions, s)}")
-        first[f"_sum{at}"] = F.expr(f"if(_plain_{kind} and {s} is not null and {_fits(kind, dimensions, s)}, {' + '.join(terms)}, null)")
+        first[f"_sum{at}"] = F.expr(f"if(_plain_{kind} and {s} is not null and {_fits(kind, dimensions, s)}, {_whole(kind, s)}, null)")
         known, upper = _known(kind, f"_sum{at}", f"(input_tokens_uncached * {s}.n_input)", f"(input_tokens_uncached * {s}.n_cache_write)", "{x}")
         second[f"_known{at}"], second[f"_upper{at}"] = (F.expr(f"if(_fit{at}, {x}, null)") for x in (known, upper))
     return [first, second]
@@ -332,7 +345,7 @@ def _counts(kind: str, dimensions: list[str], most: int) -> dict[str, Column]:
     g, ks = f"_walked_{kind}", range(most)
     either = lambda plain, own: F.expr(f"if(_plain_{kind}, {plain}, {g}.{own})")
     count = lambda c: " + ".join(f"if({c.format(k=k, kind=kind)}, 1, 0)" for k in ks)
-    amount = lambda f, c: f"cast(cast({f}({', '.join([f'{c}{k}_{kind}' for k in ks] + ['cast(null as bigint)'] * 2)}) as decimal(19,0)) * cast('0.000000000000001' as decimal(15,15)) as decimal(38,15))"
+    amount = lambda f, c: _amount(f"{f}({', '.join([f'{c}{k}_{kind}' for k in ks] + ['cast(null as bigint)'] * 2)})")
     usual = " or ".join(f"(_fit{k}_{kind} and {_usual(kind, dimensions, f'get(_all_{kind}, {k})')})" for k in ks)
     ids = ", ".join(f"if(_fit{k}_{kind}, get(_all_{kind}, {k}).modifier_ids, cast(array() as array<string>))" for k in ks)
     return {
@@ -366,13 +379,16 @@ def _authentication(out: DataFrame) -> DataFrame:
     return out.withColumns({"_uncertain": uncertain, "_api_key": ~uncertain & is_api_key(F.coalesce(override, F.col("auth_mode")))})
 
 
-def _with_cells(events: DataFrame, catalog: Catalog, cut: DataFrame, few: bool, dimensions: list[str], kinds: tuple[str, ...] = KINDS, certain: bool = True, dims: bool = False) -> DataFrame:
-    """Events with the cells that they meet, by one equi-join a kind, whose spans are tested in the join, and what they leave open or lack."""
+def _with_cells(events: DataFrame, catalog: Catalog, cut: DataFrame, few: bool, dimensions: list[str], kinds: tuple[str, ...] = KINDS, certain: bool = True, rows: bool = False) -> DataFrame:
+    """Events with the cells that they meet, by one equi-join a kind, whose spans are tested in the join, and what they leave open or lack.
+
+    With rows, an event meets each scenario of its cell (_s_) by itself, and these are made once, before events meet them.
+    """
     out = resolve_models(events, catalog.aliases)
     provider = F.lower(F.trim(events["provider"]))
     attested = F.lit(None).cast("map<string, string>")
     if catalog.overrides is not None:
-        own = entries(catalog).where("_overrides is not null").select(F.col("_provider").alias("_po"), F.col("_model").alias("_mo"), F.array_sort("_overrides").alias("_overrides"))
+        own = _overrides(catalog.overrides).select(F.col("_provider").alias("_po"), F.col("_model").alias("_mo"), F.array_sort("_overrides").alias("_overrides"))
         own = _spans(own, "_overrides").where("size(_overrides) > 0").withColumnRenamed("_time", "_to")
         first = "map_from_entries(transform(filter(_overrides, (o, i) -> not exists(slice(_overrides, 1, i), x -> x.dimension = o.dimension)), o -> struct(o.dimension as key, o.value as value)))"
         own = own.withColumn("_attested", F.expr(first)).drop("_overrides")
@@ -381,7 +397,9 @@ def _with_cells(events: DataFrame, catalog: Catalog, cut: DataFrame, few: bool,
     said = {f"_d_{d}": F.lower(F.trim(d)) for d in DIMENSIONS}
     said["_d_speed"] = F.coalesce(said["_d_speed"], F.when(said["_d_service_tier"] == "fast", "fast"))
     out = _authentication(out.withColumns({"_override": attested, "_total": _tokens(), **said}))
-    units = _with_units(cut, dimensions, dims)
+    units = _with_units(cut, dimensions, rows)
+    if rows:
+        units = written(units.withColumn("_s", F.explode("_all")).drop("_all"), "scenarios")
     for kind in kinds:
         side = units.where(F.col("_kind") == kind).drop("_kind")
         side = side.withColumnsRenamed({c: f"{c}_{kind}" for c in side.columns})
@@ -447,10 +465,9 @@ def _by_expressions(events: DataFrame, catalog: Catalog) -> DataFrame:
     return out.withColumns({f"_legacy_{k}": F.coalesce(f"_legacy_{k}.status", F.lit("unpriced")) for k in KINDS})
 
 
-def _held(catalog: Catalog) -> tuple[DataFrame, Row]:
-    """The catalog's cells, the most scenarios of one and those of all."""
-    cut = cells(catalog)
-    return cut, cut.agg(F.max("_combinations").alias("most"), F.sum(F.greatest("_combinations", F.lit(1))).alias("all")).first()
+def _held(cut: DataFrame) -> Row:
+    """The most scenarios of one of a catalog's cells and those of all."""
+    return cut.agg(F.max("_combinations").alias("most"), F.sum(F.greatest("_combinations", F.lit(1))).alias("all")).first()
 
 
 def price(events: DataFrame, catalog: Catalog) -> DataFrame:
@@ -470,7 +487,8 @@ def price(events: DataFrame, catalog: Catalog) -> DataFrame:
         if name not in events.columns:
             events = events.withColumn(name, F.lit(None).cast("string"))
     events.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED)  # for the session: the plan is compiled when it runs
-    cut, held = _held(catalog)
+    cut = cells(catalog)
+    held = _held(cut)
     if (held["most"] or 0) <= MAX_SCENARIOS:
         out = _by_cells(events, catalog, cut, (held["all"] or 0) <= BROADCAST_ROWS, int(held["most"] or 0))
     else:
@@ -491,7 +509,36 @@ def price(events: DataFrame, catalog: Catalog) -> DataFrame:
 
 
 def scenarios(events: DataFrame, catalog: Catalog, kind: str = "usd") -> DataFrame:
-    """One row a scenario of an event: its dimensions, status and amounts."""
+    """One row a scenario of an event: its dimensions, status and amounts.
+
+    An event meets the scenarios of its cell by the join that price has, and amounts
+    are columns of these rows: in whole numbers where they fit, else decimals. The
+    cells and their scenarios are tables in the shared folder, as small as the catalog.
+    """
+    for name in ("provider_route", "speed"):
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(None).cast("string"))
+    events.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED)  # for the session: the plan is compiled when it runs
+    cut = written(cells(catalog).where(F.col("_kind") == kind), "cells")
+    held = _held(cut)
+    if (held["most"] or 0) > MAX_SCENARIOS:
+        return _scenarios_by_expressions(events, catalog, kind)
+    dimensions = _dimensions(catalog)
+    out = _with_cells(events, catalog, cut, (held["all"] or 0) <= BROADCAST_ROWS, dimensions, (kind,), certain=False, rows=True)
+    out = out.withColumnRenamed(f"_s_{kind}", "_s").where(f"_s is not null and {_fits(kind, dimensions, '_s')}").withColumn("_plain", _plain(kind))
+    out = out.withColumns({"_whole": F.expr(f"if(_plain, {_whole(kind, '_s')}, null)"), "_exact": F.expr(f"if(_plain, null, {_subtotal(kind, '_s')})")})
+    whole = _known(kind, "_whole", "(input_tokens_uncached * _s.n_input)", "(input_tokens_uncached * _s.n_cache_write)", "{x}")
+    exact = _known(kind, "_exact", *[f"if(_shifts_{kind}, {_cost('input_tokens_uncached', f'_s.u_{r}')}, null)" for r in ("input", "cache_write")])
+    known, upper = (F.expr(f"if(_plain, {_amount(w)}, {e})") for w, e in zip(whole, exact, strict=True))
+    return out.select(
+        "client", "event_key", F.col("_s.dims").alias("dimensions"), F.col("_s.modifier_ids").alias("modifier_ids"), F.expr(_missing(kind)).alias("missing"),
+        F.expr(f"case when _whole is null and _exact is null then 'unpriced' when _gaps_{kind} = 0 then 'priced' else 'partial' end").alias("status"),
+        F.expr(f"case when _gaps_{kind} = 0 then if(_plain, {_amount('_whole')}, _exact) end").alias("exact"), known.alias("known"), upper.alias("upper"),
+    )
+
+
+def _scenarios_by_expressions(events: DataFrame, catalog: Catalog, kind: str) -> DataFrame:
+    """The same for a catalog with a rate of too many combinations to be stored."""
     out = with_rates(events, catalog).withColumns({"_dims_usd": F.col("_dims"), "_dims_credits": F.col("_dims")}).where(F.col(f"_rate_{kind}").isNotNull())
     return out.select("client", "event_key", F.explode(F.expr(_estimates(kind, _scenarios(kind)))).alias("s")).select("client", "event_key", "s.*")
 
